@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskspark.llm import packing, secret_scan, substring_dedup, url_filter
+from riskspark.llm import jaccard_join, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries():
     return {
         "op1_secret_ledger": secret_scan.secrets_query,
         "op2_harmonic_packing": packing.packing_query,
+        "op3_jaccard_join": jaccard_join.jaccard_query,
         "op7_anchor_dedup": substring_dedup.substring_query,
         "op9_url_filter": url_filter.url_query,
     }
