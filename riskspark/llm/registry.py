@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import jaccard_join, packing, secret_scan, substring_dedup, url_filter
+from riskspark.llm import byte_bpe, jaccard_join, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_harmonic_packing": packing.packing_query,
         "op3_jaccard_join": jaccard_join.jaccard_query,
         "op7_anchor_dedup": substring_dedup.substring_query,
+        "op8_distinct_word_bpe": byte_bpe.bpe_query,
         "op9_url_filter": url_filter.url_query,
     }
 
