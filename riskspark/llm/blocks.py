@@ -26,10 +26,10 @@ def corpus_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
 
 
-def deal(docs: DataFrame, total: int, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(_block, _id, _text) of all documents; there are as many blocks as the corpus needs."""
+def deal(docs: DataFrame, total: int, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, more: tuple[str, ...] = ()) -> DataFrame:
+    """(_block, _id, _text) and more columns of all documents; there are as many blocks as the corpus needs."""
     n = max(8, -(-total // block))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *more)
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import byte_bpe, fingerprint, jaccard_join, language_id, packing, secret_scan, substring_dedup, url_filter
+from riskspark.llm import byte_bpe, context_tree, fingerprint, jaccard_join, language_id, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_harmonic_packing": packing.packing_query,
         "op3_jaccard_join": jaccard_join.jaccard_query,
         "op4_compression_language": language_id.language_query,
+        "op5_context_tree": context_tree.scores_query,
         "op6_bottom_k": fingerprint.fingerprint_query,
         "op7_anchor_dedup": substring_dedup.substring_query,
         "op8_distinct_word_bpe": byte_bpe.bpe_query,
