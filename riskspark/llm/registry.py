@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import byte_bpe, context_tree, fingerprint, jaccard_join, language_id, packing, secret_scan, substring_dedup, url_filter
+from riskspark.llm import audio_fingerprint, byte_bpe, context_tree, fingerprint, jaccard_join, language_id, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_anchor_dedup": substring_dedup.substring_query,
         "op8_distinct_word_bpe": byte_bpe.bpe_query,
         "op9_url_filter": url_filter.url_query,
+        "op10_chroma_fingerprint": audio_fingerprint.recordings_query,
     }
 
 
