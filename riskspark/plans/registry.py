@@ -1,9 +1,16 @@
 """All registered queries of the analytics library."""
 
+from __future__ import annotations
+
+from riskspark.plans import market, q_market
+from riskspark.plans.query import ALL
+
+MODULES = (q_market,)
+
 
 def queries():
-    return {}
+    return {name: q.run for name, q in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: text for name, q in ALL.items() if (text := q.text(market.CTES)) is not None}
