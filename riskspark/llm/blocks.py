@@ -37,9 +37,9 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("_id", "ascending"), ("_text", "ascending")])
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Integer arrays as one compressed value; the bytes of equal rank lie together."""
-    z, out = zstandard.ZstdCompressor(level=1), []
+    z, out = zstandard.ZstdCompressor(level=level), []
     for a in arrays:
         a = np.ascontiguousarray(a)
         body = z.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())

@@ -16,6 +16,7 @@ import base64
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from riskspark.llm.blocks import pack, unpack
 
 #: Characters of text in a segment, about.
-SEGMENT = 16_000_000
+SEGMENT = 32_000_000
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _known: dict = {}
 
@@ -82,9 +83,14 @@ class Segment:
     def rows(self, number: int, ranges: int) -> list[tuple]:
         """(range, segment, part, documents, body): one row with positions, and one for each range of words."""
         words = [(w[0] if isinstance(w, tuple) else " " + w).encode("utf-8", "surrogatepass") for w in self.words]
+        places = np.concatenate(self.places)
+        order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        words, places = [words[i] for i in order.tolist()], rank[places]
         at = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in words), np.int64, len(words))
         z = zstandard.ZstdCompressor(level=3)
-        body = pack(np.concatenate(self.places).astype("<u4"), np.array(self.sizes, "<u4"), at.astype("<u2") if ranges <= 1 << 16 else at.astype("<u4"))
+        body = pack(places, np.array(self.sizes, "<u4"), at.astype("<u2") if ranges <= 1 << 16 else at.astype("<u4"), level=6)
         out = [(-1 - number, number, -1, self.docs, body)]
         for k in np.unique(at).tolist():
             own = [words[i] for i in np.flatnonzero(at == k).tolist()]
@@ -135,11 +141,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
             own = _words(body)
             new = [w for w in own if w not in known]
             ids = coder.encode_ordinary_batch([w.decode("utf-8", "surrogatepass") for w in new], num_threads=1)
-            known.update(zip(new, (np.array(x, "<u4") for x in ids), strict=True))
+            known.update(zip(new, ids, strict=True))
             own = [known[w] for w in own]
-            sizes = pack(np.array([len(x) for x in own], "<u4"))
-            flat = np.concatenate(own) if own else np.zeros(0, "<u4")
-            bodies.append(np.array([len(sizes)], "<u4").tobytes() + sizes + z.compress(flat.astype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4").tobytes()))
+            sizes = np.fromiter(map(len, own), "<u4", len(own))
+            flat = np.fromiter(chain.from_iterable(own), "<u4", int(sizes.sum()))
+            head = pack(sizes)
+            bodies.append(np.array([len(head)], "<u4").tobytes() + head + z.compress(flat.astype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4").tobytes()))
         return table.set_column(3, "_body", pa.array(bodies, pa.binary()))
 
     def lay(table: pa.Table) -> pa.Table:
