@@ -14,7 +14,8 @@ silence. An empty table gives no rows. Repeated keys are recordings of their own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ TOP, VOTES, MOST_ERRORS, OVERLAP = 10, 3, 0.2, 6
 BLOCK_ITEMS, QUERY_ITEMS = 1_500_000, 1_000_000
 
 
+@lru_cache
 def _classes(rate: int) -> np.ndarray:
     """Weight of each spectral bin in each pitch class: bins in range, by the nearest semitone to 440 Hz."""
     f = np.fft.rfftfreq(FRAME, 1 / rate)
@@ -52,8 +54,8 @@ def chroma(pcm: np.ndarray, rate: int = RATE) -> np.ndarray:
     padded = np.zeros((n - 1) * HOP + FRAME, np.float32)
     padded[: len(pcm)] = pcm[: len(padded)] / np.float32(32768)
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames)).astype(np.float32) ** 2
-    energy = power @ _classes(rate)
+    spectrum = np.fft.rfft(frames)
+    energy = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _classes(rate)
     around = np.pad(energy, ((2, 2), (0, 0)))
     smooth = sum(w * around[k : k + n] for k, w in enumerate(SMOOTH.astype(np.float32)))
     size = np.sqrt((smooth**2).sum(1, keepdims=True))
@@ -89,8 +91,10 @@ def packed(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(recordings: DataFrame, keys: list[str], audio: str = "audio", rate: int = RATE) -> DataFrame:
-    """The keys, n_frames and items (packed integers as bytes) of each recording; no shuffle."""
+def fingerprint(recordings: DataFrame, keys: list[str], audio: str = "audio", rate: int = RATE, decode: Callable | None = None) -> DataFrame:
+    """The keys, n_frames and items (packed integers as bytes) of each recording; no shuffle.
+
+    decode: makes PCM of one value of the column, in the task, so that samples never leave it; None: the column is PCM."""
     rows = recordings.select(*keys, F.col(audio).alias("_audio"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
@@ -98,6 +102,7 @@ def fingerprint(recordings: DataFrame, keys: list[str], audio: str = "audio", ra
         for b in batches:
             n, items = [], []
             for raw in b.column(len(keys)).to_pylist():
+                raw = decode(raw) if decode and raw is not None else raw
                 pcm = np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") if raw else np.zeros(0, "<i2")
                 n.append(-(-len(pcm) // HOP))
                 items.append(packed(chroma(pcm, rate)).astype("<u4").tobytes() if len(pcm) else b"")
@@ -172,34 +177,23 @@ def search(prints: DataFrame, is_query, keys: list[str]) -> DataFrame:
     return members.join(own, "_query").join(found, "_query").select(*keys, "class_id", "rank", "match_class", "copies", "offset", "overlap", "votes", "bit_errors")
 
 
+@lru_cache
 def _notes() -> np.ndarray:
     """A note for each of 24 semitones from 110 Hz, HOP samples, with soft ends."""
     t = np.arange(HOP) / RATE
     ends = np.minimum(1, np.minimum(np.arange(HOP), np.arange(HOP)[::-1]) / 24)
-    return np.array([np.sin(2 * np.pi * 110 * 2 ** (k / 12) * t) for k in range(24)]) * ends
-
+    return np.array([np.sin(2 * np.pi * 110 * 2 ** (k / 12) * t) for k in range(24)]) * ends * 9000
 
-def render(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """The keys and audio: each word of the text sounds for one hop, as the chord of its first three letters."""
-    rows = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-
-    def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notes = _notes() * 9000
-        for b in batches:
-            out = []
-            for body in b.column(len(keys)).to_pylist():
-                own = body.lower().split()
-                pitch = np.array([[ord(w[min(k, len(w) - 1)]) % 24 for k in range(3)] for w in own], int).reshape(-1, 3)
-                out.append(notes[pitch].sum(1).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], [*keys, "audio"])
 
-    return rows.mapInArrow(sound, f"{schema}, audio binary")
+def played(text: str) -> bytes:
+    """PCM of a text: each word sounds for one hop, as the chord of its first three letters."""
+    pitch = np.array([[ord(w[min(k, len(w) - 1)]) % 24 for k in range(3)] for w in text.lower().split()], int).reshape(-1, 3)
+    return _notes()[pitch].sum(1).astype("<i2").tobytes()
 
 
 def recordings_query(spark, sf_dir: str) -> DataFrame:
-    """The turns of all conversations as recordings; those of every fiftieth conversation are looked for in all."""
+    """The turns of all conversations, played, as recordings; those of every fiftieth conversation are looked for in all."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    prints = fingerprint(render(turns, "text", ["conv_id", "turn"]), ["conv_id", "turn"])
+    prints = fingerprint(turns, ["conv_id", "turn"], "text", decode=played)
     found = search(prints, F.col("conv_id") % 50 == 0, ["conv_id", "turn"])
     return found.select("conv_id", "turn", F.col("class_id.conv_id").alias("class_conv_id"), F.col("class_id.turn").alias("class_turn"), "rank", F.col("match_class.conv_id").alias("match_conv_id"), F.col("match_class.turn").alias("match_turn"), "copies", "offset", "overlap", "votes", "bit_errors")
