@@ -29,6 +29,8 @@ from riskspark.llm.language_id import held_out
 from riskspark.llm.textwords import _LOWER, chunks, words
 
 DEPTH = 4
+#: Characters of text in a block, about: larger blocks have fewer keys in all.
+BLOCK = 24_000_000
 _LN2, _LN10 = np.log(2.0), np.log(10.0)
 
 
@@ -144,7 +146,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     seen = docs.select(F.col(id_col), F.col(text), F.coalesce(trains, F.lit(False)).alias("_train"))
     total, ends = seen.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)), F.count_if("_train")).first()
     parts = max(8, -(-total // blocks.BLOCK))
-    dealt = blocks.deal(seen, total, id_col, text, more=("_train",))
+    dealt = blocks.deal(seen, total, id_col, text, BLOCK, more=("_train",))
     inner = np.uint64((1 << (8 * (depth - 1))) - 1)
 
     def count(table: pa.Table) -> pa.Table:
@@ -199,12 +201,16 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     def answer_words(table: pa.Table) -> pa.Table:
         keys, every, n = together(table)
         values = [blocks.pack(n[np.searchsorted(every, k)].astype("<u8")) for k in keys]
-        return _answers(table, values, int(n.sum()), int((n > 0).sum()))
+        return _answers(table, values)
+
+    def count_words(table: pa.Table) -> pa.Table:
+        n = together(table)[2]
+        return pa.table([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], ["_sum", "_distinct"])
 
-    schema = "_part int, _block int, _keys binary, _values binary, _sum long, _distinct long"
-    answered = pairs.groupBy("_part").applyInArrow(answer_grams, schema).unionByName(sent.where("_part >= 0").groupBy("_part").applyInArrow(answer_words, schema))
-    answered = checkpoint(answered)
-    n_words, n_distinct = answered.agg(F.coalesce(F.sum("_sum"), F.lit(0)), F.coalesce(F.sum("_distinct"), F.lit(0))).first()
+    schema = "_part int, _block int, _keys binary, _values binary"
+    words_sent = sent.where("_part >= 0")
+    answered = pairs.groupBy("_part").applyInArrow(answer_grams, schema).unionByName(words_sent.groupBy("_part").applyInArrow(answer_words, schema))
+    n_words, n_distinct = words_sent.groupBy("_part").applyInArrow(count_words, "_sum long, _distinct long").agg(F.coalesce(F.sum("_sum"), F.lit(0)), F.coalesce(F.sum("_distinct"), F.lit(0))).first()
     n_train, n_types = n_words + ends, n_distinct + (ends > 0)
     scale = float(np.log10(n_train + 0.5 * (n_types + 1)))
 
@@ -254,10 +260,9 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     )
 
 
-def _answers(table: pa.Table, values: list[bytes], total: int | None = None, distinct: int | None = None) -> pa.Table:
-    """A part's rows with their values; the sums stand on the first one."""
-    rest = [None] * (table.num_rows - 1)
-    return pa.table([table["_part"], table["_block"], table["_keys"], pa.array(values, pa.binary()), pa.array([total, *rest], pa.int64()), pa.array([distinct, *rest], pa.int64())], ["_part", "_block", "_keys", "_values", "_sum", "_distinct"])
+def _answers(table: pa.Table, values: list[bytes]) -> pa.Table:
+    """A part's rows with their values."""
+    return pa.table([table["_part"], table["_block"], table["_keys"], pa.array(values, pa.binary())], ["_part", "_block", "_keys", "_values"])
 
 
 def scores_query(spark, sf_dir: str) -> DataFrame:
