@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Documented bounds of the training sample, and the most languages that are learned.
@@ -83,15 +84,19 @@ def _agreed(pieces: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
     return {k: v or pieces[k] for k, v in out.items()}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text: str = "text", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
-    """id_col, lang_pred, score, accepted for each row. The dictionaries have the bounded size of train()."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+def tag(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", out: str = "_language", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
+    """All columns of docs, and `out`, a struct of lang_pred, score and accepted (it replaces a column of that name).
+    No shuffle; the dictionaries have the bounded size of train()."""
+    rows = docs.drop(out)
+    at = [f.name.lower() for f in rows.schema.fields].index(text.lower())
+    judged = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_judged", judged)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, short = coders(dictionaries, level), coders(dictionaries, SHORT_LEVEL)
         for b in batches:
             said, score = [], []
-            for body in b.column(1).to_pylist():
+            for body in b.column(at).to_pylist():
                 if not own or body is None or not _LETTER.search(body):
                     said.append("und")
                     score.append(0.0)
@@ -100,10 +105,18 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 name, share = best(raw, short if len(raw) < SHORT else own)
                 said.append(name)
                 score.append(share)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["_id", "lang_pred", "score"])
+            both = pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, both], [*b.schema.names, "_judged"])
+
+    found = rows.mapInArrow(judge, schema)
+    accepted = (F.col("_judged.lang_pred") != "und") & (F.col("_judged.score") >= margin)
+    return found.withColumn(out, F.struct("_judged.lang_pred", "_judged.score", accepted.alias("accepted"))).drop("_judged")
 
-    out = rows.mapInArrow(judge, f"_id {rows.schema['_id'].dataType.simpleString()}, lang_pred string, score double")
-    return out.withColumnRenamed("_id", id_col).withColumn("accepted", (F.col("lang_pred") != "und") & (F.col("score") >= margin))
+
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text: str = "text", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
+    """id_col, lang_pred, score, accepted for each row."""
+    found = tag(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), dictionaries, "_text", "_language", level, margin)
+    return found.select(F.col("_id").alias(id_col), "_language.*")
 
 
 def language_query(spark, sf_dir: str) -> DataFrame:

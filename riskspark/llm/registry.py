@@ -6,7 +6,10 @@ from riskspark.llm import audio_fingerprint, byte_bpe, context_tree, fingerprint
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_secret_ledger": secret_scan.secrets_query,
         "op2_harmonic_packing": packing.packing_query,
         "op3_jaccard_join": jaccard_join.jaccard_query,

@@ -7,7 +7,7 @@ unseen rules to them, and returns the new ledger rows and findings. locate() joi
 back to all paths.
 
 Skew: copies of a blob are merged by a partial aggregate before any shuffle, and the join
-back is a plain equi-join whose many side holds narrow rows, which adaptive execution splits.
+back deals the paths of one blob over salts.
 
 Null texts count as empty; an empty table has no findings; a text may be of any length.
 Offsets are code points, end exclusive. Repeated rows are versions of their own."""
@@ -54,6 +54,9 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Parts over which the paths of one blob are dealt in the join back.
+SALTS = 16
+
 _FINDING = "array<struct<start:int,rank:int,kind:string,end:int,rule_key:string>>"
 
 
@@ -113,9 +116,17 @@ def findings(scanned: DataFrame) -> DataFrame:
 
 def locate(versions: DataFrame, scanned: DataFrame, text: str = "text") -> DataFrame:
     """All versions with the spans of their blob (an empty array if it has none)."""
-    hits = scanned.where(F.size("spans") > 0).select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans"))
-    out = versions.withColumn("_address", address(F.col(text))).join(hits, F.col("_address") == F.col("_blob"), "left")
-    return out.withColumn("_spans", F.coalesce("_spans", F.array().cast(_FINDING))).drop("_blob")
+    addressed = versions.withColumn("_address", address(F.col(text)))
+    return _joined(addressed, scanned, F.xxhash64(*[c for c in versions.columns if c != text])).withColumnRenamed("spans", "_spans")
+
+
+def _joined(addressed: DataFrame, scanned: DataFrame, spread: Column, salts: int = SALTS) -> DataFrame:
+    """Rows with _address, and the spans of the blob. Rows of one blob are dealt over salts by `spread`; blobs with findings, which
+    are few, stand once for each salt, so the copies of one blob are in several tasks."""
+    hits = scanned.where(F.size("spans") > 0).select(F.col("blob_id").alias("_blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_hit_salt"))
+    rows = addressed.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
+    out = rows.join(hits, (F.col("_address") == F.col("_blob")) & (F.col("_salt") == F.col("_hit_salt")), "left")
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast(_FINDING))).drop("_blob", "_salt", "_hit_salt")
 
 
 def digest(spans: Column) -> Column:
@@ -140,13 +151,21 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def redacted(docs: DataFrame, text: str = "text", chars: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """All rows and columns, with the spans of the findings replaced in the text and, if there is one, its length set anew."""
+    out = locate(docs, scan(docs, text), text)
+    out = out.withColumn(text, F.when(F.col(text).isNotNull(), redact(F.col(text), F.col("_spans"), mark)))
+    if chars in docs.columns:
+        out = out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
+    return out.select(*docs.columns)
+
+
 def secrets_query(spark, sf_dir: str) -> DataFrame:
     """Secrets of all documents: counts by base kind, digest of base spans, all spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # only the address goes through the join; the text stays with the scan
     paths = docs.select("doc_id", address(F.col("text")).alias("_address"))
-    hits = scan(docs).where(F.size("spans") > 0).select(F.col("blob_id").alias("_address"), "spans")
-    out = paths.join(hits, "_address", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_FINDING)))
+    out = _joined(paths, scan(docs), F.xxhash64("doc_id"))
     base = [r.kind for r in BASE_RULES]
     return out.select(
         "doc_id",

@@ -80,12 +80,14 @@ def _places(value: bytes) -> tuple[np.ndarray, np.ndarray]:
     return row.astype(np.int64), place.astype(np.int64)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = blocks.BLOCK) -> DataFrame:
-    """id_col, n_words, n_removed, kept_text (kept words joined by a space), one row for each row."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, block: int = blocks.BLOCK, more: tuple[str, ...] = (), as_it_is: bool = False) -> DataFrame:
+    """id_col, n_words, n_removed, kept_text (kept words joined by a space) and the columns `more`, one row for each row.
+
+    as_it_is: a document that loses nothing keeps its text with its white space."""
     if window < 4:
         raise ValueError("a window has 4 words at least")
     total = blocks.corpus_size(docs, text)
-    dealt, run = blocks.deal(docs, total, id_col, text, block), window // 2
+    dealt, run = blocks.deal(docs, total, id_col, text, block, tuple(F.col(c).alias(f"_more_{c}") for c in more)), window // 2
     bits, n = blocks.key_bits(total // 4), max(8, -(-total // blocks.BLOCK))
 
     def probe(table: pa.Table) -> pa.Table:
@@ -148,8 +150,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     marks = candidates.groupBy("_range").applyInArrow(firsts, "_block int, _marks binary")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], ["_id", "n_words", "n_removed", "kept_text"])
         table = blocks.in_order(left)
         places = [_places(x) for x in right["_marks"].to_pylist()]
         row = np.concatenate([p[0] for p in places]) if places else np.zeros(0, np.int64)
@@ -164,16 +164,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
             n_words.append(len(own))
             if not len(own_places):
                 n_removed.append(0)
-                kept.append(b" ".join(own))
+                kept.append(body.encode() if as_it_is else b" ".join(own))
                 continue
             step = np.bincount(own_places, minlength=len(own) + 1)[: len(own) + 1] - np.bincount(own_places + window, minlength=len(own) + 1)[: len(own) + 1]
             stay = np.cumsum(step)[: len(own)] == 0
             n_removed.append(len(own) - int(stay.sum()))
             kept.append(b" ".join([own[x] for x in np.flatnonzero(stay).tolist()]))
-        return pa.table([table["_id"].combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["_id", "n_words", "n_removed", "kept_text"])
-
-    out = dealt.groupBy("_block").cogroup(marks.groupBy("_block")).applyInArrow(remove, "_id long, n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("_id", id_col)
+        names = [f"_more_{c}" for c in more]
+        return pa.table([table["_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *[table[c] for c in names]], ["_id", "n_words", "n_removed", "kept_text", *names])
+
+    fields = "".join(f", `_more_{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    out = dealt.groupBy("_block").cogroup(marks.groupBy("_block")).applyInArrow(remove, f"_id long, n_words long, n_removed long, kept_text string{fields}")
+    return out.withColumnRenamed("_id", id_col).withColumnsRenamed({f"_more_{c}": c for c in more})
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """The documents and their columns without repeated passages; a document of which every word goes, goes. A null text is an empty one then."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text))
+    inner = {c: f"_{k}" for k, c in enumerate(others)}  # their names may be ours
+    out = dedup(docs.withColumnsRenamed(inner), id_col, text, window, more=tuple(inner.values()), as_it_is=True)
+    out = out.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    out = out.select(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col), F.col("kept_text").alias(text), *[F.col(v).alias(k) for k, v in inner.items()])
+    if chars in docs.columns:
+        out = out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
+    return out.select(*docs.columns)
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:
