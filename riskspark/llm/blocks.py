@@ -93,19 +93,18 @@ def ranges(sorted_keys: np.ndarray, n: int, bits: int) -> list[tuple[int, int, i
 
 
 REPEAT_SCHEMA = "_range int, _block int, _keys binary, _flags binary"
-ANSWER_SCHEMA = "_block int, _keys binary"
-MANY, INDEXED = 1, 2
+ANSWER_SCHEMA = "_block int, _keys binary, _counts binary"
+_MOST = 32_767  # counts are held down to this
 
 
 def send(block: int, keys: np.ndarray, indexed: np.ndarray, n: int, bits: int) -> pa.Table:
-    """A block's keys for repeated(): each distinct one, if it occurs more than once here, if it is indexed."""
+    """A block's keys for repeated(): each distinct one, how often it occurs here, if it is indexed."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1))) if len(keys) else np.zeros(0, int)
-    counts = np.diff(first, append=len(keys))
-    flags = (counts > 1).astype(np.uint8) * MANY
+    flags = np.minimum(np.diff(first, append=len(keys)), _MOST).astype(np.uint16) << np.uint16(1)
     if len(first):
-        flags |= np.maximum.reduceat(indexed[order].astype(np.uint8), first) * np.uint8(INDEXED)
+        flags |= np.maximum.reduceat(indexed[order].astype(np.uint16), first)
     keys = keys[first]
     parts = ranges(keys, n, bits)
     return pa.table(
@@ -115,28 +114,35 @@ def send(block: int, keys: np.ndarray, indexed: np.ndarray, n: int, bits: int) -
 
 
 def repeated(sent: DataFrame) -> DataFrame:
-    """Answers (_block, _keys): its keys that occur at least twice in the corpus and are indexed somewhere."""
+    """Answers (_block, _keys, _counts): its keys that occur at least twice in the corpus and are indexed somewhere, and how often they occur."""
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("_block")
         blocks = table["_block"].to_pylist()
         keys = [unpack_sorted(x) for x in table["_keys"].to_pylist()]
-        flags = [unpack(x)[0] for x in table["_flags"].to_pylist()]
-        every, flag = np.concatenate(keys), np.concatenate(flags).astype(np.uint8)
+        flag = np.concatenate([unpack(x)[0] for x in table["_flags"].to_pylist()])
+        every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         every, flag = every[order], flag[order]
         first = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint64(1)))
-        count = np.diff(first, append=len(every)) + np.add.reduceat(flag & MANY, first, dtype=np.int64)
-        good = (count > 1) & (np.bitwise_or.reduceat(flag, first) & INDEXED > 0)
-        mine = every[first][good]
-        out = [(b, own[found(own, mine)]) for b, own in zip(blocks, keys, strict=True)]
-        out = [(b, own) for b, own in out if len(own)]
-        return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([pack_sorted(own) for _, own in out], pa.binary())], ["_block", "_keys"])
+        count = np.add.reduceat((flag >> np.uint16(1)).astype(np.int64), first)
+        good = (count > 1) & (np.bitwise_or.reduceat(flag, first) & np.uint16(1) > 0)
+        mine, count = every[first][good], np.minimum(count[good], 2 * _MOST).astype("<u2")
+        out = []
+        for b, own in zip(blocks, keys, strict=True):
+            own = own[found(own, mine)]
+            if len(own):
+                out.append((b, pack_sorted(own), pack(count[np.searchsorted(mine, own)])))
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["_block", "_keys", "_counts"])
 
     return sent.groupBy("_range").applyInArrow(answer, ANSWER_SCHEMA)
 
 
-def answers(table: pa.Table) -> np.ndarray:
-    """All keys of a block's answers, sorted."""
-    keys = [unpack_sorted(x) for x in table["_keys"].to_pylist()]
-    return np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a block's answers, sorted, and how often they occur in the corpus."""
+    if not table.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+    keys = np.concatenate([unpack_sorted(x) for x in table["_keys"].to_pylist()])
+    counts = np.concatenate([unpack(x)[0] for x in table["_counts"].to_pylist()])
+    order = np.argsort(keys)
+    return keys[order], counts[order]

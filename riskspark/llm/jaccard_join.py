@@ -4,15 +4,16 @@ The product's entries are overlap counts of pairs of documents. Size-derived bou
 nearly all of it before it is formed:
 
 1. Rows. A document with n n-grams can only link if at least threshold * n of them occur in
-   another document. Counting occurrences over the corpus (packed, see blocks.py) leaves the
-   documents that pass, with their shared n-grams only.
-2. Column blocks. Linked sets of sizes a and b differ in d <= (a + b)(1 - t)/(1 + t) n-grams. If the
-   columns are dealt by hash into more than d blocks, one block of the two rows is equal. Rows are
-   compared only where a whole block agrees; rows whose sizes differ too much never meet.
-3. Entries. Overlaps of the remaining pairs are counted in full, and pairs below the bound go.
-
-Within a block of columns, rows are compared with one of them, the components of what links are
-formed, and only rows still in different components are compared further; so a group of copies
+   another document. Occurrences are counted over the whole corpus, by blocks of documents (packed, see blocks.py);
+   what stays are the documents that pass, with their shared n-grams.
+2. Columns. In one order of the n-grams for all documents, rarest first, two linked documents share one of the first
+   n - ceil(threshold * n) + 1 of each (of the smaller document even one of the first n - ceil(2 t / (1 + t) * n) + 1),
+   so only these columns are multiplied, and only for rows whose sizes and shared n-grams allow a link.
+3. Entries. The counts so far bound a pair's overlap from above; overlaps of pairs that may still link are counted in full,
+   and pairs below the bound go.
+
+Within a column, rows are compared with one of them first, the one with the fewest n-grams of its own; components of what
+links are formed, and only rows still in different components are compared further. So a group of copies
 costs a number of entries in proportion to its rows, and no link between components is lost.
 
 The result has one row for each document: its number of n-grams and its component. Equal sets are
@@ -32,7 +33,6 @@ from riskspark.llm.textwords import chunks, mix, window_starts, windows, words
 
 WORDS, PERCENT = 5, 80
 _LAST = 2**63 - 1
-_SPARE = 1  # column blocks beyond what the bound asks for
 
 
 def _sets(table: pa.Table, n: int):
@@ -51,34 +51,6 @@ def _sets(table: pa.Table, n: int):
                 yield windows(short, len(short)) if len(short) else short
 
 
-def _bands(n: int, percent: int, least: int) -> list[int]:
-    """Lower edges of size bands; a linked partner is in the same or a neighbouring band."""
-    edges = [least]
-    while edges[-1] <= n:
-        edges.append(edges[-1] * 100 // percent + 1)
-    return [*edges, edges[-1] * 100 // percent + 1]
-
-
-def _differ(total: int, percent: int) -> int:
-    """Most n-grams in which two linked sets of total size together differ."""
-    return total * (100 - percent) // (100 + percent)
-
-
-def _signatures(keys: np.ndarray, space: int, upper: int, percent: int) -> np.ndarray:
-    """Hash of each column block of a row, in the space of rows of fewer than upper n-grams."""
-    n = _differ(2 * (upper - 1), percent) + 1 + _SPARE
-    mixed = mix(keys ^ np.uint64(space * 0x9E3779B97F4A7C15 % (1 << 64)))
-    at = ((mixed >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    order = np.argsort(at, kind="stable")
-    at, mixed = at[order], mixed[order]
-    first = np.flatnonzero(np.diff(at, prepend=np.uint64(n)))
-    sums, own = np.add.reduceat(mix(mixed), first), at[first]
-    if n - len(first) > _SPARE:  # so many empty blocks that they may be the only equal ones
-        empty = np.setdiff1d(np.arange(n, dtype=np.uint64), own)
-        sums, own = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([own, empty])
-    return mix(sums + mix(own + np.uint64(space << 32)))
-
-
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id: documents link where 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -92,68 +64,71 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
         return blocks.send(table["_block"][0].as_py(), keys, np.ones(len(keys), bool), parts, bits)
 
     shared = blocks.repeated(dealt.groupBy("_block").applyInArrow(count, blocks.REPEAT_SCHEMA))
-    fields = [("_id", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_keys", pa.list_(pa.int64()))]
+    fields = [("_id", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_first", pa.int32()), ("_keys", pa.list_(pa.int64()))]
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, known, hit = {f: [] for f, _ in fields}, set(), blocks.answers(right)
+        out, known = {f: [] for f, _ in fields}, set()
+        hit, often = blocks.answers(right)
         for own, keys in zip(left["_id"].to_pylist(), _sets(left, n), strict=True):
             out["_id"].append(_LAST if own is None else own)
             out["_n"].append(len(keys))
-            good = blocks.found(keys >> np.uint64(64 - bits), hit) if len(keys) else np.zeros(0, bool)
-            if len(keys) and 100 * int(good.sum()) >= percent * len(keys):
+            short = keys >> np.uint64(64 - bits)
+            good = blocks.found(short, hit) if len(keys) else np.zeros(0, bool)
+            most = int(good.sum()) - -(-percent * len(keys) // 100)  # shared ones beyond the least that a link needs
+            if len(keys) and most >= 0:
                 with np.errstate(over="ignore"):
                     same = (int(keys.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(keys)).view(np.int64)))
+                shared = keys[good]
+                shared = shared[np.lexsort((shared, often[np.searchsorted(hit, short[good])]))]
                 out["_s1"].append(same[0])
                 out["_s2"].append(same[1])
-                out["_keys"].append(None if same in known else keys[good].view(np.int64))
+                out["_first"].append(most + 1)
+                out["_keys"].append(None if same in known else shared.view(np.int64))
                 known.add(same)
             else:
-                for f in ("_s1", "_s2", "_keys"):
+                for f in ("_s1", "_s2", "_first", "_keys"):
                     out[f].append(None)
         return pa.table(out, pa.schema(fields))
 
-    rows = checkpoint(dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, "_id long, _n long, _s1 long, _s2 long, _keys array<long>"))
+    rows = checkpoint(dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, "_id long, _n long, _s1 long, _s2 long, _first int, _keys array<long>"))
     same = ["_s1", "_s2", "_n"]
-    classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min("_id").alias("node"), F.first("_keys", ignorenulls=True).alias("keys"), F.count("*").alias("_copies")))
+    classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min("_id").alias("node"), F.first("_keys", ignorenulls=True).alias("keys"), F.first("_first").alias("first")))
     # one id may stand for rows of different texts; they are one node then, but each has its own row of the incidence
-    nodes = classes.select(F.xxhash64(*same).alias("row"), "node", F.col("_n").alias("n"), "keys")
-    least = next(x for x in range(1, 1 << 20) if _differ(2 * x + 1, percent) >= 1 or _differ(2 * x, percent) >= 1)
-
-    def sign(batches):
-        for b in batches:
-            out_key, out_row, out_n = [], [], []
-            for row, size, keys in zip(b["row"].to_pylist(), b["n"].to_pylist(), b["keys"], strict=True):
-                keys = np.asarray(keys.values).view(np.uint64)
-                edges = _bands(size, percent, least)
-                band = next(k for k in range(len(edges)) if edges[k + 1] > size)
-                for space in (band, band + 1):
-                    own = _signatures(keys, space, edges[space + 1], percent)
-                    out_key.append(own.view(np.int64))
-                    out_row.append(np.full(len(own), row, np.int64))
-                    out_n.append(np.full(len(own), size, np.int64))
-            if out_key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_key, out_row, out_n)], ["key", "row", "n"])
-
-    signed = nodes.where(F.col("n") >= least).select("row", "n", "keys").mapInArrow(sign, "key long, row long, n long")
-    met = signed.groupBy("key").agg(F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo < _hi").select("key")
-    met = checkpoint(signed.join(met, "key"))
+    nodes = classes.select(F.xxhash64(*same).alias("row"), "node", F.col("_n").alias("n"), F.size("keys").alias("shared"), "first", "keys")
+    few = F.col("shared") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1  # as the smaller of a pair
+    columns = nodes.select(F.posexplode(F.slice("keys", 1, F.col("first"))).alias("_at", "key"), "row", "n", "shared", few.alias("_few"))
+    columns = columns.select("key", "row", "n", "shared", F.col("_at").alias("at"), (F.col("_at") < F.col("_few")).alias("early"))
+    met = columns.groupBy("key").agg(F.min("row").alias("_lo"), F.max("row").alias("_hi"), F.max("early").alias("_early")).where("_lo < _hi and _early").select("key")
+    met = checkpoint(columns.join(met, "key"))
     labels = nodes.select("row", F.col("row").alias("label"))
     first = nodes.groupBy("node").agg(F.min("row").alias("x"), F.max("row").alias("_y")).where("x < _y")
     links = nodes.join(first, "node").where("row <> x").select("x", F.col("row").alias("y"))  # rows that share an id
     links, tested = checkpoint(links), None
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+
+    def fits(a, b):
+        """Bounds of two rows that meet in a column: from their sizes, and from what stands before and after the column in each."""
+        n, m = a("n"), b("n")
+        most = F.least(a("at"), b("at")) + F.least(a("shared") - a("at"), b("shared") - b("at"))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
+
+    best = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), "row", "label", "n", "shared", "at")).alias("hub")
+    of = lambda prefix: lambda c: F.col(f"{prefix}{c}")
     for last in (False, False, True):
         if not links.isEmpty():
             found = components(links)
             labels = checkpoint(nodes.select("row").join(found, F.col("row") == found["node"], "left").select("row", F.coalesce("component", "row").alias("label")))
         placed = met.join(labels, "row")
-        open_keys = placed.groupBy("key").agg(F.min(F.struct("label", "row", "n")).alias("hub"), F.max("label").alias("_top")).where("hub.label < _top")
+        open_keys = placed.groupBy("key").agg(best, F.min("label").alias("_low"), F.max("label").alias("_top")).where("_low < _top")
+        at = placed.join(open_keys.select("key", "hub"), "key")
         if last:
-            at = placed.join(open_keys.select("key"), "key")
-            other = at.select("key", F.col("row").alias("y"), F.col("n").alias("_ny"), F.col("label").alias("_ly"))
-            pairs = at.join(other, "key").where((F.col("label") < F.col("_ly")) & fits(F.col("n"), F.col("_ny"))).select(F.col("row").alias("x"), "y")
+            other = at.select("key", F.col("row").alias("y"), *[F.col(c).alias(f"_{c}") for c in ("n", "shared", "at", "label", "early")])
+            early = F.when(F.col("n") == F.col("_n"), F.col("early") | F.col("_early")).when(F.col("n") < F.col("_n"), F.col("early")).otherwise(F.col("_early"))
+            pairs = at.join(other, "key").where((F.col("label") < F.col("_label")) & early & fits(of(""), of("_"))).select(F.col("row").alias("x"), "y")
         else:
-            at = placed.join(open_keys.select("key", "hub"), "key").where((F.col("label") != F.col("hub.label")) & fits(F.col("n"), F.col("hub.n")))
+            at = at.where(F.col("label") != F.col("hub.label"))
+            if tested is not None:  # the best row has been compared; now the best one outside its component
+                at = at.drop("hub").join(at.groupBy("key").agg(best), "key").where(F.col("label") != F.col("hub.label"))
+            at = at.where(fits(of(""), of("hub.")))
             pairs = at.select(F.col("hub.row").alias("x"), F.col("row").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
@@ -177,9 +152,10 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of each component the document whose id names it; all columns stay."""
-    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    """Of each component the document whose id names it, with all columns; of rows that share this id, one."""
+    named = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
+    out = docs.join(named.select("_kept"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    return out if named.where("_n > 1").isEmpty() else out.dropDuplicates([id_col])
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
         if left.num_rows and right.num_rows:
             own = left["_block"][0].as_py()
             table = blocks.in_order(left)
-            hashes, row, place = _candidates(table, blocks.answers(right), window, bits)
+            hashes, row, place = _candidates(table, blocks.answers(right)[0], window, bits)
             ids = pc.fill_null(table["_id"].combine_chunks(), int(_LAST)).to_numpy(zero_copy_only=False)
             _, first = np.unique(hashes, return_index=True)
             later = np.ones(len(hashes), bool)
