@@ -93,7 +93,7 @@ def sigmoid(x: Column) -> Column:
 
 def minute(ts: Column) -> Column:
     """Whole minutes since the epoch."""
-    return F.floor(F.unix_micros(ts) / 60_000_000).cast("long")
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / 60_000_000).cast("long")
 
 
 def eastern(ts: Column) -> Column:

@@ -102,15 +102,17 @@ def derivative_trades(trades: DataFrame) -> DataFrame:
     df = _exposures(df.withColumn("haircut", lookup(HAIRCUT, F.col("collateral_type"))), "notional")
     bare = F.col("delta").isNull() & F.col("gamma").isNull() & F.col("vega").isNull()
     df = df.withColumns({"delta": F.when(bare, 1.0).otherwise(F.col("delta")), "gamma": F.when(bare, 0.0).otherwise(F.col("gamma")), "vega": F.when(bare, 0.0).otherwise(F.col("vega"))})
-    middle = df.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in ("delta", "gamma", "vega")])  # one row
-    spread = df.groupBy("asset_class").agg(F.stddev_samp("underlying_price").alias("_spread"))  # one row per class
-    top = spread.agg(F.max("_spread").alias("_top"))
-    df = df.join(F.broadcast(middle)).join(F.broadcast(spread.join(F.broadcast(top))), "asset_class")
+    # one row of statistics, in one pass over the trades
+    spreads = {k: F.stddev_samp(F.when(F.col("asset_class") == k, F.col("underlying_price"))) for k in KIND}
+    stats = df.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in ("delta", "gamma", "vega")], *[v.alias(f"_spread_{k}") for k, v in spreads.items()])
+    df = df.join(F.broadcast(stats))
+    own = F.coalesce(*[F.when(F.col("asset_class") == k, F.col(f"_spread_{k}")) for k in KIND])
+    df = df.withColumns({"_spread": own, "_top": F.greatest(*[F.col(f"_spread_{k}") for k in KIND])})
     df = df.withColumns({c: F.greatest(F.coalesce(c, f"_{c}"), F.lit(0.0)) for c in ("delta", "gamma", "vega")})
     df = df.withColumn("delta_equivalent_exposure", F.col("delta") * F.col("notional"))
     scale = F.col("_spread") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
     df = df.withColumns({"maturity_date": S.years_later(F.col("date"), F.col("tenor_years")), "pnl": F.col("delta_equivalent_exposure") * 0.001 * scale})
-    return df.drop("_delta", "_gamma", "_vega", "_spread", "_top", "commodity_sym", "asset_manager")
+    return df.drop("_delta", "_gamma", "_vega", "_spread", "_top", *[f"_spread_{k}" for k in KIND], "commodity_sym", "asset_manager")
 
 
 def collateral_detail(trades: DataFrame, fixed: bool = False) -> DataFrame:

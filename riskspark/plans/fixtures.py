@@ -126,7 +126,7 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf, "events").select(
-        F.col("event_type").alias("ticker"), "event_id", "ts", v.alias("open"), (v * 1.01).alias("high"), (v * 0.99).alias("low"), v.alias("close"), F.get_json_object("props", "$.k").cast("int").cast("double").alias("volume")
+        F.col("event_type").alias("ticker"), "event_id", F.col("ts").cast("timestamp").alias("ts"), v.alias("open"), (v * 1.01).alias("high"), (v * 0.99).alias("low"), v.alias("close"), F.get_json_object("props", "$.k").cast("int").cast("double").alias("volume")
     )
 
 

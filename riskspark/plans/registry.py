@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.plans import market, q_market
+from riskspark.plans import market, q_basics, q_market, q_serving
 from riskspark.plans.query import ALL
 
-MODULES = (q_market,)
+MODULES = (q_basics, q_market, q_serving)
 
 
 def queries():
@@ -14,3 +14,8 @@ def queries():
 
 def oracle_sql():
     return {name: text for name, q in ALL.items() if (text := q.text(market.CTES)) is not None}
+
+
+def flagship(spark, sf):
+    """Top managers by exposure with VaR usage under every scenario."""
+    return ALL["Q02_top_managers"].run(spark, sf)
