@@ -151,7 +151,8 @@ def _grid(left: pa.Table, right: pa.Table) -> list[tuple]:
 def search(prints: DataFrame, is_query, keys: list[str]) -> DataFrame:
     """One row per query recording and match: the keys, class_id, rank, match_class, copies, offset, overlap, votes, bit_errors.
 
-    prints: from fingerprint(). is_query: a condition on its columns. Classes are named by their smallest keys, in a struct."""
+    prints: from fingerprint(). is_query: a condition on its columns. Classes are named by their smallest keys, in a struct.
+    offset: the place in the match at which the query starts (below zero if the match starts later)."""
     heard = prints.where(F.length("items") > 0).withColumn("_digest", F.sha2("items", 256))
     classes = heard.groupBy("_digest").agg(F.min(F.struct(*keys)).alias("class_id"), F.first("items").alias("items"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("_asked"))
     classes = checkpoint(classes)

@@ -144,8 +144,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span:
     n = max(12, -(-total // span))
     keys = rows.select(F.col("_key").cast("double").alias("_double"))
     edges = sorted(set(keys.approxQuantile("_double", [i / n for i in range(1, n)], 0.2 / n) or []))
-    cut = Bucketizer(splits=[-np.inf, *edges, np.inf], inputCol="_double", outputCol="_bucket")
-    placed = cut.transform(rows.withColumn("_double", F.col("_key").cast("double"))).withColumn("_range", F.col("_bucket").cast("int")).drop("_double", "_bucket")
+    placed = rows.withColumn("_range", F.lit(0))
+    if edges:
+        cut = Bucketizer(splits=[-np.inf, *edges, np.inf], inputCol="_double", outputCol="_bucket")
+        placed = cut.transform(rows.withColumn("_double", F.col("_key").cast("double"))).withColumn("_range", F.col("_bucket").cast("int")).drop("_double", "_bucket")
     tops = [(r["_range"], r["_top"]) for r in placed.groupBy("_range").agg(F.max("_key").alias("_top")).collect()]
     tops.sort()
     up = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
