@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.plans import market, q_basics, q_market, q_serving
+from riskspark.plans import market, q_basics, q_market, q_more, q_serving
 from riskspark.plans.query import ALL
 
-MODULES = (q_basics, q_market, q_serving)
+MODULES = (q_basics, q_market, q_serving, q_more)
 
 
 def queries():
