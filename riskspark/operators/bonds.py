@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import windows as W
 from riskspark.operators.aggregates import standard_score
-from riskspark.operators.joins import every_day, small
+from riskspark.operators.joins import every_day
 
 #: Volatility by credit rating, in hundredths; others have DEFAULT_VOL.
 VOLATILITY = {"AAA": 2, "AA+": 3, "AA": 4, "A+": 5, "A": 6, "A-": 8, "BBB+": 10, "BBB": 12, "BBB-": 15, "BB+": 20, "BB": 25, "B": 35, "CCC": 50}
@@ -22,7 +22,7 @@ def daily_panel(bonds: DataFrame, days: DataFrame, yields: DataFrame | None = No
         "market_value": F.col("price") / 100 * 1000 * F.col("units_outstanding"),
         "outstanding_pct": F.when(F.col("units_issued") > 0, F.col("units_outstanding") / F.col("units_issued") * 100),
     })
-    return df if yields is None else df.join(small(yields), "date", "left")
+    return df if yields is None else df.join(yields, "date", "left")
 
 
 def yield_series(history: DataFrame, observed: DataFrame, days: DataFrame, window: int = 20, fallback: float = 0.0) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
 from riskspark.operators.aggregates import fractional_rank
-from riskspark.operators.joins import small
 
 ROLL, HISTORY = 60, 3
 #: Scale of exposure by commodity; others have DEFAULT_SCALE.
@@ -40,7 +39,7 @@ def synthetic_days(bars: DataFrame, days: DataFrame, key: str = "commodity", his
 
     The fill is sequential within a key, so a key's days are one group; keys and days are both bounded by the calendar."""
     columns = ["open", "high", "low", "close", "volume"]
-    spine = bars.select(key).distinct().join(small(days.select("date"))).join(bars.select(key, "date", *columns), [key, "date"], "left")
+    spine = bars.select(key).distinct().join(days.select("date")).join(bars.select(key, "date", *columns), [key, "date"], "left")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
@@ -63,7 +62,7 @@ def synthetic_days(bars: DataFrame, days: DataFrame, key: str = "commodity", his
 
 def commodity_exposure(companies: DataFrame, weights: DataFrame, features: DataFrame, values: DataFrame) -> DataFrame:
     """Exposure, hedge ratio by rank of volatility, and hedged profit of tickers: sector weights, commodity days, daily market values."""
-    df = companies.join(small(weights), "sector").join(features, "commodity", "left").join(values, ["ticker", "date"])
+    df = companies.join(weights, "sector").join(features, "commodity", "left").join(values, ["ticker", "date"])
     df = df.withColumns({"mtm_value": F.coalesce("mtm_value", F.lit(0.0)), "daily_return": F.coalesce("daily_return", F.lit(0.0))})
     df = fractional_rank(df, "vol_20d", "_rank")
     scale = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.col("commodity")), F.lit(DEFAULT_SCALE))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators.joins import as_of, small
+from riskspark.operators.joins import as_of
 
 YEAR, QUARTER_DAYS = 252, 63
 BASE_HEDGE, W_VOL, W_CARRY = 0.10, 0.75, 0.15
@@ -23,8 +23,8 @@ def interest_differentials(rates: DataFrame, home: str, pairs: dict[str, str], d
 def fx_features(universe: DataFrame, fx: DataFrame, rates: DataFrame, sector_pair: DataFrame) -> DataFrame:
     """Tickers of a sector with their pair's daily rates and the last known interest differential."""
     rated = as_of(fx, rates, "currency_pair", "date", "interest_diff")
-    exposed = universe.join(small(sector_pair), "sector")
-    return rated.join(small(exposed), "currency_pair")
+    exposed = universe.join(sector_pair, "sector")
+    return rated.join(exposed, "currency_pair")
 
 
 def pair_metrics(rated: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def fx_enrichment(metrics: DataFrame, exposed: DataFrame) -> DataFrame:
     """Positions, hedged exposure, VaR and profit of each exposed ticker, without warm-up rows.
 
     exposed: (ticker, sector, industry, revenue, currency_pair, foreign_ratio)."""
-    df = metrics.where("not is_warmup").join(small(exposed), "currency_pair")
+    df = metrics.where("not is_warmup").join(exposed, "currency_pair")
     df = df.withColumn("position_size", F.col("revenue") / QUARTER_DAYS * F.col("foreign_ratio"))
     df = df.withColumn("exposure_amount", F.col("position_size") * (1 - F.col("hedge_ratio")))
     at_risk = F.col("position_size") * F.col("fx_volatility")
@@ -78,10 +78,10 @@ def fx_enrichment(metrics: DataFrame, exposed: DataFrame) -> DataFrame:
 
 def fx_universe(universe: DataFrame, sector_pair: DataFrame) -> DataFrame:
     """Tickers with their pair and daily exposure."""
-    return universe.join(small(sector_pair), "sector").withColumn("daily_exposure", F.col("revenue") / QUARTER_DAYS * F.col("foreign_ratio"))
+    return universe.join(sector_pair, "sector").withColumn("daily_exposure", F.col("revenue") / QUARTER_DAYS * F.col("foreign_ratio"))
 
 
 def fx_intraday_exposure(metrics: DataFrame, exposed: DataFrame) -> DataFrame:
     """Pair metrics fanned out to exposed tickers: profit of the last minute and VaR of fifteen minutes."""
-    out = metrics.join(small(exposed), "currency_pair")
+    out = metrics.join(exposed, "currency_pair")
     return out.withColumns({"fx_intraday_pnl": F.col("daily_exposure") * F.col("fx_return_1m"), "var_95_15m": F.col("daily_exposure") * F.col("fx_vol_15m") * Z_95})

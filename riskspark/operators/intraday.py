@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
 from riskspark.operators.filters import bar_error
-from riskspark.operators.joins import small
 
 ROWS, FX_ROWS, MINUTES = 120, 60, (1, 5, 15)
 EQUITY_METRICS = ("return_1m", "return_5m", "vol_15m", "range_pct_1m", "rolling_vwap_5m", "close_diff", "rolling_high_5m", "rolling_low_5m", "trend_slope_5m", "breakout_strength", "volume_burst")
@@ -101,7 +100,7 @@ def previous_bar(df: DataFrame, key: str, order: str, columns: list[str]) -> Dat
 
 def intraday_exposure(ticks: DataFrame, positions: DataFrame, per: list[str] = ("asset_manager", "ts")) -> DataFrame:
     """Exposure and profit of positions at each tick, and totals of a manager."""
-    df = ticks.join(small(positions), "ticker", "left")
+    df = ticks.join(positions, "ticker", "left")
     df = df.withColumns({"intraday_exposure": F.col("shares") * F.col("close"), "intraday_pnl": F.col("shares") * F.col("close_diff")})
     group = W.over(list(per))
     return df.withColumns({"portfolio_intraday_exposure": F.sum("intraday_exposure").over(group), "portfolio_intraday_pnl": F.sum("intraday_pnl").over(group)})

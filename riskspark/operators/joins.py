@@ -1,6 +1,7 @@
 """Joins that the built-in ones do not give in one step, and joins to small dimensions.
 
-Small sides are broadcast only when a count shows that they are small (see small())."""
+Sides carry no broadcast hint: Catalyst broadcasts one by its estimated size and adaptive execution by its measured size,
+both under spark.sql.autoBroadcastJoinThreshold, so a dimension that grows turns into a shuffled join by itself."""
 
 from __future__ import annotations
 
@@ -12,18 +13,9 @@ from pyspark.sql.window import Window
 
 from riskspark.functions import windows as W
 
-#: Rows up to which a dimension is broadcast.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, with a broadcast hint if it has no more than so many rows; a bounded count decides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def to_dimension(df: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
-    """Join to a dimension, broadcast if it is small."""
-    return df.join(small(dimension), on, how)
+    """Join to a dimension."""
+    return df.join(dimension, on, how)
 
 
 def mapped(df: DataFrame, dimension: DataFrame, on: str, value: str, default) -> DataFrame:
@@ -32,8 +24,8 @@ def mapped(df: DataFrame, dimension: DataFrame, on: str, value: str, default) ->
 
 
 def month_join(df: DataFrame, macro: DataFrame, how: str = "inner", date: str = "date", month: str = "month") -> DataFrame:
-    """Join daily rows to a monthly table (a few rows a year, so it is broadcast when small)."""
-    out = df.withColumn("_month", F.trunc(date, "month")).join(small(macro.withColumnRenamed(month, "_key")), F.col("_month") == F.col("_key"), how)
+    """Join daily rows to a monthly table (a few rows a year)."""
+    out = df.withColumn("_month", F.trunc(date, "month")).join(macro.withColumnRenamed(month, "_key"), F.col("_month") == F.col("_key"), how)
     return out.drop("_month", "_key")
 
 
@@ -63,13 +55,13 @@ def active_months(df: DataFrame, start: str, end: str, first: str | None = None,
 
 
 def missing(keys: DataFrame, days: DataFrame, actual: DataFrame) -> DataFrame:
-    """Every key on every day without a row. The days (a calendar) are broadcast when small."""
-    return keys.join(small(days)).join(actual, [*keys.columns, *days.columns], "left_anti")
+    """Every key on every day without a row. The days are a calendar."""
+    return keys.join(days).join(actual, [*keys.columns, *days.columns], "left_anti")
 
 
 def every_day(keys: DataFrame, days: DataFrame) -> DataFrame:
     """Every key on every day of a calendar."""
-    return keys.join(small(days))
+    return keys.join(days)
 
 
 def expanded(df: DataFrame, weights: Column, key: str, value: str) -> DataFrame:

@@ -15,14 +15,13 @@ def equity_features(spark, sf) -> DataFrame:
 
 def equity_table(spark, sf) -> DataFrame:
     """Position-level equity table: features, fundamentals, position and portfolio risk, concentration and liquidity."""
-    small = joins.small
-    df = equity_features(spark, sf).join(small(X.fundamentals(spark, sf)), "ticker").join(small(X.universe(spark, sf).drop("revenue")), "ticker").join(small(X.positions(spark, sf)), "ticker")
+    df = equity_features(spark, sf).join(X.fundamentals(spark, sf), "ticker").join(X.universe(spark, sf).drop("revenue"), "ticker").join(X.positions(spark, sf), "ticker")
     df = equity.financial_enrichment(df)
     return equity.concentration_liquidity(equity.portfolio_risk(equity.position_risk(df)))
 
 
 def fx_exposed(spark, sf) -> DataFrame:
-    return X.universe(spark, sf).join(joins.small(X.sector_pair(spark, sf)), "sector")
+    return X.universe(spark, sf).join(X.sector_pair(spark, sf), "sector")
 
 
 def fx_rated(spark, sf) -> DataFrame:
@@ -40,7 +39,7 @@ def commodity_features(spark, sf) -> DataFrame:
 def market_values(spark, sf) -> DataFrame:
     """Daily market value of a ticker over all managers."""
     total = X.positions(spark, sf).groupBy("ticker").agg(F.sum("shares").alias("shares"))
-    return X.bars_daily(spark, sf).join(joins.small(total), "ticker").select("ticker", "date", (F.col("close") * F.col("shares")).alias("mtm_value"))
+    return X.bars_daily(spark, sf).join(total, "ticker").select("ticker", "date", (F.col("close") * F.col("shares")).alias("mtm_value"))
 
 
 def commodity_table(spark, sf) -> DataFrame:
@@ -58,7 +57,7 @@ def yields(spark, sf) -> DataFrame:
 
 def bond_table(spark, sf) -> DataFrame:
     """Bonds on the last five dates with a spread and a default probability derived from price and volatility."""
-    df = bonds.daily_panel(X.bond_universe(spark, sf), bond_days(spark, sf)).join(joins.small(X.universe(spark, sf).drop("revenue")), "ticker")
+    df = bonds.daily_panel(X.bond_universe(spark, sf), bond_days(spark, sf)).join(X.universe(spark, sf).drop("revenue"), "ticker")
     df = df.withColumn("yield_to_maturity", F.col("coupon_rate") * 100 / F.col("price") + F.col("vol"))
     df = df.withColumn("credit_spread", F.col("yield_to_maturity") * 100 * (1 + F.col("vol")))
     return df.withColumn("implied_pd_annual", F.col("credit_spread") / 10_000 / 0.6)

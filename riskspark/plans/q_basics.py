@@ -176,7 +176,7 @@ def a01(spark, sf):
 
 @query("A03_grouped", "sector total:2 worst:6 best:6 tickers positive ratio:6", "SELECT sector, sum(shares * revenue) / 1e6 AS total, min(shares - 100) AS worst, max(shares - 100) AS best, count(DISTINCT ticker) AS tickers, count(*) FILTER (shares > 150) AS positive, sum(shares) / nullif(sum(revenue), 0) AS ratio FROM positions JOIN universe USING (ticker) GROUP BY sector")
 def a03(spark, sf):
-    df = X.positions(spark, sf).join(J.small(X.universe(spark, sf)), "ticker")
+    df = X.positions(spark, sf).join(X.universe(spark, sf), "ticker")
     return df.groupBy("sector").agg((F.sum(F.col("shares") * F.col("revenue")) / 1e6).alias("total"), F.min(F.col("shares") - 100).alias("worst"), F.max(F.col("shares") - 100).alias("best"), F.count_distinct("ticker").alias("tickers"), F.count_if(F.col("shares") > 150).alias("positive"), A.safe_ratio(F.sum("shares"), F.sum("revenue")).alias("ratio"))
 
 

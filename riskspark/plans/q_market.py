@@ -11,18 +11,28 @@ from riskspark.plans import fixtures as X
 from riskspark.plans import market as M
 from riskspark.plans.query import query
 
-_T = W.over(["ticker"], "date")
+def _window(name: str, columns: dict, sql: str) -> None:
+    """A query of window columns over daily bars; columns: name to a function of the ticker's window."""
 
+    def build(spark, sf):
+        w = W.over(["ticker"], "date")
+        return X.bars_daily(spark, sf).select("ticker", "date", *[make(w).alias(c) for c, make in columns.items()])
 
-def _window(name: str, columns: dict, digits: dict[str, str], sql: str) -> None:
-    """A query of window columns over daily bars."""
-    query(name, "ticker date " + " ".join(f"{c}:6" if digits.get(c, "6") else c for c in columns), sql)(lambda spark, sf: X.bars_daily(spark, sf).select("ticker", "date", *[v.alias(k) for k, v in columns.items()]))
+    query(name, "ticker date " + " ".join(f"{c}:6" for c in columns), sql)(build)
 
 
-_R, _RS = W.change(F.col("close"), _T), "close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1"
-_window("W01_simple_return", {f"ret_{n}": W.change(F.col("close"), _T, n) for n in (1, 5, 20, 21)}, {}, "SELECT ticker, date, " + ", ".join(f"close / lag(close, {n}) OVER w - 1 AS ret_{n}" for n in (1, 5, 20, 21)) + " FROM bars_daily WINDOW w AS (PARTITION BY ticker ORDER BY date)")
-_window("W02_log_return", {"log_return": W.log_change(F.col("close"), _T)}, {}, "SELECT ticker, date, log_return FROM feat0")
-_window("W03_difference", {"diff_1": W.difference(F.col("close"), _T), "diff_63": W.difference(F.col("close"), _T, 63)}, {}, "SELECT ticker, date, close - lag(close) OVER w AS diff_1, close - lag(close, 63) OVER w AS diff_63 FROM bars_daily WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+def _change(n: int):
+    return lambda w: W.change(F.col("close"), w, n)
+
+
+_window("W01_simple_return", {f"ret_{n}": _change(n) for n in (1, 5, 20, 21)}, "SELECT ticker, date, " + ", ".join(f"close / lag(close, {n}) OVER w - 1 AS ret_{n}" for n in (1, 5, 20, 21)) + " FROM bars_daily WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+_window("W02_log_return", {"log_return": lambda w: W.log_change(F.col("close"), w)}, "SELECT ticker, date, log_return FROM feat0")
+_window("W03_difference", {"diff_1": lambda w: W.difference(F.col("close"), w), "diff_63": lambda w: W.difference(F.col("close"), w, 63)}, "SELECT ticker, date, close - lag(close) OVER w AS diff_1, close - lag(close, 63) OVER w AS diff_63 FROM bars_daily WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+_window(
+    "W06_rolling_mean",
+    {"ma_5": lambda w: W.mean(F.col("close"), w, 5, 1), "ma_20": lambda w: W.mean(F.col("close"), w, 20, 1), "avg_volume_10d": lambda w: W.mean(F.col("volume"), w, 10, 1)},
+    "SELECT ticker, date, ma_5, ma_20, avg_volume_10d FROM feat0",
+)
 
 
 @query("W04_previous_bar", "ticker date prev_open:6 prev_high:6 prev_low:6 prev_close:6 prev_volume:4", "SELECT ticker, date, " + ", ".join(f"lag({c}) OVER w AS prev_{c}" for c in ("open", "high", "low", "close", "volume")) + " FROM bars_daily WINDOW w AS (PARTITION BY ticker ORDER BY date)")
@@ -37,7 +47,6 @@ def w05(spark, sf):
     return M.equity_features(spark, sf)
 
 
-_window("W06_rolling_mean", {"ma_5": W.mean(F.col("close"), _T, 5, 1), "ma_20": W.mean(F.col("close"), _T, 20, 1), "avg_volume_10d": W.mean(F.col("volume"), _T, 10, 1)}, {}, "SELECT ticker, date, ma_5, ma_20, avg_volume_10d FROM feat0")
 
 
 @query("W07_downside", "currency_pair date downside_risk_20d:8 masked:8", f"SELECT currency_pair, date, downside_risk_20d, {M._std('CASE WHEN fx_return < 0 THEN fx_return END', 21, 5, 'currency_pair')} AS masked FROM fxm2")
@@ -64,9 +73,9 @@ def w10(spark, sf):
 
 
 
-@query("W11_outliers", "ticker date outlier_flag", f"SELECT ticker, date, coalesce(abs({_RS}) > 0.5, false) AS outlier_flag FROM bars_daily")
+@query("W11_outliers", "ticker date outlier_flag", f"SELECT ticker, date, coalesce(abs(close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1) > 0.5, false) AS outlier_flag FROM bars_daily")
 def w11(spark, sf):
-    return X.bars_daily(spark, sf).withColumn("outlier_flag", W.jump(F.col("close"), _T, 0.5))
+    return X.bars_daily(spark, sf).withColumn("outlier_flag", W.jump(F.col("close"), W.over(["ticker"], "date"), 0.5))
 
 
 @query(
@@ -88,7 +97,7 @@ def w13(spark, sf):
 
 @query("W14_group_mean", "ticker date market_mean:8 sector_mean:8", "SELECT f.ticker, f.date, avg(daily_return) OVER (PARTITION BY f.date) AS market_mean, avg(daily_return) OVER (PARTITION BY u.sector, f.date) AS sector_mean FROM feat f JOIN universe u USING (ticker)")
 def w14(spark, sf):
-    df = M.equity_features(spark, sf).join(joins.small(X.universe(spark, sf)), "ticker")
+    df = M.equity_features(spark, sf).join(X.universe(spark, sf), "ticker")
     return df.withColumns({"market_mean": F.avg("daily_return").over(W.over(["date"])), "sector_mean": F.avg("daily_return").over(W.over(["sector", "date"]))})
 
 
@@ -134,13 +143,13 @@ def w19(spark, sf):
 
 @query("W20_group_deviation", "sector spread:4 top:4", "SELECT sector, stddev_samp(shares) AS spread, max(stddev_samp(shares)) OVER () AS top FROM positions JOIN universe USING (ticker) GROUP BY sector")
 def w20(spark, sf):
-    spread = X.positions(spark, sf).join(joins.small(X.universe(spark, sf)), "ticker").groupBy("sector").agg(F.stddev_samp("shares").alias("spread"))
+    spread = X.positions(spark, sf).join(X.universe(spark, sf), "ticker").groupBy("sector").agg(F.stddev_samp("shares").alias("spread"))
     return spread.join(F.broadcast(spread.agg(F.max("spread").alias("top"))))
 
 
 @query("W21_previous_row", "ticker date close:6 prev_close:6", "SELECT ticker, max(date) AS date, arg_max(close, date) AS close, arg_max(close, date) FILTER (date < d) AS prev_close FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS d FROM bars_daily) GROUP BY ticker")
 def w21(spark, sf):
-    df = X.bars_daily(spark, sf).withColumn("prev_close", F.lag("close").over(_T))
+    df = X.bars_daily(spark, sf).withColumn("prev_close", F.lag("close").over(W.over(["ticker"], "date")))
     return df.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"), F.max_by("prev_close", "date").alias("prev_close"))
 
 

@@ -284,7 +284,7 @@ def q20(spark, sf):
 def q22(spark, sf):
     last = intraday.latest_snapshot(intraday.fx_metrics(X.ticks(spark, sf), "ticker", Q._ORDER, minutes=Q._MIN), "ticker")
     held = spark.createDataFrame([("click", "A", 100.0), ("click", "B", 50.0)], "ticker string, who string, e double")
-    return last.join(J.small(held), "ticker").groupBy("ticker").agg(F.sum("e").alias("exposure"), F.sum(F.col("e") * F.col("fx_return_1m")).alias("pnl"))
+    return last.join(held, "ticker").groupBy("ticker").agg(F.sum("e").alias("exposure"), F.sum(F.col("e") * F.col("fx_return_1m")).alias("pnl"))
 
 
 @query("Q10_fx_ticker", "ticker pairs exposure:1 best:1 worst:1", f"SELECT ticker, count(DISTINCT currency_pair) AS pairs, sum(exposure_amount) AS exposure, max(total_pnl) AS best, min(total_pnl) AS worst FROM {Q._FX} GROUP BY 1")
