@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import audio_fingerprint, byte_bpe, context_tree, fingerprint, jaccard_join, language_id, packing, secret_scan, substring_dedup, url_filter
+from riskspark.llm import audio_fingerprint, byte_bpe, context_tree, fingerprint, jaccard_join, language_id, oracles, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries():
@@ -24,4 +24,9 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """Queries without SQL are tested against brute force in tests/llm."""
+    return {
+        "op1_secret_ledger": oracles.secrets(),
+        "op3_jaccard_join": oracles.components(),
+        "op7_anchor_dedup": oracles.repeats(),
+    }
