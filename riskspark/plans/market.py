@@ -20,6 +20,14 @@ def equity_table(spark, sf) -> DataFrame:
     return equity.concentration_liquidity(equity.portfolio_risk(equity.position_risk(df)))
 
 
+def equity_day(spark, sf) -> DataFrame:
+    """The equity table's last date. The date is one number, told as a literal, so the filter goes below all windows by date and
+    only the features, which need a ticker's past, are computed for other dates."""
+    names = X.fundamentals(spark, sf).join(X.universe(spark, sf), "ticker", "left_semi").join(X.positions(spark, sf), "ticker", "left_semi")
+    last = X._trades(spark, sf).join(names.select("ticker"), "ticker", "left_semi").agg(F.max("date")).first()[0]
+    return equity_table(spark, sf).where(F.col("date") == F.lit(last))
+
+
 def fx_exposed(spark, sf) -> DataFrame:
     return X.universe(spark, sf).join(X.sector_pair(spark, sf), "sector")
 

@@ -18,7 +18,7 @@ _CASES = "(VALUES " + ", ".join(repr(s) for s in stress.SCENARIOS) + ") c(scenar
 
 
 def _eq(spark, sf):
-    return V.last_day(M.equity_table(spark, sf))
+    return M.equity_day(spark, sf)
 
 
 _OVER = f"SELECT sum(mtm_value) AS total_exposure, sum(daily_pnl) AS pnl, sum(mtm_value * daily_VaR_95) AS v95, sum(mtm_value * daily_CVaR_99) AS cv99, avg(daily_mu) AS mu, avg(daily_sigma) AS sg, avg(hhi_sector) AS hhi_sector, count(DISTINCT ticker) AS ticker_count, count(DISTINCT asset_manager) AS manager_count FROM {_EQ}"
