@@ -17,22 +17,36 @@ ROWS, FX_ROWS, MINUTES = 120, 60, (1, 5, 15)
 EQUITY_METRICS = ("return_1m", "return_5m", "vol_15m", "range_pct_1m", "rolling_vwap_5m", "close_diff", "rolling_high_5m", "rolling_low_5m", "trend_slope_5m", "breakout_strength", "volume_burst")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _returns(window: Column) -> Column:
-    """Simple returns between neighbours of a window."""
-    later, size = F.slice(window, 2, ROWS), F.size(window)
-    pairs = F.zip_with(later, F.slice(window, 1, F.greatest(size - 1, F.lit(0))), lambda b, a: F.struct(a["close"].alias("a"), b["close"].alias("b")))
-    return F.transform(F.filter(pairs, lambda p: p["a"] != 0), lambda p: (p["b"] - p["a"]) / p["a"])
-
-
-def _deviation(values: Column) -> Column:
-    """Population standard deviation of an array, null if it is empty."""
-    n = F.nullif(F.size(values), F.lit(0))
-    mean = _sum(values) / n
-    return F.when(F.size(values) > 0, F.sqrt(_sum(F.transform(values, lambda x: (x - mean) * (x - mean))) / n))
+def _walk(buffer: Column, cutoffs: tuple[Column, Column, Column]) -> Column:
+    """One pass over a buffer: counts, first closes, sums and bounds of its windows, the sums of log returns inside the
+    longest one, and the last but one close."""
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    start = F.struct(
+        *[F.lit(0).alias(c) for c in ("na", "nb", "nc", "nr")], *[none.alias(c) for c in ("fa", "fb", "top", "low", "before", "last", "kept")], *[zero.alias(c) for c in ("volume", "value", "s1", "s2")]
+    )
+
+    def step(acc: Column, r: Column) -> Column:
+        a, b, c = (r["m"] >= x for x in cutoffs)
+        gain = F.when(c & (acc["nc"] > 0) & (acc["kept"] != 0), F.log1p((r["close"] - acc["kept"]) / acc["kept"]))
+        return F.struct(
+            (acc["na"] + a.cast("int")).alias("na"),
+            (acc["nb"] + b.cast("int")).alias("nb"),
+            (acc["nc"] + c.cast("int")).alias("nc"),
+            (acc["nr"] + gain.isNotNull().cast("int")).alias("nr"),
+            F.when(a & (acc["na"] == 0), r["close"]).otherwise(acc["fa"]).alias("fa"),
+            F.when(b & (acc["nb"] == 0), r["close"]).otherwise(acc["fb"]).alias("fb"),
+            F.when(b, F.greatest(acc["top"], r["high"])).otherwise(acc["top"]).alias("top"),
+            F.when(b, F.least(acc["low"], r["low"])).otherwise(acc["low"]).alias("low"),
+            acc["last"].alias("before"),
+            r["close"].alias("last"),
+            F.when(c, r["close"]).otherwise(acc["kept"]).alias("kept"),
+            (acc["volume"] + F.when(b, r["volume"]).otherwise(0.0)).alias("volume"),
+            (acc["value"] + F.when(b, r["close"] * r["volume"]).otherwise(0.0)).alias("value"),
+            (acc["s1"] + F.coalesce(gain, zero)).alias("s1"),
+            (acc["s2"] + F.coalesce(gain * gain, zero)).alias("s2"),
+        )
+
+    return F.aggregate(buffer, start, step)
 
 
 def metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), minute: str = "_minute", rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES) -> DataFrame:
@@ -41,33 +55,24 @@ def metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",)
         df = df.withColumn(minute, S.minute(F.col("ts")))
     bar = F.struct(F.col(minute).alias("m"), "close", "high", "low", "volume")
     df = df.withColumn("_buffer", F.collect_list(bar).over(W.over([key], *order).rowsBetween(-(rows - 1), 0)))
-    for name, n in zip("abc", minutes, strict=True):
-        df = df.withColumn(f"_{name}", _since(F.col("_buffer"), F.col(minute) - n))
-    a, b, c, buffer = (F.col(x) for x in ("_a", "_b", "_c", "_buffer"))
-    first_a, first_b = F.when(F.size(a) >= 2, F.nullif(a[0]["close"], F.lit(0.0))), F.when(F.size(b) >= 2, F.nullif(b[0]["close"], F.lit(0.0)))
-    closes, volumes = F.transform(b, lambda r: r["close"]), F.transform(b, lambda r: r["volume"])
-    highs, lows = F.array_max(F.transform(b, lambda r: r["high"])), F.array_min(F.transform(b, lambda r: r["low"]))
-    total = _sum(volumes)
-    before = F.slice(volumes, 1, F.greatest(F.size(b) - 1, F.lit(0)))
-    average = _sum(before) / F.nullif(F.size(before), F.lit(0))
-    last = F.col("close")
+    df = df.withColumn("_w", _walk(F.col("_buffer"), tuple(F.col(minute) - n for n in minutes))).drop("_buffer")
+    w, last = (lambda c: F.col(f"_w.{c}")), F.col("close")
+    first_a, first_b = F.when(w("na") >= 2, F.nullif(w("fa"), F.lit(0.0))), F.when(w("nb") >= 2, F.nullif(w("fb"), F.lit(0.0)))
+    mean = w("s1") / w("nr")
+    average = (w("volume") - F.col("volume")) / F.nullif(w("nb") - 1, F.lit(0))
     return df.withColumns({
         "return_1m": (last - first_a) / first_a,
         "return_5m": (last - first_b) / first_b,
-        "vol_15m": F.when(F.size(c) >= 2, _deviation(F.transform(_returns(c), F.log1p))),
+        "vol_15m": F.when(w("nr") == 1, 0.0).when(w("nr") > 1, F.sqrt(F.greatest(w("s2") / w("nr") - mean * mean, F.lit(0.0)))),
         "range_pct_1m": (F.col("high") - F.col("low")) / first_a,
-        "rolling_vwap_5m": F.when(total > 0, _sum(F.zip_with(closes, volumes, lambda x, y: x * y)) / total),
-        "close_diff": F.when(F.size(buffer) >= 2, last - F.element_at(buffer, F.greatest(F.size(buffer) - 1, F.lit(1)))["close"]),
-        "rolling_high_5m": highs,
-        "rolling_low_5m": lows,
+        "rolling_vwap_5m": F.when(w("volume") > 0, w("value") / w("volume")),
+        "close_diff": last - w("before"),
+        "rolling_high_5m": w("top"),
+        "rolling_low_5m": w("low"),
         "trend_slope_5m": (last - first_b) / 5,
-        "breakout_strength": F.when(highs > lows, (last - lows) / (highs - lows)),
-        "volume_burst": F.when((F.size(b) >= 2) & (average > 0), F.col("volume") / average),
-    }).drop("_buffer", "_a", "_b", "_c")
-
-
-def _since(buffer: Column, cutoff: Column) -> Column:
-    return F.filter(buffer, lambda r: r["m"] >= cutoff)
+        "breakout_strength": F.when(w("top") > w("low"), (last - w("low")) / (w("top") - w("low"))),
+        "volume_burst": F.when((w("nb") >= 2) & (average > 0), F.col("volume") / average),
+    }).drop("_w")
 
 
 def fx_metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), rows: int = FX_ROWS, minutes: tuple[int, int, int] = MINUTES) -> DataFrame:
