@@ -7,7 +7,7 @@ agree on an offset (a histogram of offsets) and the packed integers there differ
 
 Recordings with equal fingerprints are merged into classes before any comparison, so copies cost and return one row each.
 The search takes a set of query recordings against all classes, in blocks of both; a block of the grid is one task's arrays.
-Matches are a report of the best TOP per query.
+Every class that matches is returned, the query's own one too; the rank only orders them.
 
 A null or empty recording has no frames and no integers, matches nothing and has a null class. One shorter than a filter is padded with
 silence. An empty table gives no rows. Repeated keys are recordings of their own class or share it."""
@@ -33,7 +33,7 @@ WIDTH, SMOOTH = 12, np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 FILTERS = tuple((("time", "pitch", "both", "middle")[i % 4], (5 * i) % 9, 3 + (i * 7) % 10 if (5 * i) % 9 + 3 + (i * 7) % 10 <= 12 else 3, (4, 6, 8, 12)[i // 4]) for i in range(16))
 CUTS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-TOP, VOTES, MOST_ERRORS, OVERLAP = 10, 3, 0.2, 6
+VOTES, MOST_ERRORS, OVERLAP = 3, 0.2, 6
 #: Packed integers in a block of recordings and in a block of queries, about.
 BLOCK_ITEMS, QUERY_ITEMS = 1_500_000, 1_000_000
 
@@ -143,8 +143,7 @@ def _grid(left: pa.Table, right: pa.Table) -> list[tuple]:
             overlap, errors = align(own[r], query, off)
             if errors <= MOST_ERRORS and overlap >= min(OVERLAP, len(query), len(own[r])):
                 best[r] = min(best.get(r, (9.0,)), (errors, -overlap, off, v))
-        ranked = sorted((v, r) for r, v in best.items())[:TOP]
-        out += [(name, names[r], off, -overlap, v, errors) for (errors, overlap, off, v), r in ranked]
+        out += [(name, names[r], off, -overlap, v, errors) for r, (errors, overlap, off, v) in best.items()]
     return out
 
 
@@ -169,8 +168,8 @@ def search(prints: DataFrame, is_query, keys: list[str]) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_query", "_match", "offset", "overlap", "votes", "bit_errors"])
 
     found = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInArrow(cell, "_query string, _match string, offset long, overlap long, votes long, bit_errors double")
-    order = Window.partitionBy("_query").orderBy("bit_errors", F.desc("overlap"), "_match")  # TOP rows from each block at most
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    order = Window.partitionBy("_query").orderBy("bit_errors", F.desc("overlap"), "_match")
+    found = found.withColumn("rank", F.row_number().over(order))
     names = classes.select("_digest", "class_id", "copies")
     found = found.join(names.select(F.col("_digest").alias("_match"), F.col("class_id").alias("match_class"), "copies"), "_match")
     members = heard.where(is_query).select(*keys, F.col("_digest").alias("_query"))
