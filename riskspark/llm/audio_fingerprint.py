@@ -3,7 +3,8 @@
 A recording is 16-bit little-endian mono PCM. Overlapping frames are folded into the energies of twelve pitch classes.
 Sixteen filters, differences of rectangles that an integral image over frames and classes sums at once, are cut into
 four levels each; the 32 bits of one position are a packed integer. Recordings align where many equal integers
-agree on an offset (a histogram of offsets) and the packed integers there differ in few bits.
+agree on an offset (a histogram of offsets) and the packed integers there differ in few bits: over the whole overlap, or
+else over a stretch of it, so a passage that two recordings share is found whatever stands around it.
 
 Recordings with equal fingerprints are merged into classes before any comparison, so copies cost and return one row each.
 The search takes a set of query recordings against all classes, in blocks of both; a block of the grid is one task's arrays.
@@ -111,15 +112,44 @@ def fingerprint(recordings: DataFrame, keys: list[str], audio: str = "audio", ra
     return rows.mapInArrow(hear, f"{schema}, n_frames long, items binary")
 
 
+def differing(a: np.ndarray, b: np.ndarray, offset: int) -> np.ndarray:
+    """Differing bits at each position of the overlap of b laid at an offset in a."""
+    x, y = a[max(0, offset) : max(0, offset + len(b))], b[max(0, -offset) :]
+    n = min(len(x), len(y))
+    return np.bitwise_count(x[:n] ^ y[:n])
+
+
 def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     """Overlap of b laid at an offset in a, and the share of differing bits there."""
-    x, y = a[max(0, offset) : offset + len(b)], b[max(0, -offset) :]
-    n = min(len(x), len(y))
-    return n, float(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * n) if n > 0 else 1.0
+    wrong = differing(a, b, offset)
+    return len(wrong), float(wrong.sum()) / (32 * len(wrong)) if len(wrong) else 1.0
+
+
+def stretch(wrong: np.ndarray, least: int, votes: int) -> tuple[int, int, float] | None:
+    """Equal integers, length and share of differing bits of what matches at an offset, of `least` positions with so many votes.
+
+    It is the whole overlap if few of its bits differ, and else the longest run of positions around which, OVERLAP of them
+    averaged, few bits differ."""
+    n = len(wrong)
+    total, equal = np.concatenate([[0], wrong.cumsum(dtype=np.int64)]), np.concatenate([[0], (wrong == 0).cumsum()])
+    a, b = np.array([0]), np.array([n])
+    if total[-1] > MOST_ERRORS * 32 * n:
+        at = np.arange(n)
+        low, high = np.maximum(at - OVERLAP // 2, 0), np.minimum(at - OVERLAP // 2 + OVERLAP, n)
+        good = total[high] - total[low] <= MOST_ERRORS * 32 * (high - low)
+        edges = np.flatnonzero(np.diff(good, prepend=False, append=False))
+        a, b = edges[::2], edges[1::2]
+    fits = (b - a >= max(1, least)) & (equal[b] - equal[a] >= votes)
+    if not fits.any():
+        return None
+    a, b = a[fits], b[fits]
+    k = int(np.argmax(b - a))
+    return int(equal[b[k]] - equal[a[k]]), int(b[k] - a[k]), float(total[b[k]] - total[a[k]]) / (32 * int(b[k] - a[k]))
 
 
 def _grid(left: pa.Table, right: pa.Table) -> list[tuple]:
-    """Best alignments of a block of queries in a block of classes: query, class, offset, overlap, votes, errors."""
+    """The alignment of each pair of a block of queries and a block of classes: query, class, offset, overlap, votes, errors.
+    Of several offsets it is the one with the most votes, then the longest, then the one with the fewest errors."""
     own = [np.frombuffer(x, "<u4") for x in left["items"].to_pylist()]
     names, sizes = left["class_id"].to_pylist(), np.array([len(x) for x in own])
     every = np.concatenate(own)
@@ -137,13 +167,14 @@ def _grid(left: pa.Table, right: pa.Table) -> list[tuple]:
         at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         offset = place[at] - np.repeat(np.arange(len(query)), n)
         bins, votes = np.unique(row[at] * (1 << 32) + (offset + (1 << 31)), return_counts=True)
-        good = votes >= min(VOTES, len(query))
+        least = min(VOTES, len(query))
+        good = votes >= least
         best: dict[int, tuple] = {}
-        for r, off, v in zip((bins[good] >> 32).tolist(), ((bins[good] & 0xFFFFFFFF) - (1 << 31)).tolist(), votes[good].tolist(), strict=True):
-            overlap, errors = align(own[r], query, off)
-            if errors <= MOST_ERRORS and overlap >= min(OVERLAP, len(query), len(own[r])):
-                best[r] = min(best.get(r, (9.0,)), (errors, -overlap, off, v))
-        out += [(name, names[r], off, -overlap, v, errors) for r, (errors, overlap, off, v) in best.items()]
+        for r, off in zip((bins[good] >> 32).tolist(), ((bins[good] & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True):
+            fits = stretch(differing(own[r], query, off), min(OVERLAP, len(query), len(own[r])), least)
+            if fits:
+                best[r] = min(best.get(r, (1,)), (-fits[0], -fits[1], fits[2], off))
+        out += [(name, names[r], off, -overlap, -v, errors) for r, (v, overlap, errors, off) in best.items()]
     return out
 
 
@@ -151,7 +182,8 @@ def search(prints: DataFrame, is_query, keys: list[str]) -> DataFrame:
     """One row per query recording and match: the keys, class_id, rank, match_class, copies, offset, overlap, votes, bit_errors.
 
     prints: from fingerprint(). is_query: a condition on its columns. Classes are named by their smallest keys, in a struct.
-    offset: the place in the match at which the query starts (below zero if the match starts later)."""
+    offset: the place in the match at which the query starts (below zero if the match starts later). overlap, votes and bit_errors
+    are of what matches at that offset, see stretch(). rank: by votes, then overlap, then bit errors."""
     heard = prints.where(F.length("items") > 0).withColumn("_digest", F.sha2("items", 256))
     classes = heard.groupBy("_digest").agg(F.min(F.struct(*keys)).alias("class_id"), F.first("items").alias("items"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("_asked"))
     classes = checkpoint(classes)
@@ -168,7 +200,7 @@ def search(prints: DataFrame, is_query, keys: list[str]) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_query", "_match", "offset", "overlap", "votes", "bit_errors"])
 
     found = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInArrow(cell, "_query string, _match string, offset long, overlap long, votes long, bit_errors double")
-    order = Window.partitionBy("_query").orderBy("bit_errors", F.desc("overlap"), "_match")
+    order = Window.partitionBy("_query").orderBy(F.desc("votes"), F.desc("overlap"), "bit_errors", "_match")
     found = found.withColumn("rank", F.row_number().over(order))
     names = classes.select("_digest", "class_id", "copies")
     found = found.join(names.select(F.col("_digest").alias("_match"), F.col("class_id").alias("match_class"), "copies"), "_match")
