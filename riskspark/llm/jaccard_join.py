@@ -18,7 +18,8 @@ costs a number of entries in proportion to its rows, and no link between compone
 
 The result has one row for each document: its number of n-grams and its component. Equal sets are
 merged first. Null, empty and blank texts have no n-grams and link with nothing. Rows with the same
-id are separate rows that share the id; null ids count as larger than all. Empty tables give no rows."""
+id are separate rows that share the id, which links nothing; null ids count as larger than all. Components
+of different texts may so have one component_id; _component tells them apart. Empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -52,8 +53,9 @@ def _sets(table: pa.Table, n: int):
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """id_col, n_shingles, component_id: documents link where 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
+    """id_col, n_shingles, component_id, _text_key, _component: documents link where 100 * intersection >= percent * union.
+
+    _text_key: hash of the text. _component: a name of the component of texts, null where a text links with none and has no copy."""
     total = blocks.corpus_size(docs, text)
     dealt = blocks.deal(docs, total, id_col, text)
     bits, parts = blocks.key_bits(total // 4), max(8, -(-total // blocks.BLOCK))
@@ -64,13 +66,14 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
         return blocks.send(table["_block"][0].as_py(), keys, np.ones(len(keys), bool), parts, bits)
 
     shared = blocks.repeated(dealt.groupBy("_block").applyInArrow(count, blocks.REPEAT_SCHEMA))
-    fields = [("_id", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_first", pa.int32()), ("_keys", pa.list_(pa.int64()))]
+    fields = [("_id", pa.int64()), ("_text_key", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_first", pa.int32()), ("_keys", pa.list_(pa.int64()))]
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
         out, known = {f: [] for f, _ in fields}, set()
         hit, often = blocks.answers(right)
-        for own, keys in zip(left["_id"].to_pylist(), _sets(left, n), strict=True):
+        for own, text_key, keys in zip(left["_id"].to_pylist(), left["_text_key"].to_pylist(), _sets(left, n), strict=True):
             out["_id"].append(_LAST if own is None else own)
+            out["_text_key"].append(text_key)
             out["_n"].append(len(keys))
             short = keys >> np.uint64(64 - bits)
             good = blocks.found(short, hit) if len(keys) else np.zeros(0, bool)
@@ -90,10 +93,10 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
                     out[f].append(None)
         return pa.table(out, pa.schema(fields))
 
-    rows = checkpoint(dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, "_id long, _n long, _s1 long, _s2 long, _first int, _keys array<long>"))
+    keyed = dealt.withColumn("_text_key", F.xxhash64("_text"))
+    rows = checkpoint(keyed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, "_id long, _text_key long, _n long, _s1 long, _s2 long, _first int, _keys array<long>"))
     same = ["_s1", "_s2", "_n"]
     classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min("_id").alias("node"), F.first("_keys", ignorenulls=True).alias("keys"), F.first("_first").alias("first")))
-    # one id may stand for rows of different texts; they are one node then, but each has its own row of the incidence
     nodes = classes.select(F.xxhash64(*same).alias("row"), "node", F.col("_n").alias("n"), F.size("keys").alias("shared"), "first", "keys")
     few = F.col("shared") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1  # as the smaller of a pair
     columns = nodes.select(F.posexplode(F.slice("keys", 1, F.col("first"))).alias("_at", "key"), "row", "n", "shared", few.alias("_few"))
@@ -101,9 +104,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     met = columns.groupBy("key").agg(F.min("row").alias("_lo"), F.max("row").alias("_hi"), F.max("early").alias("_early")).where("_lo < _hi and _early").select("key")
     met = checkpoint(columns.join(met, "key"))
     labels = nodes.select("row", F.col("row").alias("label"))
-    first = nodes.groupBy("node").agg(F.min("row").alias("x"), F.max("row").alias("_y")).where("x < _y")
-    links = nodes.join(first, "node").where("row <> x").select("x", F.col("row").alias("y"))  # rows that share an id
-    links, tested = checkpoint(links), None
+    links = tested = None
 
     def fits(a, b):
         """Bounds of two rows that meet in a column: from their sizes, and from what stands before and after the column in each."""
@@ -114,7 +115,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     best = F.max(F.struct((F.col("shared") / F.col("n")).alias("rank"), "row", "label", "n", "shared", "at")).alias("hub")
     of = lambda prefix: lambda c: F.col(f"{prefix}{c}")
     for last in (False, False, True):
-        if not links.isEmpty():
+        if links is not None and not links.isEmpty():
             found = components(links)
             labels = checkpoint(nodes.select("row").join(found, F.col("row") == found["node"], "left").select("row", F.coalesce("component", "row").alias("label")))
         placed = met.join(labels, "row")
@@ -136,7 +137,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
         x, y = (nodes.select(F.col("row").alias(c), F.col("n").alias(f"_n{c}"), F.col("keys").alias(f"_k{c}")) for c in "xy")
         overlap = F.size(F.array_intersect("_kx", "_ky"))
         pairs = checkpoint(pairs.join(x, "x").join(y, "y").withColumn("_both", overlap).select("x", "y", (F.col("_both") * 100 >= (F.col("_nx") + F.col("_ny") - F.col("_both")) * percent).alias("linked")))
-        links = checkpoint(links.union(pairs.where("linked").select("x", "y")))
+        linked = pairs.where("linked").select("x", "y")
+        links = linked if links is None else checkpoint(links.union(linked))
         tested = pairs.select("x", "y") if tested is None else tested.union(pairs.select("x", "y"))
     if not links.isEmpty():
         found = components(links)
@@ -144,20 +146,28 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     else:
         labels = nodes.select("row", "node", F.col("row").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    named = labels.join(smallest, "label").select("row", "component_id")
-    out = rows.select("_id", "_n", F.when(F.col("_s1").isNotNull(), F.xxhash64(*same)).alias("_row"))
-    out = out.join(named, F.col("_row") == F.col("row"), "left").select("_id", F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    named = labels.join(smallest, "label").select("row", "component_id", "label")
+    out = rows.select("_id", "_text_key", "_n", F.when(F.col("_s1").isNotNull(), F.xxhash64(*same)).alias("_row"))
+    out = out.join(named, F.col("_row") == F.col("row"), "left").select("_id", "_text_key", F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), F.col("label").alias("_component"))
     whole = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return out.select(whole("_id").alias(id_col), "n_shingles", whole("component_id").alias("component_id"))
+    return out.select(whole("_id").alias(id_col), "n_shingles", whole("component_id").alias("component_id"), "_text_key", "_component")
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of each component the document whose id names it, with all columns; of rows that share this id, one."""
-    named = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_n"))
-    out = docs.join(named.select("_kept"), docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
-    return out if named.where("_n > 1").isEmpty() else out.dropDuplicates([id_col])
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component of texts the document with the smallest id, with all columns; of several texts of this id, and of its
+    rows with that text, one. Documents that link with nothing all stay, whatever their ids."""
+    each = classes.where("_component is not null").groupBy("_component", id_col, "_text_key").agg(F.count("*").alias("_n"))
+    least = each.groupBy("_component").agg(F.min(F.struct(F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_kept"), F.col("_text_key").alias("_key"), "_n")).alias("_one"))
+    alone = classes.where("_component is null").select(F.col(id_col).alias("_kept"), F.col("_text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    named = lambda kept: keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(F.col("_kept")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    many = least.select("_one.*").where("_n > 1")
+    out = named(least.select("_one.*").where("_n = 1").select("_kept", "_key").union(alone))
+    if not many.isEmpty():
+        out = out.union(named(many).dropDuplicates([id_col, "_text_key"]))
+    return out.drop("_text_key")
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:
     """Components of all documents at 90 percent of 3-word shingles."""
-    return link_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
+    return link_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
