@@ -44,13 +44,15 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 20, hint="AKIA[A-Z0-9]{16}"),
     Rule("hex", "[0-9a-f]+", 0, 24, hint="[0-9a-f]{24}"),
 )
+_KEY = "(?:[A-Z]+ )*PRIVATE KEY-----"
 #: Published formats of further credentials; their spans stand beside the base ones.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", hint="-----BEGIN "),
+    # to the END of the key, or the BEGIN alone where no END comes before the next key; possessive, so that no text is too long for it
+    Rule("pem", f"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----(?:BEGIN|END) {_KEY}))*+-----END {_KEY})?", version=2, hint="-----BEGIN "),
     Rule("hosted_token", "gh[pousr]_[A-Za-z0-9]{36,}", hint="gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox[abprs]-"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hint=r"eyJ[A-Za-z0-9_-]{8}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", hint="://[^\\s/:@]{1,64}:"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/@]{3,}+@", version=2, hint="://[^\\s/:@]++:"),
 )
 RULES = BASE_RULES + MORE_RULES
 
