@@ -52,6 +52,13 @@ def p07(spark, sf):
     return P.on_days(X.bars_daily(spark, sf), _days(spark))
 
 
+@query("P07_trading_days_all_years", "ticker date close:6", "SELECT * FROM bars_daily WHERE dayofweek(date) BETWEEN 1 AND 5 AND strftime(date, '%m-%d') NOT IN ('01-01', '12-25')")
+def p07_all(spark, sf):
+    bars = X.bars_daily(spark, sf)
+    days = bars.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
+    return P.on_days(bars, days.where(F.dayofweek("date").between(2, 6) & ~F.date_format("date", "MM-dd").isin("01-01", "12-25")))
+
+
 @query("P08_calendar", "month days", "SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS days FROM (" + _DAYS + ") WHERE date <= (SELECT max(date) FROM bars_daily) GROUP BY 1")
 def p08(spark, sf):
     last = X.bars_daily(spark, sf).agg(F.max("date").alias("_last"))

@@ -224,11 +224,22 @@ def f12(spark, sf):
     return X.table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(S.Z_05).alias("z05"), F.lit(S.Z_01).alias("z01"), F.lit(S.density(S.Z_05)).alias("d"))
 
 
+def _steps(c: str):
+    """Sum of the absolute steps of an array of any length."""
+    steps = F.zip_with(F.slice(c, 2, F.size(c) - 1), F.slice(c, 1, F.size(c) - 1), lambda b, a: F.abs(b - a))
+    return F.when(F.size(c) > 1, F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x))
+
+
 @query("F14_arrays", "ticker steps:4", "SELECT ticker, list_sum(list_transform(range(2, len(c) + 1), lambda i: abs(c[i] - c[i - 1]))) AS steps FROM (SELECT ticker, list(close ORDER BY date) AS c FROM bars_daily WHERE date >= DATE '2001-06-01' GROUP BY ticker)")
 def f14(spark, sf):
     rows = X.bars_daily(spark, sf).where("date >= '2001-06-01'").groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("c"))
-    steps = F.zip_with(F.slice("c", 2, 10_000), F.slice("c", 1, F.size("c") - 1), lambda b, a: F.abs(b - a))
-    return rows.withColumn("steps", F.when(F.size("c") > 1, F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)))
+    return rows.withColumn("steps", _steps("c"))
+
+
+@query("F14_arrays_all_days", "ticker steps:4", "SELECT ticker, sum(abs(close - before)) AS steps FROM (SELECT ticker, close, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM bars_daily) GROUP BY ticker")
+def f14_all(spark, sf):
+    rows = X.bars_daily(spark, sf).groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]).alias("c"))
+    return rows.withColumn("steps", _steps("c"))
 
 
 @query("D01_enforced_schema", "l_orderkey l_quantity:2", "SELECT l_orderkey, l_quantity FROM lineitem")
