@@ -7,6 +7,9 @@ from riskspark.llm.secret_scan import BASE_RULES, RULES
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rules as SQL has them, of version 1: DuckDB has no possessive matches. They differ on key bodies and on logins of over 64 characters.
+_SQL_PATTERNS = {"pem": "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "url_login": r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"}
+
 
 def _rule(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
     p = "'" + pattern.replace("'", "''") + "'"
@@ -18,7 +21,7 @@ def _rule(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
 
 def secrets() -> str:
     """Spans of all rules; where each match starts follows from the texts between matches."""
-    spans = " UNION ALL ".join(_rule(i, r.kind, r.pattern, r.group, r.least) for i, r in enumerate(RULES))
+    spans = " UNION ALL ".join(_rule(i, r.kind, _SQL_PATTERNS.get(r.kind, r.pattern), r.group, r.least) for i, r in enumerate(RULES))
     text = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, rank)"
     base = f"rank < {len(BASE_RULES)}"
     counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS n_{r.kind}" for r in BASE_RULES)
