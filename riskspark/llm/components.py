@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of its own where none is named, as in tests."""
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share. Where none is named, a session whose
+    executors are in the driver's process (tests) takes a folder of its own; a cluster has to name one."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return named or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file:{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/spark-{uuid.uuid4().hex}")
+        folder = context.getCheckpointDir()
+    return folder
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

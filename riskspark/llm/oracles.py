@@ -7,8 +7,8 @@ from riskspark.llm.secret_scan import BASE_RULES, RULES
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rules as SQL has them, of version 1: DuckDB has no possessive matches. They differ on key bodies and on logins of over 64 characters.
-_SQL_PATTERNS = {"pem": "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "url_login": r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"}
+#: Rules as SQL has them, of version 1: DuckDB has no possessive matches. They differ on key bodies and on logins of over 64 characters; access and hex have the least length apart.
+_SQL_PATTERNS = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "pem": "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "url_login": r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"}
 
 
 def _rule(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
