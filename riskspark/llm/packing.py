@@ -6,14 +6,19 @@ class k, whose bins hold exactly k pieces. Each partition fills its own bins, so
 shuffled. What is left in bins that are not full at the end of a partition is laid end to end,
 cut at the capacity, and the last stretch is cut into powers of two, which need no padding.
 
-Null texts count as empty: their one id is the end id. Long texts give many pieces. Repeated
-rows are packed like others. An empty table gives no rows."""
+A text is read as the tokenizer file says, its added tokens included (a text that holds one is given to the whole tokenizer).
+
+Null texts count as empty: their one id is the end id. Long texts give many pieces, and only pieces that wait for a bin
+are kept. Pieces of one class fill bins in the order of the rows; sequence numbers depend on how the rows are partitioned. Repeated
+rows, and rows with null or equal ids, are packed like others. Other columns are left out and may have any names. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,19 @@ _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9
 _PLAIN = re.compile(r"[!-~¡-¬®-įĲ-ɏ]+")
 
 
+#: Settings of a tokenizer file under which words may be encoded apart: NFC, blanks to one, lower case; the cut of _CUT, bytes as letters.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def _by_words(settings: dict) -> bool:
+    """If a tokenizer file has these settings; with others the whole tokenizer reads every text."""
+    normal, before, model = settings.get("normalizer") or {}, (settings.get("pre_tokenizer") or {}).get("pretokenizers", []), settings["model"]
+    cut = [p for p in before if p.get("type") == "Split" and p.get("pattern") == _SPLIT and p.get("behavior") == "Removed" and p.get("invert")]
+    letters = [p for p in before if p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex")]
+    return normal.get("normalizers") == _NORMALIZER and len(before) == 2 and before == cut + letters and model.get("type") == "BPE" and not model.get("dropout")
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,7 +68,12 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        with open(path, "rb") as f:
+            settings = json.load(f)
+        added = [t["content"] for t in settings.get("added_tokens", [])]
+        normal = any(t["normalized"] for t in settings.get("added_tokens", []))  # such a token may be met in any case
+        self.fast = _by_words(settings) and not normal
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.parts: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self[""] = b""
@@ -75,6 +98,8 @@ class WordIds(dict):
             self[""] = b""
         if len(self.parts) > MOST_CACHED:
             self.parts.clear()
+        if not self.fast or self.added and self.added.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -100,7 +125,7 @@ def cuts(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]:
 
 
 class Bins:
-    """Open bins of one partition. A piece is (document index, start, length)."""
+    """Open bins of one partition. A piece is (document's id, start, ids as bytes, tokens of the document)."""
 
     def __init__(self, capacity: int, tail: int, first: int):
         self.capacity, self.tail, self.next = capacity, tail, first
@@ -108,7 +133,7 @@ class Bins:
 
     def add(self, piece: tuple) -> list[tuple]:
         """Pieces that are now placed: (piece, sequence, offset)."""
-        k = self.capacity // piece[2]
+        k = self.capacity // (len(piece[2]) // 4)
         self.open.setdefault(k, []).append(piece)
         return self.close(self.open.pop(k)) if len(self.open[k]) == k else []
 
@@ -116,24 +141,25 @@ class Bins:
         out, at = [], 0
         for p in pieces:
             out.append((p, self.next, at))
-            at += p[2]
+            at += len(p[2]) // 4
         self.next += 1
         return out
 
     def rest(self) -> list[tuple]:
         """Place what is left, cutting at the capacity and at last at powers of two."""
-        left = [p for k in sorted(self.open) for p in self.open[k]]
+        left = deque(p for k in sorted(self.open) for p in self.open[k])
         self.open = {}
-        total, out = sum(p[2] for p in left), []
+        total, out = sum(len(p[2]) // 4 for p in left), []
         sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in reversed(range(self.capacity.bit_length())) if (total % self.capacity) >> b & 1]
         for size in sizes:
             own = []
             while size:
-                d, start, n = left.pop(0)
-                own.append((d, start, min(n, size)))
-                if n > size:
-                    left.insert(0, (d, start + size, n - size))
-                size -= min(n, size)
+                d, start, body, tokens = left.popleft()
+                n = min(len(body) // 4, size)
+                own.append((d, start, body[: 4 * n], tokens))
+                if len(body) > 4 * n:
+                    left.appendleft((d, start + n, body[4 * n :], tokens))
+                size -= n
             out += self.close(own)
         return out
 
@@ -150,18 +176,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bins = word_ids(path), Bins(capacity, tail, TaskContext.get().partitionId() << 36)
-        waiting: dict[int, list] = {}  # documents with unplaced pieces: id, ids, tokens, pieces to go
-        index = 0
         out: list[tuple] = []
 
         def place(placed: list[tuple]) -> None:
-            for (d, start, n), seq, at in placed:
-                doc = waiting[d]
-                own = doc[1][4 * start : 4 * (start + n)]
-                out.append((doc[0], start, n, zlib.crc32(own), doc[2], seq, at, own if with_ids else None))
-                doc[3] -= n
-                if not doc[3]:
-                    del waiting[d]
+            for (doc, start, own, tokens), seq, at in placed:
+                out.append((doc, start, len(own) // 4, zlib.crc32(own), tokens, seq, at, own if with_ids else None))
 
         def batch() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
@@ -174,12 +193,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer:
             names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
             for own, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = words.encode(body) + end
-                waiting[index] = [own, ids, len(ids) // 4, len(ids) // 4]
-                start = 0
-                for n in cuts(len(ids) // 4, capacity, tail):
-                    place(bins.add((index, start, n)))
+                tokens, start = len(ids) // 4, 0
+                for n in cuts(tokens, capacity, tail):
+                    place(bins.add((own, start, ids[4 * start : 4 * (start + n)], tokens)))
                     start += n
-                index += 1
                 if len(out) >= 20_000:
                     yield batch()
         if types is not None:
