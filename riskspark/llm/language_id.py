@@ -9,8 +9,10 @@ Dictionaries are fitted on a bounded sample of labelled rows (PIECES pieces of P
 by the hash of the id and cut at a hashed place). Labels may be wrong: pieces that the dictionaries of the
 other pieces give to another language are left out.
 
-A null text or one without a letter is `und`, score 0, and rejected. Empty tables give no rows; a table
-without any labelled text gives `und` everywhere. Ties go to the more frequent language. Repeated rows are judged alike."""
+A null text or one without a letter (Unicode's; digits, fractions and circled numbers are none) is `und`, score 0, and rejected.
+Empty tables give no rows; a table without any labelled text gives `und` everywhere. Ties go to the more frequent language, and
+among equally frequent ones to the first by name. A very long text is compressed stretch by stretch, all of it. Repeated rows, and
+rows with null or equal ids, are judged alike. Columns of the rows may have any names."""
 
 from __future__ import annotations
 
@@ -24,11 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Documented bounds of the training sample, and the most languages that are learned.
-PIECES, PIECE, LANGUAGES = 160, 600, 64
-LEVEL, MARGIN, STRETCH = 5, 0.003, 4096
-#: Texts below SHORT bytes are compressed at a level that looks harder for matches.
-SHORT, SHORT_LEVEL = 512, 12
+#: Documented bounds of the training sample. Every language with a labelled text is learned; a column with more
+#: distinct labels than LANGUAGES is no column of languages and is refused.
+PIECES, PIECE, LANGUAGES = 160, 600, 1000
+LEVEL, MARGIN, STRETCH = 9, 0.003, 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -38,9 +39,11 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", pieces: int = PIECES, piece: int = PIECE, languages: int = LANGUAGES) -> dict[str, bytes]:
-    """A dictionary for each of the most frequent languages."""
+    """A dictionary for each language, the most frequent one first."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.xxhash64(F.lit(7), F.col(id_col)).alias("_hash"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"{lang} has over {languages} distinct labels")
     if not counts:
         return {}
     share = F.lit(0.0)  # of each language's rows, about twice as many as are wanted
@@ -78,39 +81,44 @@ def _agreed(pieces: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
     """The pieces of each language that the other half of the pieces gives to it."""
     out: dict[str, list[bytes]] = {k: [] for k in pieces}
     for half in (0, 1):
-        own = coders({k: b"\n".join(v[1 - half :: 2]) for k, v in pieces.items() if v[1 - half :: 2]}, SHORT_LEVEL)
+        own = coders({k: b"\n".join(v[1 - half :: 2]) for k, v in pieces.items() if v[1 - half :: 2]})
         for k, v in pieces.items():
             out[k] += [x for x in v[half::2] if not own or best(x, own)[0] == k]
     return {k: v or pieces[k] for k, v in out.items()}
 
 
+def has_letter(text: str) -> bool:
+    """If any character is a letter; the pattern finds those and other numbers than digits."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def tag(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", out: str = "_language", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """All columns of docs, and `out`, a struct of lang_pred, score and accepted (it replaces a column of that name).
     No shuffle; the dictionaries have the bounded size of train()."""
-    rows = docs.drop(out)
-    at = [f.name.lower() for f in rows.schema.fields].index(text.lower())
+    kept = [f for f in docs.schema.fields if f.name.lower() != out.lower()]
+    inner = [f"c{k}" for k in range(len(kept))]  # the columns' own names may be ours
+    rows = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(kept, inner, strict=True)], F.col(text).alias("text"))
     judged = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([*rows.schema.fields, T.StructField("_judged", judged)])
+    schema = T.StructType([*[T.StructField(c, f.dataType) for f, c in zip(kept, inner, strict=True)], T.StructField("judged", judged)])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, short = coders(dictionaries, level), coders(dictionaries, SHORT_LEVEL)
+        own = coders(dictionaries, level)
         for b in batches:
             said, score = [], []
-            for body in b.column(at).to_pylist():
-                if not own or body is None or not _LETTER.search(body):
+            for body in b.column(len(inner)).to_pylist():
+                if not own or body is None or not has_letter(body):
                     said.append("und")
                     score.append(0.0)
                     continue
-                raw = body.lower().encode()
-                name, share = best(raw, short if len(raw) < SHORT else own)
+                name, share = best(body.lower().encode(), own)
                 said.append(name)
                 score.append(share)
             both = pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
-            yield pa.RecordBatch.from_arrays([*b.columns, both], [*b.schema.names, "_judged"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], both], [*inner, "judged"])
 
-    found = rows.mapInArrow(judge, schema)
-    accepted = (F.col("_judged.lang_pred") != "und") & (F.col("_judged.score") >= margin)
-    return found.withColumn(out, F.struct("_judged.lang_pred", "_judged.score", accepted.alias("accepted"))).drop("_judged")
+    accepted = (F.col("judged.lang_pred") != "und") & (F.col("judged.score") >= margin)
+    said = F.struct("judged.lang_pred", "judged.score", accepted.alias("accepted")).alias(out)
+    return rows.mapInArrow(judge, schema).select(*[F.col(c).alias(f.name) for f, c in zip(kept, inner, strict=True)], said)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text: str = "text", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
