@@ -7,17 +7,22 @@ weighted probability is half its own estimate's and half that of the contexts on
 tree predicts a bit by mixing the estimates along the path with the weights that the training data left.
 
 The tree is built where its counts are: (depth + 1)-byte grams of a block of documents are packed and sent to the
-pair of last two context bytes they have; below a pair the tree is one task's arrays. The two levels above have at most
-256 * 255 + 255 nodes, whatever the corpus, and are broadcast. Blocks get back one log probability for each of
-their grams. A frequent gram is one entry per block, so no pair is hot with copies.
+pair of last two context bytes they have. The counts of a pair are merged FAN blocks at a time, level by level, so a task reads
+FAN lists of distinct grams, however large the corpus and however common the pair; below a pair the tree is one task's arrays, of distinct grams.
+The two levels above have at most 256 * 255 + 255 nodes, whatever the corpus, and are broadcast. The log probabilities
+go back down the same levels, each list of grams getting those of its own.
 
 Beside it stands a unigram baseline over words and an end token with additive smoothing.
 
-Null and empty texts are just the end. Repeated rows count and are scored like others. With no training
-texts every bit has probability one half. An empty table gives no rows."""
+Null and empty texts are just the end. A text that holds a zero byte is scored as if it ended and began again there.
+A very long text is one document of its block, read in pieces. Repeated rows, and rows with equal or null ids, count and are scored like
+others; equal texts have equal scores. Ids are of any type; other columns are not looked at and may have any names. With no
+training texts every bit has probability one half. An empty table gives no rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +36,8 @@ from riskspark.llm.textwords import _LOWER, chunks, words
 DEPTH = 4
 #: Characters of text in a block, about: larger blocks have fewer keys in all.
 BLOCK = 24_000_000
+#: Lists of grams that are merged at once.
+FAN = 8
 _LN2, _LN10 = np.log(2.0), np.log(10.0)
 
 
@@ -86,12 +93,13 @@ class Level:
         self.share = np.ones(len(keys)) if below is None else np.exp(own - _LN2 - self.weighted)
         self.one = (b + 0.5) / (a + b + 1)
 
-    def mix(self, keys: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Probability of a one at these nodes, given that of the nodes below; a half where training never was."""
+    def mix(self, keys: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """Probability of the bit at each of these nodes, given that of the nodes below; a half where training never was."""
         if not len(self.keys):
             return np.full(len(keys), 0.5)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.share[at] * self.one[at] + (1 - self.share[at]) * deeper, 0.5)
+        one = self.one[at]
+        return np.where(self.keys[at] == keys, self.share[at] * np.where(bit, one, 1 - one) + (1 - self.share[at]) * deeper, 0.5)
 
 
 def _bits(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,21 +129,23 @@ def levels(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[L
     return out
 
 
-def log_probability(keys: np.ndarray, own: list[Level], depth: int, upper: list[Level]) -> np.ndarray:
-    """Natural logarithm of each gram's last byte given its context. own: levels down from depth, with keys cut to the
-    bytes after the first two context bytes; upper: levels 1 and 0."""
-    low = keys & np.uint64((1 << (8 * (depth - 1))) - 1)
+def below(keys: np.ndarray, own: list[Level]) -> np.ndarray:
+    """Probability of each gram's eight bits at the nodes of two context bytes, from the levels down from depth."""
     so_far, bit = _bits(keys & np.uint64(255))
-    p = np.full(so_far.size, 0.5)
-    context = low >> np.uint64(8)
+    p, context, bit = np.full(so_far.size, 0.5), keys >> np.uint64(8), bit.ravel() > 0
     for level in own:
-        p = level.mix((context[:, None] << np.uint64(8) | so_far).ravel(), p)
+        p = level.mix((context[:, None] << np.uint64(8) | so_far).ravel(), bit, p)
         context = context >> np.uint64(8)
-    first = keys >> np.uint64(8 * depth)
-    p = upper[0].mix((first[:, None] << np.uint64(8) | so_far).ravel(), p)
-    p = upper[1].mix(so_far.ravel(), p)
-    one = bit.ravel() > 0
-    return np.log(np.where(one, p, 1 - p)).reshape(-1, 8).sum(1)
+    return p
+
+
+def log_probability(keys: np.ndarray, p: np.ndarray, depth: int, upper: list[Level]) -> np.ndarray:
+    """Natural logarithm of each gram's last byte given its context. p: from below(); upper: levels 1 and 0."""
+    so_far, bit = _bits(keys & np.uint64(255))
+    first, bit = keys >> np.uint64(8 * depth), bit.ravel() > 0
+    p = upper[0].mix((first[:, None] << np.uint64(8) | so_far).ravel(), bit, p)
+    p = upper[1].mix(so_far.ravel(), bit, p)
+    return np.log(p).reshape(-1, 8).sum(1)
 
 
 def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -143,10 +153,10 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     if not 3 <= depth <= 7:
         raise ValueError("depth is from 3 to 7")
     spark = docs.sparkSession
-    seen = docs.select(F.col(id_col), F.col(text), F.coalesce(trains, F.lit(False)).alias("_train"))
-    total, ends = seen.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)), F.count_if("_train")).first()
-    parts = max(8, -(-total // blocks.BLOCK))
-    dealt = blocks.deal(seen, total, id_col, text, BLOCK, more=("_train",))
+    seen = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.coalesce(trains, F.lit(False)).alias("_train"))
+    total, ends = seen.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count_if("_train")).first()
+    parts, n_blocks, kind = blocks.count_of(total), blocks.count_of(total, BLOCK), blocks.id_type(docs, id_col)
+    dealt = blocks.deal(seen, total, "_id", "_text", BLOCK, more=("_train",))
     inner = np.uint64((1 << (8 * (depth - 1))) - 1)
 
     def count(table: pa.Table) -> pa.Table:
@@ -175,15 +185,34 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
         keys = [blocks.unpack_sorted(x) for x in table["_keys"].to_pylist()]
         return keys, *tally(keys, [blocks.unpack(x)[0].astype(np.int64) for x in table["_counts"].to_pylist()])
 
-    def pair_root(table: pa.Table) -> pa.Table:
-        """The node of two context bytes: what the level above needs of it."""
-        root = levels(*together(table)[1:], depth, 2)[-1]
-        first = (-1 - table["_part"][0].as_py()) >> 8
-        return pa.table([pa.array([first] * len(root.keys), pa.int32()), pa.array(root.keys.astype(np.int32)), pa.array(root.a), pa.array(root.b), pa.array(root.weighted)], ["first", "bits", "a", "b", "weighted"])
-
-    pairs = sent.where("_part < 0")
-    roots = pairs.groupBy("_part").applyInArrow(pair_root, "first int, bits int, a double, b double, weighted double")
-    ones = roots.groupBy("first", "bits").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("w")).orderBy("first", "bits").collect()  # 256 * 255 rows at most
+    def merge(table: pa.Table) -> pa.Table:
+        _, every, n = together(table)
+        return pa.table([table["_part"][:1], table["_up"][:1], pa.array([blocks.pack_sorted(every)], pa.binary()), pa.array([blocks.pack(n.astype("<u8"))], pa.binary())], ["_part", "_block", "_keys", "_counts"])
+
+    up = (F.col("_block") / FAN).cast("int").alias("_up")
+    lists, n = [sent.where("_part < 0")], n_blocks
+    while n > 1:
+        lists.append(checkpoint(lists[-1].select("*", up).groupBy("_part", "_up").applyInArrow(merge, "_part int, _block int, _keys binary, _counts binary")))
+        n = -(-n // FAN)
+
+    def tree(table: pa.Table) -> pa.Table:
+        """A pair's tree: for each gram the probability of its eight bits at the nodes of two context bytes, and these nodes for the level above."""
+        _, every, n = together(table)
+        own = levels(every, n, depth, 2)
+        root = own[-1]
+        one = lambda *x: pa.array([blocks.pack(*x)], pa.binary())
+        return pa.table([table["_part"][:1], pa.array([blocks.pack_sorted(every)], pa.binary()), one(below(every, own).astype("<f4").ravel().view("<u4")), one(root.keys, *(x.astype("<f8").view("<u8") for x in (root.a, root.b, root.weighted)))], ["_part", "_keys", "_low", "_root"])
+
+    trees = checkpoint(lists[-1].groupBy("_part").applyInArrow(tree, "_part int, _keys binary, _low binary, _root binary"))
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys, *sums = blocks.unpack(body)
+                yield pa.RecordBatch.from_arrays([pa.array([(-1 - part) >> 8] * len(keys), pa.int32()), pa.array(keys.astype(np.int32)), *[pa.array(x.view("<f8")) for x in sums]], ["first", "bits", "a", "b", "weighted"])
+
+    nodes = trees.select("_part", "_root").mapInArrow(roots, "first int, bits int, a double, b double, weighted double")
+    ones = nodes.groupBy("first", "bits").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("w")).orderBy("first", "bits").collect()  # 256 * 255 rows at most
     key = np.array([r["first"] << 8 | r["bits"] for r in ones], np.uint64)
     a, b, w = (np.array([r[c] for r in ones], float) for c in "abw")
     one = Level(key, a, b, w)
@@ -191,17 +220,25 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
     zero = Level(own, *(np.bincount(inverse, x, len(own)) for x in (a, b, one.weighted)))
     upper = spark.sparkContext.broadcast([one, zero])
 
-    def answer_grams(table: pa.Table) -> pa.Table:
-        keys, every, n = together(table)
-        pair = -1 - table["_part"][0].as_py()
-        value = log_probability(every | np.uint64(pair << (8 * (depth - 1))), levels(every, n, depth, 2), depth, upper.value)
-        values = [blocks.pack((value[np.searchsorted(every, k)] / _LN10).astype("<f4").view("<u4")) for k in keys]
-        return _answers(table, values)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for part, keys, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                every = blocks.unpack_sorted(keys) | np.uint64((-1 - part) << (8 * (depth - 1)))
+                value = log_probability(every, blocks.unpack(low)[0].view("<f4").astype(float), depth, upper.value)
+                values.append(blocks.pack((value / _LN10).astype("<f4").view("<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(values), pa.int32()), batch.column(1), pa.array(values, pa.binary())], ["_part", "_block", "_keys", "_values"])
+
+    def hand_down(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Lists of grams get the values that their merged list has."""
+        if not left.num_rows:
+            return _answers(left, [])
+        every, value = blocks.unpack_sorted(right["_keys"][0].as_py()), blocks.unpack(right["_values"][0].as_py())[0]
+        return _answers(left, [blocks.pack(value[np.searchsorted(every, blocks.unpack_sorted(x))]) for x in left["_keys"].to_pylist()])
 
     def answer_words(table: pa.Table) -> pa.Table:
         keys, every, n = together(table)
-        values = [blocks.pack(n[np.searchsorted(every, k)].astype("<u8")) for k in keys]
-        return _answers(table, values)
+        return _answers(table, [blocks.pack(n[np.searchsorted(every, k)].astype("<u8")) for k in keys])
 
     def count_words(table: pa.Table) -> pa.Table:
         n = together(table)[2]
@@ -209,7 +246,10 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
 
     schema = "_part int, _block int, _keys binary, _values binary"
     words_sent = sent.where("_part >= 0")
-    answered = pairs.groupBy("_part").applyInArrow(answer_grams, schema).unionByName(words_sent.groupBy("_part").applyInArrow(answer_words, schema))
+    values = trees.select("_part", "_keys", "_low").mapInArrow(judge, schema)
+    for grams_sent in reversed(lists[:-1]):
+        values = grams_sent.select("*", up).groupBy("_part", "_up").cogroup(values.groupBy("_part", "_block")).applyInArrow(hand_down, schema)
+    answered = values.unionByName(words_sent.groupBy("_part").applyInArrow(answer_words, schema))
     n_words, n_distinct = words_sent.groupBy("_part").applyInArrow(count_words, "_sum long, _distinct long").agg(F.coalesce(F.sum("_sum"), F.lit(0)), F.coalesce(F.sum("_distinct"), F.lit(0))).first()
     n_train, n_types = n_words + ends, n_distinct + (ends > 0)
     scale = float(np.log10(n_train + 0.5 * (n_types + 1)))
@@ -247,7 +287,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "
         join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
         return pa.table([left["_id"].combine_chunks(), left["_train"].combine_chunks(), join(n_tokens, np.int64), join(n_known, np.int64), join(base, float), join(total, float), join(size, np.int64)], ["_id", "_train", "n_tokens", "n_known", "_base", "score", "_size"])
 
-    out = dealt.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(lay, "_id long, _train boolean, n_tokens long, n_known long, _base double, score double, _size long")
+    out = dealt.groupBy("_block").cogroup(answered.repartitionById(n_blocks, "_block").groupBy("_block")).applyInArrow(lay, f"_id {kind}, _train boolean, n_tokens long, n_known long, _base double, score double, _size long")
     return out.select(
         F.col("_id").alias(id_col),
         (~F.col("_train")).alias("held_out"),
