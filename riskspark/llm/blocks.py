@@ -2,12 +2,14 @@
 
 Several operators ask of every word window of the corpus whether it also occurs elsewhere. Rows
 of one window each would cost many times the input in shuffled bytes. Instead documents are dealt
-into blocks of bounded size by the hash of their id; each block sends its distinct key hashes,
+into blocks of bounded size by a hash; each block sends its distinct key hashes,
 sorted and packed, to the ranges of the key space, and each range answers each block with the keys
 that matter. A key in a third of all documents is one key per block, so no range is hot.
 
-A row of documents is (_block, _id, _text). Documents with the same id are in one block; a null id
-is the block of the hash of null and sorts after all others."""
+A row of documents is (_block, _id, _text). Blocks and ranges are numbered and each is one partition, so the size
+of a task does not depend on the number of shuffle partitions. The block follows from id, text and the columns carried along, so rows with a
+null or a common id are spread; only rows that are equal in all of these share a block. Ids may be of any type that has an order; null
+sorts after all others."""
 
 from __future__ import annotations
 
@@ -26,10 +28,21 @@ def corpus_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
 
 
+def count_of(total: int, block: int = BLOCK) -> int:
+    """Blocks (or ranges) that so many bytes need."""
+    return max(8, -(-total // block))
+
+
 def deal(docs: DataFrame, total: int, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, more: tuple[str, ...] = ()) -> DataFrame:
-    """(_block, _id, _text) and more columns of all documents; there are as many blocks as the corpus needs."""
-    n = max(8, -(-total // block))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("_block"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *more)
+    """(_block, _id, _text) and more columns of all documents, each block in its own partition."""
+    n = count_of(total, block)
+    spread = F.xxhash64(F.col(id_col), F.col(text), *more)
+    rows = docs.select(F.pmod(spread, F.lit(n)).cast("int").alias("_block"), F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *more)
+    return rows.repartitionById(n, "_block")
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -113,8 +126,10 @@ def send(block: int, keys: np.ndarray, indexed: np.ndarray, n: int, bits: int) -
     )
 
 
-def repeated(sent: DataFrame) -> DataFrame:
-    """Answers (_block, _keys, _counts): its keys that occur at least twice in the corpus and are indexed somewhere, and how often they occur."""
+def repeated(sent: DataFrame, n: int, blocks: int) -> DataFrame:
+    """Answers (_block, _keys, _counts): its keys that occur at least twice in the corpus and are indexed somewhere, and how often they occur.
+
+    n: ranges; blocks: blocks, in whose partitions the answers lie."""
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("_block")
@@ -135,7 +150,7 @@ def repeated(sent: DataFrame) -> DataFrame:
                 out.append((b, pack_sorted(own), pack(count[np.searchsorted(mine, own)])))
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["_block", "_keys", "_counts"])
 
-    return sent.groupBy("_range").applyInArrow(answer, ANSWER_SCHEMA)
+    return sent.repartitionById(n, "_range").groupBy("_range").applyInArrow(answer, ANSWER_SCHEMA).repartitionById(blocks, "_block")
 
 
 def answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -16,16 +16,18 @@ Within a column, rows are compared with one of them first, the one with the fewe
 links are formed, and only rows still in different components are compared further. So a group of copies
 costs a number of entries in proportion to its rows, and no link between components is lost.
 
-The result has one row for each document: its number of n-grams and its component. Equal sets are
-merged first. Null, empty and blank texts have no n-grams and link with nothing. Rows with the same
-id are separate rows that share the id, which links nothing; null ids count as larger than all. Components
-of different texts may so have one component_id; _component tells them apart. Empty tables give no rows."""
+The result has one row for each document: its number of n-grams and its component. Equal sets (by two 64-bit digests and
+their size) are merged first. N-grams of a pair are compared by 64-bit hashes, of which two texts have too few for false equalities to
+matter. Null, empty and blank texts have no n-grams and link with nothing. A very long text is one document of its block.
+Rows with the same id are separate rows that share the id, which links nothing; null ids count as larger than all; ids are of any type
+with an order. Components of different texts may so have one component_id; _component tells them apart. Ties of similarity at the
+threshold link. Other columns are not looked at and may have any names. Empty tables give no rows."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm import blocks
@@ -33,7 +35,8 @@ from riskspark.llm.components import checkpoint, components
 from riskspark.llm.textwords import chunks, mix, window_starts, windows, words
 
 WORDS, PERCENT = 5, 80
-_LAST = 2**63 - 1
+#: Rows of one column in one task, about, where its rows are compared with each other.
+CELL = 512
 
 
 def _sets(table: pa.Table, n: int):
@@ -57,23 +60,24 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
 
     _text_key: hash of the text. _component: a name of the component of texts, null where a text links with none and has no copy."""
     total = blocks.corpus_size(docs, text)
-    dealt = blocks.deal(docs, total, id_col, text)
-    bits, parts = blocks.key_bits(total // 4), max(8, -(-total // blocks.BLOCK))
+    kind, n_blocks = blocks.id_type(docs, id_col), blocks.count_of(total)
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    dealt = blocks.deal(keyed.withColumn("_text_key", text_key("_text")), total, "_id", "_text", more=("_text_key",))
+    bits, parts = blocks.key_bits(total // 4), n_blocks
 
     def count(table: pa.Table) -> pa.Table:
         keys = [k >> np.uint64(64 - bits) for k in _sets(table, n)]
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         return blocks.send(table["_block"][0].as_py(), keys, np.ones(len(keys), bool), parts, bits)
 
-    shared = blocks.repeated(dealt.groupBy("_block").applyInArrow(count, blocks.REPEAT_SCHEMA))
-    fields = [("_id", pa.int64()), ("_text_key", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_first", pa.int32()), ("_keys", pa.list_(pa.int64()))]
+    shared = blocks.repeated(dealt.groupBy("_block").applyInArrow(count, blocks.REPEAT_SCHEMA), parts, n_blocks)
+    fields = [("_text_key", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_first", pa.int32()), ("_keys", pa.list_(pa.int64()))]
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
         out, known = {f: [] for f, _ in fields}, set()
         hit, often = blocks.answers(right)
-        for own, text_key, keys in zip(left["_id"].to_pylist(), left["_text_key"].to_pylist(), _sets(left, n), strict=True):
-            out["_id"].append(_LAST if own is None else own)
-            out["_text_key"].append(text_key)
+        for own, keys in zip(left["_text_key"].to_pylist(), _sets(left, n), strict=True):
+            out["_text_key"].append(own)
             out["_n"].append(len(keys))
             short = keys >> np.uint64(64 - bits)
             good = blocks.found(short, hit) if len(keys) else np.zeros(0, bool)
@@ -91,18 +95,21 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
             else:
                 for f in ("_s1", "_s2", "_first", "_keys"):
                     out[f].append(None)
-        return pa.table(out, pa.schema(fields))
+        return pa.table(out, pa.schema(fields)).add_column(0, "_id", left["_id"])
 
-    keyed = dealt.withColumn("_text_key", F.xxhash64("_text"))
-    rows = checkpoint(keyed.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, "_id long, _text_key long, _n long, _s1 long, _s2 long, _first int, _keys array<long>"))
+    rows = checkpoint(dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, f"_id {kind}, _text_key long, _n long, _s1 long, _s2 long, _first int, _keys array<long>"))
     same = ["_s1", "_s2", "_n"]
-    classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min("_id").alias("node"), F.first("_keys", ignorenulls=True).alias("keys"), F.first("_first").alias("first")))
-    nodes = classes.select(F.xxhash64(*same).alias("row"), "node", F.col("_n").alias("n"), F.size("keys").alias("shared"), "first", "keys")
+    node = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"))  # null ids come last
+    classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min(node).alias("node"), F.first("_keys", ignorenulls=True).alias("keys"), F.first("_first").alias("first")))
+    seed = _seed(classes, same)
+    nodes = classes.select(F.xxhash64(F.lit(seed), *same).alias("row"), "node", F.col("_n").alias("n"), F.size("keys").alias("shared"), "first", "keys")
     few = F.col("shared") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1  # as the smaller of a pair
     columns = nodes.select(F.posexplode(F.slice("keys", 1, F.col("first"))).alias("_at", "key"), "row", "n", "shared", few.alias("_few"))
     columns = columns.select("key", "row", "n", "shared", F.col("_at").alias("at"), (F.col("_at") < F.col("_few")).alias("early"))
-    met = columns.groupBy("key").agg(F.min("row").alias("_lo"), F.max("row").alias("_hi"), F.max("early").alias("_early")).where("_lo < _hi and _early").select("key")
-    met = checkpoint(columns.join(met, "key"))
+    met = columns.groupBy("key").agg(F.count("*").alias("_rows"), F.max("early").alias("_early")).where("_rows > 1 and _early")
+    # a column of many rows is dealt over cells by its rows, so none lands in one task
+    met = met.select("key", F.ceil(F.col("_rows") / CELL).cast("int").alias("cells"))
+    met = checkpoint(columns.join(met, "key").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int")))
     labels = nodes.select("row", F.col("row").alias("label"))
     links = tested = None
 
@@ -119,16 +126,21 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
             found = components(links)
             labels = checkpoint(nodes.select("row").join(found, F.col("row") == found["node"], "left").select("row", F.coalesce("component", "row").alias("label")))
         placed = met.join(labels, "row")
-        open_keys = placed.groupBy("key").agg(best, F.min("label").alias("_low"), F.max("label").alias("_top")).where("_low < _top")
-        at = placed.join(open_keys.select("key", "hub"), "key")
+        each = placed.groupBy("key", "cell").agg(best, F.min("label").alias("_low"), F.max("label").alias("_top"), F.first("cells").alias("cells"))
+        open_keys = each.groupBy("key").agg(F.max("hub").alias("hub"), F.min("_low").alias("_low"), F.max("_top").alias("_top"), F.first("cells").alias("cells")).where("_low < _top")
+        open_keys = open_keys.select("key", "hub", _cells("cells").alias("cell"))
+        at = placed.join(open_keys, ["key", "cell"])
         if last:
-            other = at.select("key", F.col("row").alias("y"), *[F.col(c).alias(f"_{c}") for c in ("n", "shared", "at", "label", "early")])
+            mine, theirs = at.withColumn("_cell", _cells("cells")), at.withColumn("_cell", F.col("cell")).drop("cell").withColumn("cell", _cells("cells"))
+            other = theirs.select("key", "cell", "_cell", F.col("row").alias("y"), *[F.col(c).alias(f"_{c}") for c in ("n", "shared", "at", "label", "early")])
             early = F.when(F.col("n") == F.col("_n"), F.col("early") | F.col("_early")).when(F.col("n") < F.col("_n"), F.col("early")).otherwise(F.col("_early"))
-            pairs = at.join(other, "key").where((F.col("label") < F.col("_label")) & early & fits(of(""), of("_"))).select(F.col("row").alias("x"), "y")
+            pairs = mine.join(other, ["key", "cell", "_cell"]).where((F.col("label") < F.col("_label")) & early & fits(of(""), of("_"))).select(F.col("row").alias("x"), "y")
         else:
             at = at.where(F.col("label") != F.col("hub.label"))
             if tested is not None:  # the best row has been compared; now the best one outside its component
-                at = at.drop("hub").join(at.groupBy("key").agg(best), "key").where(F.col("label") != F.col("hub.label"))
+                at = at.drop("hub")
+                hubs = at.groupBy("key", "cell").agg(best, F.first("cells").alias("cells")).groupBy("key").agg(F.max("hub").alias("hub"), F.first("cells").alias("cells"))
+                at = at.join(hubs.select("key", "hub", _cells("cells").alias("cell")), ["key", "cell"]).where(F.col("label") != F.col("hub.label"))
             at = at.where(fits(of(""), of("hub.")))
             pairs = at.select(F.col("hub.row").alias("x"), F.col("row").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
@@ -147,25 +159,43 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
         labels = nodes.select("row", "node", F.col("row").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     named = labels.join(smallest, "label").select("row", "component_id", "label")
-    out = rows.select("_id", "_text_key", "_n", F.when(F.col("_s1").isNotNull(), F.xxhash64(*same)).alias("_row"))
-    out = out.join(named, F.col("_row") == F.col("row"), "left").select("_id", "_text_key", F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), F.col("label").alias("_component"))
-    whole = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return out.select(whole("_id").alias(id_col), "n_shingles", whole("component_id").alias("component_id"), "_text_key", "_component")
+    out = rows.select("_id", "_text_key", "_n", F.when(F.col("_s1").isNotNull(), F.xxhash64(F.lit(seed), *same)).alias("_row"))
+    out = out.join(named, F.col("_row") == F.col("row"), "left")
+    component = F.when(F.col("label").isNotNull(), F.col("component_id.id")).otherwise(F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), "_text_key", F.col("label").alias("_component"))
+
+
+def text_key(text: str) -> Column:
+    """Hash of a text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _cells(of: str) -> Column:
+    """A row for each cell of a column."""
+    return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+
+def _seed(classes: DataFrame, digests: list[str]) -> int:
+    """A seed with which no two digests have one 64-bit hash, so that a row's number is its own."""
+    seed = 0
+    while not classes.groupBy(F.xxhash64(F.lit(seed), *digests).alias("h")).count().where("count > 1").isEmpty():
+        seed += 1
+    return seed
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component of texts the document with the smallest id, with all columns; of several texts of this id, and of its
-    rows with that text, one. Documents that link with nothing all stay, whatever their ids."""
-    each = classes.where("_component is not null").groupBy("_component", id_col, "_text_key").agg(F.count("*").alias("_n"))
-    least = each.groupBy("_component").agg(F.min(F.struct(F.col(id_col).isNull().alias("_last"), F.col(id_col).alias("_kept"), F.col("_text_key").alias("_key"), "_n")).alias("_one"))
-    alone = classes.where("_component is null").select(F.col(id_col).alias("_kept"), F.col("_text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    named = lambda kept: keyed.join(kept, keyed[id_col].cast("long").eqNullSafe(F.col("_kept")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    many = least.select("_one.*").where("_n > 1")
-    out = named(least.select("_one.*").where("_n = 1").select("_kept", "_key").union(alone))
+    rows with that text, one. Documents that link with nothing all stay, whatever their ids. Columns may have any names."""
+    each = classes.where("_component is not null").groupBy("_component", F.col(id_col).alias("id"), "_text_key").agg(F.count("*").alias("n"))
+    least = each.groupBy("_component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("kept"), F.col("_text_key").alias("kept_key"), "n")).alias("one"))
+    alone = classes.where("_component is null").select(F.col(id_col).alias("kept"), F.col("_text_key").alias("kept_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_key(text).alias("key"))
+    named = lambda kept: rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    many = least.select("one.*").where("n > 1")
+    out = named(least.select("one.*").where("n = 1").select("kept", "kept_key").union(alone))
     if not many.isEmpty():
-        out = out.union(named(many).dropDuplicates([id_col, "_text_key"]))
-    return out.drop("_text_key")
+        out = out.union(named(many).dropDuplicates(["id", "key"]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:

@@ -5,14 +5,16 @@ start at a smaller document id, or earlier in the same document. Every document
 non-overlapping blocks of window // 2 words, which are the index; any window holds a whole one.
 Every rolling run of as many words, of every document, is a probe. A window can only repeat if each
 index block inside it is found by a probe elsewhere, so hits extend to maximal repeats: stretches
-of windows of which every index block was hit. The windows of those stretches are compared by 64-bit
+of windows of which every index block was hit. The windows of those stretches are compared by two 64-bit
 hashes over the whole corpus, and all but the first of each are removed.
 
 Index, probes and windows travel as packed arrays between blocks of documents (blocks.py).
 
 Null and empty texts have no words and keep an empty text. Documents shorter than a window lose
-nothing. Rows with the same id are one document's versions in the order of their text; null ids come
-last. An empty table gives no rows."""
+nothing. A very long text is one document of its block, read in one piece. Of equal windows the one with the smallest id stays, then
+the first in its document; null ids come last. Rows with the same id are documents of their own, in an order that follows
+from id and text, so repeated rows lose what the first of them keeps. Ids are of any type with an order, and other columns may
+have any names. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm import blocks
-from riskspark.llm.textwords import chunks, window_starts, windows, words
+from riskspark.llm.textwords import chunks, mix, window_starts, windows, words
 
 WINDOW = 20
-_LAST = np.int64(2**63 - 1)  # stands for a null id
+#: Turns word hashes into others, for the second hash of a window.
+_SECOND = np.uint64(0xA24BAED4963EE407)
 
 
 def _probes(table: pa.Table, run: int, bits: int):
@@ -44,8 +47,8 @@ def _in_document(at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, places - at[row]
 
 
-def _candidates(table: pa.Table, hit: np.ndarray, window: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows all of whose index blocks were hit: hash, row, position, in the order of the rows."""
+def _candidates(table: pa.Table, hit: np.ndarray, window: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows all of whose index blocks were hit: two hashes, row, position, in the order of the rows."""
     run, out = window // 2, []
     for i, at, hashes, starts, keys in _probes(table, run, bits):
         if not len(starts):
@@ -63,12 +66,22 @@ def _candidates(table: pa.Table, hit: np.ndarray, window: int, bits: int) -> tup
         first = at_window + (-place) % run  # whole index blocks inside start from here up to window - run
         keep = missed[at_window + window - run + 1] == missed[first]
         where = at_window[keep]
-        out.append((windows(hashes, window)[where], row[keep] + i, place[keep]))
+        if len(where):
+            out.append((windows(hashes, window)[where], windows(mix(hashes ^ _SECOND), window)[where], row[keep] + i, place[keep]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _repeats(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """In that order, if a place has the keys of the one before."""
+    same = np.ones(len(order), bool)
+    for k in keys:
+        same[1:] &= k[order][1:] == k[order][:-1]
+    same[:1] = False
+    return same
+
+
 def _marks(block: int, row: np.ndarray, place: np.ndarray) -> tuple[int, bytes]:
     """Windows to remove, in order, as differences."""
     order = np.lexsort((place, row))
@@ -88,7 +101,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
         raise ValueError("a window has 4 words at least")
     total = blocks.corpus_size(docs, text)
     dealt, run = blocks.deal(docs, total, id_col, text, block, tuple(F.col(c).alias(f"_more_{c}") for c in more)), window // 2
-    bits, n = blocks.key_bits(total // 4), max(8, -(-total // blocks.BLOCK))
+    bits, n, n_blocks, kind = blocks.key_bits(total // 4), blocks.count_of(total), blocks.count_of(total, block), blocks.id_type(docs, id_col)
 
     def probe(table: pa.Table) -> pa.Table:
         keys, indexed = [], []
@@ -97,57 +110,57 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
             indexed.append(_in_document(at, starts)[1] % run == 0)
         return blocks.send(table["_block"][0].as_py(), np.concatenate(keys), np.concatenate(indexed), n, bits)
 
-    hits = blocks.repeated(dealt.groupBy("_block").applyInArrow(probe, blocks.REPEAT_SCHEMA))
+    hits = blocks.repeated(dealt.groupBy("_block").applyInArrow(probe, blocks.REPEAT_SCHEMA), n, n_blocks)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"_range": [], "_block": [], "_hashes": [], "_ids": [], "_marks": []}
         if left.num_rows and right.num_rows:
             own = left["_block"][0].as_py()
             table = blocks.in_order(left)
-            hashes, row, place = _candidates(table, blocks.answers(right)[0], window, bits)
-            ids = pc.fill_null(table["_id"].combine_chunks(), int(_LAST)).to_numpy(zero_copy_only=False)
-            _, first = np.unique(hashes, return_index=True)
-            later = np.ones(len(hashes), bool)
-            later[first] = False
-            if later.any():  # the first one is in this block, so these go in any case
+            hashes, second, row, place = _candidates(table, blocks.answers(right)[0], window, bits)
+            order = np.lexsort((np.arange(len(hashes)), second, hashes))
+            again = _repeats(order, hashes, second)
+            later, first = order[again], np.sort(order[~again])
+            if len(later):  # the first one is in this block, so these go in any case
                 out["_range"].append(-1 - own)
                 out["_block"].append(own)
                 out["_hashes"].append(None)
                 out["_ids"].append(None)
                 out["_marks"].append(_marks(own, row[later], place[later])[1])
-            first.sort()
-            hashes, row, place = hashes[first], row[first], place[first]
+            hashes, second, row, place = hashes[first], second[first], row[first], place[first]
             to = (hashes % np.uint64(n)).astype(np.int64)
             for k in np.unique(to).tolist():
                 mine = to == k
                 out["_range"].append(k)
                 out["_block"].append(own)
-                out["_hashes"].append(blocks.pack(hashes[mine]))
-                out["_ids"].append(blocks.pack(ids[row[mine]].astype(np.int64).view(np.uint64)))
+                out["_hashes"].append(blocks.pack(hashes[mine], second[mine]))
+                out["_ids"].append(table["_id"].take(pa.array(np.unique(row[mine]))).to_pylist())  # one for each row
                 out["_marks"].append(blocks.pack(row[mine].astype("<u4"), place[mine].astype("<u4")))
-        return pa.table(out, pa.schema([("_range", pa.int32()), ("_block", pa.int32()), ("_hashes", pa.binary()), ("_ids", pa.binary()), ("_marks", pa.binary())]))
+        return pa.table(out, pa.schema([("_range", pa.int32()), ("_block", pa.int32()), ("_hashes", pa.binary()), ("_ids", pa.list_(left.schema.field("_id").type)), ("_marks", pa.binary())]))
 
-    candidates = dealt.groupBy("_block").cogroup(hits.groupBy("_block")).applyInArrow(extend, "_range int, _block int, _hashes binary, _ids binary, _marks binary")
+    candidates = dealt.groupBy("_block").cogroup(hits.groupBy("_block")).applyInArrow(extend, f"_range int, _block int, _hashes binary, _ids array<{kind}>, _marks binary")
 
     def firsts(table: pa.Table) -> pa.Table:
         if table["_hashes"][0].as_py() is None:
             return table.select(["_block", "_marks"])
         table = table.sort_by("_block")
-        hashes = [blocks.unpack(x)[0] for x in table["_hashes"].to_pylist()]
-        ids = np.concatenate([blocks.unpack(x)[0] for x in table["_ids"].to_pylist()]).view(np.int64)
-        row, place = (np.concatenate(x) for x in zip(*[_places(x) for x in table["_marks"].to_pylist()], strict=True))
-        source = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        every = np.concatenate(hashes)
-        order = np.lexsort((place, row, source, ids, every))
-        first = np.diff(every[order], prepend=every[order][:1] ^ np.uint64(1)) != 0
-        later = order[~first]
+        hashes, second = (np.concatenate(x) for x in zip(*[blocks.unpack(x) for x in table["_hashes"].to_pylist()], strict=True))
+        ids = table["_ids"].combine_chunks()
+        rank = pc.rank(ids.values, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+        edges, places, who = ids.offsets.to_numpy(), [_places(x) for x in table["_marks"].to_pylist()], []
+        for k, (own, _) in enumerate(places):
+            who.append(rank[edges[k] : edges[k + 1]][np.searchsorted(np.unique(own), own)])
+        row, place = (np.concatenate(x) for x in zip(*places, strict=True))
+        source = np.repeat(np.arange(len(places)), [len(own) for own, _ in places])
+        order = np.lexsort((place, row, source, np.concatenate(who), second, hashes))
+        later = order[_repeats(order, hashes, second)]
         names, out = table["_block"].to_pylist(), []
         for s in np.unique(source[later]).tolist():
             mine = later[source[later] == s]
             out.append(_marks(names[s], row[mine], place[mine]))
         return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], ["_block", "_marks"])
 
-    marks = candidates.groupBy("_range").applyInArrow(firsts, "_block int, _marks binary")
+    marks = candidates.repartitionById(n, "_range").groupBy("_range").applyInArrow(firsts, "_block int, _marks binary").repartitionById(n_blocks, "_block")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         table = blocks.in_order(left)
@@ -174,20 +187,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
         return pa.table([table["_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *[table[c] for c in names]], ["_id", "n_words", "n_removed", "kept_text", *names])
 
     fields = "".join(f", `_more_{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
-    out = dealt.groupBy("_block").cogroup(marks.groupBy("_block")).applyInArrow(remove, f"_id long, n_words long, n_removed long, kept_text string{fields}")
+    out = dealt.groupBy("_block").cogroup(marks.groupBy("_block")).applyInArrow(remove, f"_id {kind}, n_words long, n_removed long, kept_text string{fields}")
     return out.withColumnRenamed("_id", id_col).withColumnsRenamed({f"_more_{c}": c for c in more})
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """The documents and their columns without repeated passages; a document of which every word goes, goes. A null text is an empty one then."""
-    others = tuple(c for c in docs.columns if c not in (id_col, text))
-    inner = {c: f"_{k}" for k, c in enumerate(others)}  # their names may be ours
-    out = dedup(docs.withColumnsRenamed(inner), id_col, text, window, more=tuple(inner.values()), as_it_is=True)
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in (id_col, text)}  # their names may be ours
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(own) for c, own in others.items()])
+    out = dedup(rows, "id", "text", window, more=tuple(others.values()), as_it_is=True)
     out = out.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
-    out = out.select(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col), F.col("kept_text").alias(text), *[F.col(v).alias(k) for k, v in inner.items()])
+    new = {id_col: F.col("id"), text: F.col("kept_text")} | {c: F.col(own) for c, own in others.items()}
     if chars in docs.columns:
-        out = out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
-    return out.select(*docs.columns)
+        new[chars] = F.length("kept_text").cast(docs.schema[chars].dataType)
+    return out.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:
