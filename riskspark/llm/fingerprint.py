@@ -6,11 +6,15 @@ smallest of both. From sketches come estimates of resemblance, of containment an
 distinct shingles; they are exact while a text has k shingles or fewer.
 
 A fingerprint is the base64 text of the sorted hashes as little-endian 64-bit integers. Null texts count as empty;
-their fingerprint is the empty string, and two empty fingerprints are alike (1.0)."""
+their fingerprint is the empty string, and two empty fingerprints are alike (1.0). A very long text is sketched in one piece.
+Repeated rows have fingerprints of their own, which are equal; ids are of any type with an order and only matter for what follows what.
+Other columns are left out and may have any names. An empty table gives no rows."""
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +23,14 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark.llm.textwords import chunks, window_starts, windows, words
 
 K, WORDS = 128, 5
-#: Characters of text in a range of neighbouring ids, about.
-RANGE = 12_000_000
+#: Characters of text in a range of neighbouring ids, about, and the most ranges: a larger corpus has larger ranges, whose rows are
+#: sorted with spill and read in batches, so that what the driver and a broadcast hold of them (edges, first ids) stays below a megabyte.
+RANGE, MOST_RANGES = 12_000_000, 20_000
 
 
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -133,37 +139,46 @@ def merged(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     return parts.select(key, "fingerprint").mapInPandas(fold, schema).repartition(key).sortWithinPartitions(key).mapInPandas(fold_sorted, schema)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = RANGE) -> DataFrame:
-    """Rows laid out so that each is followed by the next document in descending id order: (_range, _guest, _key, _id, _text),
+def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with _place, a number that never falls as ids rise, and the bytes of all texts. Numbers stand for themselves; of other ids
+    it is the first bytes of their text beyond what all begin with. Null ids lie below all others, spread by the hash of the text."""
+    kind = rows.schema["_id"].dataType
+    plain = F.col("_id").cast("double") if isinstance(kind, T.NumericType) else None
+    own = F.col("_id").cast("string")
+    total, low, first, last = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), *([F.min(plain), F.lit(""), F.lit("")] if plain is not None else [F.lit(0.0), F.min(own), F.max(own)])).first()
+    if plain is None:
+        alike = len(os.path.commonprefix([(first or "").encode(), (last or "").encode()]))
+        six = F.rpad(F.hex(F.substring(own.cast("binary"), alike + 1, 6)), 12, "0")
+        plain = F.conv(six, 16, 10).cast("double")
+    low = low or 0.0
+    spread = (F.xxhash64("_text") / 2.0**64) + 0.5
+    return rows.withColumn("_place", F.coalesce(plain, F.lit(low) - F.lit(abs(low) * 1e-6 + 1.0) * (spread + 1.0))), total
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = RANGE, most: int = MOST_RANGES) -> DataFrame:
+    """Rows laid out so that each is followed by the next document in descending id order: (_range, _guest, _place, _id, _text),
     sorted within partitions. The last row of a range is a guest, a copy of the first row of the range below
-    (below the last one: of the very first). A null id is below all others; rows of one id are ordered by text.
-
-    The ranges' edges and first ids are as many numbers as there are ranges, so the driver and a broadcast may hold them."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    n = max(12, -(-total // span))
-    keys = rows.select(F.col("_key").cast("double").alias("_double"))
-    edges = sorted(set(keys.approxQuantile("_double", [i / n for i in range(1, n)], 0.2 / n) or []))
+    (below the last one: of the very first). Null ids are below all others, in the order of their texts' hashes; rows of one id are ordered by text."""
+    rows, total = _placed(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    n = min(max(12, -(-total // span)), most)
+    edges = sorted(set(rows.approxQuantile("_place", [i / n for i in range(1, n)], 0.2 / n) or []))
     placed = rows.withColumn("_range", F.lit(0))
     if edges:
-        cut = Bucketizer(splits=[-np.inf, *edges, np.inf], inputCol="_double", outputCol="_bucket")
-        placed = cut.transform(rows.withColumn("_double", F.col("_key").cast("double"))).withColumn("_range", F.col("_bucket").cast("int")).drop("_double", "_bucket")
-    tops = [(r["_range"], r["_top"]) for r in placed.groupBy("_range").agg(F.max("_key").alias("_top")).collect()]
-    tops.sort()
+        cut = Bucketizer(splits=[-np.inf, *edges, np.inf], inputCol="_place", outputCol="_bucket")
+        placed = cut.transform(rows).withColumn("_range", F.col("_bucket").cast("int")).drop("_bucket")
+    tops = sorted((r["_range"], r["_top"]) for r in placed.groupBy("_range").agg(F.max("_place").alias("_top")).collect())  # a row for each range
     up = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    guests = docs.sparkSession.createDataFrame(up, "_top long, _to int")
-    placed = placed.join(F.broadcast(guests), F.col("_key") == F.col("_top"), "left")
+    guests = docs.sparkSession.createDataFrame(up, "_top double, _to int")
+    placed = placed.join(F.broadcast(guests), F.col("_place") == F.col("_top"), "left")  # as many rows as ranges, MOST_RANGES at most
     here = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))
     there = F.struct(F.col("_to").alias("range"), F.lit(True).alias("guest"))
     placed = placed.withColumn("_at", F.explode(F.when(F.col("_to").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
-    placed = placed.select(F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest"), "_key", "_id", "_text")
-    return placed.repartition(n, "_range").sortWithinPartitions("_range", "_guest", F.desc("_key"), F.desc("_text"))
+    placed = placed.select(F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest"), "_place", "_id", "_text")
+    return placed.repartitionById(n, "_range").sortWithinPartitions("_range", "_guest", F.desc("_place"), F.desc_nulls_last("_id"), F.desc("_text"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, n: int = WORDS) -> DataFrame:
     """Fingerprints of each text, of the text whose last half is replaced by the start of the next document, and their likeness."""
-    import hashlib
-
     laid = with_next(docs, id_col, text)
     kind = laid.schema["_id"].dataType.simpleString()
     names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
