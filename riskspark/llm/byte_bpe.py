@@ -4,11 +4,13 @@ A word is a piece of text from one blank to the next, with the blank before it;
 never matches across such a cut, so the words of a text can be encoded apart. Each segment of
 documents is exploded into words with positions; its distinct words go, packed, to the ranges of the
 words' hash, where each distinct word is encoded once (every match of the pattern separately). The
-ids come back to the segment and are laid out by position. Decoding joins ids with the token bytes.
+ids come back to the segment and are laid out by position. Decoding joins ids with the token bytes: within the task of a segment,
+once for each distinct word (encode), or by a join of a table of ids (decode).
 
-A frequent word travels once per segment, so none is hot. Segments have a bounded number of
-characters. Null texts count as empty and have no ids; long texts make a segment of their own;
-repeated rows are encoded like others; an empty table gives no rows."""
+A frequent word travels once per segment, so none is hot. Segments and ranges have a bounded number of
+characters, so there are more of them for more text. Null texts count as empty and have no ids; long texts make a segment of their own;
+repeated rows, and rows with null or equal ids, are encoded like others; ids are of any type; other columns are left out and may have
+any names; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -27,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.blocks import pack, unpack
+from riskspark.llm.blocks import corpus_size, count_of, pack, unpack
 
-#: Characters of text in a segment, about.
-SEGMENT = 32_000_000
+#: Characters of text in a segment, about, and bytes of text for a range of words.
+SEGMENT, RANGE = 32_000_000, 16_000_000
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _known: dict = {}
 
@@ -109,7 +111,8 @@ def _words(body: bytes) -> list[bytes]:
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, segment: int = SEGMENT, decode: bool = True) -> DataFrame:
     """id_col, n_tokens, ids (little-endian 32-bit integers) and, if asked for, decoded (bytes)."""
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    total = corpus_size(docs, text)
+    ranges, segments = count_of(total, RANGE), count_of(total, segment)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
@@ -186,8 +189,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         return pa.table([docs, pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["_id", "n_tokens", "ids", "decoded"])
 
     sent = rows.mapInArrow(explode, f"_range long, _segment long, _part long, _docs array<{kind}>, _body binary")
-    encoded = sent.groupBy("_range").applyInArrow(once, f"_segment long, _part long, _docs array<{kind}>, _body binary")
-    out = encoded.groupBy("_segment").applyInArrow(lay, f"_id {kind}, n_tokens long, ids binary, decoded binary")
+    encoded = sent.repartition(ranges, "_range").groupBy("_range").applyInArrow(once, f"_segment long, _part long, _docs array<{kind}>, _body binary")
+    out = encoded.repartition(segments, "_segment").groupBy("_segment").applyInArrow(lay, f"_id {kind}, n_tokens long, ids binary, decoded binary")
     return (out if decode else out.drop("decoded")).withColumnRenamed("_id", id_col)
 
 
