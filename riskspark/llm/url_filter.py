@@ -2,8 +2,10 @@
 on hashed character n-grams of host and path for the rest.
 
 A null URL, or one without ://, has an empty host and path; no rule fits it and the classifier
-judges it by its bias alone. Repeated rows are judged alike; an empty table gives no rows (and
-needs a model or labels, else every verdict of the classifier is allow)."""
+judges it by its bias alone. Of rules that fit, the one with the longest name (host and path) wins, and of equally long ones the last
+by name. A score at the threshold blocks. Repeated rows, and rows with null or equal ids, are judged alike; a URL of any length is read in a number of steps in
+proportion. Other columns are kept, of any names; those named host, path, rule, verdict and block_score are replaced. An empty table gives no
+rows (and needs a model or labels, else every verdict of the classifier is allow)."""
 
 from __future__ import annotations
 
@@ -69,8 +71,7 @@ def ngrams(at_host: Column, at_path: Column, sizes: Sequence[int] = NGRAMS) -> C
     """Character n-grams of host and path, each marked with the part it is from."""
 
     def cut(framed: Column, mark: str, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(framed) - n + 1)
-        return F.when(F.length(framed) >= n, F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.regexp_extract_all(framed, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.concat(F.lit(mark), g))
 
     def part(text: Column, mark: str) -> Column:
         return F.concat(*[cut(F.concat(F.lit("^"), text, F.lit("$")), mark, n) for n in sizes])
@@ -89,6 +90,7 @@ def train(labelled: DataFrame, features: int = FEATURES, most: int = MOST_LABELL
     sample = sample.groupBy("host", "path").agg(F.max("label").alias("label")).orderBy(F.xxhash64("host", "path"), "host", "path").limit(most)
     sample = _features(sample, features).select("label", "_vector").coalesce(1).cache()
     if sample.select("label").distinct().count() < 2:
+        sample.unpersist()
         return None
     fit = LogisticRegression(labelCol="label", featuresCol="_vector", predictionCol="_said", probabilityCol="_p", rawPredictionCol="_raw", regParam=0.002, maxIter=iterations)
     model = fit.fit(sample)
@@ -98,13 +100,15 @@ def train(labelled: DataFrame, features: int = FEATURES, most: int = MOST_LABELL
 
 def judge(urls: DataFrame, url: str = "url", rules: Sequence[UrlRule] = RULES, model: LogisticRegressionModel | None = None, features: int = FEATURES, threshold: float = 0.5) -> DataFrame:
     """All rows with host, path, rule, verdict and block_score (of the classifier)."""
-    df = urls.withColumns({"host": host(F.col(url)), "path": path(F.col(url))}).withColumn("_rule", matched(F.col("host"), F.col("path"), rules))
-    if model is None:
-        df = df.withColumn("block_score", F.lit(0.0))
-    else:
-        df = model.transform(_features(df, features)).withColumn("block_score", vector_to_array("_p")[1]).drop("_grams", "_vector", "_raw", "_p", "_said")
+    kept = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score")]
+    df = urls.select(F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`") for c in kept]).alias("row"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    df = df.withColumn("matched", matched(F.col("host"), F.col("path"), rules))
+    score = F.lit(0.0)
+    if model is not None:
+        df, score = model.transform(_features(df, features)), vector_to_array("_p")[1]
+    df = df.withColumn("block_score", score)
     said = F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return df.withColumns({"rule": F.col("_rule.name"), "verdict": F.coalesce("_rule.verdict", said)}).drop("_rule")
+    return df.select(*[F.col("row").getField(c).alias(c) for c in kept], "host", "path", F.col("matched.name").alias("rule"), F.coalesce("matched.verdict", said).alias("verdict"), "block_score")
 
 
 def url_query(spark, sf_dir: str) -> DataFrame:
