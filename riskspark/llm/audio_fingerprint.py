@@ -7,11 +7,14 @@ agree on an offset (a histogram of offsets) and the packed integers there differ
 else over a stretch of it, so a passage that two recordings share is found whatever stands around it.
 
 Recordings with equal fingerprints are merged into classes before any comparison, so copies cost and return one row each.
-The search takes a set of query recordings against all classes, in blocks of both; a block of the grid is one task's arrays.
+The search takes a stated set of query recordings against all classes, in blocks of both; a block of the grid is one task's arrays, and
+the equal integers of a query and a block are counted a bounded number at a time, so a common integer (silence) costs time, not memory.
 Every class that matches is returned, the query's own one too; the rank only orders them.
 
-A null or empty recording has no frames and no integers, matches nothing and has a null class. One shorter than a filter is padded with
-silence. An empty table gives no rows. Repeated keys are recordings of their own class or share it."""
+A null or empty recording has no frames and no integers and matches nothing. One shorter than a filter is padded with
+silence. A very long recording is one row, heard in one piece. Of alignments of equal votes the longest counts, then the one with the fewest
+errors, then the lowest offset. Repeated rows are recordings of one class; rows with null or repeated keys are recordings of their own.
+Columns besides keys and audio are left out; no column may be named n_frames or items. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -34,7 +37,10 @@ WIDTH, SMOOTH = 12, np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 FILTERS = tuple((("time", "pitch", "both", "middle")[i % 4], (5 * i) % 9, 3 + (i * 7) % 10 if (5 * i) % 9 + 3 + (i * 7) % 10 <= 12 else 3, (4, 6, 8, 12)[i // 4]) for i in range(16))
 CUTS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: What a match needs at one offset: equal integers, share of differing bits at most, positions.
 VOTES, MOST_ERRORS, OVERLAP = 3, 0.2, 6
+#: Equal integers that are counted at once.
+AT_ONCE = 4_000_000
 #: Packed integers in a block of recordings and in a block of queries, about.
 BLOCK_ITEMS, QUERY_ITEMS = 1_500_000, 1_000_000
 
@@ -125,18 +131,18 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return len(wrong), float(wrong.sum()) / (32 * len(wrong)) if len(wrong) else 1.0
 
 
-def stretch(wrong: np.ndarray, least: int, votes: int) -> tuple[int, int, float] | None:
+def stretch(wrong: np.ndarray, least: int, votes: int, most_errors: float = MOST_ERRORS, around: int = OVERLAP) -> tuple[int, int, float] | None:
     """Equal integers, length and share of differing bits of what matches at an offset, of `least` positions with so many votes.
 
-    It is the whole overlap if few of its bits differ, and else the longest run of positions around which, OVERLAP of them
+    It is the whole overlap if few of its bits differ, and else the longest run of positions around which, `around` of them
     averaged, few bits differ."""
     n = len(wrong)
     total, equal = np.concatenate([[0], wrong.cumsum(dtype=np.int64)]), np.concatenate([[0], (wrong == 0).cumsum()])
     a, b = np.array([0]), np.array([n])
-    if total[-1] > MOST_ERRORS * 32 * n:
+    if total[-1] > most_errors * 32 * n:
         at = np.arange(n)
-        low, high = np.maximum(at - OVERLAP // 2, 0), np.minimum(at - OVERLAP // 2 + OVERLAP, n)
-        good = total[high] - total[low] <= MOST_ERRORS * 32 * (high - low)
+        low, high = np.maximum(at - around // 2, 0), np.minimum(at - around // 2 + around, n)
+        good = total[high] - total[low] <= most_errors * 32 * (high - low)
         edges = np.flatnonzero(np.diff(good, prepend=False, append=False))
         a, b = edges[::2], edges[1::2]
     fits = (b - a >= max(1, least)) & (equal[b] - equal[a] >= votes)
@@ -147,7 +153,23 @@ def stretch(wrong: np.ndarray, least: int, votes: int) -> tuple[int, int, float]
     return int(equal[b[k]] - equal[a[k]]), int(b[k] - a[k]), float(total[b[k]] - total[a[k]]) / (32 * int(b[k] - a[k]))
 
 
-def _grid(left: pa.Table, right: pa.Table) -> list[tuple]:
+def _histogram(query: np.ndarray, every: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset) pairs, packed, and how many equal integers each has; the integers of the block are sorted."""
+    a, b = np.searchsorted(every, query, "left"), np.searchsorted(every, query, "right")
+    n = b - a
+    ends, bins, votes = np.cumsum(n), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    for low in range(0, total, AT_ONCE):
+        k = np.arange(low, min(low + AT_ONCE, total))
+        own = np.searchsorted(ends, k, "right")
+        at = a[own] + k - (ends[own] - n[own])
+        some, count = np.unique((row[at] << 32) + (place[at] - own + (1 << 31)), return_counts=True)
+        bins, inverse = np.unique(np.concatenate([bins, some]), return_inverse=True)
+        votes = np.bincount(inverse, np.concatenate([votes, count]), len(bins)).astype(np.int64)
+    return bins, votes
+
+
+def _grid(left: pa.Table, right: pa.Table, votes: int = VOTES, most_errors: float = MOST_ERRORS, overlap: int = OVERLAP) -> list[tuple]:
     """The alignment of each pair of a block of queries and a block of classes: query, class, offset, overlap, votes, errors.
     Of several offsets it is the one with the most votes, then the longest, then the one with the fewest errors."""
     own = [np.frombuffer(x, "<u4") for x in left["items"].to_pylist()]
@@ -160,53 +182,49 @@ def _grid(left: pa.Table, right: pa.Table) -> list[tuple]:
     out = []
     for name, raw in zip(right["class_id"].to_pylist(), right["items"].to_pylist(), strict=True):
         query = np.frombuffer(raw, "<u4")
-        a, b = np.searchsorted(every, query, "left"), np.searchsorted(every, query, "right")
-        n = b - a
-        if not n.sum():
-            continue
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        offset = place[at] - np.repeat(np.arange(len(query)), n)
-        bins, votes = np.unique(row[at] * (1 << 32) + (offset + (1 << 31)), return_counts=True)
-        least = min(VOTES, len(query))
-        good = votes >= least
+        bins, count = _histogram(query, every, row, place)
+        least = min(votes, len(query))
+        bins = bins[count >= least]
         best: dict[int, tuple] = {}
-        for r, off in zip((bins[good] >> 32).tolist(), ((bins[good] & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True):
-            fits = stretch(differing(own[r], query, off), min(OVERLAP, len(query), len(own[r])), least)
+        for r, off in zip((bins >> 32).tolist(), ((bins & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True):
+            fits = stretch(differing(own[r], query, off), min(overlap, len(query), len(own[r])), least, most_errors, overlap)
             if fits:
                 best[r] = min(best.get(r, (1,)), (-fits[0], -fits[1], fits[2], off))
-        out += [(name, names[r], off, -overlap, -v, errors) for r, (v, overlap, errors, off) in best.items()]
+        out += [(name, names[r], off, -length, -v, errors) for r, (v, length, errors, off) in best.items()]
     return out
 
 
-def search(prints: DataFrame, is_query, keys: list[str]) -> DataFrame:
-    """One row per query recording and match: the keys, class_id, rank, match_class, copies, offset, overlap, votes, bit_errors.
+def search(prints: DataFrame, is_query, keys: list[str], votes: int = VOTES, most_errors: float = MOST_ERRORS, overlap: int = OVERLAP) -> DataFrame:
+    """One row per query recording and match: the keys, class_id, rank, match_class, copies, n_matches, offset, overlap, votes, bit_errors.
 
-    prints: from fingerprint(). is_query: a condition on its columns. Classes are named by their smallest keys, in a struct.
-    offset: the place in the match at which the query starts (below zero if the match starts later). overlap, votes and bit_errors
-    are of what matches at that offset, see stretch(). rank: by votes, then overlap, then bit errors."""
-    heard = prints.where(F.length("items") > 0).withColumn("_digest", F.sha2("items", 256))
-    classes = heard.groupBy("_digest").agg(F.min(F.struct(*keys)).alias("class_id"), F.first("items").alias("items"), F.count("*").alias("copies"), F.max(is_query.cast("int")).alias("_asked"))
-    classes = checkpoint(classes)
-    total, asked = classes.agg(F.coalesce(F.sum(F.length("items")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_asked") == 1, F.length("items"))), F.lit(0))).first()
+    prints: from fingerprint(); they are worked out once and written down. is_query: a condition on their columns. Classes are named by
+    their smallest keys, in a struct. votes, most_errors, overlap: what a match needs; all that have it are returned (votes = 1 takes
+    every offset at which any integer is equal). offset: the place in the match at which the query starts (below zero if the match starts
+    later). overlap, votes and bit_errors are of what matches at that offset, see stretch(). rank: by votes, then overlap, then bit errors."""
+    one = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    heard = checkpoint(prints.where(F.length("items") > 0).select(one.alias("keys"), "items", F.sha2("items", 256).alias("digest"), F.coalesce(is_query.cast("int"), F.lit(0)).alias("asked")))
+    classes = checkpoint(heard.groupBy("digest").agg(F.min("keys").alias("class_id"), F.first("items").alias("items"), F.count("*").alias("copies"), F.max("asked").alias("asked")))
+    total, asked = classes.agg(F.coalesce(F.sum(F.length("items")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("asked") == 1, F.length("items"))), F.lit(0))).first()
     n, m = max(8, -(-total // (4 * BLOCK_ITEMS))), max(1, -(-asked // (4 * QUERY_ITEMS)))
-    part = lambda k, seed: F.pmod(F.xxhash64(F.lit(seed), "_digest"), F.lit(k)).cast("int")
-    left = classes.select(part(n, 1).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_q"), F.col("_digest").alias("class_id"), "items")
-    right = classes.where("_asked = 1").select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"), part(m, 2).alias("_q"), F.col("_digest").alias("class_id"), "items")
+    part = lambda k, seed: F.pmod(F.xxhash64(F.lit(seed), "digest"), F.lit(k)).cast("int")
+    left = classes.select(part(n, 1).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_q"), F.col("digest").alias("class_id"), "items")
+    right = classes.where("asked = 1").select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"), part(m, 2).alias("_q"), F.col("digest").alias("class_id"), "items")
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = _grid(a, b) if a.num_rows and b.num_rows else []
+        found = _grid(a, b, votes, most_errors, overlap) if a.num_rows and b.num_rows else []
         columns = list(zip(*found, strict=True)) if found else [[]] * 6
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_query", "_match", "offset", "overlap", "votes", "bit_errors"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query", "match", "offset", "overlap", "votes", "bit_errors"])
 
-    found = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInArrow(cell, "_query string, _match string, offset long, overlap long, votes long, bit_errors double")
-    order = Window.partitionBy("_query").orderBy(F.desc("votes"), F.desc("overlap"), "bit_errors", "_match")
-    found = found.withColumn("rank", F.row_number().over(order))
-    names = classes.select("_digest", "class_id", "copies")
-    found = found.join(names.select(F.col("_digest").alias("_match"), F.col("class_id").alias("match_class"), "copies"), "_match")
-    members = heard.where(is_query).select(*keys, F.col("_digest").alias("_query"))
-    own = names.select(F.col("_digest").alias("_query"), "class_id")
-    return members.join(own, "_query").join(found, "_query").select(*keys, "class_id", "rank", "match_class", "copies", "offset", "overlap", "votes", "bit_errors")
+    found = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInArrow(cell, "query string, match string, offset long, overlap long, votes long, bit_errors double")
+    mine = Window.partitionBy("query")
+    order = mine.orderBy(F.desc("votes"), F.desc("overlap"), "bit_errors", "match")
+    found = found.withColumns({"rank": F.row_number().over(order), "n_matches": F.count("*").over(mine)})
+    found = found.join(classes.select(F.col("digest").alias("match"), F.col("class_id").alias("match_class"), "copies"), "match")
+    members = heard.where("asked = 1").select("keys", F.col("digest").alias("query"))
+    named = members.join(classes.select(F.col("digest").alias("query"), "class_id"), "query").join(found, "query")
+    whole = lambda c: F.struct(*[F.col(c).getField(f"k{i}").alias(k) for i, k in enumerate(keys)]).alias(c)
+    return named.select(*[F.col("keys").getField(f"k{i}").alias(k) for i, k in enumerate(keys)], whole("class_id"), "rank", whole("match_class"), "copies", "n_matches", "offset", "overlap", "votes", "bit_errors")
 
 
 @lru_cache
@@ -228,4 +246,4 @@ def recordings_query(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     prints = fingerprint(turns, ["conv_id", "turn"], "text", decode=played)
     found = search(prints, F.col("conv_id") % 50 == 0, ["conv_id", "turn"])
-    return found.select("conv_id", "turn", F.col("class_id.conv_id").alias("class_conv_id"), F.col("class_id.turn").alias("class_turn"), "rank", F.col("match_class.conv_id").alias("match_conv_id"), F.col("match_class.turn").alias("match_turn"), "copies", "offset", "overlap", "votes", "bit_errors")
+    return found.select("conv_id", "turn", F.col("class_id.conv_id").alias("class_conv_id"), F.col("class_id.turn").alias("class_turn"), "rank", F.col("match_class.conv_id").alias("match_conv_id"), F.col("match_class.turn").alias("match_turn"), "copies", "n_matches", "offset", "overlap", "votes", "bit_errors")
