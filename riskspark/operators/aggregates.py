@@ -43,10 +43,10 @@ def standard_score(df: DataFrame, value: str, name: str, population: bool = Fals
     return df.join(F.broadcast(stats)).withColumn(name, score).drop("_mean", "_spread")
 
 
-def fractional_rank(df: DataFrame, value: str, name: str, parts: int = 200) -> DataFrame:
-    """Rank over all rows as a share of non-null ones, ties at their mean. Distinct values are counted, the counts are summed by
+def fractional_rank(df: DataFrame, value: str, name: str, parts: int = 200, weight: str | None = None) -> DataFrame:
+    """Rank over all rows as a share of non-null ones, ties at their mean; a row counts as `weight` rows. Distinct values are counted, the counts are summed by
     ranges between approximate quantiles, and then inside each range; so no task sorts all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     edges = counts.agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 10_000).alias("_edges"))  # one row
     ranged = counts.join(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
     sums = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))  # one row for each range

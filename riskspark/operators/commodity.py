@@ -60,11 +60,19 @@ def synthetic_days(bars: DataFrame, days: DataFrame, key: str = "commodity", his
     return spine.select(key, "date", *columns).groupBy(key).applyInPandas(fill, schema)
 
 
+def exposed_days(companies: DataFrame, weights: DataFrame, values: DataFrame) -> DataFrame:
+    """(commodity, date, _weight): how many exposures a commodity has on a date. Companies are counted by sector before they meet commodities."""
+    counted = values.join(companies.select("ticker", "sector"), "ticker").groupBy("sector", "date").agg(F.count("*").alias("_weight"))
+    return counted.join(weights.select("sector", "commodity"), "sector").groupBy("commodity", "date").agg(F.sum("_weight").alias("_weight"))
+
+
 def commodity_exposure(companies: DataFrame, weights: DataFrame, features: DataFrame, values: DataFrame) -> DataFrame:
-    """Exposure, hedge ratio by rank of volatility, and hedged profit of tickers: sector weights, commodity days, daily market values."""
-    df = companies.join(weights, "sector").join(features, "commodity", "left").join(values, ["ticker", "date"])
+    """Exposure, hedge ratio by rank of volatility, and hedged profit of tickers: sector weights, commodity days, daily market values.
+
+    The rank is over all exposures; a commodity's day is ranked once, weighted by its exposures, and exposures are joined once."""
+    ranked = fractional_rank(features.join(exposed_days(companies, weights, values), ["commodity", "date"]), "vol_20d", "_rank", weight="_weight").drop("_weight")
+    df = companies.join(weights, "sector").join(ranked, "commodity").join(values, ["ticker", "date"])
     df = df.withColumns({"mtm_value": F.coalesce("mtm_value", F.lit(0.0)), "daily_return": F.coalesce("daily_return", F.lit(0.0))})
-    df = fractional_rank(df, "vol_20d", "_rank")
     scale = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.col("commodity")), F.lit(DEFAULT_SCALE))
     df = df.withColumns({"hedge_ratio": S.clip(0.2 + 0.6 * F.col("_rank"), 0, 1), "commodity_scale": scale})
     df = df.withColumn("exposure_amount", F.col("sensitivity") * F.col("mtm_value") * F.col("commodity_scale"))

@@ -1,12 +1,20 @@
 """Intraday metrics over the last minutes of a key's ticks, and exposures of positions to them.
 
-The buffer of a tick is the last `rows` ticks of its key up to itself, in arrival order; windows of minutes are cut from it. A
-range frame would also admit later ticks of the same minute, so the buffer is a frame of rows."""
+The buffer of a tick is the last `rows` ticks of its key up to itself, in their order; windows of minutes are cut from it. A
+range frame would also admit later ticks of the same minute, so the buffer is a frame of rows.
+
+A key's ticks may be most of all ticks, so no window is over a whole key: ticks are numbered within slots of time, the numbers before a slot
+come from the slots' counts, and a key's ticks are dealt by number into chunks that begin with the rows - 1 ticks before them."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from riskspark.functions import scalars as S
@@ -15,64 +23,82 @@ from riskspark.operators.filters import bar_error
 
 ROWS, FX_ROWS, MINUTES = 120, 60, (1, 5, 15)
 EQUITY_METRICS = ("return_1m", "return_5m", "vol_15m", "range_pct_1m", "rolling_vwap_5m", "close_diff", "rolling_high_5m", "rolling_low_5m", "trend_slope_5m", "breakout_strength", "volume_burst")
-
-
-def _walk(buffer: Column, cutoffs: tuple[Column, Column, Column]) -> Column:
-    """One pass over a buffer: counts, first closes, sums and bounds of its windows, the sums of log returns inside the
-    longest one, and the last but one close."""
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    start = F.struct(
-        *[F.lit(0).alias(c) for c in ("na", "nb", "nc", "nr")], *[none.alias(c) for c in ("fa", "fb", "top", "low", "before", "last", "kept")], *[zero.alias(c) for c in ("volume", "value", "s1", "s2")]
-    )
-
-    def step(acc: Column, r: Column) -> Column:
-        a, b, c = (r["m"] >= x for x in cutoffs)
-        gain = F.when(c & (acc["nc"] > 0) & (acc["kept"] != 0), F.log1p((r["close"] - acc["kept"]) / acc["kept"]))
-        return F.struct(
-            (acc["na"] + a.cast("int")).alias("na"),
-            (acc["nb"] + b.cast("int")).alias("nb"),
-            (acc["nc"] + c.cast("int")).alias("nc"),
-            (acc["nr"] + gain.isNotNull().cast("int")).alias("nr"),
-            F.when(a & (acc["na"] == 0), r["close"]).otherwise(acc["fa"]).alias("fa"),
-            F.when(b & (acc["nb"] == 0), r["close"]).otherwise(acc["fb"]).alias("fb"),
-            F.when(b, F.greatest(acc["top"], r["high"])).otherwise(acc["top"]).alias("top"),
-            F.when(b, F.least(acc["low"], r["low"])).otherwise(acc["low"]).alias("low"),
-            acc["last"].alias("before"),
-            r["close"].alias("last"),
-            F.when(c, r["close"]).otherwise(acc["kept"]).alias("kept"),
-            (acc["volume"] + F.when(b, r["volume"]).otherwise(0.0)).alias("volume"),
-            (acc["value"] + F.when(b, r["close"] * r["volume"]).otherwise(0.0)).alias("value"),
-            (acc["s1"] + F.coalesce(gain, zero)).alias("s1"),
-            (acc["s2"] + F.coalesce(gain * gain, zero)).alias("s2"),
-        )
-
-    return F.aggregate(buffer, start, step)
+#: Ticks of a key in a chunk, and microseconds of a slot of time.
+CHUNK, SLOT = 4096, 3_600_000_000
+
+
+def window_metrics(minute: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, volume: np.ndarray, rows: int = ROWS, minutes: Sequence[int] = MINUTES) -> dict[str, np.ndarray]:
+    """EQUITY_METRICS of one key's ticks in order, each over the last `rows` of them; NaN where there is none."""
+    n, out = len(close), {name: np.full(len(close), np.nan) for name in EQUITY_METRICS}
+    with np.errstate(all="ignore"):
+        gain = np.log1p(np.diff(close, prepend=np.nan) / np.concatenate([[np.nan], close[:-1]]))
+    gain[~np.isfinite(gain)] = np.nan
+    framed = lambda x, fill: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(rows - 1, fill), x]), rows)
+    frames = [framed(minute.astype(float), -np.inf), *(framed(x, np.nan) for x in (close, high, low, volume, gain))]
+    for at in range(0, n, CHUNK):
+        own = slice(at, min(at + CHUNK, n))
+        m, c, h, lo, v, g = (f[own] for f in frames)
+        now, last, vol = minute[own].astype(float), close[own], volume[own]
+        some = [m >= (now - k)[:, None] for k in minutes]
+        count = [x.sum(1) for x in some]
+        line = np.arange(len(now))
+        first = [np.where(k >= 2, c[line, x.argmax(1)], np.nan) for k, x in zip(count, some, strict=True)]
+        first = [np.where(x == 0, np.nan, x) for x in first]
+        _, five, long = some
+        with np.errstate(all="ignore"):
+            out["return_1m"][own], out["return_5m"][own] = (last - first[0]) / first[0], (last - first[1]) / first[1]
+            out["range_pct_1m"][own] = (high[own] - low[own]) / first[0]
+            out["trend_slope_5m"][own] = (last - first[1]) / 5
+            out["close_diff"][own] = last - c[:, -2] if rows > 1 else np.nan
+            both = long[:, 1:] & long[:, :-1] & ~np.isnan(g[:, 1:])
+            steps = both.sum(1)
+            mean = np.where(both, g[:, 1:], 0).sum(1) / steps
+            out["vol_15m"][own] = np.sqrt(np.where(both, (g[:, 1:] - mean[:, None]) ** 2, 0).sum(1) / steps)
+            volumes = np.where(five, v, 0).sum(1)
+            out["rolling_vwap_5m"][own] = np.where(volumes > 0, np.where(five, c * v, 0).sum(1) / volumes, np.nan)
+            top, bottom = np.fmax.reduce(np.where(five, h, np.nan), 1), np.fmin.reduce(np.where(five, lo, np.nan), 1)
+            out["rolling_high_5m"][own], out["rolling_low_5m"][own] = top, bottom
+            out["breakout_strength"][own] = np.where(top > bottom, (last - bottom) / (top - bottom), np.nan)
+            before = np.where(five[:, :-1], v[:, :-1], 0).sum(1) / (count[1] - 1)
+            out["volume_burst"][own] = np.where((count[1] >= 2) & (before > 0), vol / before, np.nan)
+    return out
+
+
+def _slot(at: Column, kind: T.DataType) -> Column:
+    """Slots of time, from a timestamp or microseconds; null ones come first."""
+    micros = F.unix_micros(at.cast("timestamp")) if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else at
+    return F.coalesce(F.floor(micros / SLOT).cast("long"), F.lit(-(1 << 62)))
+
+
+def _before(slots: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """An aggregate of a key's earlier slots: a row for each slot, not for each tick."""
+    return slots.withColumn(name, value.over(W.over([key], "_slot").rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), minute: str = "_minute", rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES) -> DataFrame:
-    """All metrics of EQUITY_METRICS for each tick. minute: a column of whole minutes, made from ts if it is missing."""
+    """All metrics of EQUITY_METRICS for each tick. order: a time first. minute: a column of whole minutes that rise in this order, made from ts if it is missing."""
     if minute not in df.columns:
         df = df.withColumn(minute, S.minute(F.col("ts")))
-    bar = F.struct(F.col(minute).alias("m"), "close", "high", "low", "volume")
-    df = df.withColumn("_buffer", F.collect_list(bar).over(W.over([key], *order).rowsBetween(-(rows - 1), 0)))
-    df = df.withColumn("_w", _walk(F.col("_buffer"), tuple(F.col(minute) - n for n in minutes))).drop("_buffer")
-    w, last = (lambda c: F.col(f"_w.{c}")), F.col("close")
-    first_a, first_b = F.when(w("na") >= 2, F.nullif(w("fa"), F.lit(0.0))), F.when(w("nb") >= 2, F.nullif(w("fb"), F.lit(0.0)))
-    mean = w("s1") / w("nr")
-    average = (w("volume") - F.col("volume")) / F.nullif(w("nb") - 1, F.lit(0))
-    return df.withColumns({
-        "return_1m": (last - first_a) / first_a,
-        "return_5m": (last - first_b) / first_b,
-        "vol_15m": F.when(w("nr") == 1, 0.0).when(w("nr") > 1, F.sqrt(F.greatest(w("s2") / w("nr") - mean * mean, F.lit(0.0)))),
-        "range_pct_1m": (F.col("high") - F.col("low")) / first_a,
-        "rolling_vwap_5m": F.when(w("volume") > 0, w("value") / w("volume")),
-        "close_diff": last - w("before"),
-        "rolling_high_5m": w("top"),
-        "rolling_low_5m": w("low"),
-        "trend_slope_5m": (last - first_b) / 5,
-        "breakout_strength": F.when(w("top") > w("low"), (last - w("low")) / (w("top") - w("low"))),
-        "volume_burst": F.when((w("nb") >= 2) & (average > 0), F.col("volume") / average),
-    }).drop("_w")
+    df = df.drop(*EQUITY_METRICS)
+    dealt = df.withColumn("_slot", _slot(F.col(order[0]), df.schema[order[0]].dataType))
+    slots = _before(dealt.groupBy(key, "_slot").agg(F.count("*").alias("_ticks")), key, F.sum("_ticks"), "_start").drop("_ticks")
+    dealt = dealt.withColumn("_n", F.row_number().over(W.over([key, "_slot"], *order)))
+    dealt = dealt.join(slots.withColumnRenamed(key, "_key"), dealt[key].eqNullSafe(F.col("_key")) & (dealt["_slot"] == slots["_slot"])).select(*df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_n") - 1).alias("_n"))
+    chunk = F.floor(F.col("_n") / CHUNK).cast("long")
+    ahead = F.when(F.col("_n") % CHUNK > CHUNK - rows, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))  # the last ones also lead the next chunk
+    dealt = dealt.withColumn("_chunk", F.explode(ahead))
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, *[T.StructField(m, T.DoubleType()) for m in EQUITY_METRICS]])
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        number = lambda c: table[c].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        found = window_metrics(number(minute), *(number(c) for c in ("close", "high", "low", "volume")), rows, minutes)
+        own = pa.array(table["_n"].to_numpy() // CHUNK == table["_chunk"][0].as_py())
+        out = [table[c] for c in names] + [pa.array(found[m], from_pandas=True) for m in EQUITY_METRICS]
+        return pa.table(out, [*names, *EQUITY_METRICS]).filter(own)
+
+    return dealt.groupBy(key, "_chunk").applyInArrow(work, schema)
 
 
 def fx_metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), rows: int = FX_ROWS, minutes: tuple[int, int, int] = MINUTES) -> DataFrame:
@@ -85,9 +111,12 @@ def fx_metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts
 
 
 def in_order(df: DataFrame, key: str, arrival: list[str], ts: str = "ts") -> DataFrame:
-    """Ticks later than all before them in arrival order; repeats and stragglers go."""
-    earlier = F.max(ts).over(W.over([key], *arrival).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_seen", earlier).where(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen"))).drop("_seen")
+    """Ticks later than all before them in arrival order; repeats and stragglers go. The latest time before a slot of arrivals comes from the slots."""
+    dealt = df.withColumn("_slot", _slot(F.col(arrival[0]), df.schema[arrival[0]].dataType))
+    slots = _before(dealt.groupBy(key, "_slot").agg(F.max(ts).alias("_last")), key, F.max("_last"), "_earlier").drop("_last").withColumnRenamed(key, "_key")
+    dealt = dealt.withColumn("_seen", F.max(ts).over(W.over([key, "_slot"], *arrival).rowsBetween(Window.unboundedPreceding, -1)))
+    dealt = dealt.join(slots, dealt[key].eqNullSafe(F.col("_key")) & (dealt["_slot"] == slots["_slot"])).withColumn("_seen", F.greatest("_seen", "_earlier"))
+    return dealt.where(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen"))).select(*df.columns)
 
 
 def replay(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",), rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES) -> DataFrame:

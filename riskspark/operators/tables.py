@@ -80,6 +80,12 @@ def latest_dates(df: DataFrame, n: int, date: str = "date") -> DataFrame:
     return df.join(F.broadcast(dates), date, "left_semi")
 
 
+def since(dates: DataFrame, n: int, date: str = "date") -> Column:
+    """If a row is of the last n distinct dates of a frame, or later: one value, worked out with the query."""
+    last = dates.select(date).distinct().orderBy(F.desc_nulls_last(date)).limit(n)
+    return F.col(date) >= last.agg(F.min(date)).scalar()
+
+
 def with_run_mode(df: DataFrame, mode: str) -> DataFrame:
     """Rows for an append-only history."""
     return df.withColumn("run_mode", F.lit(mode))

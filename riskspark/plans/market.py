@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators import bonds, commodity, equity, fx, joins, trades
+from riskspark.operators import bonds, commodity, equity, fx, joins, tables, trades
 from riskspark.plans import fixtures as X
 
 
@@ -20,12 +20,16 @@ def equity_table(spark, sf) -> DataFrame:
     return equity.concentration_liquidity(equity.portfolio_risk(equity.position_risk(df)))
 
 
-def equity_day(spark, sf) -> DataFrame:
-    """The equity table's last date. The date is one number, told as a literal, so the filter goes below all windows by date and
+def equity_since(spark, sf, days: int) -> DataFrame:
+    """The equity table's last dates. They are told as one value, so the filter goes below all windows by date and
     only the features, which need a ticker's past, are computed for other dates."""
     names = X.fundamentals(spark, sf).join(X.universe(spark, sf), "ticker", "left_semi").join(X.positions(spark, sf), "ticker", "left_semi")
-    last = X._trades(spark, sf).join(names.select("ticker"), "ticker", "left_semi").agg(F.max("date")).first()[0]
-    return equity_table(spark, sf).where(F.col("date") == F.lit(last))
+    dates = X._trades(spark, sf).join(names.select("ticker"), "ticker", "left_semi").select("date")
+    return equity_table(spark, sf).where(tables.since(dates, days))
+
+
+def equity_day(spark, sf) -> DataFrame:
+    return equity_since(spark, sf, 1)
 
 
 def fx_exposed(spark, sf) -> DataFrame:
@@ -72,17 +76,17 @@ def bond_table(spark, sf) -> DataFrame:
 
 
 def trade_frames(spark, sf) -> DataFrame:
-    """Trades of the last two dates of each asset class."""
-    from riskspark.operators.tables import latest_dates
-
-    eq = latest_dates(equity_table(spark, sf), 2)
-    fx_, cm, bd = latest_dates(fx_table(spark, sf), 2), latest_dates(commodity_table(spark, sf), 2), latest_dates(bond_table(spark, sf), 2)
-    cm = cm.select("date", "ticker", "sector", "industry", "commodity", "close", "exposure_amount")
+    """Trades of the last two dates of each asset class. The dates come from the tables before they fan out to tickers."""
+    pairs = fx.pair_metrics(fx_rated(spark, sf))
+    fx_ = fx.fx_enrichment(pairs.where(tables.since(pairs.where("not is_warmup").select("date"), 2)), fx_exposed(spark, sf))
+    valued = commodity.exposed_days(X.universe(spark, sf), X.sector_commodity(spark, sf), market_values(spark, sf)).join(commodity_features(spark, sf).select("commodity", "date"), ["commodity", "date"], "left_semi")
+    cm = commodity_table(spark, sf).where(tables.since(valued.select("date"), 2)).select("date", "ticker", "sector", "industry", "commodity", "close", "exposure_amount")
+    bd = tables.latest_dates(bond_table(spark, sf), 2)
     return trades.all_trades(
         trades.trade_schema(fx_, "FX", "fx_rate", "exposure_amount"),
         trades.trade_schema(cm, "Commodity", "close", "exposure_amount"),
         trades.trade_schema(bd, "Bond", "yield_to_maturity", F.col("maturity_years") * 1_000_000.0, greeks=False),
-        trades.trade_schema(eq, "Equity", "close", "mtm_value"),
+        trades.trade_schema(equity_since(spark, sf, 2), "Equity", "close", "mtm_value"),
     )
 
 
