@@ -14,12 +14,18 @@ from riskspark.plans import fixtures
 ALL: dict[str, Query] = {}
 
 
-#: Both engines round by the same arithmetic. The cut is a little off the half, where sums of short decimals do not fall.
-HALF = 0.5137
+#: Spare digits: a value is rounded to them first, so that the last bits, which depend on the order of a sum, do not decide what half a digit does.
+SPARE = 3
 
 
 def _cut(x: Column, digits: int) -> Column:
-    return F.floor(x * float(f"1e{digits}") + HALF).cast("double") / float(f"1e{digits}")
+    """Rounded half up."""
+    near = F.floor(x * float(f"1e{digits + SPARE}") + 0.5).cast("double") / float(f"1e{SPARE}")
+    return F.floor(near + 0.5).cast("double") / float(f"1e{digits}")
+
+
+def _cut_sql(c: str, digits: str) -> str:
+    return f"floor(floor(CAST({c} AS DOUBLE) * 1e{int(digits) + SPARE} + 0.5) / 1e{SPARE} + 0.5) / 1e{digits} AS {c}"
 
 
 @dataclass(frozen=True)
@@ -47,7 +53,7 @@ class Query:
 
         add(self.sql)
         picked = [c.split(":") for c in self.columns.split()]
-        columns = ", ".join(f"floor(CAST({c[0]} AS DOUBLE) * 1e{c[1]} + {HALF}) / 1e{c[1]} AS {c[0]}" if len(c) > 1 else c[0] for c in picked)
+        columns = ", ".join(_cut_sql(*c) if len(c) > 1 else c[0] for c in picked)
         before = ", ".join(f"{k} AS ({v})" for k, v in ctes.items() if k in need)
         return (f"WITH RECURSIVE {before} " if before else "") + f"SELECT {columns} FROM ({self.sql}) AS result"
 
