@@ -4,6 +4,8 @@ NaN and infinity count as null at every boundary; a rolling value needs `least`
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -93,9 +95,9 @@ def top_sum(x: Column, group_by: list[str], n: int, *ties: str) -> Column:
     return F.sum(F.when(rank <= n, x)).over(over(group_by))
 
 
-def smoothed(x: Column, w: WindowSpec, span: int, memory: int = 400) -> Column:
-    """Exponentially weighted mean, first value as it is; a fold over the last `memory` rows, whose earlier
-    weights are below (1 - 2 / (span + 1)) ** memory."""
+def smoothed(x: Column, w: WindowSpec, span: int) -> Column:
+    """Exponentially weighted mean, first value as it is; a fold over as many last rows as weigh more than a double's last bit together."""
     alpha = 2.0 / (span + 1)
+    memory = max(2, math.ceil(-37 / math.log1p(-alpha))) if alpha < 1 else 2
     values = F.collect_list(x).over(w.rowsBetween(-(memory - 1), 0))
     return F.aggregate(F.slice(values, 2, memory), F.element_at(values, 1), lambda acc, v: acc * (1 - alpha) + v * alpha)

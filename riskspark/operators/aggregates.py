@@ -35,12 +35,17 @@ def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.over(keys, *order))).where("_rank = 1").drop("_rank")
 
 
+def standard_scores(df: DataFrame, names: dict[str, str], population: bool = False) -> DataFrame:
+    """Global standard scores of several columns (value to name) by one broadcast row of means and deviations; zero where nothing varies."""
+    spread = F.stddev_pop if population else F.stddev_samp
+    stats = df.agg(*[x for k, v in enumerate(names) for x in (F.avg(v).alias(f"_mean{k}"), spread(v).alias(f"_spread{k}"))])
+    score = lambda v, k: F.when(F.col(f"_spread{k}") > 0, (F.col(v) - F.col(f"_mean{k}")) / F.col(f"_spread{k}")).otherwise(F.lit(0.0))
+    return df.join(F.broadcast(stats)).withColumns({name: score(v, k) for k, (v, name) in enumerate(names.items())}).drop(*stats.columns)
+
+
 def standard_score(df: DataFrame, value: str, name: str, population: bool = False) -> DataFrame:
-    """Global standard score by a broadcast row of mean and deviation; zero where nothing varies."""
-    spread = F.stddev_pop(value) if population else F.stddev_samp(value)
-    stats = df.agg(F.avg(value).alias("_mean"), spread.alias("_spread"))
-    score = F.when(F.col("_spread") > 0, (F.col(value) - F.col("_mean")) / F.col("_spread")).otherwise(F.lit(0.0))
-    return df.join(F.broadcast(stats)).withColumn(name, score).drop("_mean", "_spread")
+    """Global standard score of one column."""
+    return standard_scores(df, {value: name}, population)
 
 
 def fractional_rank(df: DataFrame, value: str, name: str, parts: int = 200, weight: str | None = None) -> DataFrame:

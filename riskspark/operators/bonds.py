@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import windows as W
-from riskspark.operators.aggregates import standard_score
+from riskspark.operators.aggregates import standard_scores
 from riskspark.operators.joins import every_day
 
 #: Volatility by credit rating, in hundredths; others have DEFAULT_VOL.
@@ -38,6 +38,6 @@ def yield_series(history: DataFrame, observed: DataFrame, days: DataFrame, windo
 
 def anomalies(df: DataFrame, columns: list[str], limit: float = Z_LIMIT) -> DataFrame:
     """A flag for each column: its global standard score is beyond the limit."""
-    for c in columns:
-        df = standard_score(df, c, "_z").withColumn(f"{c}_anomaly_flag", F.coalesce(F.abs("_z") > limit, F.lit(False))).drop("_z")
-    return df
+    scores = {c: f"_z_{c}" for c in columns}
+    df = standard_scores(df, scores)
+    return df.withColumns({f"{c}_anomaly_flag": F.coalesce(F.abs(z) > limit, F.lit(False)) for c, z in scores.items()}).drop(*scores.values())

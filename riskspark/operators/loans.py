@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators.aggregates import month_end, standard_score
+from riskspark.operators.aggregates import month_end, standard_scores
 from riskspark.operators.joins import active_months
 
 LGD = 0.45
@@ -38,9 +38,9 @@ def loan_features(df: DataFrame, rolled: dict[str, str]) -> DataFrame:
     if {"collateral_value", "exposure_before_collateral"} <= set(df.columns):
         df = df.withColumn("exposure_pct_collateralized", F.coalesce(W.ratio(F.col("collateral_value"), F.col("exposure_before_collateral")), F.lit(0.0)))
     w = W.over(["loan_id"], "date")
-    for source, name in rolled.items():
-        df = df.withColumn("_rolled", W.deviation(F.col(source), w, 3, 2))
-        df = standard_score(df, "_rolled", name, population=True).drop("_rolled")
+    parts = {f"_rolled_{name}": name for name in rolled.values()}
+    df = df.withColumns({f"_rolled_{name}": W.deviation(F.col(source), w, 3, 2) for source, name in rolled.items()})
+    df = standard_scores(df, parts, population=True).drop(*parts)
     values = F.array_compact(F.array(*rolled.values()))
     mean = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(values), F.lit(0))
     return df.withColumn("volatility_index", mean)

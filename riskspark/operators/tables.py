@@ -5,6 +5,7 @@ a lost executor or driver leaves the old version in place."""
 
 from __future__ import annotations
 
+import os
 import uuid
 from functools import reduce
 
@@ -17,10 +18,15 @@ from riskspark.functions import windows as W
 from riskspark.operators.quality import QualityError
 
 
+def hourly(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows with their New York date and hour."""
+    at = S.eastern(F.col(ts))
+    return df.withColumns({"date": F.to_date(at), "hour": F.hour(at)})
+
+
 def append_hourly(df: DataFrame, path: str, mode: str, ts: str = "ts") -> None:
     """Append under a folder for the mode (live, backfill, replay), by New York date and hour."""
-    at = S.eastern(F.col(ts))
-    df.withColumns({"date": F.to_date(at), "hour": F.hour(at)}).write.partitionBy("date", "hour").mode("append").parquet(f"{path}/{mode}")
+    hourly(df, ts).write.partitionBy("date", "hour").mode("append").parquet(f"{path}/{mode}")
 
 
 def dead_letters(df: DataFrame, key: str, batch_id: str, run_id: str, mode: str, error: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -36,6 +42,27 @@ def write_run(df: DataFrame, path: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.partitionBy("date", "run_id").mode("append").parquet(path)
 
 
+class Runs:
+    """A layer of dates and runs with a pointer: the run that holds a date's rows now is the last one that finished it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, df: DataFrame, run_id: str) -> None:
+        """Write a layer's dates under a run, then point its dates to it. A run that is tried again overwrites itself."""
+        df.write.partitionBy("date").mode("overwrite").parquet(f"{self.path}/runs/run_id={run_id}")
+        done = self.spark.read.parquet(f"{self.path}/runs/run_id={run_id}").select("date").distinct()
+        done.select("date", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{self.path}/latest/{run_id}")
+
+    def latest(self) -> DataFrame:
+        """The run of each date."""
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.path}/latest").groupBy("date").agg(F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"))
+
+    def read(self) -> DataFrame:
+        """Each date's rows of its latest run."""
+        return self.spark.read.parquet(f"{self.path}/runs").join(self.latest(), ["date", "run_id"], "left_semi")
+
+
 class Versioned:
     """A table of versions under one folder; pointers is a dataset of (seq, version)."""
 
@@ -86,6 +113,19 @@ def since(dates: DataFrame, n: int, date: str = "date") -> Column:
     return F.col(date) >= last.agg(F.min(date)).scalar()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A frame that several results read, worked out once: a checkpoint in the folder that spark.checkpoint.dir names. Where none is named, a session whose
+    executors are in the driver's process takes a folder of its own; a cluster has to name one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"file:{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/spark-{uuid.uuid4().hex}")
+    return df.checkpoint()
+
+
 def with_run_mode(df: DataFrame, mode: str) -> DataFrame:
     """Rows for an append-only history."""
     return df.withColumn("run_mode", F.lit(mode))

@@ -76,7 +76,7 @@ def sector_commodity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fx_daily(spark: SparkSession, sf: str) -> DataFrame:
-    priced = _trades(spark, sf).join(F.broadcast(universe(spark, sf).select("ticker", "sector")), "ticker").join(F.broadcast(sector_pair(spark, sf)), "sector")
+    priced = _trades(spark, sf).join(universe(spark, sf).select("ticker", "sector"), "ticker").join(sector_pair(spark, sf), "sector")
     return priced.groupBy("currency_pair", "date").agg(F.avg("price").alias("fx_rate"))
 
 

@@ -76,18 +76,18 @@ def bond_table(spark, sf) -> DataFrame:
 
 
 def trade_frames(spark, sf) -> DataFrame:
-    """Trades of the last two dates of each asset class. The dates come from the tables before they fan out to tickers."""
+    """Trades of the last two dates of each asset class, written down once. The dates come from the tables before they fan out to tickers."""
     pairs = fx.pair_metrics(fx_rated(spark, sf))
     fx_ = fx.fx_enrichment(pairs.where(tables.since(pairs.where("not is_warmup").select("date"), 2)), fx_exposed(spark, sf))
     valued = commodity.exposed_days(X.universe(spark, sf), X.sector_commodity(spark, sf), market_values(spark, sf)).join(commodity_features(spark, sf).select("commodity", "date"), ["commodity", "date"], "left_semi")
     cm = commodity_table(spark, sf).where(tables.since(valued.select("date"), 2)).select("date", "ticker", "sector", "industry", "commodity", "close", "exposure_amount")
     bd = tables.latest_dates(bond_table(spark, sf), 2)
-    return trades.all_trades(
+    return tables.written(trades.all_trades(
         trades.trade_schema(fx_, "FX", "fx_rate", "exposure_amount"),
         trades.trade_schema(cm, "Commodity", "close", "exposure_amount"),
         trades.trade_schema(bd, "Bond", "yield_to_maturity", F.col("maturity_years") * 1_000_000.0, greeks=False),
         trades.trade_schema(equity_since(spark, sf, 2), "Equity", "close", "mtm_value"),
-    )
+    ))
 
 
 def derivatives_table(spark, sf) -> DataFrame:

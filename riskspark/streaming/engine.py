@@ -2,15 +2,16 @@
 
 A row counts only if it is later than all accepted ones of its key. A late row, one whose arrival is more than `late` minutes
 after its time, still enters the buffer (later metrics need it), but nothing is emitted for it; a watermark would drop it.
-State is one buffer of at most `rows` bars a key, in the state store, so a lost executor loses nothing."""
+State is one buffer of at most `rows` bars a key as typed arrays, in the state store, so a lost executor loses nothing; the state of
+a key that is idle for long goes. A batch that is tried again overwrites what it wrote before."""
 
 from __future__ import annotations
 
-import json
-import math
+import datetime as dt
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,63 +20,62 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riskspark.functions import scalars as S
 from riskspark.operators.filters import bar_error
-from riskspark.operators.intraday import EQUITY_METRICS, MINUTES, ROWS
-from riskspark.operators.tables import append_hourly, dead_letters
+from riskspark.operators.intraday import EQUITY_METRICS, MINUTES, ROWS, latest_snapshot, window_metrics
+from riskspark.operators.tables import Versioned, dead_letters, hourly
 
 OUTPUT = "ticker string, ts timestamp, open double, high double, low double, close double, volume double, " + ", ".join(f"{m} double" for m in EQUITY_METRICS)
-STATE = "last long, buffer string"
-
-
-def last_metrics(buffer: list[list[float]], minutes: tuple[int, int, int] = MINUTES) -> dict[str, float | None]:
-    """Metrics of the last bar of a buffer of [minute, close, high, low, volume]; the twin of intraday.metrics()."""
-    now, close, high, low, volume = buffer[-1]
-    a, b, c = ([r for r in buffer if r[0] >= now - n] for n in minutes)
-    out: dict[str, float | None] = dict.fromkeys(EQUITY_METRICS)
-    if len(buffer) > 1:
-        out["close_diff"] = close - buffer[-2][1]
-    if len(a) > 1 and a[0][1]:
-        out["return_1m"] = (close - a[0][1]) / a[0][1]
-        out["range_pct_1m"] = (high - low) / a[0][1]
-    if len(b) > 1 and b[0][1]:
-        out["return_5m"] = (close - b[0][1]) / b[0][1]
-        out["trend_slope_5m"] = (close - b[0][1]) / 5
-    steps = [math.log1p((y[1] - x[1]) / x[1]) for x, y in zip(c, c[1:], strict=False) if x[1]]
-    if steps:
-        mean = sum(steps) / len(steps)
-        out["vol_15m"] = math.sqrt(sum((s - mean) ** 2 for s in steps) / len(steps))
-    total = sum(r[4] for r in b)
-    if total > 0:
-        out["rolling_vwap_5m"] = sum(r[1] * r[4] for r in b) / total
-    top, bottom = max(r[2] for r in b), min(r[3] for r in b)
-    out["rolling_high_5m"], out["rolling_low_5m"] = top, bottom
-    if top > bottom:
-        out["breakout_strength"] = (close - bottom) / (top - bottom)
-    if len(b) > 1 and (before := sum(r[4] for r in b[:-1]) / (len(b) - 1)) > 0:
-        out["volume_burst"] = volume / before
-    return out
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state, rows: int, minutes, late: int) -> Iterator[pd.DataFrame]:
-    last, text = state.get if state.exists else (None, "[]")
-    buffer, out = json.loads(text), []
-    pdf = pd.concat(list(batches)).sort_values(["ts", "arrival"], kind="stable")
-    for r in pdf.itertuples(index=False):
-        at = r.ts.value // 1000
-        if last is not None and at <= last:
-            continue
-        last = at
-        buffer = [*buffer, [at // 60_000_000, r.close, r.high, r.low, r.volume]][-rows:]
-        if (r.arrival - r.ts).total_seconds() <= late * 60:
-            out.append({"ticker": key[0], "ts": r.ts, "open": r.open, "high": r.high, "low": r.low, "close": r.close, "volume": r.volume, **last_metrics(buffer, minutes)})
-    state.update((last, json.dumps(buffer)))
-    yield pd.DataFrame(out, columns=["ticker", "ts", "open", "high", "low", "close", "volume", *EQUITY_METRICS])
+STATE = "last long, minute array<long>, close array<double>, high array<double>, low array<double>, volume array<double>"
+#: Minutes of recovery after a restart, and the session in New York, as minutes of a day.
+RECOVERY, OPEN, CLOSE = 15, 9 * 60 + 30, 16 * 60
 
 
-def metrics_stream(bars: DataFrame, rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES, late: int = 5) -> DataFrame:
-    """Metrics of a stream of valid bars (ticker, ts, arrival, open, high, low, close, volume)."""
-    own = bars.select("ticker", F.col("ts").cast("timestamp").alias("ts"), F.col("arrival").cast("timestamp").alias("arrival"), "open", "high", "low", "close", "volume")
-    step = partial(_advance, rows=rows, minutes=minutes, late=late)
-    return own.groupBy("ticker").applyInPandasWithState(lambda k, b, s: step(k, b, s), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def _advance(key, batches: Iterator[pd.DataFrame], state, rows: int, minutes, late: int, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    columns = ["ticker", "ts", "open", "high", "low", "close", "volume"]
+    if state.hasTimedOut:
+        state.remove()
+        return
+    pdf = pd.concat(list(batches)).sort_values(["ts", "arrival"], kind="stable")
+    last, *held = state.get if state.exists else (None, [], [], [], [], [])
+    at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+    accepted = np.diff(at, prepend=at[0] - 1) > 0
+    if last is not None:
+        accepted &= at > last
+    pdf, at = pdf[accepted], at[accepted]
+    own = [at // 60_000_000, *(pdf[c].to_numpy(float) for c in ("close", "high", "low", "volume"))]
+    buffer = [np.concatenate([np.asarray(x, y.dtype), y]) for x, y in zip(held, own, strict=True)]
+    if len(at):
+        last = int(at[-1])
+    state.update((last, *(x[-rows:].tolist() for x in buffer)))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+    if len(at):
+        found = window_metrics(*buffer, rows, minutes)
+        out = pd.DataFrame({"ticker": key[0], **{c: pdf[c].to_numpy() for c in columns[1:]}, **{m: found[m][-len(at) :] for m in EQUITY_METRICS}})
+        out = out.astype(object).where(out.notna(), None)
+        on_time = (pdf["arrival"] - pdf["ts"]).dt.total_seconds().to_numpy() <= late * 60
+        yield out[on_time & pdf["emit"].to_numpy(bool)]
+
+
+def metrics_stream(bars: DataFrame, rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES, late: int = 5, history: DataFrame | None = None, idle: str | None = None) -> DataFrame:
+    """Metrics of a stream of valid bars (ticker, ts, arrival, open, high, low, close, volume).
+
+    history: a stream of bars from recovery_rows(), for a start without a checkpoint; they fill the buffers and nothing is emitted for
+    them. idle: the state of a key without bars for so long ("2 days") goes; such a query looks for idle keys without end, so bounded runs leave it out."""
+    time = lambda c: F.col(c).cast("timestamp").alias(c)
+    own = lambda df, emit: df.select("ticker", time("ts"), time("arrival"), "open", "high", "low", "close", "volume", F.lit(emit).alias("emit"))
+    df = own(bars, True) if history is None else own(history, False).unionByName(own(bars, True))
+    step = partial(_advance, rows=rows, minutes=minutes, late=late, idle_ms=int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None)
+    return df.groupBy("ticker").applyInPandasWithState(lambda k, b, s: step(k, b, s), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def recovery_rows(history: DataFrame, start: dt.datetime, minutes: int = RECOVERY, opens: int = OPEN, closes: int = CLOSE) -> DataFrame:
+    """Raw bars of the last minutes before a start, of its New York session only; none in the first minutes of a session, which
+    has nothing to recover. For batches and streams."""
+    begin, minute_of = F.lit(start).cast("timestamp"), lambda t: F.hour(t) * 60 + F.minute(t)
+    at, now = S.eastern(F.col("ts")), S.eastern(begin)
+    recent = (F.col("ts") < begin) & (F.unix_micros(begin) - F.unix_micros(F.col("ts").cast("timestamp")) <= minutes * 60_000_000)
+    session = (F.to_date(at) == F.to_date(now)) & (minute_of(at) >= opens) & (minute_of(at) < closes) & (minute_of(now) >= opens + minutes)
+    return history.where(recent & session)
 
 
 def deduplicated(bars: DataFrame, key: str = "ticker", ts: str = "ts", keep: str = "1 hour") -> DataFrame:
@@ -84,27 +84,39 @@ def deduplicated(bars: DataFrame, key: str = "ticker", ts: str = "ts", keep: str
 
 
 def run(df: DataFrame, path: str, checkpoint: str, mode: str = "live", **lineage) -> StreamingQuery:
-    """Append a stream by New York date and hour under its mode, with dead letters beside it. Backfills process what is there and stop."""
+    """Write a stream by batch, New York date and hour under its mode, with dead letters and the latest row of each key beside it. Backfills
+    process what is there and stop."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, dead = dead_letters(batch.withColumn("error", bar_error()), "ticker", str(batch_id), lineage.get("run_id", ""), mode)
-        append_hourly(good.withColumns({k: F.lit(v) for k, v in lineage.items()}), f"{path}/bars", mode)
-        dead.write.mode("append").parquet(f"{path}/dead/{mode}")
+        batch = batch.withColumn("error", bar_error()).persist()
+        try:
+            good, dead = dead_letters(batch, "ticker", str(batch_id), lineage.get("run_id", ""), mode)
+            good = good.withColumns({k: F.lit(v) for k, v in lineage.items()})
+            hourly(good).write.partitionBy("date", "hour").mode("overwrite").parquet(f"{path}/bars/{mode}/batch_id={batch_id}")
+            dead.drop("batch_id").write.mode("overwrite").parquet(f"{path}/dead/{mode}/batch_id={batch_id}")
+            keep_latest(good, f"{path}/latest/{mode}")
+        finally:
+            batch.unpersist()
 
     writer = df.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer if mode == "live" else writer.trigger(availableNow=True)).start()
 
 
+def keep_latest(batch: DataFrame, path: str, key: str = "ticker", ts: str = "ts") -> None:
+    """Merge a batch into the table of the last row of every key ever seen; the same batch twice changes nothing."""
+    table = Versioned(batch.sparkSession, path)
+    old = table.read()
+    rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
+    table.write(rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), ts).alias("_row")).select(key, "_row.*"))
+
+
+def snapshot(spark, path: str, now: dt.datetime | None = None, stale_minutes: int = 5, key: str = "ticker", ts: str = "ts") -> DataFrame | None:
+    """The last row of every key ever seen, with is_stale against now, or the newest row."""
+    rows = Versioned(spark, path).read()
+    return rows if rows is None else latest_snapshot(rows, key, ts, stale_minutes, None if now is None else F.lit(now).cast("timestamp"))
+
+
 def counted(df: DataFrame, name: str = "bars") -> DataFrame:
     """The frame with counters of received, invalid and late rows, told to query listeners with each batch."""
     late = F.unix_micros(F.col("arrival").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > 300_000_000
     return df.observe(name, F.count(F.lit(1)).alias("received"), F.count_if(bar_error().isNotNull()).alias("failed"), F.count_if(late).alias("late"))
-
-
-def recovered(history: DataFrame, minutes: int = 15, rows: int = ROWS) -> DataFrame:
-    """Buffers of the last minutes of each key, for the start of a stream without a checkpoint: (ticker, last, buffer)."""
-    at = S.minute(F.col("ts"))
-    top = history.groupBy("ticker").agg(F.max("ts").alias("_last"))
-    recent = history.join(top, "ticker").where(at >= S.minute(F.col("_last")) - minutes)
-    bars = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ts", at.alias("m"), "close", "high", "low", "volume")))), 1, rows)
-    return recent.groupBy("ticker").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last"), F.to_json(F.reverse(bars)).alias("buffer"))

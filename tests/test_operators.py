@@ -197,5 +197,49 @@ def test_envelopes_and_sinks(spark, tmp_path):
     assert [r["ticker"] for r in spark.read.parquet(str(tmp_path / "out/bars/backfill")).collect()] == ["a"]
     dead = spark.read.parquet(str(tmp_path / "out/dead/backfill")).first()
     assert dead["key"] == "b" and dead["error"] == "high is below low" and json.loads(dead["original"])["ticker"] == "b"
-    start = engine.recovered(spark.createDataFrame(bars(30), SCHEMA)).first()
-    assert len(json.loads(start["buffer"])) == 16
+
+
+def test_restart_takes_the_session_before_it(spark, tmp_path):
+    base = dt.datetime(2024, 1, 2, 15, 0)  # 10:00 in New York
+    rows = spark.createDataFrame(bars(40), SCHEMA)
+    start = base + dt.timedelta(minutes=30)
+    assert engine.recovery_rows(rows, start).count() == 15
+    assert engine.recovery_rows(rows.withColumn("ts", F.expr("ts - interval 40 minutes")), base - dt.timedelta(minutes=16)).count() == 0  # 9:44, the session has just begun
+    assert engine.recovery_rows(rows, start + dt.timedelta(days=1)).count() == 0
+    rows.where(F.col("ts") < F.lit(start)).coalesce(1).write.parquet(str(tmp_path / "raw"))
+    rows.where(F.col("ts") >= F.lit(start)).coalesce(1).write.parquet(str(tmp_path / "live"))
+    read = lambda name: spark.readStream.schema(SCHEMA).parquet(str(tmp_path / name))
+    engine.metrics_stream(read("live"), history=engine.recovery_rows(read("raw"), start)).writeStream.format("memory").queryName("restarted").trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["ts"]: r["vol_15m"] for r in spark.table("restarted").collect()}
+    want = {r["ts"]: r["vol_15m"] for r in intraday.metrics(rows).collect() if r["ts"] >= start}
+    assert got.keys() == want.keys() and len(got) == 10 and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_a_batch_twice_and_the_latest_rows(spark, tmp_path):
+    rows = spark.createDataFrame(bars(6), SCHEMA)
+    for part in (rows.where("minute(ts) < 4"), rows, rows):
+        engine.keep_latest(part, str(tmp_path / "latest"))
+    now = dt.datetime(2024, 1, 2, 15, 20)
+    (row,) = engine.snapshot(spark, str(tmp_path / "latest"), now).collect()
+    assert row["ts"] == dt.datetime(2024, 1, 2, 15, 5) and row["is_stale"]
+    assert not engine.snapshot(spark, str(tmp_path / "latest")).first()["is_stale"]
+
+
+def test_idle_keys_lose_their_state():
+    class State:
+        exists, hasTimedOut, gone = True, True, False
+
+        def remove(self):
+            self.gone = True
+
+    state = State()
+    assert list(engine._advance(("a",), iter([]), state, 120, (1, 5, 15), 5, 1000)) == [] and state.gone
+
+
+def test_layers_point_to_the_latest_run(spark, tmp_path):
+    day = lambda d, x: spark.createDataFrame([(dt.date(2024, 1, d), x)], "date date, x int")
+    layer = tables.Runs(spark, str(tmp_path / "layer"))
+    layer.write(day(1, 1).unionByName(day(2, 2)), "a")
+    layer.write(day(2, 3), "b")
+    layer.write(day(2, 3), "b")
+    assert sorted((r["date"].day, r["x"]) for r in layer.read().collect()) == [(1, 1), (2, 3)]
