@@ -17,6 +17,11 @@ def density(z: float) -> float:
     return math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 
 
+def densities(z: Column) -> Column:
+    """Density of the normal distribution at each value of a column."""
+    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+
 def tidy(x: Column) -> Column:
     """Trimmed, in upper case, null if empty."""
     x = F.upper(F.trim(x))

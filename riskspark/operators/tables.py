@@ -113,16 +113,24 @@ def since(dates: DataFrame, n: int, date: str = "date") -> Column:
     return F.col(date) >= last.agg(F.min(date)).scalar()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A frame that several results read, worked out once: a checkpoint in the folder that spark.checkpoint.dir names. Where none is named, a session whose
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share. Where none is named, a session whose
     executors are in the driver's process takes a folder of its own; a cluster has to name one."""
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or f"file:{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/spark-{uuid.uuid4().hex}")
+        context.setCheckpointDir(f"file:{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/spark-{uuid.uuid4().hex}")
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A frame that several results read, worked out once: a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from riskspark.plans import market, q_basics, q_market, q_more, q_serving, q_views
+from riskspark.plans import market, q_basics, q_market, q_more, q_serving, q_sinks, q_views
 from riskspark.plans.query import ALL
 
-MODULES = (q_basics, q_market, q_serving, q_more, q_views)
+MODULES = (q_basics, q_market, q_serving, q_more, q_sinks, q_views)
 
 
 def queries():
