@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, TAIL, END_ID = 2048, 128, 1
 #: Most words and pieces of words whose ids a worker keeps; it then starts anew.
-MOST_CACHED = 600_000
+MOST_CACHED = 200_000
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sA-Za-z0-9ª²³µ¹º¼-¾À-ÖØ-öø-ɏ]+")

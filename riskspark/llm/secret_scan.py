@@ -214,10 +214,14 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redacted(docs: DataFrame, text: str = "text", chars: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with the spans of the findings replaced in the text and, if there is one, its length set anew."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    out = locate(rows, scan(rows), out="spans").withColumn("clean", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("spans"), mark)))
-    new = {text: F.col("clean")} | ({chars: F.length("clean").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
-    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    spans = "spans"
+    while spans in (c.lower() for c in docs.columns):
+        spans += "_"
+    out, own = locate(docs, scan(docs, text), text, spans), F.col(f"`{text}`")
+    out = out.withColumn(text, F.when(own.isNotNull(), redact(own, F.col(spans), mark)))
+    if chars in docs.columns:
+        out = out.withColumn(chars, F.length(own).cast(docs.schema[chars].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: Deliveries in which the query hands the documents to the ledger.

@@ -95,7 +95,7 @@ def window_starts(at: np.ndarray, n: int) -> np.ndarray:
     return firsts + (np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts))
 
 
-def chunks(texts: pa.ChunkedArray | pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.ChunkedArray | pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about most bytes together: first text, one past the last, bytes, offsets."""
     array = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     if isinstance(array, pa.ChunkedArray):
