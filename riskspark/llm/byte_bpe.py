@@ -189,8 +189,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         return pa.table([docs, pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["_id", "n_tokens", "ids", "decoded"])
 
     sent = rows.mapInArrow(explode, f"_range long, _segment long, _part long, _docs array<{kind}>, _body binary")
-    encoded = sent.repartition(ranges, "_range").groupBy("_range").applyInArrow(once, f"_segment long, _part long, _docs array<{kind}>, _body binary")
-    out = encoded.repartition(segments, "_segment").groupBy("_segment").applyInArrow(lay, f"_id {kind}, n_tokens long, ids binary, decoded binary")
+    seat = (F.shiftright("_segment", 24) + F.col("_segment").bitwiseAND(F.lit((1 << 24) - 1))).cast("int")  # segments side by side
+    dealt = sent.withColumn("_to", F.when(F.col("_range") >= 0, F.col("_range").cast("int")).otherwise(seat)).repartitionById(ranges, "_to")
+    encoded = dealt.groupBy("_to", "_range").applyInArrow(once, f"_segment long, _part long, _docs array<{kind}>, _body binary")
+    out = encoded.withColumn("_seat", seat).repartitionById(segments, "_seat").groupBy("_seat", "_segment").applyInArrow(lay, f"_id {kind}, n_tokens long, ids binary, decoded binary")
     return (out if decode else out.drop("decoded")).withColumnRenamed("_id", id_col)
 
 
