@@ -50,6 +50,7 @@ def features(bars: DataFrame, key: str = "ticker", date: str = "date", risk_free
 def financial_enrichment(df: DataFrame) -> DataFrame:
     """Coverage, maturity, Altman Z and rating, cash flow, cash, and market value."""
     debt, assets = F.col("total_debt"), F.col("total_assets")
+    # fixed values: the weights of the Altman Z score
     z = (
         1.2 * (assets - debt) / assets
         + 1.4 * F.col("net_income") / assets

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 
-#: Fixed values. Equity margins differ between derivatives and collateral.
+#: Margins, haircuts, collateral and kinds by asset class. Equity margins differ between derivatives and collateral.
 DERIVATIVE_MARGIN = {"FX": 0.05, "Commodity": 0.08, "Bond": 0.04, "Equity": 0.10}
 COLLATERAL_MARGIN = {"FX": 0.05, "Commodity": 0.08, "Bond": 0.04, "Equity": 0.12}
 HAIRCUT = {"Cash": 0.00, "Treasury": 0.02, "CorporateBond": 0.10, "Equity": 0.15, "CommodityETF": 0.12}
 DERIVATIVE_COLLATERAL = {"FX": "Cash", "Commodity": "Treasury", "Bond": "Treasury", "Equity": "Equity"}
 KIND = {"FX": "FXFwd", "Commodity": "Futures", "Bond": "IRS", "Equity": "EqFwd"}
+#: Counterparties, tenors in years, and agreements with their weights (sums already, for collateral).
 COUNTERPARTIES = ("CP_A", "CP_B", "CP_C", "CP_D", "CP_E")
 TENORS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)
 DERIVATIVE_AGREEMENTS = (("CSA", "US", 0.45), ("CSA", "UK", 0.25), ("CSA", "EU", 0.20), ("GMRA", "UK", 0.05), ("GMSLA", "US", 0.05))
 COLLATERAL_AGREEMENTS = (("CSA", "US", 0.45), ("CSA", "UK", 0.70), ("CSA", "EU", 0.90), ("GMRA", "UK", 0.95), ("GMSLA", "US", 1.00))
+#: Collateral types by asset class, with the sums of their weights.
 MENU = {
     "FX": (("Cash", 0.70), ("Treasury", 0.95), ("CorporateBond", 1.00)),
     "Commodity": (("Treasury", 0.60), ("Cash", 0.85), ("CommodityETF", 1.00)),
