@@ -51,3 +51,33 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS p FROM later)
 each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+def ranked(top: int = 50) -> str:
+    """Scores of every document for every item, summed term by term."""
+    terms = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH t AS (SELECT doc_id, unnest({terms}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, s),
+m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM n, s),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {top}"""
+
+
+def phrases(threshold: int = 10, most: int = 3, covered: int = 50, top: int = 2000) -> str:
+    """Counts of all phrases, the least score of their cuts, and the phrases that longer ones do not cover."""
+    sizes = " UNION ALL ".join(f"SELECT lang, {n} AS size, array_to_string(list_slice(ws, i, i + {n - 1}), ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w WHERE len(ws) >= {n})" for n in range(1, most + 1))
+    return f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM ({sizes}) GROUP BY 1, 2, 3 HAVING count(*) >= {threshold}),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2),
+cuts AS (SELECT lang, size, phrase, a, ws, k, array_to_string(list_slice(ws, 1, k), ' ') AS x, array_to_string(list_slice(ws, k + 1, size), ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS score FROM cuts JOIN f AS l ON l.lang = cuts.lang AND l.phrase = x JOIN f AS r ON r.lang = cuts.lang AND r.phrase = y),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+within AS (SELECT lang, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, a, m, unnest(range(1, size - m + 2)) AS i FROM (SELECT lang, ws, a, size, unnest(range(2, size)) AS m FROM c WHERE size > 2)) GROUP BY 1, 2),
+ranked AS (SELECT least.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least LEFT JOIN within USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {covered} * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""

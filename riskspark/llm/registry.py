@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskspark.llm import audio_fingerprint, byte_bpe, context_tree, fingerprint, jaccard_join, language_id, oracles, packing, secret_scan, substring_dedup, url_filter
+from riskspark.llm import audio_fingerprint, byte_bpe, collocations, context_tree, fingerprint, jaccard_join, language_id, oracles, packing, quality, ranked_search, secret_scan, substring_dedup, url_filter
 
 
 def queries():
@@ -20,6 +20,9 @@ def queries():
         "op8_distinct_word_bpe": byte_bpe.bpe_query,
         "op9_url_filter": url_filter.url_query,
         "op10_chroma_fingerprint": audio_fingerprint.recordings_query,
+        "op11_bayes_vectors": quality.quality_query,
+        "op12_treap_search": ranked_search.search_query,
+        "op13_summary_collocations": collocations.collocations_query,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql():
         "op1_secret_ledger": oracles.secrets(),
         "op3_jaccard_join": oracles.components(),
         "op7_anchor_dedup": oracles.repeats(),
+        "op12_treap_search": oracles.ranked(),
+        "op13_summary_collocations": oracles.phrases(),
     }
