@@ -138,7 +138,7 @@ def curve(margins: np.ndarray, good: np.ndarray, rounds: int = 60) -> tuple[floa
 
 def fit(rows: list[np.ndarray], good: np.ndarray, odds: float, size: int = 1 << BITS, folds: int = FOLDS) -> Model:
     """odds: of the good class among all labelled rows."""
-    fold, margins, known = np.arange(len(rows)) % folds, np.zeros(len(rows)), np.zeros(len(rows), bool)
+    fold, margins, known = np.random.default_rng(17).permutation(len(rows)) % folds, np.zeros(len(rows)), np.zeros(len(rows), bool)
     for f in range(folds):
         here = np.flatnonzero(fold != f)
         if 0 < good[here].sum() < len(here):
