@@ -7,8 +7,8 @@ First pass: documents are dealt into blocks; each block sends its phrases, as sh
 space. A partition merges what blocks send into one Misra-Gries summary: counters are added, and when there are more of them than its
 capacity, the (capacity + 1)-th largest count is taken off all. The capacity exceeds the partition's mass divided by the threshold, so
 less than the threshold is ever taken off a counter: every phrase that reaches the threshold survives, in memory of bounded size.
-Hashes that two phrases share only let more survive. Second pass: each block counts the phrases whose hashes survived and
-sends them as text, and their sums are exact. Parts of a frequent phrase are frequent, so the counts that a score needs are there too.
+Second pass: the survivors' counts are added up again, exactly, and hashes below the threshold go. Hashes that two phrases share only let more
+stay, so each block counts the phrases of the hashes that stayed and sends them as text, and their sums decide. Parts of a frequent phrase are frequent, so the counts that a score needs are there too.
 
 Null and empty texts have no words; a null language is `und`. Very long texts are one document of their block, read whole. Repeated rows count
 as often as they stand there, null or equal ids make no difference, and other columns may have any names. Equal scores are told apart by
@@ -123,6 +123,12 @@ def frequent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
         for keys, counts in zip(table["_keys"], table["_counts"], strict=True):
             summary.add(blocks.unpack_sorted(keys.as_py()), blocks.unpack(counts.as_py())[0].astype(np.int64))
         alive, names, out = summary.reaching(threshold), [], []
+        count = np.zeros(len(alive), np.int64)
+        for keys, counts in zip(table["_keys"], table["_counts"], strict=True):
+            own = blocks.unpack_sorted(keys.as_py())
+            here = blocks.found(own, alive)
+            count[np.searchsorted(alive, own[here])] += blocks.unpack(counts.as_py())[0].astype(np.int64)[here]
+        alive = alive[count >= threshold]
         for name, keys in zip(table["_block"].to_pylist(), table["_keys"], strict=True):
             own = blocks.unpack_sorted(keys.as_py())
             own = own[blocks.found(own, alive)]
