@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,27 +144,49 @@ def frequent(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
 
     def count(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = np.sort(np.concatenate([blocks.unpack_sorted(x) for x in answers["_keys"].to_pylist()])) if answers.num_rows else np.zeros(0, np.uint64)
-        names = table["_lang"].to_pylist()
-        out: list[list] = [[], [], [], []]
+        names, key_of = table["_lang"].to_pylist(), mix(table["_lang_key"].to_numpy().astype(np.uint64))
+        bodies: list[bytes] = []
+        parts: list[tuple] = []  # key, row that tells the language, size, count
         for body, first, end, row, sizes in _phrases(table, most):
             which, words = np.unique(row, return_counts=True)
-            for k, x in zip(which.tolist(), words.tolist(), strict=True):
-                for column, value in zip(out, (names[k], 0, b"", x), strict=True):
-                    column.append(value)
+            parts.append((key_of[which], which, np.zeros(len(which), int), words))
+            bodies += [b""] * len(which)
             for size, good, keys in sizes:
                 here = blocks.found(keys >> short, own)
                 good, keys = good[here], keys[here]
-                _, place, counts = _distinct(keys)
+                keys, place, counts = _distinct(keys)
                 at = good[place]
-                out[0] += [names[k] for k in row[at].tolist()]
-                out[1] += [size] * len(at)
-                out[2] += [body[a:b] for a, b in zip(first[at].tolist(), end[at + size - 1].tolist(), strict=True)]
-                out[3] += counts.tolist()
-        found = pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()).cast(pa.string()), pa.array(out[3], pa.int64())], ["lang", "size", "phrase", "f"])
-        return found.group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "size", "phrase", "f"])
-
-    counted = dealt.groupBy("_block").cogroup(alive.groupBy("_block")).applyInArrow(count, "lang string, size int, phrase string, f long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("size") == 0))
+                parts.append((keys, row[at], np.full(len(at), size), counts))
+                bodies += [body[a:b] for a, b in zip(first[at].tolist(), end[at + size - 1].tolist(), strict=True)]
+        key, row, size, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] * 4
+        order = np.lexsort((key, size > 0))  # a language's own key may be that of a phrase
+        new = np.diff(key[order], prepend=key[order][:1] ^ np.uint64(1)).astype(bool) | np.diff(size[order] > 0, prepend=False)
+        first = np.flatnonzero(new)
+        counts = np.add.reduceat(counts[order], first) if len(first) else counts
+        at = order[first]
+        to, out = (key[at] % np.uint64(n)).astype(int), []
+        for k in np.unique(to).tolist():
+            mine = np.flatnonzero(to == k)
+            mine = mine[np.argsort(np.array([bodies[x] for x in at[mine].tolist()], object), kind="stable")]  # neighbours alike, so that they pack
+            texts, spoken = [bodies[x] for x in at[mine].tolist()], [names[x] for x in row[at[mine]].tolist()]
+            known = sorted(set(spoken))
+            place = {x: y for y, x in enumerate(known)}
+            body = zstandard.compress(b"\n".join(texts), 3)
+            out.append((k, known, body, blocks.pack(np.array([place[x] for x in spoken], "<u4"), size[at[mine]].astype("<u2"), counts[mine].astype("<u4"))))
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], ["_range", "_langs", "_texts", "_counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        out = []
+        for known, texts, packed in zip(table["_langs"], table["_texts"], table["_counts"], strict=True):
+            which, size, counts = blocks.unpack(packed.as_py())
+            texts = zstandard.ZstdDecompressor().decompressobj().decompress(texts.as_py()).split(b"\n")
+            out.append(pa.table([known.values.take(pa.array(which.astype("<i4"))), pa.array(size.astype("<i4")), pa.array(texts, pa.binary()), pa.array(counts.astype("<i8"))], ["lang", "size", "phrase", "f"]))
+        found = pa.concat_tables(out).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "size", "phrase", "f"])
+        found = found.filter((pc.field("f") >= threshold) | (pc.field("size") == 0))
+        return found.set_column(2, "phrase", found["phrase"].cast(pa.string()))
+
+    counted = dealt.groupBy("_block").cogroup(alive.groupBy("_block")).applyInArrow(count, "_range int, _langs array<string>, _texts binary, _counts binary")
+    return counted.repartitionById(n, "_range").groupBy("_range").applyInArrow(add, "lang string, size int, phrase string, f long")
 
 
 def collocations(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", threshold: int = THRESHOLD, most: int = MOST, top: int = TOP, covered: int = 50, block: int = blocks.BLOCK) -> DataFrame:
