@@ -2,70 +2,40 @@
 
 A row counts only if it is later than all accepted ones of its key. A late row, one whose arrival is more than `late` minutes
 after its time, still enters the buffer (later metrics need it), but nothing is emitted for it; a watermark would drop it.
-State is one buffer of at most `rows` bars a key as typed arrays, in the state store, so a lost executor loses nothing; the state of
-a key that is idle for long goes. A batch that is tried again overwrites what it wrote before."""
+Buffers lie in the state store (stateful.py), so a lost executor loses nothing. A batch that is tried again overwrites what it wrote before."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
-from functools import partial
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riskspark.functions import scalars as S
 from riskspark.operators.filters import bar_error
-from riskspark.operators.intraday import EQUITY_METRICS, MINUTES, ROWS, latest_snapshot, window_metrics
+from riskspark.operators.intraday import MINUTES, ROWS, latest_snapshot
 from riskspark.operators.tables import Versioned, dead_letters, hourly
+from riskspark.streaming import stateful
 
-OUTPUT = "ticker string, ts timestamp, open double, high double, low double, close double, volume double, " + ", ".join(f"{m} double" for m in EQUITY_METRICS)
-STATE = "last long, minute array<long>, close array<double>, high array<double>, low array<double>, volume array<double>"
 #: Minutes of recovery after a restart, and the session in New York, as minutes of a day.
 RECOVERY, OPEN, CLOSE = 15, 9 * 60 + 30, 16 * 60
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state, rows: int, minutes, late: int, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    columns = ["ticker", "ts", "open", "high", "low", "close", "volume"]
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pdf = pd.concat(list(batches)).sort_values(["ts", "arrival"], kind="stable")
-    last, *held = state.get if state.exists else (None, [], [], [], [], [])
-    at = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-    accepted = np.diff(at, prepend=at[0] - 1) > 0
-    if last is not None:
-        accepted &= at > last
-    pdf, at = pdf[accepted], at[accepted]
-    own = [at // 60_000_000, *(pdf[c].to_numpy(float) for c in ("close", "high", "low", "volume"))]
-    buffer = [np.concatenate([np.asarray(x, y.dtype), y]) for x, y in zip(held, own, strict=True)]
-    if len(at):
-        last = int(at[-1])
-    state.update((last, *(x[-rows:].tolist() for x in buffer)))
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
-    if len(at):
-        found = window_metrics(*buffer, rows, minutes)
-        out = pd.DataFrame({"ticker": key[0], **{c: pdf[c].to_numpy() for c in columns[1:]}, **{m: found[m][-len(at) :] for m in EQUITY_METRICS}})
-        out = out.astype(object).where(out.notna(), None)
-        on_time = (pdf["arrival"] - pdf["ts"]).dt.total_seconds().to_numpy() <= late * 60
-        yield out[on_time & pdf["emit"].to_numpy(bool)]
-
-
-def metrics_stream(bars: DataFrame, rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES, late: int = 5, history: DataFrame | None = None, idle: str | None = None) -> DataFrame:
+def metrics_stream(
+    bars: DataFrame, rows: int = ROWS, minutes: tuple[int, int, int] = MINUTES, late: int = 5, history: DataFrame | None = None, idle: str | None = None, order: tuple[str, ...] = ("ts", "arrival"), cap: int | None = None, initial: DataFrame | None = None, shards: int = stateful.SHARDS
+) -> DataFrame:
     """Metrics of a stream of valid bars (ticker, ts, arrival, open, high, low, close, volume).
 
-    history: a stream of bars from recovery_rows(), for a start without a checkpoint; they fill the buffers and nothing is emitted for
-    them. idle: the state of a key without bars for so long ("2 days") goes; such a query looks for idle keys without end, so bounded runs leave it out."""
+    For a start without a checkpoint the buffers are filled with bars for which nothing is emitted: initial is a batch of bars, the state to
+    begin with; history is a stream of them. Both come from recovery_rows(). idle: a timer clears a key without bars for so long ("2 days"); such a
+    query looks for idle keys without end, so bounded runs leave it out. cap: so many keys have a buffer at most. order: see stateful.py."""
     time = lambda c: F.col(c).cast("timestamp").alias(c)
-    own = lambda df, emit: df.select("ticker", time("ts"), time("arrival"), "open", "high", "low", "close", "volume", F.lit(emit).alias("emit"))
+    own = lambda df, emit: df.select("ticker", time("ts"), time("arrival"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")], F.lit(emit).alias("emit"))
     df = own(bars, True) if history is None else own(history, False).unionByName(own(bars, True))
-    step = partial(_advance, rows=rows, minutes=minutes, late=late, idle_ms=int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None)
-    return df.groupBy("ticker").applyInPandasWithState(lambda k, b, s: step(k, b, s), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return stateful.buffered(df, rows, minutes, late, order, idle_ms, cap, None if initial is None else stateful.initial_state(initial, rows), shards)
 
 
 def recovery_rows(history: DataFrame, start: dt.datetime, minutes: int = RECOVERY, opens: int = OPEN, closes: int = CLOSE) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-computed edge cases of the analytics operators."""
 
 import datetime as dt
+import random
+import time
 
 import pandas as pd
 import pytest
@@ -225,15 +227,103 @@ def test_a_batch_twice_and_the_latest_rows(spark, tmp_path):
     assert not engine.snapshot(spark, str(tmp_path / "latest")).first()["is_stale"]
 
 
-def test_idle_keys_lose_their_state():
-    class State:
-        exists, hasTimedOut, gone = True, True, False
-
-        def remove(self):
-            self.gone = True
-
-    state = State()
-    assert list(engine._advance(("a",), iter([]), state, 120, (1, 5, 15), 5, 1000)) == [] and state.gone
+def _drained(df, name):
+    df.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(180)
+    return df.sparkSession.table(name)
+
+
+def _files(spark, rows, path, cut):
+    """A stream of files, one a micro-batch, cut by an expression in arrival order."""
+    for k in sorted(r[0] for r in rows.select(F.expr(cut)).distinct().collect()):
+        rows.where(F.expr(cut) == k).coalesce(1).write.parquet(f"{path}/{k:03d}")
+        time.sleep(0.05)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _disordered(spark, keys=3, n=50):
+    """Bars of some keys, some of which arrive up to nine minutes after others that are newer."""
+    r = random.Random(9)
+    rows = [(f"k{k}", *b[1:2], b[1] + dt.timedelta(seconds=r.choice([1, 1, 2, 130, 540])), *b[3:]) for k in range(keys) for b in bars(n)]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.mark.parametrize("cut", ["0", "minute(arrival) div 9", "minute(arrival) div 20"])
+def test_batches_make_no_difference_in_order_of_arrival(spark, tmp_path, cut):
+    df = _disordered(spark).withColumn("late", F.expr("arrival > ts + interval 5 minutes"))
+    got = _drained(engine.metrics_stream(_files(spark, df.drop("late"), str(tmp_path / "in"), cut), rows=12, order=("arrival", "ts")), f"cut{abs(hash(cut))}")
+    accepted = intraday.in_order(df, "ticker", ["arrival", "ts"])
+    assert accepted.count() < df.count()
+    want = intraday.metrics(accepted, rows=12).where("not late")
+    names = ["ticker", "ts", *intraday.EQUITY_METRICS]
+    rows = lambda x: sorted(map(tuple, x.select(*names).collect()))
+    assert [x[:2] for x in rows(got)] == [x[:2] for x in rows(want)] and len(rows(got)) > 50
+    for a, b in zip(rows(got), rows(want), strict=True):
+        assert list(a[2:]) == pytest.approx(list(b[2:]), nan_ok=True)
+
+
+def test_batches_in_order_of_time_are_the_batch_rule(spark, tmp_path):
+    df = _disordered(spark).withColumn("batch", F.expr("minute(arrival) div 7"))
+    got = _drained(engine.metrics_stream(_files(spark, df.drop("batch"), str(tmp_path / "in"), "minute(arrival) div 7"), late=60), "by_time")
+    want = intraday.in_order(df, "ticker", ["batch", "ts"])
+    key = lambda x: sorted(map(tuple, x.select("ticker", "ts").collect()))
+    assert key(got) == key(want)
+
+
+def test_evicted_keys_start_anew(spark, tmp_path):
+    base, r = dt.datetime(2024, 1, 2, 15, 0), random.Random(2)
+    rows = [(r.choice("abcd"), base + dt.timedelta(minutes=i), base + dt.timedelta(minutes=i), 1.0, 9.0, 1.0, float(r.randrange(5, 90)), 1.0) for i in range(60)]
+    known, held, want = [], {}, {}
+    for ticker, ts, _, _, _, _, close, _ in rows:
+        if ticker not in known:
+            if len(known) == 2:
+                held.pop(known.pop(0))
+            known.append(ticker)
+            held[ticker] = []
+        want[ts] = close - held[ticker][-1] if held[ticker] else None
+        held[ticker].append(close)
+    assert 10 < sum(x is None for x in want.values()) < 50
+    for k, cut in enumerate(("minute(ts) div 13", "0")):
+        stream = _files(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path / f"in{k}"), cut)
+        got = _drained(engine.metrics_stream(stream, cap=2, shards=1), f"capped{k}")
+        assert {x["ts"]: x["close_diff"] for x in got.collect()} == want
+
+
+def test_a_batch_is_the_state_to_begin_with(spark, tmp_path):
+    rows = spark.createDataFrame([(k, *b[1:]) for k in ("a", "b", "idle") for b in bars(40)], SCHEMA)
+    start = dt.datetime(2024, 1, 2, 15, 30)
+    before, after = rows.where(F.col("ts") < F.lit(start)), rows.where(F.col("ts") >= F.lit(start)).where("ticker <> 'idle'")
+    for k, cap in enumerate((None, 5)):
+        stream = _files(spark, after, str(tmp_path / f"in{k}"), "minute(ts) div 5")
+        got = _drained(engine.metrics_stream(stream, rows=14, initial=engine.recovery_rows(before, start), cap=cap), f"begun{k}")
+        want = intraday.metrics(rows, rows=14).where("ticker <> 'idle'").where(F.col("ts") >= F.lit(start))
+        names = ["ticker", "ts", *intraday.EQUITY_METRICS]
+        got, want = (sorted(map(tuple, x.select(*names).collect())) for x in (got, want))
+        assert len(got) == 20
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and list(a[2:]) == pytest.approx(list(b[2:]), nan_ok=True)
+
+
+def test_idle_keys_lose_their_state(spark, tmp_path):
+    rows = spark.createDataFrame(bars(6), SCHEMA)
+    rows.where("minute(ts) < 3").coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    source = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = engine.metrics_stream(source, idle="2 seconds").writeStream.format("memory").queryName("idle").trigger(processingTime="1 second").start()
+    try:
+        out = spark.table("idle")
+        for _ in range(60):
+            if out.count() == 3:
+                break
+            time.sleep(1)
+        time.sleep(8)  # the timer fires in a batch without rows
+        rows.where("minute(ts) >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in/1"))
+        for _ in range(60):
+            if out.count() == 6:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    got = {r["ts"].minute: r["close_diff"] for r in out.collect()}
+    assert got[0] is None and got[1] is not None and got[3] is None and got[4] is not None
 
 
 def test_layers_point_to_the_latest_run(spark, tmp_path):
