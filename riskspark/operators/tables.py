@@ -1,7 +1,6 @@
 """Table maintenance on Parquet: appends, partition replacement, merges, rolling layers and serving tables.
 
-A merge or replacement reads what it overwrites, so its result goes to a new version folder and a pointer is switched last;
-a lost executor or driver leaves the old version in place."""
+What a change of a table leaves is told by functions of the old and the new rows; partitioned.py writes such changes part by part."""
 
 from __future__ import annotations
 
@@ -63,35 +62,6 @@ class Runs:
         return self.spark.read.parquet(f"{self.path}/runs").join(self.latest(), ["date", "run_id"], "left_semi")
 
 
-class Versioned:
-    """A table of versions under one folder; pointers is a dataset of (seq, version)."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _pointer(self) -> tuple[int, str] | None:
-        schema = "seq long, version string"
-        try:
-            row = self.spark.read.schema(schema).parquet(f"{self.path}/pointers").agg(F.max(F.struct("seq", "version")).alias("p")).first()["p"]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return (row["seq"], row["version"]) if row else None
-
-    def read(self) -> DataFrame | None:
-        """The current version, or None before the first."""
-        at = self._pointer()
-        return self.spark.read.parquet(f"{self.path}/versions/{at[1]}") if at else None
-
-    def write(self, df: DataFrame, *partitions: str) -> None:
-        """Write a version, then point to it."""
-        at, version = self._pointer(), uuid.uuid4().hex
-        df.write.partitionBy(*partitions).parquet(f"{self.path}/versions/{version}")
-        pointer = self.spark.createDataFrame([((at[0] if at else 0) + 1, version)], "seq long, version string")
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
-
-
 def rolled(old: DataFrame | None, new: DataFrame, keys: list[str], days: int, date: str = "date") -> DataFrame:
     """Rolling layer: new rows replace old ones of the same key, and the last so many distinct dates stay."""
     both = new.withColumn("_age", F.lit(0))

@@ -159,11 +159,11 @@ count(*) FILTER (bm >= m - {_MIN[2]}) AS nc, min(bn) FILTER (bm >= m - {_MIN[2]}
 METRICS = f"""SELECT w.*, (c - fa) / nullif(fa, 0) AS ra, (c - fb) / nullif(fb, 0) AS rb, vol FROM ({_W}) w LEFT JOIN (SELECT j.ticker, j.event_id, stddev_pop(ln(1 + (close - pc) / pc)) AS vol FROM ({_JOINED}) j JOIN (SELECT ticker, event_id, firstc FROM ({_W})) f USING (ticker, event_id) WHERE bn > firstc AND pc <> 0 GROUP BY 1, 2) USING (ticker, event_id)"""
 
 
-@query(
-    "W24_intraday_metrics",
-    "ticker event_id return_1m:6 return_5m:6 vol_15m:6 range_pct_1m:6 rolling_vwap_5m:5 close_diff:5 rolling_high_5m:5 rolling_low_5m:5 trend_slope_5m:6 breakout_strength:5 volume_burst:5",
-    f"SELECT ticker, event_id, CASE WHEN na >= 2 THEN ra END AS return_1m, CASE WHEN nb >= 2 THEN rb END AS return_5m, CASE WHEN nc >= 2 THEN vol END AS vol_15m, CASE WHEN na >= 2 THEN (h - l) / nullif(fa, 0) END AS range_pct_1m, CASE WHEN sv > 0 THEN cv / sv END AS rolling_vwap_5m, c - pcl AS close_diff, hb AS rolling_high_5m, lb AS rolling_low_5m, CASE WHEN nb >= 2 AND fb <> 0 THEN (c - fb) / 5 END AS trend_slope_5m, CASE WHEN hb > lb THEN (c - lb) / (hb - lb) END AS breakout_strength, CASE WHEN nb >= 2 AND av > 0 THEN v / av END AS volume_burst FROM ({METRICS})",
-)
+W24_COLUMNS = "return_1m:6 return_5m:6 vol_15m:6 range_pct_1m:6 rolling_vwap_5m:5 close_diff:5 rolling_high_5m:5 rolling_low_5m:5 trend_slope_5m:6 breakout_strength:5 volume_burst:5"
+W24_SQL = f"SELECT ticker, event_id, CASE WHEN na >= 2 THEN ra END AS return_1m, CASE WHEN nb >= 2 THEN rb END AS return_5m, CASE WHEN nc >= 2 THEN vol END AS vol_15m, CASE WHEN na >= 2 THEN (h - l) / nullif(fa, 0) END AS range_pct_1m, CASE WHEN sv > 0 THEN cv / sv END AS rolling_vwap_5m, c - pcl AS close_diff, hb AS rolling_high_5m, lb AS rolling_low_5m, CASE WHEN nb >= 2 AND fb <> 0 THEN (c - fb) / 5 END AS trend_slope_5m, CASE WHEN hb > lb THEN (c - lb) / (hb - lb) END AS breakout_strength, CASE WHEN nb >= 2 AND av > 0 THEN v / av END AS volume_burst FROM ({METRICS})"
+
+
+@query("W24_intraday_metrics", f"ticker event_id {W24_COLUMNS}", W24_SQL)
 def w24(spark, sf):
     return intraday.metrics(X.ticks(spark, sf), "ticker", _ORDER, minutes=_MIN)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars
 from riskspark.operators import commodity, tables
+from riskspark.operators.partitioned import Partitioned, monthly
 from riskspark.plans import fixtures as X
 from riskspark.plans import q_serving as S
 from riskspark.plans.query import query
@@ -107,14 +108,15 @@ def k07(spark, sf):
     return spark.read.parquet(place)
 
 
-def _after(change: Callable[[DataFrame, DataFrame], DataFrame]):
-    """The table after a change was written as a new version of it, of the bars before 2000 and newer ones with another close."""
+def _after(change: Callable[[Partitioned, DataFrame], None]):
+    """The table by months after a change was written to it, of the bars before 2000 and newer ones with another close."""
 
     def build(spark, sf):
         old, new = S._split(spark, sf)
-        table = tables.Versioned(spark, _place(spark))
-        table.write(old)
-        table.write(change(table.read(), new))
+        table = Partitioned(spark, _place(spark), monthly())
+        table.append(old)
+        change(table, new)
+        table.vacuum(1)
         return table.read()
 
     return build
@@ -122,13 +124,13 @@ def _after(change: Callable[[DataFrame, DataFrame], DataFrame]):
 
 _NEWER = "CASE WHEN date >= DATE '1999-12-01' THEN close + 1 ELSE close END AS close"
 for _name, _sql, _change in (
-    ("K06_rolling_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily WHERE date IN (SELECT DISTINCT date FROM bars_daily ORDER BY date DESC LIMIT 30)", lambda old, new: tables.rolled(old, new, ["ticker", "date"], 30)),
-    ("K08_window_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily WHERE date <= DATE '1999-12-31'", lambda old, new: tables.replaced_window(old, new.where("date <= '1999-12-31'"), "1999-12-01", "1999-12-31")),
-    ("K09_merge_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily", lambda old, new: tables.merged(old, new, ["ticker", "date"])),
-    ("K11_clean_written", "SELECT ticker, date, close FROM bars_daily WHERE date < DATE '1999-12-01'", lambda old, new: tables.clean_write(old, new.limit(0), "backfill", ["ticker", "date"], "1999-12-01", "1999-12-31")),
-    ("K12_months_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily WHERE date < DATE '2000-01-01'", lambda old, new: tables.replaced_months(old, new.where("date < '2000-01-01'"))),
-    ("K13_from_month_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily", lambda old, new: tables.replaced_from(old, new, "1999-12-01")),
-    ("K14_serving_written", "SELECT ticker, date, close + 1 AS close FROM bars_daily WHERE date IN (SELECT DISTINCT date FROM bars_daily ORDER BY date DESC LIMIT 2)", lambda old, new: tables.serving(old, new, ["ticker"])),
+    ("K06_rolling_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily WHERE date IN (SELECT DISTINCT date FROM bars_daily ORDER BY date DESC LIMIT 30)", lambda table, new: table.roll(new, ["ticker", "date"], 30)),
+    ("K08_window_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily WHERE date <= DATE '1999-12-31'", lambda table, new: table.replace_dates(new.where("date <= '1999-12-31'"), "1999-12-01", "1999-12-31")),
+    ("K09_merge_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily", lambda table, new: table.merge(new, ["ticker", "date"])),
+    ("K11_clean_written", "SELECT ticker, date, close FROM bars_daily WHERE date < DATE '1999-12-01'", lambda table, new: table.clean_write(new.limit(0), "backfill", ["ticker", "date"], "1999-12-01", "1999-12-31")),
+    ("K12_months_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily WHERE date < DATE '2000-01-01'", lambda table, new: table.replace_months(new.where("date < '2000-01-01'"))),
+    ("K13_from_month_written", f"SELECT ticker, date, {_NEWER} FROM bars_daily", lambda table, new: table.replace_dates(new, "1999-12-01")),
+    ("K14_serving_written", "SELECT ticker, date, close + 1 AS close FROM bars_daily WHERE date IN (SELECT DISTINCT date FROM bars_daily ORDER BY date DESC LIMIT 2)", lambda table, new: table.serve(new)),
 ):
     query(_name, "ticker date close:4", _sql)(_after(_change))
 
@@ -140,13 +142,16 @@ def _stream(spark, rows: DataFrame) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(place)
 
 
+def _emitted(stream: DataFrame, place: str) -> DataFrame:
+    stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/ck").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{place}/out")
+
+
 def _metrics(spark, sf, late) -> DataFrame:
     """What the stream of ticks emits, each `late` of them arriving an hour after its time."""
     place = _place(spark)
     t = X.ticks(spark, sf).withColumn("arrival", F.when(late, F.expr("ts + interval 1 hour")).otherwise(F.col("ts")))
-    out = engine.metrics_stream(_stream(spark, t), minutes=S._MIN).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/ck").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.read.parquet(f"{place}/out")
+    return _emitted(engine.metrics_stream(_stream(spark, t), minutes=S._MIN), place)
 
 
 _BEFORE = "SELECT ticker, event_id, ts, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS close_diff, close FROM (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY event_id) = 1)"
@@ -157,6 +162,36 @@ def st06(spark, sf):
     return _metrics(spark, sf, F.lit(False))
 
 
+_DISTINCT = "(SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY event_id) = 1)"
+_ALL = S.W24_SQL.replace("FROM ticks t", f"FROM {_DISTINCT} t")
+
+
+@query("ST06_stream_all_metrics", f"ticker ts {S.W24_COLUMNS}", f"SELECT m.*, ts FROM ({_ALL}) m JOIN ticks USING (event_id)")
+def st06_all(spark, sf):
+    return _metrics(spark, sf, F.lit(False))
+
+
+@query("ST08_restarted", f"ticker ts {S.W24_COLUMNS}", f"SELECT m.*, ts FROM ({_ALL}) m JOIN ticks USING (event_id) WHERE ts >= TIMESTAMP '2024-01-15'")
+def st08(spark, sf):
+    """A start without a checkpoint, with the ticks before it as the state to begin with, emits what an unbroken run does."""
+    place, t = _place(spark), X.ticks(spark, sf).withColumn("arrival", F.col("ts"))
+    stream = engine.metrics_stream(_stream(spark, t.where("ts >= '2024-01-15'")), minutes=S._MIN, initial=t.where("ts < '2024-01-15'"))
+    return _emitted(stream, place)
+
+
+@query("ST09_one_key", "ticker ts close_diff:5", f"SELECT ticker, ts, close - lag(close) OVER (PARTITION BY ticker, n - m ORDER BY ts) AS close_diff FROM (SELECT *, row_number() OVER (ORDER BY ts, ticker) AS n, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS m FROM {_DISTINCT})")
+def st09(spark, sf):
+    """With a cap of one key, each change of keys evicts: buffers hold a run of ticks of one key."""
+    t = X.ticks(spark, sf).withColumn("arrival", F.col("ts"))
+    return _emitted(engine.metrics_stream(_stream(spark, t), minutes=S._MIN, cap=1), _place(spark))
+
+
+@query("ST11_counters_kept", "received failed processed late deduped", "SELECT count(*) AS received, count(*) FILTER (bad) AS failed, count(*) FILTER (NOT bad) AS processed, count(*) FILTER (late) AS late, count(*) - count(DISTINCT (ticker, ts)) AS deduped FROM (SELECT *, close <= 0 OR high < low AS bad, arrival - epoch_us(ts) > 300000000 AS late FROM dirty_ticks)")
+def st11(spark, sf):
+    kept = engine.counters(spark, _backfilled(spark, sf), "backfill")
+    return kept.agg(*[F.sum(c).alias(c) for c in ("received", "failed", "processed", "late", "deduped")])
+
+
 @query("ST05_stream_late", "ticker ts close_diff:5", f"SELECT * FROM ({_BEFORE}) WHERE event_id % 23 <> 0")
 def st05(spark, sf):
     return _metrics(spark, sf, F.col("event_id") % 23 == 0)
@@ -164,7 +199,7 @@ def st05(spark, sf):
 
 def _backfilled(spark, sf) -> str:
     place = _place(spark)
-    engine.run(_stream(spark, X.dirty_ticks(spark, sf)), f"{place}/out", f"{place}/ck", "backfill", run_id="r1").awaitTermination()
+    engine.run(_stream(spark, X.dirty_ticks(spark, sf).withColumn("arrival", F.timestamp_micros("arrival"))), f"{place}/out", f"{place}/ck", "backfill", run_id="r1").awaitTermination()
     return f"{place}/out"
 
 

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from riskspark.functions import scalars as S
 from riskspark.operators.filters import bar_error
 from riskspark.operators.intraday import MINUTES, ROWS, latest_snapshot
-from riskspark.operators.tables import Versioned, dead_letters, hourly
+from riskspark.operators.partitioned import Partitioned, bucket
+from riskspark.operators.tables import dead_letters, hourly
 from riskspark.streaming import stateful
 
 #: Minutes of recovery after a restart, and the session in New York, as minutes of a day.
@@ -64,6 +65,7 @@ def run(df: DataFrame, path: str, checkpoint: str, mode: str = "live", **lineage
             good = good.withColumns({k: F.lit(v) for k, v in lineage.items()})
             hourly(good).write.partitionBy("date", "hour").mode("overwrite").parquet(f"{path}/bars/{mode}/batch_id={batch_id}")
             dead.drop("batch_id").write.mode("overwrite").parquet(f"{path}/dead/{mode}/batch_id={batch_id}")
+            count(batch).write.mode("overwrite").parquet(f"{path}/counters/{mode}/batch_id={batch_id}")
             keep_latest(good, f"{path}/latest/{mode}")
         finally:
             batch.unpersist()
@@ -72,17 +74,38 @@ def run(df: DataFrame, path: str, checkpoint: str, mode: str = "live", **lineage
     return (writer if mode == "live" else writer.trigger(availableNow=True)).start()
 
 
+def count(batch: DataFrame, key: str = "ticker", ts: str = "ts", late: int = 5) -> DataFrame:
+    """One row of counters of a batch with errors marked: received, failed, processed, late (if rows tell their arrival) and deduped (beyond the first of a key and time)."""
+    behind = F.unix_micros(F.col("arrival").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) > late * 60_000_000 if "arrival" in batch.columns else F.lit(False)
+    each = batch.groupBy(key, ts).agg(F.count("*").alias("n"), F.count("error").alias("bad"), F.count_if(behind).alias("late"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(total("n").alias("received"), total("bad").alias("failed"), total(F.col("n") - F.col("bad")).alias("processed"), total("late").alias("late"), total(F.col("n") - 1).alias("deduped"), F.current_timestamp().alias("at"))
+
+
+def counters(spark, path: str, mode: str = "live") -> DataFrame:
+    """The counters that run() kept, by batch_id."""
+    return spark.read.parquet(f"{path}/counters/{mode}")
+
+
+def _latest(spark, path: str, key: str, ts: str) -> Partitioned:
+    return Partitioned(spark, path, bucket(key), ts)
+
+
 def keep_latest(batch: DataFrame, path: str, key: str = "ticker", ts: str = "ts") -> None:
-    """Merge a batch into the table of the last row of every key ever seen; the same batch twice changes nothing."""
-    table = Versioned(batch.sparkSession, path)
-    old = table.read()
-    rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-    table.write(rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), ts).alias("_row")).select(key, "_row.*"))
+    """Merge a batch into the table of the last row of every key ever seen; the same batch twice changes nothing. Only the buckets of the batch's keys are written again."""
+    table = _latest(batch.sparkSession, path, key, ts)
+
+    def newest(old: DataFrame | None) -> DataFrame:
+        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
+        return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), ts).alias("_row")).select(key, "_row.*")
+
+    table.change(table.parts_of(batch), newest)
+    table.vacuum(2)
 
 
 def snapshot(spark, path: str, now: dt.datetime | None = None, stale_minutes: int = 5, key: str = "ticker", ts: str = "ts") -> DataFrame | None:
     """The last row of every key ever seen, with is_stale against now, or the newest row."""
-    rows = Versioned(spark, path).read()
+    rows = _latest(spark, path, key, ts).read()
     return rows if rows is None else latest_snapshot(rows, key, ts, stale_minutes, None if now is None else F.lit(now).cast("timestamp"))
 
 

@@ -75,11 +75,11 @@ class Buffers(StatefulProcessor):
         ts, held, epoch, _ = self.last.get() if self.last.exists() else (None, 0, -1, 0)
         marks = pdf.loc[pdf["ts"].isna(), "epoch"]
         pdf = pdf[pdf["ts"].notna()].sort_values(["epoch", *self.order], kind="stable")
-        out = []
+        out, stored = [], held  # of the bars that count now, the first `stored` are in the state
+        bars = [tuple(b) for b in self.bars.get()] if held else []
         for own, part in pdf.groupby("epoch", sort=True):
             if epoch not in (-1, own):  # evicted meanwhile
-                self._clear()
-                ts, held = None, 0
+                ts, bars, stored = None, [], 0
             epoch = int(own)
             at = _micros(part["ts"])
             seen = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if ts is None else ts], at[:-1]]))
@@ -87,27 +87,28 @@ class Buffers(StatefulProcessor):
             if not len(at):
                 continue
             values = [at // 60_000_000, *(part[c].to_numpy(float) for c in ("close", "high", "low", "volume"))]
-            before = list(self.bars.get())[-self.rows :] if held else []
+            before = bars[-self.rows :]
             buffer = [np.concatenate([np.array([b[k] for b in before], float).astype(x.dtype), x]) for k, x in enumerate(values)]
             found = window_metrics(*buffer, self.rows, self.minutes)
-            fresh = [(int(m), *(None if np.isnan(x) else float(x) for x in more)) for m, *more in zip(*(x[-self.rows :] for x in values), strict=True)]
-            if held + len(fresh) > 2 * self.rows:
-                fresh = [tuple(b) for b in before] + fresh
-                fresh, held = fresh[-self.rows :], 0
-                self.bars.put(fresh)
-            else:
-                self.bars.appendList(fresh)
-            ts, held = int(at[-1]), held + len(fresh)
+            bars += [(int(m), *(None if np.isnan(x) else float(x) for x in more)) for m, *more in zip(*values, strict=True)]
+            ts = int(at[-1])
             on_time = (part["arrival"] - part["ts"]).dt.total_seconds().to_numpy() <= self.late * 60
             some = pd.DataFrame({c: part[c].to_numpy() for c in COLUMNS} | {m: found[m][-len(at) :] for m in EQUITY_METRICS})
             out.append(some[on_time & part["emit"].to_numpy(bool)])
+        if stored and len(bars) <= 2 * self.rows:
+            if fresh := bars[stored:]:
+                self.bars.appendList(fresh)
+        elif bars:
+            bars = bars[-self.rows :]
+            self.bars.put(bars)
+        held = len(bars)
         if len(marks) and epoch <= marks.max():  # this admission is over
             self._clear()
         elif len(pdf):
             self._keep(ts, held, epoch, timerValues)
-        for some in out:
-            if len(some):
-                yield some.astype(object).where(some.notna(), None)
+        if some := [x for x in out if len(x)]:
+            some = pd.concat(some, ignore_index=True)
+            yield some.astype(object).where(some.notna(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
 from riskspark.operators import aggregates, bonds, commodity, filters, intraday, joins, quality, scoring, stress, tables
+from riskspark.operators.partitioned import Partitioned, bucket, daily, monthly
 from riskspark.sources import scans
 from riskspark.streaming import engine
 
@@ -91,10 +92,10 @@ def test_tables(spark, tmp_path):
     assert sorted(r["v"] for r in tables.merged(old, new, ["k", "date"]).collect()) == [2, 9]
     with pytest.raises(quality.QualityError):
         tables.merged(old, new.union(new), ["k"])
-    t = tables.Versioned(spark, str(tmp_path / "t"))
+    t = Partitioned(spark, str(tmp_path / "t"), daily())
     assert t.read() is None
-    t.write(old)
-    t.write(tables.merged(t.read(), new, ["k", "date"]))
+    t.append(old)
+    t.merge(new, ["k", "date"])
     assert sorted(r["v"] for r in t.read().collect()) == [2, 9]
     ticks = spark.createDataFrame([("a", dt.datetime(2024, 1, 2, 3), 1.0)], "k string, ts timestamp, v double")
     tables.append_hourly(ticks, str(tmp_path / "h"), "live")
@@ -333,3 +334,69 @@ def test_layers_point_to_the_latest_run(spark, tmp_path):
     layer.write(day(2, 3), "b")
     layer.write(day(2, 3), "b")
     assert sorted((r["date"].day, r["x"]) for r in layer.read().collect()) == [(1, 1), (2, 3)]
+
+
+def _written(path):
+    return {str(p.relative_to(path)): p.stat().st_size for p in path.rglob("*.parquet")}
+
+
+def test_a_merge_into_one_date_writes_one_date(spark, tmp_path):
+    df = spark.range(20_000).select((F.col("id") % 20).alias("k"), F.expr("date_add(date'2020-01-01', cast(id div 20 as int))").alias("date"), F.rand(3).alias("v"))
+    table = Partitioned(spark, str(tmp_path), daily())
+    table.append(df)
+    before = _written(tmp_path / "data")
+    assert len(table.manifest()[0]) == 1000
+    new = df.where("date = '2021-05-05' and k < 7").withColumn("v", F.lit(-1.0)).unionByName(spark.createDataFrame([(99, dt.date(2021, 5, 5), -1.0)], df.schema))
+    fresh = table.merge(new, ["k", "date"])
+    after = _written(tmp_path / "data")
+    assert list(fresh) == ["2021-05-05"] and {k: after[k] for k in before} == before
+    assert sum(after[k] for k in after.keys() - before.keys()) < 0.02 * sum(before.values())
+    got = table.read()
+    assert got.count() == 20_001 and got.where("v = -1").count() == 8 and got.schema["date"].dataType.simpleString() == "date"
+    assert table.read(["2021-05-05"]).count() == 21
+
+
+def test_changes_of_parts(spark, tmp_path):
+    day = lambda *d: spark.createDataFrame([(k, dt.date(2024, *x) if x else None, v) for k, x, v in d], "k string, date date, v int")
+    rows = lambda t: sorted((r["k"], str(r["date"]), r["v"]) for r in t.read().collect())
+    t = Partitioned(spark, str(tmp_path / "t"), monthly())
+    t.append(day(("a", (1, 5), 1), ("a", (1, 20), 2), ("a", (2, 3), 3), ("b", (3, 1), 4), ("n", None, 5)))
+    assert set(t.replace_dates(day(("c", (1, 6), 6)), "2024-01-04", "2024-01-10")) == {"2024-01"}
+    assert rows(t) == [("a", "2024-01-20", 2), ("a", "2024-02-03", 3), ("b", "2024-03-01", 4), ("c", "2024-01-06", 6), ("n", "None", 5)]
+    assert set(t.replace_months(day(("d", (2, 9), 7)))) == {"2024-02"}
+    t.merge(day(("b", (2, 1), 8)), ["k"], moves=True)
+    assert rows(t) == [("a", "2024-01-20", 2), ("b", "2024-02-01", 8), ("c", "2024-01-06", 6), ("d", "2024-02-09", 7), ("n", "None", 5)]
+    t.replace_dates(day(), "2024-02-05", "2024-02-28")
+    t.keep_dates(2)
+    assert rows(t) == [("a", "2024-01-20", 2), ("b", "2024-02-01", 8), ("n", "None", 5)]
+    t.serve(day(("z", (2, 1), 1), ("y", (4, 1), 1)), 2)
+    assert rows(t) == [("n", "None", 5), ("y", "2024-04-01", 1), ("z", "2024-02-01", 1)]
+    with pytest.raises(quality.QualityError):
+        t.merge(day(("q", (1, 1), 1), ("q", (1, 1), 2)), ["k", "date"])
+    with pytest.raises(quality.QualityError):
+        t.change(["2024-02"], lambda old: old.unionByName(day(("y", (4, 2), 1))))
+    t.append(day(("w", (5, 1), 1)).withColumn("more", F.lit("x")))
+    assert {r["k"]: r["more"] for r in t.read().collect()} == {"n": None, "y": None, "z": None, "w": "x"}
+
+
+def test_a_stale_change_is_refused_and_a_vacuum_keeps_what_is_named(spark, tmp_path):
+    df = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1), ("b", dt.date(2024, 2, 1), 2)], "k string, date date, v int")
+    one, two = (Partitioned(spark, str(tmp_path), monthly()) for _ in range(2))
+    one.append(df)
+
+    def meanwhile(old):
+        two.merge(df.where("k = 'b'").withColumn("v", F.lit(9)), ["k"])
+        return old.withColumn("v", F.lit(0))
+
+    with pytest.raises(quality.QualityError, match="no longer"):
+        one.change(["2024-01"], meanwhile)
+    assert {r["k"]: r["v"] for r in one.read().collect()} == {"a": 1, "b": 9}
+    held = one.read()
+    assert len(one.vacuum(2)) == 1  # what the refused change wrote
+    one.merge(df.where("k = 'a'").withColumn("v", F.lit(5)), ["k"])
+    assert one.vacuum(1) and {r["k"]: r["v"] for r in two.read().collect()} == {"a": 5, "b": 9}
+    with pytest.raises(Exception):
+        held.collect()
+    keys = Partitioned(spark, str(tmp_path / "buckets"), bucket("k", 4))
+    keys.append(df)
+    assert keys.read().count() == 2
