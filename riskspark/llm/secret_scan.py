@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,21 +144,38 @@ def findings(scanned: DataFrame) -> DataFrame:
 
 class Ledger:
     """A table of scanned blobs in a shared folder: blob_id, todo (rule keys of one delivery) and spans, one Parquet folder for each
-    delivery. A delivery is scanned against all earlier ones; its folder counts once its write has ended (Spark's _SUCCESS), so a
-    delivery that failed is taken again as a whole."""
+    delivery, under its name. The folder outlives this object: whoever opens it finds all finished deliveries, those whose write has
+    ended (Spark's _SUCCESS). A delivery is scanned against all finished others, so one that broke off, or is delivered again
+    under its name, takes its own folder anew and nothing of the others."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.deliveries = spark, path, 0
-
-    def rows(self) -> DataFrame | None:
-        """All scanned blobs so far, one row for each delivery that had a blob to do."""
-        return self.spark.read.parquet(*[f"{self.path}/{k}" for k in range(self.deliveries)]) if self.deliveries else None
-
-    def add(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
-        """Scan what is unseen of a delivery of versions, and write it down."""
-        before = self.rows()
-        scan(versions, text, rules, None if before is None else ledger_rows(before)).write.mode("overwrite").parquet(f"{self.path}/{self.deliveries}")
-        self.deliveries += 1
+        self.spark, self.path = spark, path
+        self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def deliveries(self) -> list[str]:
+        """Names of the finished deliveries, sorted."""
+        if not self._fs.exists(self._hadoop(self.path)):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._hadoop(self.path))]
+        return sorted(unquote(n.split("=", 1)[1]) for n in names if n.startswith("delivery=") and self._fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS")))
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/delivery={quote(name, safe='')}"
+
+    def rows(self, but: str | None = None) -> DataFrame | None:
+        """All scanned blobs so far, one row for each delivery that had a blob to do; but: a delivery to leave out."""
+        folders = [self._folder(n) for n in self.deliveries() if n != but]
+        return self.spark.read.parquet(*folders).select("blob_id", "todo", "spans") if folders else None
+
+    def add(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, name: str | None = None) -> str:
+        """Scan what is unseen of a delivery of versions, and write it down under its name (without one: the next number). Returns the name."""
+        if name is None:
+            numbers = [int(n) for n in self.deliveries() if n.isdigit()]
+            name = f"{max(numbers, default=-1) + 1:06d}"
+        before = self.rows(name)
+        scan(versions, text, rules, None if before is None else ledger_rows(before)).write.mode("overwrite").parquet(self._folder(name))
+        return name
 
 
 def locate(versions: DataFrame, scanned: DataFrame, text: str = "text", out: str = "_spans") -> DataFrame:
