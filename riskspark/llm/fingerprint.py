@@ -13,8 +13,8 @@ Other columns are left out and may have any names. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskspark.llm.components import checkpoint
 from riskspark.llm.textwords import chunks, window_starts, windows, words
 
 K, WORDS = 128, 5
 #: Characters of text in a range of neighbouring ids, about, and the most ranges: a larger corpus has larger ranges, whose rows are
 #: sorted with spill and read in batches, so that what the driver and a broadcast hold of them (edges, first ids) stays below a megabyte.
 RANGE, MOST_RANGES = 12_000_000, 20_000
+#: Rows of the sample that tells the ranges of ids which are no numbers, for each range.
+SAMPLE = 40
 
 
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
@@ -139,42 +142,52 @@ def merged(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     return parts.select(key, "fingerprint").mapInPandas(fold, schema).repartition(key).sortWithinPartitions(key).mapInPandas(fold_sorted, schema)
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows with _place, a number that never falls as ids rise, and the bytes of all texts. Numbers stand for themselves; of other ids
-    it is the first bytes of their text beyond what all begin with. Null ids lie below all others, spread by the hash of the text."""
+def _edges_of(rows: DataFrame, count: int, n: int) -> list[str]:
+    """Ids that part the rows into about n ranges of equal numbers, from a sample of about SAMPLE rows a range."""
+    near = rows.where(F.col("_id").isNotNull() & (F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) <= min(1.0, SAMPLE * n / max(count, 1)) * (1 << 30)))
+    found = sorted(r[0] for r in near.select(F.col("_id").cast("string")).collect())
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
+def _placed(rows: DataFrame, span: int, most: int) -> tuple[DataFrame, int]:
+    """The rows with _place, a number that never falls as ids rise, and the number of ranges. Numbers stand for themselves; for other ids
+    it is their range among those of a sample. Null ids lie below all others, spread by the hash of the text."""
     kind = rows.schema["_id"].dataType
     plain = F.col("_id").cast("double") if isinstance(kind, T.NumericType) else None
-    own = F.col("_id").cast("string")
-    total, low, first, last = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), *([F.min(plain), F.lit(""), F.lit("")] if plain is not None else [F.lit(0.0), F.min(own), F.max(own)])).first()
+    total, count, low = rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)), F.count("*"), F.min(plain) if plain is not None else F.lit(0.0)).first()
+    n = min(max(12, -(-total // span)), most)
     if plain is None:
-        alike = len(os.path.commonprefix([(first or "").encode(), (last or "").encode()]))
-        six = F.rpad(F.hex(F.substring(own.cast("binary"), alike + 1, 6)), 12, "0")
-        plain = F.conv(six, 16, 10).cast("double")
+        edges = _edges_of(rows, count, n)
+
+        @F.pandas_udf("double")
+        def range_of(ids: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else float(bisect.bisect_right(edges, x)) for x in ids], dtype="float64")
+
+        plain = F.when(F.col("_id").isNotNull(), range_of(F.col("_id").cast("string")))
     low = low or 0.0
     spread = (F.xxhash64("_text") / 2.0**64) + 0.5
-    return rows.withColumn("_place", F.coalesce(plain, F.lit(low) - F.lit(abs(low) * 1e-6 + 1.0) * (spread + 1.0))), total
+    return rows.withColumn("_place", F.coalesce(plain, F.lit(low) - F.lit(abs(low) * 1e-6 + 1.0) * (spread + 1.0))), n
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = RANGE, most: int = MOST_RANGES) -> DataFrame:
     """Rows laid out so that each is followed by the next document in descending id order: (_range, _guest, _place, _id, _text),
     sorted within partitions. The last row of a range is a guest, a copy of the first row of the range below
     (below the last one: of the very first). Null ids are below all others, in the order of their texts' hashes; rows of one id are ordered by text."""
-    rows, total = _placed(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")))
-    n = min(max(12, -(-total // span)), most)
+    rows, n = _placed(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), span, most)
     edges = sorted(set(rows.approxQuantile("_place", [i / n for i in range(1, n)], 0.2 / n) or []))
     placed = rows.withColumn("_range", F.lit(0))
     if edges:
         cut = Bucketizer(splits=[-np.inf, *edges, np.inf], inputCol="_place", outputCol="_bucket")
         placed = cut.transform(rows).withColumn("_range", F.col("_bucket").cast("int")).drop("_bucket")
-    tops = sorted((r["_range"], r["_top"]) for r in placed.groupBy("_range").agg(F.max("_place").alias("_top")).collect())  # a row for each range
-    up = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    guests = docs.sparkSession.createDataFrame(up, "_top double, _to int")
-    placed = placed.join(F.broadcast(guests), F.col("_place") == F.col("_top"), "left")  # as many rows as ranges, MOST_RANGES at most
-    here = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest"))
-    there = F.struct(F.col("_to").alias("range"), F.lit(True).alias("guest"))
-    placed = placed.withColumn("_at", F.explode(F.when(F.col("_to").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
-    placed = placed.select(F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest"), "_place", "_id", "_text")
-    return placed.repartitionById(n, "_range").sortWithinPartitions("_range", "_guest", F.desc("_place"), F.desc_nulls_last("_id"), F.desc("_text"))
+    tops = checkpoint(placed.groupBy("_range").agg(F.max(F.struct("_place", "_id")).alias("_top")))  # a row for each range, without texts
+    used = sorted(r["_range"] for r in tops.select("_range").collect())
+    up = docs.sparkSession.createDataFrame([(r, used[(i + 1) % len(used)]) for i, r in enumerate(used)], "_range int, _to int")
+    tops = tops.select(F.col("_range").alias("_own"), "_top").join(F.broadcast(up), F.col("_own") == F.col("_range")).drop("_range")
+    # rows of a range's greatest id: one, or those that share the id, of which the greatest text is the guest
+    first = placed.join(F.broadcast(tops), (F.col("_range") == F.col("_own")) & (F.col("_place") == F.col("_top._place")) & F.col("_id").eqNullSafe(F.col("_top._id")))
+    guests = first.groupBy("_to").agg(F.max(F.struct("_place", "_id", "_text")).alias("_row")).select(F.col("_to").alias("_range"), F.lit(True).alias("_guest"), "_row.*")
+    laid = placed.select("_range", F.lit(False).alias("_guest"), "_place", "_id", "_text").unionByName(guests)
+    return laid.repartitionById(n, "_range").sortWithinPartitions("_range", "_guest", F.desc("_place"), F.desc_nulls_last("_id"), F.desc("_text"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K, n: int = WORDS) -> DataFrame:
