@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
 from riskspark.operators.aggregates import fractional_rank
 
 ROLL, HISTORY = 60, 3
+#: Days of a key in a slot.
+SLOT = 512
 #: Scale of exposure by commodity; others have DEFAULT_SCALE.
 SCALES = {"ECONOMY": 0.8, "STANDARD": 1.2, "PROMO": 0.6, "MEDIUM": 0.9, "LARGE": 0.5}
 DEFAULT_SCALE = 0.7
@@ -34,18 +38,46 @@ def with_buffer(history: DataFrame, new: DataFrame, key: str, rows: int, date: s
     return old.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
 
 
-def synthetic_days(bars: DataFrame, days: DataFrame, key: str = "commodity", history: int = HISTORY) -> DataFrame:
+def segments(spine: DataFrame, key: str, number: str, real: str, history: int, carried: list[str], slot: int = SLOT) -> DataFrame:
+    """The rows with _segment and _context. A missing row after `history` real ones depends on these alone, so it begins a segment, and has their
+    values in _context; segments of a key are worked out apart. number: of a row in its key, without gaps.
+
+    No window is over a whole key: rows are dealt into slots of numbers that begin with the last rows of the slot before, and what earlier
+    slots know of the last beginning comes from a row for each slot."""
+    own = F.floor(F.col(number) / slot).cast("long")
+    ahead = F.when(F.col(number) % slot >= slot - history, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = spine.withColumn("_slot", F.explode(ahead)).withColumn("_own", own)
+    within = W.over([key, "_slot"], number)
+    before = within.rowsBetween(-history, -1)
+    begins = ~F.col(real) & (F.count_if(F.col(real)).over(before) == history)
+    dealt = dealt.withColumn("_context", F.when(begins, F.collect_list(F.struct(*carried)).over(before))).where("_slot = _own").drop("_own")
+    dealt = dealt.withColumn("_begin", F.when(F.col("_context").isNotNull(), F.col(number)))
+    slots = dealt.groupBy(F.col(key).alias("_key"), F.col("_slot").alias("_at")).agg(F.max("_begin").alias("_last"))
+    slots = slots.withColumn("_earlier", F.max("_last").over(W.over(["_key"], "_at").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    here = F.max("_begin").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.withColumn("_here", here).join(slots, dealt[key].eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at")))
+    return found.withColumn("_segment", F.coalesce(F.greatest("_here", "_earlier"), F.lit(-1))).drop("_slot", "_begin", "_here", "_earlier", "_key", "_at")
+
+
+def synthetic_days(bars: DataFrame, days: DataFrame, key: str = "commodity", history: int = HISTORY, slot: int = SLOT) -> DataFrame:
     """A bar for each day without one: the mean of the last few bars, earlier synthetic ones included, rounded to two digits.
 
-    The fill is sequential within a key, so a key's days are one group; keys and days are both bounded by the calendar."""
+    The fill is sequential within a segment of a key's days (segments()); the segments that begin in one slot are a group."""
     columns = ["open", "high", "low", "close", "volume"]
-    spine = bars.select(key).distinct().join(days.select("date")).join(bars.select(key, "date", *columns), [key, "date"], "left")
+    if history >= slot:
+        raise ValueError("a slot has more rows than the history")
+    calendar = days.select("date").distinct().withColumn("_n", F.row_number().over(W.over([], "date")) - 1)  # a row for each day of all
+    spine = bars.select(key).distinct().join(calendar).join(bars.select(key, "date", *columns), [key, "date"], "left")
+    spine = spine.withColumn("_real", F.col("close").isNotNull()).withColumns({c: F.col(c).cast("double") for c in columns})
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
+        pdf = pdf.sort_values("_n").reset_index(drop=True)
         values = pdf[columns].to_numpy(dtype=float, copy=True)
+        context = pdf["_context"].tolist()
         made, last = [False] * len(pdf), []
         for i in range(len(pdf)):
+            if context[i] is not None:  # a segment begins
+                last = [np.array([x[c] for c in columns], float) for x in context[i]]
             if pd.isna(values[i, 3]):
                 if not last:
                     continue
@@ -54,10 +86,12 @@ def synthetic_days(bars: DataFrame, days: DataFrame, key: str = "commodity", his
             last = [*last, values[i]][-history:]
         pdf[columns] = values
         pdf["data_quality_flag"] = ["SYNTHETIC" if m else "REAL" for m in made]
-        return pdf[pdf["close"].notna()]
+        return pdf.loc[pdf["close"].notna(), [key, "date", *columns, "data_quality_flag"]]
 
     schema = f"{key} {bars.schema[key].dataType.simpleString()}, date date, {', '.join(f'{c} double' for c in columns)}, data_quality_flag string"
-    return spine.select(key, "date", *columns).groupBy(key).applyInPandas(fill, schema)
+    dealt = segments(spine.select(key, "date", "_n", "_real", *columns), key, "_n", "_real", history, columns, slot)
+    together = F.floor(F.col("_segment") / slot).cast("long")  # segments that begin in one slot
+    return dealt.withColumn("_segment", together).groupBy(key, "_segment").applyInPandas(fill, schema)
 
 
 def exposed_days(companies: DataFrame, weights: DataFrame, values: DataFrame) -> DataFrame:

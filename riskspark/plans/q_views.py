@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import windows as W
@@ -19,7 +19,9 @@ from riskspark.plans.query import query
 _EQ, _FX, _BD, _CASES = S._EQ, S._FX, S._BD, S._CASES
 _MONEY = ", ".join(f"sum(mtm_value * {c}) AS {c}" for c in views.RISKS)
 _CM = "cm WHERE date = (SELECT max(date) FROM cm)"
-_LN = f"SELECT * FROM ({q_market.LOANS_SQL}) WHERE month = (SELECT max(month) FROM ({q_market._PANEL}))"
+#: The last month with observed loans; the panel runs on to the last maturity.
+_OBSERVED = "(SELECT CAST(date_trunc('month', max(issue_date)) AS DATE) FROM loans)"
+_LN = f"SELECT * FROM ({q_market.LOANS_SQL}) WHERE month = {_OBSERVED}"
 
 
 def _eq(spark, sf) -> DataFrame:
@@ -199,8 +201,14 @@ def q14_events(spark, sf):
     return M.collateral_table(spark, sf).where("margin_call_flag = 1")
 
 
+def _observed(spark, sf) -> Column:
+    """The month of the last issue, as one value."""
+    return X.loans(spark, sf).agg(F.trunc(F.max("issue_date"), "month")).scalar()
+
+
 def _loans(spark, sf) -> DataFrame:
-    return q_market.loan_table(spark, sf).where(tables.since(q_market._panel(spark, sf).select("month"), 1, "month"))
+    """All loans that are open in the last observed month."""
+    return q_market.loan_table(spark, sf).where(F.col("month") == _observed(spark, sf))
 
 
 @query("Q15_loans_ticker", "ticker loan_count notional:1 expected_loss:1 pnl:2 avg_stage:6 predicted_spread:6 ifrs_status", f"SELECT ticker, count(*) AS loan_count, sum(notional_usd) AS notional, sum(expected_loss) AS expected_loss, sum(total_pnl) AS pnl, avg(stage) AS avg_stage, avg(pred_credit_spread) AS predicted_spread, CASE WHEN bool_and(stage = 1) THEN 'All Loans Performing (Stage 1)' WHEN bool_or(stage = 3) THEN 'Default Loans Present (Stage 3)' ELSE 'Mixed Credit Quality' END AS ifrs_status FROM ({_LN}) GROUP BY 1")
@@ -245,7 +253,7 @@ _RULES = (
     ("Collateral", "clm", "date", "sum(net_exposure)", 1_500_000.0, 3_000_000.0, "count_if(margin_call_flag = 1) > 8"),
     ("Loans", "ln", "month", "sum(expected_loss)", 3_500_000.0, 5_000_000.0, "false"),
 )
-_TABLES = {"clm": f"({S.q_market._CM})", "ln": f"({q_market.LOANS_SQL})", "dr": "(SELECT *, net_exposure AS margin_call_amount FROM dr)"}
+_TABLES = {"clm": f"({S.q_market._CM})", "ln": f"(SELECT * FROM ({q_market.LOANS_SQL}) WHERE month <= {_OBSERVED})", "dr": "(SELECT *, net_exposure AS margin_call_amount FROM dr)"}
 
 
 def _limit_sql(name, table, date, value, warn, hard, broken) -> str:
@@ -266,7 +274,7 @@ def q17_all(spark, sf):
         "cm": tables.latest_dates(M.commodity_table(spark, sf), 2),
         "dr": M.derivatives_table(spark, sf),
         "clm": q_market.r18(spark, sf),
-        "ln": q_market.loan_table(spark, sf).where(tables.since(q_market._panel(spark, sf).select("month"), 2, "month")),
+        "ln": q_market.loan_table(spark, sf).where(F.col("month").between(F.add_months(_observed(spark, sf), -1), _observed(spark, sf))),
     }
     each = []
     for name, table, date, value, warn, hard, broken in _RULES:

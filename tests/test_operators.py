@@ -400,3 +400,32 @@ def test_a_stale_change_is_refused_and_a_vacuum_keeps_what_is_named(spark, tmp_p
     keys = Partitioned(spark, str(tmp_path / "buckets"), bucket("k", 4))
     keys.append(df)
     assert keys.read().count() == 2
+
+
+@pytest.mark.parametrize("slot", [5, 64])
+def test_synthetic_days_by_segments_are_the_sequential_fill(spark, slot):
+    r = random.Random(6)
+    calendar = days(160)
+    rows = [(k, d, *[float(r.randrange(1, 90)) for _ in range(5)]) for k, share in (("a", 0.9), ("b", 0.4), ("c", 0.05), ("d", 1.0)) for i, d in enumerate(calendar) if r.random() < share and not (k == "a" and 60 < i < 100)]
+    names = ["open", "high", "low", "close", "volume"]
+    bars_ = spark.createDataFrame(rows, "commodity string, date date, " + ", ".join(f"{n} double" for n in names))
+    want, have = {}, {(x[0], x[1]): list(x[2:]) for x in rows}
+    for k in "abcd":
+        last = []
+        for d in calendar:
+            now = have.get((k, d)) or ([round(sum(v[c] for v in last) / len(last), 2) for c in range(5)] if last else None)
+            if now:
+                want[k, d] = (now, "REAL" if (k, d) in have else "SYNTHETIC")
+                last = [*last, now][-3:]
+    spine = spark.createDataFrame([(d,) for d in calendar], "date date")
+    got = commodity.synthetic_days(bars_, spine, slot=slot).collect()
+    assert {(x["commodity"], x["date"]): ([x[n] for n in names], x["data_quality_flag"]) for x in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        commodity.synthetic_days(bars_, spine, slot=3)
+
+
+def test_loans_of_the_last_observed_month(spark):
+    from riskspark.plans import q_views
+
+    sf = "/root/testdata/sf0.001"
+    assert q_views.q15_loan(spark, sf).count() > 100 and q_views.q15_ticker(spark, sf).count() == 10
