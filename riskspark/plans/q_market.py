@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators import aggregates, bonds, commodity, equity, filters, fx, joins, loans, scoring, trades
+from riskspark.operators import aggregates, bonds, commodity, equity, filling, filters, fx, joins, loans, scoring, trades
 from riskspark.plans import fixtures as X
 from riskspark.plans import market as M
 from riskspark.plans.query import query
@@ -86,8 +86,7 @@ def w11(spark, sf):
 )
 def w12(spark, sf):
     df = X.fx_daily(spark, sf).withColumn("v", F.when(F.dayofyear("date") % 7 == 0, F.col("fx_rate")))
-    value, flag = W.filled(F.col("v"), W.over(["currency_pair"], "date"))
-    return df.withColumns({"filled": value, "flag": flag})
+    return filling.carried(df, F.col("v"), "currency_pair")
 
 
 @query("W13_group_total", "asset_manager ticker shares:2 total:2", "SELECT *, sum(shares) OVER (PARTITION BY asset_manager) AS total FROM positions")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators import aggregates, bonds, commodity, filters, intraday, joins, quality, scoring, stress, tables
+from riskspark.operators import aggregates, bonds, commodity, filling, filters, intraday, joins, quality, scoring, stress, tables
 from riskspark.operators.partitioned import Partitioned, bucket, daily, monthly
 from riskspark.sources import scans
 from riskspark.streaming import engine
@@ -429,3 +429,13 @@ def test_loans_of_the_last_observed_month(spark):
 
     sf = "/root/testdata/sf0.001"
     assert q_views.q15_loan(spark, sf).count() > 100 and q_views.q15_ticker(spark, sf).count() == 10
+
+
+@pytest.mark.parametrize("slot", [1, 7, 365])
+def test_carried_values_are_those_of_one_window(spark, slot):
+    r = random.Random(8)
+    rows = [(k, d, None if k == "none" or r.random() < 0.85 else r.random()) for k in ("a", "b", "none", None) for d in days(60) if r.random() < 0.9]
+    df = spark.createDataFrame([*rows, ("late", DAY, None), ("late", days(60)[-1], 2.0)], "k string, date date, x double")
+    value, flag = W.filled(F.col("x"), W.over(["k"], "date"))
+    key = lambda d: sorted(map(str, d.select("k", "date", "filled", "flag").collect()))
+    assert key(filling.carried(df, F.col("x"), "k", slot=slot)) == key(df.withColumns({"filled": value, "flag": flag}))
