@@ -9,6 +9,8 @@ from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
 
 RISK_FREE, YEAR = 0.05, 252
+#: Bars that a bar's features look back: 21 returns, the first of which needs the bar before it.
+PAST = 21
 LEAST_SIGMA, LEAST_VAR, LEAST_CVAR = 0.01, (0.005, 0.01), (0.007, 0.015)
 #: Upper edges of credit ratings by Altman Z.
 RATING_EDGES = (0.5, 0.8, 1.23, 1.8, 3.0, 4.2, 5.85, 7.0, 8.15)

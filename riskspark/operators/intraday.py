@@ -84,6 +84,8 @@ def metrics(df: DataFrame, key: str = "ticker", order: tuple[str, ...] = ("ts",)
     slots = _before(dealt.groupBy(key, "_slot").agg(F.count("*").alias("_ticks")), key, F.sum("_ticks"), "_start").drop("_ticks")
     dealt = dealt.withColumn("_n", F.row_number().over(W.over([key, "_slot"], *order)))
     dealt = dealt.join(slots.withColumnRenamed(key, "_key"), dealt[key].eqNullSafe(F.col("_key")) & (dealt["_slot"] == slots["_slot"])).select(*df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_n") - 1).alias("_n"))
+    if rows > CHUNK:
+        raise ValueError(f"a buffer of more than {CHUNK} rows")
     chunk = F.floor(F.col("_n") / CHUNK).cast("long")
     ahead = F.when(F.col("_n") % CHUNK > CHUNK - rows, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))  # the last ones also lead the next chunk
     dealt = dealt.withColumn("_chunk", F.explode(ahead))

@@ -9,10 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from riskspark.functions import windows as W
 
+
 def to_dimension(df: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join to a dimension."""
     return df.join(dimension, on, how)
@@ -29,14 +31,34 @@ def month_join(df: DataFrame, macro: DataFrame, how: str = "inner", date: str =
     return out.drop("_month", "_key")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """Each left row with the last right value at or before it, per key. Both sides are one stream ordered by time, so it costs one
-    shuffle by key and no range join. Of right rows at one time the largest value counts."""
+#: Time of a slot: 365 days of dates, a day of timestamps (in microseconds).
+SLOTS = {T.DateType: 365, T.TimestampType: 86_400_000_000}
+
+
+def as_of(left: DataFrame, right: DataFrame, by: str, order: str, value: str, slot: int | None = None) -> DataFrame:
+    """Each left row with the last right value at or before it, per key. Of right rows at one time the largest value counts; null values
+    do not count; rows without a time come first; null keys are a key.
+
+    Both sides are one stream ordered by time, dealt into slots of time, so a key with many rows is many tasks' work: a window sees one slot of a key, and the
+    last value of the slots before comes from one row a slot. slot: its length, in days of dates, microseconds of timestamps or units of
+    numbers (numbers have no default)."""
+    kind = left.schema[order].dataType
+    length = slot or SLOTS.get(type(kind))
+    if not length:
+        raise ValueError(f"give the length of a slot of {order}")
+    at = F.unix_date(order) if isinstance(kind, T.DateType) else F.unix_micros(order) if isinstance(kind, T.TimestampType) else F.col(order)
+    number = F.coalesce(F.floor(at / length).cast("long"), F.lit(-(1 << 62)))
     marked = left.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType)})
     events = right.groupBy(by, order).agg(F.max(value).alias("_value")).withColumn("_side", F.lit(0))
-    w = W.over([by], order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(events, allowMissingColumns=True)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_value")
+    both = marked.unionByName(events, allowMissingColumns=True).withColumn("_slot", number)
+    told = F.when(F.col("_value").isNotNull(), F.struct(order))
+    each = both.groupBy(F.col(by).alias("_key"), F.col("_slot").alias("_at")).agg(F.max_by("_value", told).alias("_last"))
+    earlier = F.last("_last", ignorenulls=True).over(W.over(["_key"], "_at").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("_key", "_at", earlier.alias("_before"))
+    here = F.last("_value", ignorenulls=True).over(W.over([by, "_slot"], order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_here", here).where("_side = 1")
+    found = found.join(each, found[by].eqNullSafe(F.col("_key")) & (F.col("_slot") == F.col("_at")))
+    return found.select(*[c for c in left.columns if c != value], F.coalesce("_here", "_before").alias(value))
 
 
 def outer_chain(series: dict[str, DataFrame], date: str = "date", value: str = "value") -> DataFrame:

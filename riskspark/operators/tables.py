@@ -104,6 +104,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame, key: str | None = None, *order: str) -> DataFrame:
+    """A frame that several results read, as a table in the shared folder: scans of it prune columns, push filters and know its size. With a key
+    it is in buckets of the key, sorted within, so that windows and joins by the key need no shuffle."""
+    spark = df.sparkSession
+    name, parts = f"staged_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = f"{shared_folder(spark)}/{name}"
+    if key is None:
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).sortBy(key, *order).option("path", at).saveAsTable(name)
+    return spark.table(name)
+
+
 def with_run_mode(df: DataFrame, mode: str) -> DataFrame:
     """Rows for an append-only history."""
     return df.withColumn("run_mode", F.lit(mode))

@@ -4,7 +4,7 @@ Everything grows with its source: a supplier is a ticker, a line item a trade, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A currency pair and a foreign revenue share for each sector.
@@ -18,10 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _bars(trades: DataFrame, key: str) -> DataFrame:
+def _bars(trades: DataFrame, key: str, *more: Column) -> DataFrame:
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     return trades.groupBy(key, "date").agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("l_quantity").alias("volume")
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("l_quantity").alias("volume"), *more
     )
 
 
@@ -81,7 +81,12 @@ def fx_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:
-    firsts = fx_daily(spark, sf).groupBy("currency_pair", F.trunc("date", "month").alias("_m")).agg(F.min_by("fx_rate", "date").alias("_rate"), F.min("date").alias("date"))
+    return first_rates(fx_daily(spark, sf))
+
+
+def first_rates(fx: DataFrame) -> DataFrame:
+    """An interest difference on the first date of each month."""
+    firsts = fx.groupBy("currency_pair", F.trunc("date", "month").alias("_m")).agg(F.min_by("fx_rate", "date").alias("_rate"), F.min("date").alias("date"))
     return firsts.select("currency_pair", "date", ((F.col("_rate") - 1500) / 500).alias("interest_diff"))
 
 

@@ -1,101 +1,142 @@
-"""Asset-class tables on the fixtures, in Spark and as SQL. Serving queries read these."""
+"""Asset-class tables on the fixtures, in Spark and as SQL. Serving queries read these. Functions take the fixtures as x: as they are,
+or staged for a query with several branches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.functions import windows as W
 from riskspark.operators import bonds, commodity, equity, fx, joins, tables, trades
 from riskspark.plans import fixtures as X
+from riskspark.plans.staged import Staged
 
 
-def equity_features(spark, sf) -> DataFrame:
-    return equity.features(X.bars_daily(spark, sf))
+def equity_features(spark, sf, x=X) -> DataFrame:
+    return equity.features(x.bars_daily(spark, sf))
 
 
-def equity_table(spark, sf) -> DataFrame:
+def _equity_risk(spark, sf, features: DataFrame, x) -> DataFrame:
+    df = features.join(x.fundamentals(spark, sf), "ticker").join(x.universe(spark, sf).drop("revenue"), "ticker").join(x.positions(spark, sf), "ticker")
+    return equity.concentration_liquidity(equity.portfolio_risk(equity.position_risk(equity.financial_enrichment(df))))
+
+
+def equity_table(spark, sf, x=X) -> DataFrame:
     """Position-level equity table: features, fundamentals, position and portfolio risk, concentration and liquidity."""
-    df = equity_features(spark, sf).join(X.fundamentals(spark, sf), "ticker").join(X.universe(spark, sf).drop("revenue"), "ticker").join(X.positions(spark, sf), "ticker")
-    df = equity.financial_enrichment(df)
-    return equity.concentration_liquidity(equity.portfolio_risk(equity.position_risk(df)))
+    return _equity_risk(spark, sf, equity_features(spark, sf, x), x)
+
+
+def _recent_bars(spark, sf, days: int, x: Staged) -> DataFrame:
+    newest = F.row_number().over(W.over(["ticker"], F.desc("date")))
+    bars = x.bars_daily(spark, sf) if x.has_bars() else X.bars_daily(spark, sf)
+    kept = bars.withColumn("_newest", newest).where(F.col("_newest") <= days + equity.PAST).drop("_newest")
+    return x.once(f"recent {days}", lambda: tables.staged(kept, "ticker", "date"))
+
+
+def equity_since(spark, sf, days: int, x=None) -> DataFrame:
+    """The equity table's last dates. A ticker has at most `days` bars on them, and features look equity.PAST bars back: so its newest bars are
+    all that is kept, a limit for each ticker that is taken before the shuffle. They are written once, and give the dates as well."""
+    x = x or Staged()
+    x.together(spark, lambda: _recent_bars(spark, sf, days, x), lambda: x.positions(spark, sf))
+    recent = _recent_bars(spark, sf, days, x)
+    named = x.fundamentals(spark, sf).join(x.universe(spark, sf), "ticker", "left_semi").join(x.positions(spark, sf), "ticker", "left_semi")
+    dates = recent.join(named.select("ticker"), "ticker", "left_semi").select("date")
+    return _equity_risk(spark, sf, equity.features(recent).where(tables.since(dates, days)), x)
 
 
-def equity_since(spark, sf, days: int) -> DataFrame:
-    """The equity table's last dates. They are told as one value, so the filter goes below all windows by date and
-    only the features, which need a ticker's past, are computed for other dates."""
-    names = X.fundamentals(spark, sf).join(X.universe(spark, sf), "ticker", "left_semi").join(X.positions(spark, sf), "ticker", "left_semi")
-    dates = X._trades(spark, sf).join(names.select("ticker"), "ticker", "left_semi").select("date")
-    return equity_table(spark, sf).where(tables.since(dates, days))
+def equity_day(spark, sf, x=None) -> DataFrame:
+    return equity_since(spark, sf, 1, x)
 
 
-def equity_day(spark, sf) -> DataFrame:
-    return equity_since(spark, sf, 1)
+def fx_exposed(spark, sf, x=X) -> DataFrame:
+    return x.universe(spark, sf).join(x.sector_pair(spark, sf), "sector")
 
 
-def fx_exposed(spark, sf) -> DataFrame:
-    return X.universe(spark, sf).join(X.sector_pair(spark, sf), "sector")
+def fx_rated(spark, sf, x=X) -> DataFrame:
+    return joins.as_of(x.fx_daily(spark, sf), x.rates(spark, sf), "currency_pair", "date", "interest_diff")
 
 
-def fx_rated(spark, sf) -> DataFrame:
-    return joins.as_of(X.fx_daily(spark, sf), X.rates(spark, sf), "currency_pair", "date", "interest_diff")
+def fx_table(spark, sf, x=None) -> DataFrame:
+    x = x or Staged()
+    return fx.fx_enrichment(fx.pair_metrics(fx_rated(spark, sf, x)), fx_exposed(spark, sf, x))
 
 
-def fx_table(spark, sf) -> DataFrame:
-    return fx.fx_enrichment(fx.pair_metrics(fx_rated(spark, sf)), fx_exposed(spark, sf))
+def _pairs(spark, sf, x: Staged) -> DataFrame:
+    return x.once("pairs", lambda: tables.staged(fx.pair_metrics(fx_rated(spark, sf, x))))
 
 
-def commodity_features(spark, sf) -> DataFrame:
-    return commodity.commodity_features(X.commodity_daily(spark, sf))
+def fx_since(spark, sf, days: int, x=None) -> DataFrame:
+    """The FX table's last dates. Days of pairs are written before they fan out to tickers; the dates come from them."""
+    x = x or Staged()
+    pairs = _pairs(spark, sf, x)
+    return fx.fx_enrichment(pairs.where(tables.since(pairs.where("not is_warmup").select("date"), days)), fx_exposed(spark, sf, x))
 
 
-def market_values(spark, sf) -> DataFrame:
+def commodity_features(spark, sf, x=X) -> DataFrame:
+    return commodity.commodity_features(x.commodity_daily(spark, sf))
+
+
+def market_values(spark, sf, x=X) -> DataFrame:
     """Daily market value of a ticker over all managers."""
-    total = X.positions(spark, sf).groupBy("ticker").agg(F.sum("shares").alias("shares"))
-    return X.bars_daily(spark, sf).join(total, "ticker").select("ticker", "date", (F.col("close") * F.col("shares")).alias("mtm_value"))
+    total = x.positions(spark, sf).groupBy("ticker").agg(F.sum("shares").alias("shares"))
+    return x.bars_daily(spark, sf).join(total, "ticker").select("ticker", "date", (F.col("close") * F.col("shares")).alias("mtm_value"))
+
+
+def _commodity_days(spark, sf, x: Staged) -> DataFrame:
+    return x.once("commodity features", lambda: tables.staged(commodity_features(spark, sf, x)))
+
+
+def _commodity_counts(spark, sf, x: Staged) -> DataFrame:
+    return x.once("commodity counts", lambda: tables.staged(commodity.exposed_days(x.universe(spark, sf), x.sector_commodity(spark, sf), market_values(spark, sf, x))))
 
 
-def commodity_table(spark, sf) -> DataFrame:
-    return commodity.commodity_exposure(X.universe(spark, sf), X.sector_commodity(spark, sf), commodity_features(spark, sf), market_values(spark, sf))
+def commodity_table(spark, sf, x=None, days: int | None = None) -> DataFrame:
+    """Exposures of tickers to commodities on all dates, or the last ones. Features and the counts of exposures are written once: ranks, dates and exposures read them."""
+    x = x or Staged().trading(spark, sf)
+    x.together(spark, lambda: _commodity_days(spark, sf, x), lambda: _commodity_counts(spark, sf, x))
+    features, counts, last = _commodity_days(spark, sf, x), _commodity_counts(spark, sf, x), None
+    if days is not None:
+        last = tables.since(counts.join(features, ["commodity", "date"], "left_semi").select("date"), days)
+    return commodity.commodity_exposure(x.universe(spark, sf), x.sector_commodity(spark, sf), features, market_values(spark, sf, x), counts, last)
 
 
-def bond_days(spark, sf) -> DataFrame:
+def bond_days(spark, sf, x=X) -> DataFrame:
     """The last five dates with bars."""
-    return X.bars_daily(spark, sf).select("date").distinct().orderBy(F.desc("date")).limit(5)
+    return x.bars_daily(spark, sf).select("date").distinct().orderBy(F.desc("date")).limit(5)
 
 
 def yields(spark, sf) -> DataFrame:
     return X.macro(spark, sf).select(F.col("month").alias("date"), F.col("fedfunds").alias("dgs10"))
 
 
-def bond_table(spark, sf) -> DataFrame:
+def bond_table(spark, sf, x=X) -> DataFrame:
     """Bonds on the last five dates with a spread and a default probability derived from price and volatility."""
-    df = bonds.daily_panel(X.bond_universe(spark, sf), bond_days(spark, sf)).join(X.universe(spark, sf).drop("revenue"), "ticker")
+    df = bonds.daily_panel(x.bond_universe(spark, sf), bond_days(spark, sf, x)).join(x.universe(spark, sf).drop("revenue"), "ticker")
     df = df.withColumn("yield_to_maturity", F.col("coupon_rate") * 100 / F.col("price") + F.col("vol"))
     df = df.withColumn("credit_spread", F.col("yield_to_maturity") * 100 * (1 + F.col("vol")))
     return df.withColumn("implied_pd_annual", F.col("credit_spread") / 10_000 / 0.6)
 
 
-def trade_frames(spark, sf) -> DataFrame:
-    """Trades of the last two dates of each asset class, written down once. The dates come from the tables before they fan out to tickers."""
-    pairs = fx.pair_metrics(fx_rated(spark, sf))
-    fx_ = fx.fx_enrichment(pairs.where(tables.since(pairs.where("not is_warmup").select("date"), 2)), fx_exposed(spark, sf))
-    valued = commodity.exposed_days(X.universe(spark, sf), X.sector_commodity(spark, sf), market_values(spark, sf)).join(commodity_features(spark, sf).select("commodity", "date"), ["commodity", "date"], "left_semi")
-    cm = commodity_table(spark, sf).where(tables.since(valued.select("date"), 2)).select("date", "ticker", "sector", "industry", "commodity", "close", "exposure_amount")
-    bd = tables.latest_dates(bond_table(spark, sf), 2)
-    return tables.written(trades.all_trades(
-        trades.trade_schema(fx_, "FX", "fx_rate", "exposure_amount"),
+def trade_frames(spark, sf, x=None) -> DataFrame:
+    """Trades of the last two dates of each asset class, written down once: bars, positions, pairs and commodity days are made once each."""
+    x = x or Staged().trading(spark, sf)
+    x.together(spark, *[lambda f=f: f(spark, sf, x) for f in (_commodity_days, _commodity_counts, _pairs)], lambda: _recent_bars(spark, sf, 2, x))
+    cm = commodity_table(spark, sf, x, 2).select("date", "ticker", "sector", "industry", "commodity", "close", "exposure_amount")
+    bd = tables.latest_dates(bond_table(spark, sf, x), 2)
+    return tables.staged(trades.all_trades(
+        trades.trade_schema(fx_since(spark, sf, 2, x), "FX", "fx_rate", "exposure_amount"),
         trades.trade_schema(cm, "Commodity", "close", "exposure_amount"),
         trades.trade_schema(bd, "Bond", "yield_to_maturity", F.col("maturity_years") * 1_000_000.0, greeks=False),
-        trades.trade_schema(equity_since(spark, sf, 2), "Equity", "close", "mtm_value"),
+        trades.trade_schema(equity_since(spark, sf, 2, x), "Equity", "close", "mtm_value"),
     ))
 
 
-def derivatives_table(spark, sf) -> DataFrame:
-    return trades.derivative_trades(trade_frames(spark, sf))
+def derivatives_table(spark, sf, made: DataFrame | None = None) -> DataFrame:
+    return trades.derivative_trades(trade_frames(spark, sf) if made is None else made)
 
 
-def collateral_table(spark, sf) -> DataFrame:
-    return trades.collateral_detail(trade_frames(spark, sf))
+def collateral_table(spark, sf, made: DataFrame | None = None) -> DataFrame:
+    return trades.collateral_detail(trade_frames(spark, sf) if made is None else made)
 
 
 def _std(x: str, n: int, least: int, by: str = "ticker") -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators import aggregates, bonds, commodity, equity, filling, filters, fx, joins, loans, scoring, trades
+from riskspark.operators import aggregates, bonds, commodity, equity, filling, filters, fx, joins, loans, scoring, tables, trades
 from riskspark.plans import fixtures as X
 from riskspark.plans import market as M
 from riskspark.plans.query import query
@@ -304,6 +307,15 @@ def x02(spark, sf):
     return scoring.scored(M.equity_table(spark, sf), "pred_score", [*_WEIGHTS, "absent"], lambda x: 0.1 + sum(x[c] * w for c, w in _WEIGHTS.items()) + 0 * x["absent"])
 
 
+@query("X02_stored_model", "ticker asset_manager date pred_score:6 pred_score_model pred_score_error", "SELECT ticker, asset_manager, date, 0.1 + 2.0 * coalesce(daily_return, 0) - 1.5 * coalesce(volatility_21d, 0) + 0.5 * coalesce(beta_weighted, 0) AS pred_score, 'run-2' AS pred_score_model, CAST(NULL AS VARCHAR) AS pred_score_error FROM eq")
+def x02_stored(spark, sf):
+    """Two runs of a model in the shared folder, of which the newer scores."""
+    folder = f"{tables.shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    for run, intercept in (("run-1", 9.0), ("run-2", 0.1)):
+        scoring.store(spark, folder, run, [*_WEIGHTS, "absent"], json.dumps({"intercept": intercept, "weights": _WEIGHTS}).encode())
+    return scoring.scored_by(M.equity_table(spark, sf), "pred_score", scoring.stored(spark, folder), scoring.linear_model)
+
+
 @query("X03_strict_scoring", "bond_id date pred_pd:8", "SELECT bond_id, date, 0.01 + 0.2 * vol + 0.001 * coupon_rate AS pred_pd FROM bd")
 def x03(spark, sf):
     return scoring.scored(M.bond_table(spark, sf), "pred_pd", ["vol", "coupon_rate"], scoring.linear({"vol": 0.2, "coupon_rate": 0.001}, 0.01), strict=True)

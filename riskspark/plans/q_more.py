@@ -11,7 +11,7 @@ from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
 from riskspark.operators import aggregates as A
 from riskspark.operators import filters as P
-from riskspark.operators import intraday, loans, quality, tables
+from riskspark.operators import intraday, loans, quality, sketches, tables
 from riskspark.operators import joins as J
 from riskspark.plans import fixtures as X
 from riskspark.plans import market as M
@@ -134,6 +134,26 @@ def a02(spark, sf):
     return Q._eq(spark, sf).groupBy("asset_manager").agg(F.sum(F.col("mtm_value") * F.col("daily_VaR_95")).alias("risk"))
 
 
+_SOLD = "SELECT coalesce(sector, 'FIRM') AS sector, count(DISTINCT l_partkey) AS parts, true AS parts_within, count(*) AS trades, true AS median_within FROM trades JOIN universe USING (ticker) GROUP BY ROLLUP (sector)"
+
+
+@query("A04_sketch_rollup", "sector parts parts_within trades median_within", _SOLD)
+def a04_sketch(spark, sf):
+    """Sketches of tickers, written and rolled up to sectors and the firm, beside exact counts and the exact share of trades at or below the median's bounds."""
+    sold = X._trades(spark, sf).join(X.universe(spark, sf).select("ticker", "sector"), "ticker")
+    fine = tables.staged(sketches.sketched(sold, ["sector", "ticker"], {"l_partkey": "parts_sketch"}, {"price": "price_sketch"}))
+    sectors = sketches.rolled(fine, ["sector"], ["parts_sketch"], ["price_sketch"])
+    firm = sketches.rolled(fine, [], ["parts_sketch"], ["price_sketch"]).withColumn("sector", F.lit("FIRM"))
+    told = sketches.with_quantile(sketches.with_counts(sectors.unionByName(firm), "parts_sketch", "estimate"), "price_sketch", "median", 0.5)
+    told = tables.staged(told.drop("parts_sketch", "price_sketch"))
+    rows = sold.select(F.explode(F.array("sector", F.lit("FIRM"))).alias("sector"), "l_partkey", "price").join(told, "sector")
+    per = rows.groupBy("sector").agg(
+        F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("trades"), F.max("estimate_low").alias("low"), F.max("estimate_high").alias("high"),
+        F.avg((F.col("price") <= F.col("median_low")).cast("int")).alias("below"), F.avg((F.col("price") <= F.col("median_high")).cast("int")).alias("above"),
+    )
+    return per.select("sector", "parts", F.col("parts").between(F.col("low"), F.col("high")).alias("parts_within"), "trades", ((F.col("below") <= 0.5 + 0.01) & (F.col("above") >= 0.5 - 0.01)).alias("median_within"))
+
+
 @query("A04_count_distinct", "suppliers parts", "SELECT count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem")
 def a04(spark, sf):
     return X.table(spark, sf, "lineitem").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
@@ -300,4 +320,4 @@ def q22(spark, sf):
 
 @query("Q10_fx_ticker", "ticker pairs exposure:1 best:1 worst:1", f"SELECT ticker, count(DISTINCT currency_pair) AS pairs, sum(exposure_amount) AS exposure, max(total_pnl) AS best, min(total_pnl) AS worst FROM {Q._FX} GROUP BY 1")
 def q10b(spark, sf):
-    return V.last_day(M.fx_table(spark, sf)).groupBy("ticker").agg(F.count_distinct("currency_pair").alias("pairs"), F.sum("exposure_amount").alias("exposure"), F.max("total_pnl").alias("best"), F.min("total_pnl").alias("worst"))
+    return M.fx_since(spark, sf, 1).groupBy("ticker").agg(F.count_distinct("currency_pair").alias("pairs"), F.sum("exposure_amount").alias("exposure"), F.max("total_pnl").alias("best"), F.min("total_pnl").alias("worst"))

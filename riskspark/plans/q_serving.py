@@ -79,12 +79,12 @@ def q08(spark, sf):
 
 @query("Q09_fx_overview", "currency_pair exposure:1 pnl:1 volatility:5 worst_var:1 largest_var:1 hedge_ratio:5 tickers", f"SELECT currency_pair, sum(exposure_amount) AS exposure, sum(total_pnl) AS pnl, avg(fx_volatility) AS volatility, min(value_at_risk) AS worst_var, max(value_at_risk) AS largest_var, avg(hedge_ratio) AS hedge_ratio, count(DISTINCT ticker) AS tickers FROM {_FX} GROUP BY 1 ORDER BY exposure DESC LIMIT 7")
 def q09(spark, sf):
-    return V.fx_overview(V.last_day(M.fx_table(spark, sf)))
+    return V.fx_overview(M.fx_since(spark, sf, 1))
 
 
 @query("Q10_fx_currency", "ticker exposure:1 pnl:1 worst_var:1", f"SELECT ticker, sum(exposure_amount) AS exposure, sum(total_pnl) AS pnl, max(value_at_risk) AS worst_var FROM {_FX} AND currency_pair = 'USDJPY' GROUP BY 1 ORDER BY exposure DESC, ticker LIMIT 20")
 def q10(spark, sf):
-    return V.fx_currency(V.last_day(M.fx_table(spark, sf)), "USDJPY")
+    return V.fx_currency(M.fx_since(spark, sf, 1), "USDJPY")
 
 
 _BD = "bd WHERE date = (SELECT max(date) FROM bars_daily)"
@@ -97,7 +97,7 @@ def q11(spark, sf):
 
 @query("Q12_commodity_overview", "commodity exposure:1 pnl:1 losses n", "SELECT commodity, sum(exposure_amount) AS exposure, sum(commodity_pnl) AS pnl, count(*) FILTER (daily_return < -0.05) AS losses, count(*) AS n FROM cm WHERE date = (SELECT max(date) FROM cm) GROUP BY 1")
 def q12(spark, sf):
-    return V.grouped(V.last_day(M.commodity_table(spark, sf)), ["commodity"], {"exposure": "exposure_amount", "pnl": "commodity_pnl"}, {"losses": F.col("daily_return") < -0.05})
+    return V.grouped(M.commodity_table(spark, sf, days=1), ["commodity"], {"exposure": "exposure_amount", "pnl": "commodity_pnl"}, {"losses": F.col("daily_return") < -0.05})
 
 
 @query("Q13_derivatives_firm", "asset_class counterparty notional:1 net_exposure:1 pnl:1 calls n", "SELECT asset_class, counterparty, sum(notional) AS notional, sum(net_exposure) AS net_exposure, sum(pnl) AS pnl, count(*) FILTER (margin_call_flag = 1) AS calls, count(*) AS n FROM dr GROUP BY 1, 2")
@@ -125,7 +125,7 @@ _LIGHT = "CASE WHEN alerts / nullif(cnt, 0) > 0.2 THEN 'red' WHEN alerts / nulli
 
 @query("Q16_dashboard", "segment exposure:1 pnl:2 risk:5 alerts light", f"SELECT *, {_LIGHT} FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS segment, {e} AS exposure, {p} AS pnl, {r} AS risk, count(*) FILTER (coalesce({a}, false)) AS alerts, count(*) AS cnt FROM {t}" for n, (t, e, p, r, a) in _SEG.items()) + ")")
 def q16(spark, sf):
-    frames = {"Equities": _eq(spark, sf), "FX": V.last_day(M.fx_table(spark, sf)), "Bonds": V.last_day(M.bond_table(spark, sf))}
+    frames = {"Equities": _eq(spark, sf), "FX": M.fx_since(spark, sf, 1), "Bonds": V.last_day(M.bond_table(spark, sf))}
     return V.dashboard({n: (frames[n], F.expr(e), F.expr(p), F.expr(r), F.expr(a)) for n, (_, e, p, r, a) in _SEG.items()})
 
 
@@ -136,7 +136,7 @@ _ACTUAL = f"SELECT 'Equities' AS segment, avg(daily_VaR_99) AS actual FROM {_EQ}
 
 @query("Q17_compliance", "segment actual:4 status compliance_score", f"SELECT *, greatest(50, 100 - 8 * count(*) FILTER (status = 'Hard Breach') OVER ()) AS compliance_score FROM (SELECT segment, actual, {_STATUS} AS status FROM ({_ACTUAL}) JOIN (VALUES {', '.join(map(repr, _LIMITS))}) l(segment, warn, hard) USING (segment))")
 def q17(spark, sf):
-    actual = _eq(spark, sf).agg(F.lit("Equities").alias("segment"), F.avg("daily_VaR_99").alias("actual")).unionByName(V.last_day(M.fx_table(spark, sf)).agg(F.lit("FX").alias("segment"), F.avg("VaR_99").alias("actual")))
+    actual = _eq(spark, sf).agg(F.lit("Equities").alias("segment"), F.avg("daily_VaR_99").alias("actual")).unionByName(M.fx_since(spark, sf, 1).agg(F.lit("FX").alias("segment"), F.avg("VaR_99").alias("actual")))
     return V.compliance(actual, spark.createDataFrame(list(_LIMITS), "segment string, warn double, hard double"))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import windows as W
-from riskspark.operators import commodity, fx, intraday, stress, tables
+from riskspark.operators import fx, intraday, stress, tables, trades
 from riskspark.plans import fixtures as X
 from riskspark.plans import market as M
 from riskspark.plans import q_market, views
 from riskspark.plans import q_serving as S
 from riskspark.plans import serving as V
 from riskspark.plans.query import query
+from riskspark.plans.staged import Staged
 
 _EQ, _FX, _BD, _CASES = S._EQ, S._FX, S._BD, S._CASES
 _MONEY = ", ".join(f"sum(mtm_value * {c}) AS {c}" for c in views.RISKS)
@@ -122,8 +123,7 @@ def q08_alerts(spark, sf):
 
 
 def _fx_day(spark, sf) -> DataFrame:
-    pairs = fx.pair_metrics(M.fx_rated(spark, sf))
-    return fx.fx_enrichment(pairs.where(tables.since(pairs.where("not is_warmup").select("date"), 1)), M.fx_exposed(spark, sf))
+    return M.fx_since(spark, sf, 1)
 
 
 @query("Q10_all_currencies", "currency_pair ticker exposure:1 pnl:1 worst_var:1", _top(f"SELECT currency_pair, ticker, sum(exposure_amount) AS exposure, sum(total_pnl) AS pnl, max(value_at_risk) AS worst_var FROM {_FX} GROUP BY 1, 2", "currency_pair", 20, "exposure DESC, ticker"))
@@ -139,10 +139,10 @@ def q11_ticker(spark, sf):
 
 def _commodity_day(spark, sf) -> DataFrame:
     """The commodity table's last date, by manager: a manager has the share of a name's exposure that it has of its shares."""
-    held = X.positions(spark, sf)
+    x = Staged().trading(spark, sf)
+    held = x.positions(spark, sf)
     total = held.groupBy("ticker").agg(F.sum("shares").alias("_all"))
-    valued = commodity.exposed_days(X.universe(spark, sf), X.sector_commodity(spark, sf), M.market_values(spark, sf)).join(M.commodity_features(spark, sf).select("commodity", "date"), ["commodity", "date"], "left_semi")
-    day = M.commodity_table(spark, sf).where(tables.since(valued.select("date"), 1))
+    day = M.commodity_table(spark, sf, x, 1)
     part = F.col("shares") / F.col("_all")
     return day.join(held, "ticker").join(total, "ticker").withColumns({"exposure_amount": F.col("exposure_amount") * part, "commodity_pnl": F.col("commodity_pnl") * part})
 
@@ -238,7 +238,9 @@ _SEGMENTS = {
 
 @query("Q16_all_segments", "segment exposure:1 pnl:2 risk:5 alerts light", "SELECT *, CASE WHEN alerts > 2 THEN 'red' WHEN alerts > 0 OR pnl < 0 THEN 'yellow' ELSE 'green' END AS light FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS segment, coalesce({e}, 0.0) AS exposure, coalesce({p}, 0.0) AS pnl, {r} AS risk, count(*) FILTER (coalesce({a}, false)) AS alerts FROM {t}" for n, (t, e, p, r, a) in _SEGMENTS.items()) + ")")
 def q16_all(spark, sf):
-    days = {"Equity": _eq(spark, sf), "FX": _fx_day(spark, sf), "Commodities": V.last_day(M.commodity_table(spark, sf)), "Bonds": V.last_day(M.bond_table(spark, sf)), "Derivatives": V.last_day(M.derivatives_table(spark, sf)), "Collateral": V.last_day(M.collateral_table(spark, sf)), "Loans": _loans(spark, sf)}
+    x = Staged().trading(spark, sf)
+    made = M.trade_frames(spark, sf, x)
+    days = {"Equity": M.equity_day(spark, sf, x), "FX": M.fx_since(spark, sf, 1, x), "Commodities": M.commodity_table(spark, sf, x, 1), "Bonds": V.last_day(M.bond_table(spark, sf, x)), "Derivatives": V.last_day(M.derivatives_table(spark, sf, made)), "Collateral": V.last_day(M.collateral_table(spark, sf, made)), "Loans": _loans(spark, sf)}
     return views.segments({n: (days[n], *map(F.expr, (e, p, r, a))) for n, (_, e, p, r, a) in _SEGMENTS.items()})
 
 
@@ -266,14 +268,15 @@ _STATUS = "CASE WHEN broken OR actual > hard THEN 'Hard Breach' WHEN actual > wa
 
 @query("Q17_all_limits", "mode segment actual:4 status score:1", f"SELECT *, CAST(greatest(50.0, 100.0 - 8 * count(*) FILTER (status <> 'Compliant') OVER (PARTITION BY mode)) AS DOUBLE) AS score FROM (SELECT *, {_STATUS} AS status FROM ({' UNION ALL '.join(_limit_sql(*r) for r in _RULES)}))")
 def q17_all(spark, sf):
-    pairs = fx.pair_metrics(M.fx_rated(spark, sf))
+    x = Staged().trading(spark, sf)
+    made = M.trade_frames(spark, sf, x)
     frames = {
-        "eq": M.equity_since(spark, sf, 2),
-        "fx": fx.fx_enrichment(pairs.where(tables.since(pairs.where("not is_warmup").select("date"), 2)), M.fx_exposed(spark, sf)),
-        "bd": tables.latest_dates(M.bond_table(spark, sf), 2),
-        "cm": tables.latest_dates(M.commodity_table(spark, sf), 2),
-        "dr": M.derivatives_table(spark, sf),
-        "clm": q_market.r18(spark, sf),
+        "eq": M.equity_since(spark, sf, 2, x),
+        "fx": M.fx_since(spark, sf, 2, x),
+        "bd": tables.latest_dates(M.bond_table(spark, sf, x), 2),
+        "cm": M.commodity_table(spark, sf, x, 2),
+        "dr": M.derivatives_table(spark, sf, made),
+        "clm": trades.collateral_model(M.collateral_table(spark, sf, made)),
         "ln": q_market.loan_table(spark, sf).where(F.col("month").between(F.add_months(_observed(spark, sf), -1), _observed(spark, sf))),
     }
     each = []
