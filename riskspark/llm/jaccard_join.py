@@ -9,8 +9,9 @@ nearly all of it before it is formed:
 2. Columns. In one order of the n-grams for all documents, rarest first, two linked documents share one of the first
    n - ceil(threshold * n) + 1 of each (of the smaller document even one of the first n - ceil(2 t / (1 + t) * n) + 1),
    so only these columns are multiplied, and only for rows whose sizes and shared n-grams allow a link.
-3. Entries. The counts so far bound a pair's overlap from above; overlaps of pairs that may still link are counted in full,
-   and pairs below the bound go.
+3. Entries. The columns are dealt into BLOCKS blocks by their hash. Pairs that met in a column are the entries asked for; block after
+   block of columns is multiplied for them and adds to their overlap counts. An entry goes as soon as its count and what the later
+   blocks can add at most (the smaller of both rows' n-grams there) stay below the least overlap that its sizes need.
 
 Within a column, rows are compared with one of them first, the one with the fewest n-grams of its own; components of what
 links are formed, and only rows still in different components are compared further. So a group of copies
@@ -37,6 +38,8 @@ from riskspark.llm.textwords import chunks, mix, window_starts, windows, words
 WORDS, PERCENT = 5, 80
 #: Rows of one column in one task, about, where its rows are compared with each other.
 CELL = 512
+#: Blocks of columns whose partial products are added up one after the other.
+BLOCKS = 4
 
 
 def _sets(table: pa.Table, n: int):
@@ -71,7 +74,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
         return blocks.send(table["_block"][0].as_py(), keys, np.ones(len(keys), bool), parts, bits)
 
     shared = blocks.repeated(dealt.groupBy("_block").applyInArrow(count, blocks.REPEAT_SCHEMA), parts, n_blocks)
-    fields = [("_text_key", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_first", pa.int32()), ("_keys", pa.list_(pa.int64()))]
+    fields = [("_text_key", pa.int64()), ("_n", pa.int64()), ("_s1", pa.int64()), ("_s2", pa.int64()), ("_early", pa.list_(pa.int32())), ("_ends", pa.list_(pa.int32())), ("_keys", pa.list_(pa.int64()))]
+    lists = ("_early", "_ends", "_keys")
 
     def bound(left: pa.Table, right: pa.Table) -> pa.Table:
         out, known = {f: [] for f, _ in fields}, set()
@@ -85,26 +89,32 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
             if len(keys) and most >= 0:
                 with np.errstate(over="ignore"):
                     same = (int(keys.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(keys)).view(np.int64)))
-                shared = keys[good]
-                shared = shared[np.lexsort((shared, often[np.searchsorted(hit, short[good])]))]
                 out["_s1"].append(same[0])
                 out["_s2"].append(same[1])
-                out["_first"].append(most + 1)
-                out["_keys"].append(None if same in known else shared.view(np.int64))
+                values = (None, None, None)
+                if same not in known:
+                    shared, times = keys[good], often[np.searchsorted(hit, short[good])]
+                    block = shared % np.uint64(BLOCKS)
+                    order = np.argsort(block, kind="stable")
+                    shared, times = shared[order], times[order]
+                    early = np.lexsort((shared, times))[: most + 1]  # places of the rarest ones, rarest first
+                    values = early.astype(np.int32), np.cumsum(np.bincount(block.astype(np.int64), minlength=BLOCKS)).astype(np.int32), shared.view(np.int64)
+                for f, value in zip(lists, values, strict=True):
+                    out[f].append(value)
                 known.add(same)
             else:
-                for f in ("_s1", "_s2", "_first", "_keys"):
+                for f in ("_s1", "_s2", *lists):
                     out[f].append(None)
         return pa.table(out, pa.schema(fields)).add_column(0, "_id", left["_id"])
 
-    rows = checkpoint(dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, f"_id {kind}, _text_key long, _n long, _s1 long, _s2 long, _first int, _keys array<long>"))
+    rows = checkpoint(dealt.groupBy("_block").cogroup(shared.groupBy("_block")).applyInArrow(bound, f"_id {kind}, _text_key long, _n long, _s1 long, _s2 long, _early array<int>, _ends array<int>, _keys array<long>"))
     same = ["_s1", "_s2", "_n"]
     node = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"))  # null ids come last
-    classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min(node).alias("node"), F.first("_keys", ignorenulls=True).alias("keys"), F.first("_first").alias("first")))
+    classes = checkpoint(rows.where("_s1 is not null").groupBy(*same).agg(F.min(node).alias("node"), *[F.first(f, ignorenulls=True).alias(f[1:]) for f in lists]))
     seed = _seed(classes, same)
-    nodes = classes.select(F.xxhash64(F.lit(seed), *same).alias("row"), "node", F.col("_n").alias("n"), F.size("keys").alias("shared"), "first", "keys")
+    nodes = classes.select(F.xxhash64(F.lit(seed), *same).alias("row"), "node", F.col("_n").alias("n"), F.size("keys").alias("shared"), "early", "ends", "keys")
     few = F.col("shared") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1  # as the smaller of a pair
-    columns = nodes.select(F.posexplode(F.slice("keys", 1, F.col("first"))).alias("_at", "key"), "row", "n", "shared", few.alias("_few"))
+    columns = nodes.select(F.posexplode(F.transform("early", lambda i: F.col("keys")[i])).alias("_at", "key"), "row", "n", "shared", few.alias("_few"))
     columns = columns.select("key", "row", "n", "shared", F.col("_at").alias("at"), (F.col("_at") < F.col("_few")).alias("early"))
     met = columns.groupBy("key").agg(F.count("*").alias("_rows"), F.max("early").alias("_early")).where("_rows > 1 and _early")
     # a column of many rows is dealt over cells by its rows, so none lands in one task
@@ -146,12 +156,10 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        x, y = (nodes.select(F.col("row").alias(c), F.col("n").alias(f"_n{c}"), F.col("keys").alias(f"_k{c}")) for c in "xy")
-        overlap = F.size(F.array_intersect("_kx", "_ky"))
-        pairs = checkpoint(pairs.join(x, "x").join(y, "y").withColumn("_both", overlap).select("x", "y", (F.col("_both") * 100 >= (F.col("_nx") + F.col("_ny") - F.col("_both")) * percent).alias("linked")))
-        linked = pairs.where("linked").select("x", "y")
+        pairs = checkpoint(pairs)
+        linked = checkpoint(multiplied(pairs, nodes, percent))
         links = linked if links is None else checkpoint(links.union(linked))
-        tested = pairs.select("x", "y") if tested is None else tested.union(pairs.select("x", "y"))
+        tested = pairs if tested is None else tested.union(pairs)
     if not links.isEmpty():
         found = components(links)
         labels = nodes.select("row", "node").join(found.withColumnRenamed("node", "_at"), F.col("row") == F.col("_at"), "left").select("row", "node", F.coalesce("component", "row").alias("label"))
@@ -165,6 +173,23 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), "_text_key", F.col("label").alias("_component"))
 
 
+def multiplied(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The entries (x, y) of the product, among the pairs asked for, whose overlap reaches the bound of their sizes.
+
+    nodes: row, n (size of the set), keys (the n-grams that occur in other rows, block by block of columns) and ends (of the blocks in keys).
+    A block of columns adds its overlap to a pair's count; what the later blocks can add is bounded by the rows' n-grams there, so
+    a pair below its bound is discarded after the block that shows it. After the last block nothing can be added and the bound is exact."""
+    entries = pairs.select("x", "y", F.lit(0).alias("_count"))
+    for b in range(BLOCKS):
+        start = F.col("ends")[b - 1] if b else F.lit(0)
+        block, later = F.slice("keys", start + 1, F.col("ends")[b] - start), F.size("keys") - F.col("ends")[b]
+        x, y = (nodes.select(F.col("row").alias(c), F.col("n").alias(f"_n{c}"), block.alias(f"_k{c}"), later.alias(f"_later{c}")) for c in "xy")
+        met = entries.join(x, "x").join(y, "y").withColumn("_count", F.col("_count") + F.size(F.array_intersect("_kx", "_ky")))
+        most = F.col("_count") + F.least("_laterx", "_latery")
+        entries = met.where(most * (100 + percent) >= (F.col("_nx") + F.col("_ny")) * percent).select("x", "y", "_count")
+    return entries.select("x", "y")
+
+
 def text_key(text: str) -> Column:
     """Hash of a text, null as empty."""
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
