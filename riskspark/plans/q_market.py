@@ -69,6 +69,11 @@ def w09(spark, sf):
     return M.commodity_features(spark, sf)
 
 
+@query("W09_sorted_window", "commodity date VaR_95:6 VaR_99:6", "SELECT commodity, date, VaR_95, VaR_99 FROM cmf")
+def sorted_window(spark, sf):
+    return commodity.commodity_features(X.commodity_daily(spark, sf), sliding=True)
+
+
 @query("W10_ewm", "currency_pair date fx_volatility:6", "SELECT currency_pair, date, fx_volatility FROM fxm3")
 def w10(spark, sf):
     return fx.pair_metrics(M.fx_rated(spark, sf))
