@@ -37,7 +37,7 @@ class UrlRule:
 RULES = (
     UrlRule("com", "/en/", "block"),
     UrlRule("example.com", "/en/7", "allow"),
-    UrlRule("net", "/de/", "block"),
+    UrlRule("net", "/de/", "allow"),
     UrlRule("example.net", "/de/8", "block"),
     UrlRule("org", "/es/", "block"),
 )
