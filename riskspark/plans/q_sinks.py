@@ -142,6 +142,23 @@ def _stream(spark, rows: DataFrame) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(place)
 
 
+#: Rows of a micro-batch, about; a processor holds a batch's rows of a key at once.
+BATCH = 2_000_000
+
+
+def _in_batches(spark, rows: DataFrame) -> DataFrame:
+    """Rows as a stream in the order of their times, one file a micro-batch: files come in the order of their writing, so each range of times is written after those before it."""
+    parts = -(-rows.count() // BATCH)
+    if parts <= 1:
+        return _stream(spark, rows)
+    ranges, place = _place(spark), _place(spark)
+    rows.repartitionByRange(parts, "ts").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(ranges)
+    staged = spark.read.schema(rows.withColumn("part", F.lit(0)).schema).parquet(ranges)
+    for k in range(parts):
+        staged.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(place)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
 def _emitted(stream: DataFrame, place: str) -> DataFrame:
     stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/ck").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{place}/out")
@@ -151,7 +168,7 @@ def _metrics(spark, sf, late) -> DataFrame:
     """What the stream of ticks emits, each `late` of them arriving an hour after its time."""
     place = _place(spark)
     t = X.ticks(spark, sf).withColumn("arrival", F.when(late, F.expr("ts + interval 1 hour")).otherwise(F.col("ts")))
-    return _emitted(engine.metrics_stream(_stream(spark, t), minutes=S._MIN), place)
+    return _emitted(engine.metrics_stream(_in_batches(spark, t), minutes=S._MIN), place)
 
 
 _BEFORE = "SELECT ticker, event_id, ts, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS close_diff, close FROM (SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY event_id) = 1)"
@@ -175,7 +192,7 @@ def st06_all(spark, sf):
 def st08(spark, sf):
     """A start without a checkpoint, with the ticks before it as the state to begin with, emits what an unbroken run does."""
     place, t = _place(spark), X.ticks(spark, sf).withColumn("arrival", F.col("ts"))
-    stream = engine.metrics_stream(_stream(spark, t.where("ts >= '2024-01-15'")), minutes=S._MIN, initial=t.where("ts < '2024-01-15'"))
+    stream = engine.metrics_stream(_in_batches(spark, t.where("ts >= '2024-01-15'")), minutes=S._MIN, initial=t.where("ts < '2024-01-15'"))
     return _emitted(stream, place)
 
 
@@ -183,7 +200,7 @@ def st08(spark, sf):
 def st09(spark, sf):
     """With a cap of one key, each change of keys evicts: buffers hold a run of ticks of one key."""
     t = X.ticks(spark, sf).withColumn("arrival", F.col("ts"))
-    return _emitted(engine.metrics_stream(_stream(spark, t), minutes=S._MIN, cap=1), _place(spark))
+    return _emitted(engine.metrics_stream(_in_batches(spark, t), minutes=S._MIN, cap=1), _place(spark))
 
 
 @query("ST11_counters_kept", "received failed processed late deduped", "SELECT count(*) AS received, count(*) FILTER (bad) AS failed, count(*) FILTER (NOT bad) AS processed, count(*) FILTER (late) AS late, count(*) - count(DISTINCT (ticker, ts)) AS deduped FROM (SELECT *, close <= 0 OR high < low AS bad, arrival - epoch_us(ts) > 300000000 AS late FROM dirty_ticks)")

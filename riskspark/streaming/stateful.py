@@ -32,6 +32,8 @@ OUTPUT = "ticker string, ts timestamp, open double, high double, low double, clo
 INPUT = "ticker string, ts timestamp, arrival timestamp, open double, high double, low double, close double, volume double, emit boolean"
 #: Parts of the keys with registries of their own.
 SHARDS = 64
+#: Bars that leave a processor at once.
+SLICE = 1 << 16
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -73,42 +75,47 @@ class Buffers(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
         ts, held, epoch, _ = self.last.get() if self.last.exists() else (None, 0, -1, 0)
-        marks = pdf.loc[pdf["ts"].isna(), "epoch"]
+        over = pdf.loc[pdf["ts"].isna(), "epoch"].max()
         pdf = pdf[pdf["ts"].notna()].sort_values(["epoch", *self.order], kind="stable")
-        out, stored = [], held  # of the bars that count now, the first `stored` are in the state
-        bars = [tuple(b) for b in self.bars.get()] if held else []
-        for own, part in pdf.groupby("epoch", sort=True):
-            if epoch not in (-1, own):  # evicted meanwhile
-                ts, bars, stored = None, [], 0
-            epoch = int(own)
-            at = _micros(part["ts"])
-            seen = np.maximum.accumulate(np.concatenate([[np.iinfo(np.int64).min if ts is None else ts], at[:-1]]))
-            part, at = part[at > seen], at[at > seen]
-            if not len(at):
-                continue
-            values = [at // 60_000_000, *(part[c].to_numpy(float) for c in ("close", "high", "low", "volume"))]
-            before = bars[-self.rows :]
-            buffer = [np.concatenate([np.array([b[k] for b in before], float).astype(x.dtype), x]) for k, x in enumerate(values)]
-            found = window_metrics(*buffer, self.rows, self.minutes)
-            bars += [(int(m), *(None if np.isnan(x) else float(x) for x in more)) for m, *more in zip(*values, strict=True)]
-            ts = int(at[-1])
-            on_time = (part["arrival"] - part["ts"]).dt.total_seconds().to_numpy() <= self.late * 60
-            some = pd.DataFrame({c: part[c].to_numpy() for c in COLUMNS} | {m: found[m][-len(at) :] for m in EQUITY_METRICS})
-            out.append(some[on_time & part["emit"].to_numpy(bool)])
-        if stored and len(bars) <= 2 * self.rows:
-            if fresh := bars[stored:]:
-                self.bars.appendList(fresh)
-        elif bars:
-            bars = bars[-self.rows :]
-            self.bars.put(bars)
-        held = len(bars)
-        if len(marks) and epoch <= marks.max():  # this admission is over
+        if not len(pdf):
+            if epoch <= over:  # this admission is over
+                self._clear()
+            return
+        own, at = pdf["epoch"].to_numpy(np.int64), _micros(pdf["ts"])
+        if epoch not in (-1, own[0]):  # evicted meanwhile
+            ts, held = None, 0
+        later, now, epoch = at > self._seen(own, at, ts), own[0], int(own[-1])
+        pdf, own, at = pdf[later], own[later], at[later]
+        before = [tuple(b) for b in self.bars.get()][-self.rows :] if held else []
+        values = [at // 60_000_000, *(pdf[c].to_numpy(float) for c in ("close", "high", "low", "volume"))]
+        values = [np.concatenate([np.array([b[k] for b in before], float).astype(x.dtype), x]) for k, x in enumerate(values)]
+        begins = np.concatenate([[0], 1 + np.flatnonzero(np.diff([*[now] * len(before), *own]))])  # where bars of another admission begin
+        first = np.repeat(begins, np.diff([*begins, len(values[0])]))
+        if len(at):
+            fresh, stays = len(at), begins[-1] == 0 and 0 < held and held + len(at) <= 2 * self.rows
+            if not stays:
+                fresh = min(self.rows, len(values[0]) - int(begins[-1]))
+            tail = [(int(m), *(None if np.isnan(x) else float(x) for x in more)) for m, *more in zip(*(x[-fresh:] for x in values), strict=True)]
+            (self.bars.appendList if stays else self.bars.put)(tail)
+            ts, held = int(at[-1]), held + fresh if stays else fresh
+        if epoch <= over:
             self._clear()
-        elif len(pdf):
+        else:
             self._keep(ts, held, epoch, timerValues)
-        if some := [x for x in out if len(x)]:
-            some = pd.concat(some, ignore_index=True)
-            yield some.astype(object).where(some.notna(), None)
+        shown = ((pdf["arrival"] - pdf["ts"]).dt.total_seconds().to_numpy() <= self.late * 60) & pdf["emit"].to_numpy(bool)
+        for start in range(0, len(at), SLICE):
+            part, here = slice(start, start + SLICE), len(before) + start
+            low, high = max(0, here - self.rows + 1), len(before) + min(start + SLICE, len(at))
+            found = window_metrics(*(x[low:high] for x in values), self.rows, self.minutes, np.maximum(first[low:high] - low, 0) if len(begins) > 1 else None)
+            some = pd.DataFrame({c: pdf[c].iloc[part].to_numpy() for c in COLUMNS} | {m: found[m][here - low :] for m in EQUITY_METRICS})
+            yield some[shown[part]]
+
+    def _seen(self, own: np.ndarray, at: np.ndarray, ts: int | None) -> np.ndarray:
+        """The latest time before each bar of its admission; the one in the state is of the first admission."""
+        least = np.iinfo(np.int64).min
+        seen = np.concatenate([[least], pd.Series(at).groupby(own).cummax().to_numpy()[:-1]])
+        seen[1:][own[1:] != own[:-1]] = least
+        return seen if ts is None else np.where(own == own[0], np.maximum(seen, ts), seen)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
@@ -134,12 +141,14 @@ class Registry(StatefulProcessor):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([*self.order, "ticker"], kind="stable", ignore_index=True)
         known = dict(sorted(((k[0], v[0]) for k, v in self.known.iterator()), key=lambda x: x[1]))  # cap keys at most, the first admitted first
         before, admitted = dict(known), self.admitted.get()[0] if self.admitted.exists() else 0
-        epochs, gone = [], []
-        for ticker in pdf["ticker"]:
+        tickers = pdf["ticker"].to_numpy()
+        starts = np.concatenate([[0], 1 + np.flatnonzero(tickers[1:] != tickers[:-1])])
+        epochs, gone = [], {}  # of each run of a key's bars; the last admission that ended of each key
+        for ticker in tickers[starts]:
             if ticker not in known:
                 if len(known) >= self.cap:
                     first = next(iter(known))
-                    gone.append((first, known.pop(first)))
+                    gone[first] = known.pop(first)
                 admitted += 1
                 known[ticker] = admitted
             epochs.append(known[ticker])
@@ -150,12 +159,12 @@ class Registry(StatefulProcessor):
                 self.known.updateValue((ticker,), (epoch,))
         self.admitted.update((admitted,))
         names = [c.split()[0] for c in INPUT.split(", ")]
-        pdf["epoch"] = epochs
-        out = pdf[[*names, "epoch"]].astype(object)
-        yield out.where(out.notna(), None)
+        pdf["epoch"] = np.repeat(epochs, np.diff([*starts, len(pdf)]))
+        for start in range(0, len(pdf), SLICE):
+            yield pdf[[*names, "epoch"]].iloc[start : start + SLICE]
         if gone:
             marks = pd.DataFrame({c: [None] * len(gone) for c in names}, dtype=object)
-            marks["ticker"], marks["epoch"] = [t for t, _ in gone], [e for _, e in gone]
+            marks["ticker"], marks["epoch"] = list(gone), list(gone.values())
             yield marks
 
 

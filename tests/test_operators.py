@@ -289,6 +289,15 @@ def test_evicted_keys_start_anew(spark, tmp_path):
         assert {x["ts"]: x["close_diff"] for x in got.collect()} == want
 
 
+def test_a_late_bar_before_a_new_admission(spark, tmp_path):
+    base = dt.datetime(2024, 1, 2, 15, 0)
+    bar = lambda ticker, minute, late, close: (ticker, base + dt.timedelta(minutes=minute), base + dt.timedelta(minutes=late), 1.0, 9.0, 1.0, close, 1.0)
+    rows = [bar("a", 5, 5, 10.0), bar("a", 4, 20, 20.0), bar("b", 21, 21, 30.0), bar("a", 22, 22, 40.0), bar("a", 23, 23, 45.0)]
+    stream = _files(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path / "in"), "minute(arrival) div 10")
+    got = _drained(engine.metrics_stream(stream, cap=1, order=("arrival", "ts")), "late_then_anew")
+    assert {(x["ticker"], x["ts"].minute): x["close_diff"] for x in got.collect()} == {("a", 5): None, ("b", 21): None, ("a", 22): None, ("a", 23): 5.0}
+
+
 def test_no_volatility_while_a_fall_to_zero_is_in_the_window(spark):
     closes = [10.0, 11.0, 0.0, 12.0, 13.0, 14.0, 15.0, 16.0]
     rows = [("a", dt.datetime(2024, 1, 2, 15, 3 * k), dt.datetime(2024, 1, 2, 15, 3 * k), c, c, c, c, 1.0) for k, c in enumerate(closes)]
@@ -296,6 +305,16 @@ def test_no_volatility_while_a_fall_to_zero_is_in_the_window(spark):
     assert [x is None for x in got] == [True, False, True, True, True, False, False, False]
 
 
+@pytest.mark.parametrize("name", ["ST05_stream_late", "ST06_stream_all_metrics", "ST08_restarted", "ST09_one_key"])
+def test_micro_batches_of_ranges_of_time_make_no_difference(spark, monkeypatch, name):
+    from riskspark.plans import q_sinks, registry
+
+    rows = lambda: sorted(map(str, registry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+    whole = rows()
+    monkeypatch.setattr(q_sinks, "BATCH", 300)
+    assert rows() == whole and len(whole) > 300
+
+
 def test_a_batch_is_the_state_to_begin_with(spark, tmp_path):
     rows = spark.createDataFrame([(k, *b[1:]) for k in ("a", "b", "idle") for b in bars(40)], SCHEMA)
     start = dt.datetime(2024, 1, 2, 15, 30)
