@@ -48,11 +48,13 @@ class Staged:
         return "bars" in self._made
 
     def _bars(self, spark: SparkSession, sf: str) -> DataFrame:
-        return self.once("bars", lambda: tables.staged(X._bars(X._trades(spark, sf), "ticker", F.sum("price").alias("_total"), F.count("price").alias("_n")), "ticker", "date"))
+        return self.once("bars", lambda: tables.staged(X._bars(X.by_ticker(X._trades(spark, sf)), "ticker", F.sum("price").alias("_total"), F.count("price").alias("_n")), "ticker", "date"))
 
     def bars_daily(self, spark: SparkSession, sf: str) -> DataFrame:
         return self._bars(spark, sf).drop("_total", "_n")
 
+    bars_by_ticker = bars_daily
+
     def positions(self, spark: SparkSession, sf: str) -> DataFrame:
         return self.once("positions", lambda: tables.staged(X.positions(spark, sf)))
 

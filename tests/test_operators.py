@@ -312,6 +312,16 @@ def test_replay_keeps_events_of_one_time(spark, tmp_path):
     assert sorted((r["event_id"], r["error"] or "") for r in got) == sorted((k, e or "") for k, e in want) and len(got) == 39
 
 
+def test_equity_windows_share_the_shuffle_of_their_bars(spark):
+    from riskspark.plans import fixtures, market
+
+    sf, rows = "/root/testdata/sf0.001", lambda df: sorted(map(str, df.collect()))
+    plan = market.equity_features(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1, plan
+    bars = fixtures.bars_daily(spark, sf)
+    assert rows(fixtures.bars_by_ticker(spark, sf).select(bars.columns)) == rows(bars)
+
+
 def test_no_volatility_while_a_fall_to_zero_is_in_the_window(spark):
     closes = [10.0, 11.0, 0.0, 12.0, 13.0, 14.0, 15.0, 16.0]
     rows = [("a", dt.datetime(2024, 1, 2, 15, 3 * k), dt.datetime(2024, 1, 2, 15, 3 * k), c, c, c, c, 1.0) for k, c in enumerate(closes)]
