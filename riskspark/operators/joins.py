@@ -67,13 +67,13 @@ def outer_chain(series: dict[str, DataFrame], date: str = "date", value: str = "
     return long.groupBy(date).pivot("_name", list(series)).agg(F.max("_value"))
 
 
-def active_months(df: DataFrame, start: str, end: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """A row for each month start between start and end, instead of a cross join with all months and a range filter."""
+def active_months(df: DataFrame, start: str, end: str, first: str | None = None, last: str | None = None, number: str | None = None) -> DataFrame:
+    """A row for each month start between start and end, instead of a cross join with all months and a range filter. number: a column for the month's place, from 0."""
     month0 = F.when(F.trunc(start, "month") < F.col(start), F.add_months(F.trunc(start, "month"), 1)).otherwise(F.trunc(start, "month"))
     low = F.greatest(month0, F.lit(first).cast("date")) if first else month0
     high = F.least(F.col(end), F.lit(last).cast("date")) if last else F.col(end)
     months = F.when(low <= high, F.sequence(low, high, F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
-    return df.withColumn("month", F.explode(months))
+    return df.select("*", F.posexplode(months).alias(number, "month")) if number else df.withColumn("month", F.explode(months))
 
 
 def missing(keys: DataFrame, days: DataFrame, actual: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from riskspark.operators.aggregates import month_end, standard_scores
 from riskspark.operators.joins import active_months
 
 LGD = 0.45
+#: Rows of a rolling deviation of a loan, and values that it needs at least.
+ROLL, LEAST = 3, 2
 
 
 def monthly(df: DataFrame, key: str, aggregates: dict[str, Column], date: str = "date") -> DataFrame:
@@ -20,14 +22,34 @@ def monthly(df: DataFrame, key: str, aggregates: dict[str, Column], date: str =
     return df.groupBy(key, F.trunc(date, "month").alias("month")).agg(*[v.alias(k) for k, v in aggregates.items()])
 
 
-def loan_month_panel(loans: DataFrame, monthlies: list[tuple[DataFrame, str]], first: str | None = None, last: str | None = None) -> DataFrame:
-    """A row for each month in which a loan is active, with monthly aggregates joined on (key, month)."""
-    spine = active_months(loans, "issue_date", "maturity_date", first, last).withColumn("date", F.col("month"))
+def rolled_months(monthly: DataFrame, key: str, rolled: dict[str, str]) -> DataFrame:
+    """monthly, one row a key and month, with deviations of the columns in rolled over the last 2 to ROLL months as name_2 to name_ROLL, also in the months after
+    a row that have none.
+
+    A loan has a row for each month of its life, so its last n rows are the last n months, and what rolls over them is its key's: worked out here once for all loans
+    of a key, instead of in a window over each loan's rows."""
+    values = [c for c in monthly.columns if c not in (key, "month")]
+    moved = monthly.withColumn("_back", F.explode(F.array(*map(F.lit, range(ROLL))))).withColumn("month", F.add_months("month", F.col("_back")))
+    within = lambda c, n: F.when(F.col("_back") < n, F.col(c))
+    deviations = {f"{name}_{n}": F.when(F.count(within(c, n)) >= LEAST, F.stddev_samp(within(c, n))) for c, name in rolled.items() for n in range(2, ROLL + 1)}
+    return moved.groupBy(key, "month").agg(*[F.max(within(c, 1)).alias(c) for c in values], *[v.alias(k) for k, v in deviations.items()])
+
+
+def rolled_value(name: str, number: str) -> Column:
+    """The deviation of a loan's last ROLL rows, or of those it has, from the columns of rolled_months(). number: of the month in its life, from 0."""
+    return reduce(lambda out, n: out.when(F.col(number) == n - 1, F.col(f"{name}_{n}")), range(2, ROLL), F.when(F.col(number) >= ROLL - 1, F.col(f"{name}_{ROLL}")))
+
+
+def loan_month_panel(loans: DataFrame, monthlies: list[tuple[DataFrame, str]], first: str | None = None, last: str | None = None, number: str | None = None) -> DataFrame:
+    """A row for each month in which a loan is active, with monthly aggregates joined on (key, month). number: a column for the month's place in the panel, from 0."""
+    spine = active_months(loans, "issue_date", "maturity_date", first, last, number).withColumn("date", F.col("month"))
     return reduce(lambda df, m: df.join(m[0], [m[1], "month"], "left"), monthlies, spine)
 
 
-def loan_features(df: DataFrame, rolled: dict[str, str]) -> DataFrame:
-    """Rates, ages, income, collateralised share, and an index of standardised rolling deviations of the columns in rolled."""
+def loan_features(df: DataFrame, rolled: dict[str, str], number: str | None = None) -> DataFrame:
+    """Rates, ages, income, collateralised share, and an index of standardised rolling deviations of the columns in rolled.
+
+    They roll in a window over a loan's rows; number (a column of the panel): they are taken from columns of rolled_months(), and no row is moved."""
     df = df.withColumns({
         "spread_rate": F.col("spread_bps") / 10_000,
         "loan_age_months": S.months_between(F.col("date"), F.col("issue_date")),
@@ -39,7 +61,7 @@ def loan_features(df: DataFrame, rolled: dict[str, str]) -> DataFrame:
         df = df.withColumn("exposure_pct_collateralized", F.coalesce(W.ratio(F.col("collateral_value"), F.col("exposure_before_collateral")), F.lit(0.0)))
     w = W.over(["loan_id"], "date")
     parts = {f"_rolled_{name}": name for name in rolled.values()}
-    df = df.withColumns({f"_rolled_{name}": W.deviation(F.col(source), w, 3, 2) for source, name in rolled.items()})
+    df = df.withColumns({f"_rolled_{name}": rolled_value(name, number) if number else W.deviation(F.col(source), w, ROLL, LEAST) for source, name in rolled.items()})
     df = standard_scores(df, parts, population=True).drop(*parts)
     values = F.array_compact(F.array(*rolled.values()))
     mean = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(values), F.lit(0))

@@ -39,9 +39,10 @@ def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
     return _bars(_trades(spark, sf), "ticker")
 
 
-def bars_by_ticker(spark: SparkSession, sf: str) -> DataFrame:
-    """bars_daily for windows by ticker."""
-    return _bars(by_ticker(_trades(spark, sf)), "ticker")
+def bars_by_ticker(spark: SparkSession, sf: str, tickers: DataFrame | None = None) -> DataFrame:
+    """bars_daily for windows by ticker; or those of some tickers (ticker), whose line items alone are dealt."""
+    trades = _trades(spark, sf)
+    return _bars(by_ticker(trades if tickers is None else trades.join(tickers, "ticker", "left_semi")), "ticker")
 
 
 def universe(spark: SparkSession, sf: str) -> DataFrame:

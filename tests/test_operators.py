@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators import aggregates, bonds, commodity, filling, filters, intraday, joins, quality, scoring, stress, tables
+from riskspark.operators import aggregates, bonds, commodity, filling, filters, intraday, joins, loans, quality, scoring, stress, tables
 from riskspark.operators.partitioned import Partitioned, bucket, daily, monthly
 from riskspark.sources import scans
 from riskspark.streaming import engine
@@ -489,3 +489,17 @@ def test_carried_values_are_those_of_one_window(spark, slot):
     value, flag = W.filled(F.col("x"), W.over(["k"], "date"))
     key = lambda d: sorted(map(str, d.select("k", "date", "filled", "flag").collect()))
     assert key(filling.carried(df, F.col("x"), "k", slot=slot)) == key(df.withColumns({"filled": value, "flag": flag}))
+
+
+def test_loans_roll_by_the_months_of_their_ticker(spark):
+    from riskspark.plans import q_market
+
+    months = [("a", dt.date(2024, m, 1), v) for m, v in ((1, 1.0), (2, 4.0), (3, None), (6, 2.0), (7, 9.0))] + [("b", dt.date(2024, 5, 1), 3.0)]
+    monthly = spark.createDataFrame(months, "ticker string, month date, x double")
+    lent = spark.createDataFrame([(k, t, dt.date(2024, m, 2), dt.date(2024, 12, 1)) for k, t, m in ((1, "a", 1), (2, "a", 5), (3, "b", 3), (4, "c", 1), (5, "a", 11))], "loan_id long, ticker string, issue_date date, maturity_date date")
+    panel = loans.loan_month_panel(lent, [(loans.rolled_months(monthly, "ticker", {"x": "r"}), "ticker")], number="n")
+    got = panel.select("x", loans.rolled_value("r", "n").alias("ours"), W.deviation(F.col("x"), W.over(["loan_id"], "month"), 3, 2).alias("window")).collect()
+    assert len(got) == 11 + 7 + 9 + 11 + 1 and sum(r["ours"] is not None for r in got) == 4 and sum(r["x"] is not None for r in got) == 6
+    assert all((r["ours"] is None) == (r["window"] is None) and (r["ours"] is None or abs(r["ours"] - r["window"]) < 1e-12) for r in got)
+    plan = q_market.loan_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(" not in plan and "Window" not in plan, plan
