@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scalars as S
 from riskspark.functions import windows as W
-from riskspark.operators.joins import as_of
+from riskspark.operators.joins import as_of, fan_out
 
 YEAR, QUARTER_DAYS = 252, 63
 BASE_HEDGE, W_VOL, W_CARRY = 0.10, 0.75, 0.15
@@ -24,7 +24,7 @@ def fx_features(universe: DataFrame, fx: DataFrame, rates: DataFrame, sector_pai
     """Tickers of a sector with their pair's daily rates and the last known interest differential."""
     rated = as_of(fx, rates, "currency_pair", "date", "interest_diff")
     exposed = universe.join(sector_pair, "sector")
-    return rated.join(exposed, "currency_pair")
+    return fan_out(rated, exposed, "currency_pair")
 
 
 def pair_metrics(rated: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def fx_enrichment(metrics: DataFrame, exposed: DataFrame) -> DataFrame:
     """Positions, hedged exposure, VaR and profit of each exposed ticker, without warm-up rows.
 
     exposed: (ticker, sector, industry, revenue, currency_pair, foreign_ratio)."""
-    df = metrics.where("not is_warmup").join(exposed, "currency_pair")
+    df = fan_out(metrics.where("not is_warmup"), exposed, "currency_pair")
     df = df.withColumn("position_size", F.col("revenue") / QUARTER_DAYS * F.col("foreign_ratio"))
     df = df.withColumn("exposure_amount", F.col("position_size") * (1 - F.col("hedge_ratio")))
     at_risk = F.col("position_size") * F.col("fx_volatility")

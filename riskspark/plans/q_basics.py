@@ -108,7 +108,7 @@ def j01(spark, sf):
 
 @query("J02_fan_out", "currency_pair date ticker fx_rate:6", "SELECT currency_pair, date, ticker, fx_rate FROM fx_daily JOIN fx_exposed USING (currency_pair)")
 def j02(spark, sf):
-    return J.to_dimension(X.fx_daily(spark, sf), M.fx_exposed(spark, sf), "currency_pair", "inner")
+    return J.fan_out(X.fx_daily(spark, sf), M.fx_exposed(spark, sf), "currency_pair")
 
 
 @query("J03_features_fundamentals", "ticker date daily_return:6 total_assets:2", "SELECT * FROM feat JOIN fundamentals USING (ticker)")

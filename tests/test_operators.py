@@ -503,3 +503,17 @@ def test_loans_roll_by_the_months_of_their_ticker(spark):
     assert all((r["ours"] is None) == (r["window"] is None) and (r["ours"] is None or abs(r["ours"] - r["window"]) < 1e-12) for r in got)
     plan = q_market.loan_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(" not in plan and "Window" not in plan, plan
+
+
+def test_days_of_few_keys_fan_out_in_many_tasks(spark):
+    from riskspark.operators import fx
+
+    pairs = spark.createDataFrame([(p, d, float(k)) for p in ("A", "B") for k, d in enumerate(days(3))], "currency_pair string, date date, fx_rate double").coalesce(1)
+    names = spark.createDataFrame([(f"t{k}", "AB"[k % 2]) for k in range(1000)] + [("none", "C"), ("null", None)], "ticker string, currency_pair string").coalesce(1)
+    out = joins.fan_out(pairs, names, "currency_pair")
+    assert sorted(map(tuple, out.select("currency_pair", "date", "fx_rate", "ticker").collect())) == sorted(map(tuple, pairs.join(names, "currency_pair").select("currency_pair", "date", "fx_rate", "ticker").collect()))
+    sector_pair = spark.createDataFrame([("A", "A", 0.1), ("B", "B", 0.2)], "sector string, currency_pair string, foreign_ratio double")
+    rates = pairs.select("currency_pair", "date", F.lit(1.0).alias("interest_diff"))
+    for df in (out, fx.fx_features(names.withColumnRenamed("currency_pair", "sector"), pairs, rates, sector_pair)):
+        made = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(made) == 4 and max(made) < 1000 and sum(made) == 3000
