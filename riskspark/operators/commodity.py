@@ -106,13 +106,14 @@ def exposed_days(companies: DataFrame, weights: DataFrame, values: DataFrame) ->
 def commodity_exposure(companies: DataFrame, weights: DataFrame, features: DataFrame, values: DataFrame, counts: DataFrame | None = None, when: Column | None = None) -> DataFrame:
     """Exposure, hedge ratio by rank of volatility, and hedged profit of tickers: sector weights, commodity days, daily market values.
 
-    The rank is over all exposures; a commodity's day is ranked once, weighted by its exposures, and exposures are joined once. counts: exposed_days() of
+    The rank is over all exposures; a commodity's day is ranked once, weighted by its exposures, and exposures are joined once: values of a ticker's days meet its
+    commodities, then their days, so there is never a row for a day without a value. counts: exposed_days() of
     the same tables, if they are at hand. when: a condition on the date of the days that are returned; ranks are over all days."""
     counts = exposed_days(companies, weights, values) if counts is None else counts
     ranked = fractional_rank(features.join(counts, ["commodity", "date"]), "vol_20d", "_rank", weight="_weight").drop("_weight")
     if when is not None:
         ranked, values = ranked.where(when), values.where(when)
-    df = companies.join(weights, "sector").join(ranked, "commodity").join(values, ["ticker", "date"])
+    df = values.join(companies.join(weights, "sector"), "ticker").join(F.broadcast(ranked), ["commodity", "date"])  # a row for each commodity and day
     df = df.withColumns({"mtm_value": F.coalesce("mtm_value", F.lit(0.0)), "daily_return": F.coalesce("daily_return", F.lit(0.0))})
     scale = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.col("commodity")), F.lit(DEFAULT_SCALE))
     df = df.withColumns({"hedge_ratio": S.clip(0.2 + 0.6 * F.col("_rank"), 0, 1), "commodity_scale": scale})

@@ -104,7 +104,8 @@ def p18(spark, sf):
 @query("J10_exposure_chain", "ticker commodity date mtm_value:2", "SELECT ticker, commodity, date, mtm_value FROM universe JOIN sector_commodity USING (sector) LEFT JOIN commodity_daily USING (commodity) JOIN mtm USING (ticker, date)")
 def j10(spark, sf):
     exposed = J.to_dimension(X.universe(spark, sf), X.sector_commodity(spark, sf), "sector", "inner")
-    return exposed.join(X.commodity_daily(spark, sf), "commodity", "left").join(M.market_values(spark, sf), ["ticker", "date"])
+    traded = F.broadcast(X.commodity_daily(spark, sf).select("commodity", "date"))  # a row for each commodity and day
+    return M.market_values(spark, sf).join(exposed, "ticker").join(traded, ["commodity", "date"])  # a day without a commodity's has no date to join values on
 
 
 _MONTHS = "SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS month, avg(close) AS c, sum(volume) AS v FROM bars_daily GROUP BY 1, 2"

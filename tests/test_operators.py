@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import time
 
 import pandas as pd
@@ -517,3 +518,19 @@ def test_days_of_few_keys_fan_out_in_many_tasks(spark):
     for df in (out, fx.fx_features(names.withColumnRenamed("currency_pair", "sector"), pairs, rates, sector_pair)):
         made = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
         assert len(made) == 4 and max(made) < 1000 and sum(made) == 3000
+
+
+def test_exposures_never_hold_days_without_a_value(spark):
+    from riskspark.plans.query import ALL
+
+    companies = spark.createDataFrame([(f"t{k}", "S") for k in range(5)] + [("other", "R")], "ticker string, sector string")
+    weights = spark.createDataFrame([("S", "GOLD", 0.5), ("S", "OIL", 0.2), ("R", "TIN", 0.1)], "sector string, commodity string, sensitivity double")
+    features = spark.createDataFrame([(c, d, 0.1 * k, 0.01) for c in ("GOLD", "OIL") for k, d in enumerate(days(4))], "commodity string, date date, vol_20d double, daily_return double")
+    values = spark.createDataFrame([("t0", days(4)[1], 10.0), ("t1", days(4)[3], None), ("t1", DAY + dt.timedelta(days=99), 5.0), ("other", DAY, 1.0), ("gone", DAY, 1.0)], "ticker string, date date, mtm_value double")
+    df = commodity.commodity_exposure(companies, weights, features, values)
+    got = sorted((r["ticker"], r["commodity"], r["date"], r["exposure_amount"]) for r in df.collect())
+    assert got == [("t0", "GOLD", days(4)[1], pytest.approx(0.5 * 10 * 0.7)), ("t0", "OIL", days(4)[1], pytest.approx(0.2 * 10 * 0.7)), ("t1", "GOLD", days(4)[3], 0.0), ("t1", "OIL", days(4)[3], 0.0)]
+    chain = ALL["J10_exposure_chain"].build(spark, "/root/testdata/sf0.001")
+    for plan in (df, chain):  # a join on ticker and date is one of all days of a commodity's tickers
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join \w+, \(\(?ticker#\d+ = ticker#\d+\) AND \(date", text), text
