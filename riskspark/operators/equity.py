@@ -84,6 +84,15 @@ def _risk(mu: Column, sigma: Column, textbook: bool) -> dict[str, Column]:
     return out
 
 
+def position_weights(df: DataFrame) -> DataFrame:
+    """portfolio_weight and beta_weighted of position_risk() alone. Market values are added up by (asset_manager, date), and the sums, a row each, go
+    to all tasks, so that no position is shuffled to its group."""
+    sums = df.groupBy(F.col("asset_manager").alias("_manager"), F.col("date").alias("_day")).agg(F.sum("mtm_value").alias("_total"))
+    df = df.join(F.broadcast(sums), F.col("asset_manager").eqNullSafe(F.col("_manager")) & F.col("date").eqNullSafe(F.col("_day")))
+    df = df.withColumns({"portfolio_weight": F.coalesce(W.ratio(F.col("mtm_value"), F.col("_total")), F.lit(0.0)), "beta": F.coalesce("beta", F.lit(0.0))})
+    return df.withColumn("beta_weighted", F.col("portfolio_weight") * F.col("beta")).drop("_manager", "_day", "_total")
+
+
 def position_risk(df: DataFrame, textbook: bool = False) -> DataFrame:
     """Profit, weights, exposures, beta and VaR of positions in (asset_manager, date)."""
     group = W.over(["asset_manager", "date"])
@@ -135,15 +144,26 @@ def concentration_liquidity(df: DataFrame, per_sector: bool = False) -> DataFram
     }).drop("_amihud")
 
 
-def inference_features(df: DataFrame, macro: DataFrame | None = None) -> DataFrame:
-    """Lagged returns, weighted lag, means of market and sector by date (computed at their own grain and joined back)."""
-    w = W.over(["asset_manager", "ticker"], "date")
-    df = df.withColumns({"ret_lag1": F.lag("daily_return").over(w), "ret_lag5": F.lag("daily_return", 5).over(w), "ret_lag20": F.lag("daily_return", 20).over(w)})
+def lagged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Returns of 1, 5 and 20 rows before."""
+    w = W.over(keys, "date")
+    return df.withColumns({f"ret_lag{n}": F.lag("daily_return", n).over(w) for n in (1, 5, 20)})
+
+
+def inference_features(df: DataFrame, macro: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Lagged returns, weighted lag, means of market and sector by date (computed at their own grain and joined back: a row for each sector and date, that goes to all tasks).
+
+    names: the tickers' days of df, a row each, if they are at hand before they meet positions; df then has their lags (lagged()), as a ticker's are those of its positions."""
+    if names is None:
+        df = lagged(df, ["asset_manager", "ticker"])
+        names = df.dropDuplicates(["ticker", "date"])
     df = df.withColumn("weight_lag_return", F.col("portfolio_weight") * F.col("ret_lag1"))
-    names = df.select("ticker", "sector", "date", "daily_return", "momentum_20d", "volatility_21d", "turnover_ratio").dropDuplicates(["ticker", "date"])
-    market = names.groupBy("date").agg(F.avg("daily_return").alias("market_mean"))
-    sectors = names.groupBy("sector", "date").agg(F.avg("daily_return").alias("sector_mean"), F.avg("momentum_20d").alias("sector_mom20"), F.avg("volatility_21d").alias("sector_vol21"), F.avg("turnover_ratio").alias("sector_turnover"))
-    df = df.join(market, "date", "left").join(sectors, ["sector", "date"], "left")
+    means = {k: v for k, v in {"daily_return": "sector_mean", "momentum_20d": "sector_mom20", "volatility_21d": "sector_vol21", "turnover_ratio": "sector_turnover"}.items() if k in names.columns}
+    sectors = names.groupBy(F.col("sector").alias("_sector"), F.col("date").alias("_day")).agg(*[F.avg(k).alias(v) for k, v in means.items()], F.sum("daily_return").alias("_sum"), F.count("daily_return").alias("_n"))
+    day = W.over(["_day"])  # a row a sector
+    sectors = sectors.withColumn("market_mean", W.ratio(F.sum("_sum").over(day), F.sum("_n").over(day))).drop("_sum", "_n")
+    sectors = sectors.withColumns({v: F.when(F.col("_sector").isNotNull(), F.col(v)) for v in means.values()})  # tickers without a sector have the market's mean alone
+    df = df.join(F.broadcast(sectors), F.col("sector").eqNullSafe(F.col("_sector")) & (F.col("date") == F.col("_day")), "left").drop("_sector", "_day")
     if macro is not None:
         trend = macro.withColumn("gdp_trend", W.difference(F.col("gdp"), W.over([], "month"), 3)).select(F.col("month").alias("_month"), "gdp_trend")  # one row a month
         df = df.join(F.broadcast(trend), F.trunc("date", "month") == F.col("_month"), "left").drop("_month")

@@ -521,7 +521,7 @@ def test_days_of_few_keys_fan_out_in_many_tasks(spark):
 
 
 def test_exposures_never_hold_days_without_a_value(spark):
-    from riskspark.plans.query import ALL
+    from riskspark.plans import q_more
 
     companies = spark.createDataFrame([(f"t{k}", "S") for k in range(5)] + [("other", "R")], "ticker string, sector string")
     weights = spark.createDataFrame([("S", "GOLD", 0.5), ("S", "OIL", 0.2), ("R", "TIN", 0.1)], "sector string, commodity string, sensitivity double")
@@ -530,7 +530,27 @@ def test_exposures_never_hold_days_without_a_value(spark):
     df = commodity.commodity_exposure(companies, weights, features, values)
     got = sorted((r["ticker"], r["commodity"], r["date"], r["exposure_amount"]) for r in df.collect())
     assert got == [("t0", "GOLD", days(4)[1], pytest.approx(0.5 * 10 * 0.7)), ("t0", "OIL", days(4)[1], pytest.approx(0.2 * 10 * 0.7)), ("t1", "GOLD", days(4)[3], 0.0), ("t1", "OIL", days(4)[3], 0.0)]
-    chain = ALL["J10_exposure_chain"].build(spark, "/root/testdata/sf0.001")
+    chain = q_more.j10(spark, "/root/testdata/sf0.001")
     for plan in (df, chain):  # a join on ticker and date is one of all days of a commodity's tickers
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"Join \w+, \(\(?ticker#\d+ = ticker#\d+\) AND \(date", text), text
+
+
+def test_models_read_weights_without_a_shuffle_of_positions(spark):
+    from riskspark.plans import market
+
+    sf = "/root/testdata/sf0.001"
+    for ours, columns in ((market.equity_weights(spark, sf), ["beta_weighted", "volatility_21d"]), (market.inference_table(spark, sf), ["ret_lag1", "weight_lag_return", "market_mean", "sector_vol21"])):
+        plan = ours.select("asset_manager", "ticker", "date", *columns)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(asset_manager#\d+, (date|ticker)", plan.split("BroadcastExchange")[0]) and not re.search(r"Window.*asset_manager", plan), plan
+
+
+def test_position_weights_equal_those_of_position_risk(spark):
+    from riskspark.operators import equity
+
+    rows = [("a", "t1", DAY, 10.0, 1.0), ("a", "t2", DAY, 30.0, None), ("b", "t1", DAY, None, 2.0), (None, "t3", DAY, 5.0, 1.0), ("a", "t4", None, 7.0, 0.5), ("c", "t5", DAY, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "asset_manager string, ticker string, date date, mtm_value double, beta double")
+    more = df.withColumns({c: F.lit(0.01) for c in ("daily_return", "volatility_21d", "vol_20d", "vol_5d")} | {"sector": F.lit("s"), "industry": F.lit("i")})
+    columns = ["asset_manager", "ticker", "date", "portfolio_weight", "beta_weighted"]
+    ours, whole = (sorted(map(str, x.select(columns).collect())) for x in (equity.position_weights(df), equity.position_risk(more)))
+    assert ours == whole and len(ours) == 6
