@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,14 +51,24 @@ def day_text(x: Column) -> Column:
     return F.date_format(x, "yyyy-MM-dd")
 
 
+def once(x: Column, make: Callable[[Column], Column]) -> Column:
+    """make of a value that is worked out once, however often make names it. A name in a chain of columns does not do that where a filter stands on the
+    chain: the filter is moved below it, with every name replaced by its expression."""
+    return F.transform(F.array(x), make)[0]
+
+
 def stable_hash(key: Column, m: int) -> Column:
-    """SHA-256 of the key as an integer, modulo m (below 2**31). The digest is folded in eight parts, so no value overflows."""
-    digest = F.sha2(key, 256)
-    out = F.lit(0).cast("long")
-    for k in range(8):
-        part = F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
-        out = (out * ((1 << 32) % m) + part) % m
-    return out
+    """SHA-256 of the key as an integer, modulo m (below 2**31). The digest is folded in five parts of 15 hexadecimal digits at most, so no value overflows."""
+
+    def fold(digest: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for at in range(0, 64, 15):
+            digits = min(15, 64 - at)
+            part = F.conv(F.substring(digest, at + 1, digits), 16, 10).cast("long")
+            out = (out * ((1 << 4 * digits) % m) + part) % m
+        return out
+
+    return once(F.sha2(key, 256), fold)
 
 
 def pick(options: Sequence, at: Column) -> Column:
@@ -68,10 +78,14 @@ def pick(options: Sequence, at: Column) -> Column:
 
 def ladder(x: Column, steps: Sequence[tuple[str, float]]) -> Column:
     """The first option whose upper edge is above x; the last one beyond all."""
-    out = F.when(x < steps[0][1], steps[0][0])
-    for name, edge in steps[1:]:
-        out = out.when(x < edge, name)
-    return out.otherwise(steps[-1][0])
+
+    def climb(x: Column) -> Column:
+        out = F.when(x < steps[0][1], steps[0][0])
+        for name, edge in steps[1:]:
+            out = out.when(x < edge, name)
+        return out.otherwise(steps[-1][0])
+
+    return once(x, climb)
 
 
 def bins(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

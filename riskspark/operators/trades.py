@@ -27,6 +27,8 @@ MENU = {
     "Bond": (("Treasury", 0.80), ("Cash", 0.95), ("CorporateBond", 1.00)),
     "Equity": (("Cash", 0.50), ("Treasury", 0.80), ("Equity", 1.00)),
 }
+#: Hashes of a trade are numbers below this; the numbers of counterparties and tenors divide it, so it holds their hashes too.
+HASHES = 10_000
 SCHEMA = ("date", "asset_class", "derivative_type", "ticker", "sector", "industry", "underlying_price", "notional", "delta", "gamma", "vega", "asset_manager", "commodity_sym")
 
 
@@ -65,9 +67,8 @@ def trade_id() -> Column:
     return S.joined_id(F.col("derivative_type"), F.col("ticker"), S.day_text(F.col("date")), F.regexp_replace("commodity_sym", "=", "_"), S.first_word(F.col("asset_manager")))
 
 
-def agreement(key: Column, pool, fixed: bool) -> tuple[Column, Column]:
-    """Kind and jurisdiction by the key's hash. The weights are summed as they are listed; fixed takes them as sums already."""
-    share = S.stable_hash(key, 10_000) / 10_000.0
+def agreement(share: Column, pool, fixed: bool) -> tuple[Column, Column]:
+    """Kind and jurisdiction by a share from 0 to 1. The weights are summed as they are listed; fixed takes them as sums already."""
     steps, total = [], 0.0
     for kind, place, weight in pool:
         total = weight if fixed else total + weight
@@ -92,15 +93,16 @@ def _exposures(df: DataFrame, notional: str) -> DataFrame:
 def derivative_trades(trades: DataFrame) -> DataFrame:
     """Identity, margin, exposure, greeks, maturity and profit proxy of the trades of all_trades()."""
     df = trades.withColumn("trade_id", trade_id())
-    kind, place = agreement(F.col("trade_id"), DERIVATIVE_AGREEMENTS, False)
+    df, number = df.withColumn("_hash", S.stable_hash(F.col("trade_id"), HASHES)), F.col("_hash")  # one hash for all that the id decides
+    kind, place = agreement(number / float(HASHES), DERIVATIVE_AGREEMENTS, False)
     df = df.withColumns({
-        "counterparty": S.pick(COUNTERPARTIES, S.stable_hash(F.col("trade_id"), len(COUNTERPARTIES))),
+        "counterparty": S.pick(COUNTERPARTIES, number % len(COUNTERPARTIES)),
         "agreement_type": kind,
         "jurisdiction": place,
-        "tenor_years": S.pick(TENORS, S.stable_hash(F.col("trade_id"), len(TENORS))),
+        "tenor_years": S.pick(TENORS, number % len(TENORS)),
         "initial_margin_rate": lookup(DERIVATIVE_MARGIN, F.col("asset_class")),
         "collateral_type": lookup(DERIVATIVE_COLLATERAL, F.col("asset_class")),
-    })
+    }).drop("_hash")
     df = _exposures(df.withColumn("haircut", lookup(HAIRCUT, F.col("collateral_type"))), "notional")
     bare = F.col("delta").isNull() & F.col("gamma").isNull() & F.col("vega").isNull()
     df = df.withColumns({"delta": F.when(bare, 1.0).otherwise(F.col("delta")), "gamma": F.when(bare, 0.0).otherwise(F.col("gamma")), "vega": F.when(bare, 0.0).otherwise(F.col("vega"))})
@@ -121,13 +123,11 @@ def collateral_detail(trades: DataFrame, fixed: bool = False) -> DataFrame:
     """Collateral of the trades of all_trades(), its type, agreement and reuse chosen by hashes of the trade id.
 
     The default sums agreement weights that are sums already, so only the first two agreements occur; fixed takes them as meant."""
-    df = trades.withColumn("trade_id", trade_id())
-    key = F.col("trade_id")
-    kind, place = agreement(F.concat(key, F.lit("agreement")), COLLATERAL_AGREEMENTS, fixed)
-    share = S.stable_hash(F.concat(key, F.col("asset_class")), 10_000) / 10_000.0
-    menu = F.lit(None).cast("string")
-    for name, steps in MENU.items():
-        menu = F.when(F.col("asset_class") == name, S.ladder(share, steps)).otherwise(menu)
+    df, key = trades.withColumn("trade_id", trade_id()), F.col("trade_id")
+    share = lambda text: S.stable_hash(F.concat(key, text), HASHES) / float(HASHES)
+    df = df.withColumns({"_agreement": share(F.lit("agreement")), "_type": share(F.col("asset_class"))})
+    kind, place = agreement(F.col("_agreement"), COLLATERAL_AGREEMENTS, fixed)
+    menu = S.once(F.col("_type"), lambda x: F.coalesce(*[F.when(F.col("asset_class") == name, S.ladder(x, steps)) for name, steps in MENU.items()]))
     df = df.withColumns({
         "sector": F.coalesce("sector", F.lit("Unknown")),
         "industry": F.coalesce("industry", F.lit("Unknown")),
@@ -138,7 +138,7 @@ def collateral_detail(trades: DataFrame, fixed: bool = False) -> DataFrame:
         "initial_margin_rate": lookup(COLLATERAL_MARGIN, F.col("asset_class")),
         "reuse_flag": (S.stable_hash(F.concat(key, F.lit("reuse")), 10_000) < 3500).cast("int"),
         "collateral_id": F.md5(key.cast("binary")),
-    })
+    }).drop("_agreement", "_type")
     df = _exposures(df.withColumn("haircut", lookup(HAIRCUT, F.col("collateral_type"))), "notional")
     cost = F.col("haircut") + F.col("initial_margin_rate")
     return df.withColumns({

@@ -56,6 +56,27 @@ def test_stable_hash_matches_python(spark):
         assert got == {k: int(hashlib.sha256(k.encode()).hexdigest(), 16) % m for k in keys}
 
 
+def test_a_filter_on_trades_works_each_hash_out_once(spark):
+    import hashlib
+
+    from riskspark.operators import trades
+
+    df = spark.createDataFrame([(dt.date(2001, 1, 2), f"S{k}", "x", "y", 1.5, None if k % 9 == 0 else 10.0 * k) for k in range(60)], "date date, ticker string, sector string, industry string, p double, q double")
+    made = tables.staged(trades.all_trades(*[trades.trade_schema(df, k, "p", "q") for k in trades.KIND]))
+    called = trades.collateral_detail(made).where("margin_call_flag = 1")
+    plan = called._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") <= 6, plan.count("sha2(")  # four of the columns, and the filter's own
+    number = lambda text: int(hashlib.sha256(text.encode()).hexdigest(), 16)
+    rows, ladder = called.collect(), lambda x, steps: next((n for n, e in steps if x < e), steps[-1][0])
+    assert len(rows) == 4 * 53  # no notional, or one of zero: no call
+    for r in rows:
+        assert r["counterparty"] == trades.COUNTERPARTIES[number(r["trade_id"]) % 5] and r["reuse_flag"] == (number(r["trade_id"] + "reuse") % 10_000 < 3500)
+        assert r["collateral_type"] == ladder(number(r["trade_id"] + r["asset_class"]) % 10_000 / 10_000, trades.MENU[r["asset_class"]])
+    assert trades.derivative_trades(made)._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    null = spark.createDataFrame([(None,), (0.5,)], "x double").select(S.ladder(F.col("x"), (("a", 0.7), ("b", 1.0))).alias("y")).collect()
+    assert [r["y"] for r in null] == ["b", "a"]
+
+
 def test_timestamps_and_bins(spark):
     df = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("1704164645000000000",), ("02-01-2024",), ("x",)], "t string")
     got = [r[0] for r in df.select(F.date_format(S.any_timestamp(F.col("t")), "yyyy-MM-dd")).collect()]
