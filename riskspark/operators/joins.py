@@ -23,8 +23,12 @@ def to_dimension(df: DataFrame, dimension: DataFrame, on: str | list[str], how:
 def fan_out(days: DataFrame, names: DataFrame, on: str) -> DataFrame:
     """Each row of a few keys' days for each name of the key (inner join). There are too few keys and days to share the work by: days (a row for each key and day,
     whatever the number of names) go to all tasks, and names are dealt evenly, so a task makes the rows of its share of the names."""
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return names.repartition(parts).join(F.broadcast(days), on)
+    return dealt(names).join(F.broadcast(days), on)
+
+
+def dealt(names: DataFrame) -> DataFrame:
+    """The rows evenly over tasks, where each makes many: a table in one small file is one task's otherwise."""
+    return names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def mapped(df: DataFrame, dimension: DataFrame, on: str, value: str, default) -> DataFrame:

@@ -104,11 +104,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def staged(df: DataFrame, key: str | None = None, *order: str) -> DataFrame:
+def staged(df: DataFrame, key: str | None = None, *order: str, parts: int | None = None) -> DataFrame:
     """A frame that several results read, as a table in the shared folder: scans of it prune columns, push filters and know its size. With a key
-    it is in buckets of the key, sorted within, so that windows and joins by the key need no shuffle."""
+    it is in buckets of the key, sorted within, so that windows and joins by the key need no shuffle; parts: how many, else as many as the session says."""
     spark = df.sparkSession
-    name, parts = f"staged_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, parts = f"staged_{uuid.uuid4().hex}", parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = f"{shared_folder(spark)}/{name}"
     if key is None:
         df.write.parquet(at)
@@ -117,6 +117,22 @@ def staged(df: DataFrame, key: str | None = None, *order: str) -> DataFrame:
     return spark.table(name)
 
 
+#: Rows of a part that is dealt by a key, about.
+ROWS = 1_000_000
+
+
+def parts(df: DataFrame) -> int | None:
+    """How many parts to deal the rows of a table into, if spark.sql.shuffle.partitions are too few: what a task holds of a part does not grow with the table. Files tell
+    the number of their rows."""
+    need = -(-df.count() // ROWS)
+    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str | Column) -> DataFrame:
+    """Rows dealt by keys into so many parts, or as many as the session says."""
+    return df.repartition(parts, *keys) if parts else df.repartition(*keys)
+
+
 def with_run_mode(df: DataFrame, mode: str) -> DataFrame:
     """Rows for an append-only history."""
     return df.withColumn("run_mode", F.lit(mode))

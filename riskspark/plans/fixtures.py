@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.operators import tables
+
 #: A currency pair and a foreign revenue share for each sector.
 SECTOR_PAIRS = (("AFRICA", "USDZAR", 0.35), ("AMERICA", "USDCAD", 0.25), ("ASIA", "USDJPY", 0.45), ("EUROPE", "EURUSD", 0.4), ("MIDDLE EAST", "USDAED", 0.3))
 #: Weights of commodities for each sector.
@@ -25,10 +27,11 @@ def _bars(trades: DataFrame, key: str, *more: Column) -> DataFrame:
     )
 
 
-def by_ticker(trades: DataFrame) -> DataFrame:
+def by_ticker(trades: DataFrame, parts: int | None = None) -> DataFrame:
     """What bars need of line items, dealt by ticker before they are added up: a bar has hardly more than one of them, so sums before the shuffle would only make rows
-    wider, and windows by ticker need no other shuffle."""
-    return trades.select("l_suppkey", "date", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").withColumn("ticker", F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).drop("l_suppkey").repartition("ticker").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+    wider, and windows by ticker need no other shuffle. parts: tables.parts(), so that a task's share does not grow with the table."""
+    trades = trades.select("l_suppkey", "date", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").withColumn("ticker", F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).drop("l_suppkey")
+    return tables.dealt(trades, parts, "ticker").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
 
 
 def _trades(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,13 +39,34 @@ def _trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return _bars(_trades(spark, sf), "ticker")
+    return bars_by_ticker(spark, sf)
+
+
+def bar_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The dates of bars: those of line items."""
+    return _trades(spark, sf).select("date").distinct()
+
+
+def ticker_days(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    """(ticker, date) of each bar, from these two columns of line items alone; dealt by ticker, or by both for a join on both."""
+    return tables.dealt(_trades(spark, sf).select("ticker", "date"), tables.parts(table(spark, sf, "lineitem")), *(by or ("ticker",))).distinct()
+
+
+def bars_from(spark: SparkSession, sf: str, first: DataFrame) -> DataFrame:
+    """bars_daily of tickers from a date on, and those without a date where these are asked for too: first (ticker, _first, _undated). Other line items are left at the scan."""
+    kept = _trades(spark, sf).join(first, "ticker").where(F.coalesce(F.col("date") >= F.col("_first"), F.col("_undated") & F.col("date").isNull()))
+    return _bars(by_ticker(kept), "ticker")
+
+
+def bars_since(spark: SparkSession, sf: str, when: Column) -> DataFrame:
+    """bars_daily of the dates of a condition, which is met at the scan."""
+    return _bars(by_ticker(_trades(spark, sf).where(when)), "ticker")
 
 
 def bars_by_ticker(spark: SparkSession, sf: str, tickers: DataFrame | None = None) -> DataFrame:
     """bars_daily for windows by ticker; or those of some tickers (ticker), whose line items alone are dealt."""
     trades = _trades(spark, sf)
-    return _bars(by_ticker(trades if tickers is None else trades.join(tickers, "ticker", "left_semi")), "ticker")
+    return _bars(by_ticker(trades if tickers is None else trades.join(tickers, "ticker", "left_semi"), tables.parts(table(spark, sf, "lineitem"))), "ticker")
 
 
 def universe(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +77,8 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    joined = _trades(spark, sf).join(o, F.col("l_orderkey") == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    owned = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment")  # orders meet customers first, so line items are dealt once
+    joined = _trades(spark, sf).join(owned, F.col("l_orderkey") == owned.o_orderkey)
     return joined.groupBy("ticker", F.col("c_mktsegment").alias("asset_manager")).agg(F.sum("l_quantity").alias("shares"))
 
 
@@ -87,8 +112,9 @@ def sector_commodity(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(SECTOR_COMMODITIES), "sector string, commodity string, sensitivity double")
 
 
-def fx_daily(spark: SparkSession, sf: str) -> DataFrame:
-    priced = _trades(spark, sf).join(universe(spark, sf).select("ticker", "sector"), "ticker").join(sector_pair(spark, sf), "sector")
+def fx_daily(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
+    names = universe(spark, sf) if names is None else names
+    priced = _trades(spark, sf).join(names.select("ticker", "sector"), "ticker").join(sector_pair(spark, sf), "sector")
     return priced.groupBy("currency_pair", "date").agg(F.avg("price").alias("fx_rate"))
 
 
@@ -107,6 +133,22 @@ def commodity_daily(spark: SparkSession, sf: str) -> DataFrame:
     return _bars(_trades(spark, sf).join(p, F.col("l_partkey") == p.p_partkey), "commodity")
 
 
+def commodity_by_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """commodity_daily, without putting line items in order: few commodities have few days with many items each. The first and last order of a day are numbers, found while
+    the items are added up; only items of such orders are put in order."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("commodity"))
+    named = lambda df: df.join(p, F.col("l_partkey") == p.p_partkey)
+    trades = _trades(spark, sf).withColumn("_order", F.coalesce("l_orderkey", F.lit(-(1 << 63))))  # an item without an order comes first
+    sums = [F.max("price").alias("high"), F.min("price").alias("low"), F.sum("l_quantity").alias("volume"), F.min("_order").alias("_first"), F.max("_order").alias("_last")]
+    days = tables.staged(named(trades).groupBy("commodity", "date").agg(*sums))
+    ends = days.select(F.col("date").alias("_day"), F.explode(F.array("_first", "_last")).alias("_end")).distinct()  # two rows for each commodity and day at most
+    kept = trades.join(F.broadcast(ends), F.col("date").eqNullSafe(F.col("_day")) & (F.col("_order") == F.col("_end")), "left_semi")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    edges = named(kept).groupBy(F.col("commodity").alias("_key"), F.col("date").alias("_day")).agg(F.min_by("price", order).alias("open"), F.max_by("price", order).alias("close"))
+    df = days.join(edges, F.col("commodity").eqNullSafe(F.col("_key")) & F.col("date").eqNullSafe(F.col("_day")))
+    return df.select("commodity", "date", "open", "high", "low", "close", "volume")
+
+
 def commodity_gapped(spark: SparkSession, sf: str) -> DataFrame:
     return commodity_daily(spark, sf).where(F.dayofyear("date") % 11 != 0)
 

@@ -139,7 +139,7 @@ def q11_ticker(spark, sf):
 
 def _commodity_day(spark, sf) -> DataFrame:
     """The commodity table's last date, by manager: a manager has the share of a name's exposure that it has of its shares."""
-    x = Staged().trading(spark, sf)
+    x = Staged()
     held = x.positions(spark, sf)
     total = held.groupBy("ticker").agg(F.sum("shares").alias("_all"))
     day = M.commodity_table(spark, sf, x, 1)
@@ -238,7 +238,7 @@ _SEGMENTS = {
 
 @query("Q16_all_segments", "segment exposure:1 pnl:2 risk:5 alerts light", "SELECT *, CASE WHEN alerts > 2 THEN 'red' WHEN alerts > 0 OR pnl < 0 THEN 'yellow' ELSE 'green' END AS light FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS segment, coalesce({e}, 0.0) AS exposure, coalesce({p}, 0.0) AS pnl, {r} AS risk, count(*) FILTER (coalesce({a}, false)) AS alerts FROM {t}" for n, (t, e, p, r, a) in _SEGMENTS.items()) + ")")
 def q16_all(spark, sf):
-    x = Staged().trading(spark, sf)
+    x = Staged().for_trades(spark, sf)
     made = M.trade_frames(spark, sf, x)
     days = {"Equity": M.equity_day(spark, sf, x), "FX": M.fx_since(spark, sf, 1, x), "Commodities": M.commodity_table(spark, sf, x, 1), "Bonds": V.last_day(M.bond_table(spark, sf, x)), "Derivatives": V.last_day(M.derivatives_table(spark, sf, made)), "Collateral": V.last_day(M.collateral_table(spark, sf, made)), "Loans": _loans(spark, sf)}
     return views.segments({n: (days[n], *map(F.expr, (e, p, r, a))) for n, (_, e, p, r, a) in _SEGMENTS.items()})
@@ -268,7 +268,7 @@ _STATUS = "CASE WHEN broken OR actual > hard THEN 'Hard Breach' WHEN actual > wa
 
 @query("Q17_all_limits", "mode segment actual:4 status score:1", f"SELECT *, CAST(greatest(50.0, 100.0 - 8 * count(*) FILTER (status <> 'Compliant') OVER (PARTITION BY mode)) AS DOUBLE) AS score FROM (SELECT *, {_STATUS} AS status FROM ({' UNION ALL '.join(_limit_sql(*r) for r in _RULES)}))")
 def q17_all(spark, sf):
-    x = Staged().trading(spark, sf)
+    x = Staged().for_trades(spark, sf)
     made = M.trade_frames(spark, sf, x)
     frames = {
         "eq": M.equity_since(spark, sf, 2, x),

@@ -44,11 +44,31 @@ class Staged:
         self.together(spark, *[lambda f=f: f(spark, sf) for f in (self.bars_daily, self.positions, self.commodity_daily)])
         return self
 
+    def for_trades(self, spark: SparkSession, sf: str) -> Staged:
+        """With what trades of the last dates read, made side by side: no bars but the days that have one."""
+        self.together(spark, *[lambda f=f: f(spark, sf) for f in (self.ticker_days, self.positions, self.commodity_daily, self.fx_daily)])
+        return self
+
+    def universe(self, spark: SparkSession, sf: str) -> DataFrame:
+        """Written once, so that joins know its size."""
+        return self.once("universe", lambda: tables.staged(X.universe(spark, sf)))
+
+    def ticker_days(self, spark: SparkSession, sf: str) -> DataFrame:
+        def make() -> DataFrame:
+            return tables.staged(self.bars_daily(spark, sf).select("ticker", "date") if self.has_bars() else X.ticker_days(spark, sf))
+
+        return self.once("days", make)
+
     def has_bars(self) -> bool:
         return "bars" in self._made
 
     def _bars(self, spark: SparkSession, sf: str) -> DataFrame:
-        return self.once("bars", lambda: tables.staged(X._bars(X.by_ticker(X._trades(spark, sf)), "ticker", F.sum("price").alias("_total"), F.count("price").alias("_n")), "ticker", "date"))
+        def make() -> DataFrame:
+            parts = tables.parts(X.table(spark, sf, "lineitem"))
+            bars = X._bars(X.by_ticker(X._trades(spark, sf), parts), "ticker", F.sum("price").alias("_total"), F.count("price").alias("_n"))
+            return tables.staged(bars, "ticker", "date", parts=parts)
+
+        return self.once("bars", make)
 
     def bars_daily(self, spark: SparkSession, sf: str) -> DataFrame:
         return self._bars(spark, sf).drop("_total", "_n")
@@ -61,8 +81,8 @@ class Staged:
     def fx_daily(self, spark: SparkSession, sf: str) -> DataFrame:
         def make() -> DataFrame:
             if not self.has_bars():
-                return tables.staged(X.fx_daily(spark, sf))
-            priced = self._bars(spark, sf).join(X.universe(spark, sf).select("ticker", "sector"), "ticker").join(X.sector_pair(spark, sf), "sector")
+                return tables.staged(X.fx_daily(spark, sf, self.universe(spark, sf)))
+            priced = self._bars(spark, sf).join(self.universe(spark, sf).select("ticker", "sector"), "ticker").join(X.sector_pair(spark, sf), "sector")
             return tables.staged(priced.groupBy("currency_pair", "date").agg((F.sum("_total") / F.sum("_n")).alias("fx_rate")))
 
         return self.once("fx", make)
@@ -71,4 +91,4 @@ class Staged:
         return X.first_rates(self.fx_daily(spark, sf))
 
     def commodity_daily(self, spark: SparkSession, sf: str) -> DataFrame:
-        return self.once("commodity", lambda: tables.staged(X.commodity_daily(spark, sf), "commodity", "date"))
+        return self.once("commodity", lambda: tables.staged(X.commodity_by_ends(spark, sf), "commodity", "date"))

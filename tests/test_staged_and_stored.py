@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators import intraday, joins, scoring, sketches, tables
+from riskspark.operators import equity, intraday, joins, scoring, sketches, tables
 from riskspark.plans import fixtures as X
 from riskspark.plans.staged import Staged
 from riskspark.sources import scans, warehouse
@@ -56,6 +56,30 @@ def test_staged_bars_are_read_without_a_shuffle_and_give_the_same_rates(spark):
     assert rates == {(r.currency_pair, r.date): pytest.approx(r.fx_rate) for r in X.fx_daily(spark, SF).collect()}
 
 
+def test_trades_deal_the_line_items_of_the_newest_bars_alone(spark):
+    from riskspark.plans import market
+
+    x = Staged()
+    recent, bars = market._recent_bars(spark, SF, 2, x), {(r.ticker, r.date): r.close for r in X.bars_daily(spark, SF).collect()}
+    assert not x.has_bars() and {(r.ticker, r.date) for r in x.ticker_days(spark, SF).collect()} == set(bars)
+    got = {(r.ticker, r.date): r.close for r in recent.collect()}
+    for ticker in {t for t, _ in bars}:
+        newest = sorted((d for t, d in bars if t == ticker), reverse=True)[: 2 + equity.PAST]
+        assert all(got[ticker, d] == bars[ticker, d] for d in newest)
+    assert market.equity_since(spark, SF, 1, x).count() and "recent 1" not in x._made
+
+
+def test_commodity_days_by_their_ends(spark):
+    rows = lambda df: sorted(map(str, df.select("commodity", "date", "open", "high", "low", "close").collect()))
+    assert rows(X.commodity_by_ends(spark, SF)) == rows(X.commodity_daily(spark, SF))
+
+
+def test_bonds_of_one_small_file_are_many_tasks_work(spark):
+    from riskspark.plans import market
+
+    assert "RoundRobinPartitioning" in market.bond_table(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_roll_up_within_their_bounds(spark):
     df = spark.range(60_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 14).alias("b"), (F.col("id") % 20_000).alias("v"))
     fine = sketches.sketched(df, ["a", "b"], {"v": "d"}, {"v": "q"})
