@@ -165,7 +165,7 @@ def j13(spark, sf):
 
 @query("J15_filled_key", "ticker date record_id", "SELECT ticker, date, ticker || '_' || strftime(date, '%Y-%m-%d') AS record_id FROM bars_daily")
 def j15(spark, sf):
-    bars = X.bars_daily(spark, sf).select("ticker", "date")
+    bars = X.ticker_days(spark, sf, "ticker", "date")  # dealt by the keys of the join
     lookup = scans.with_record_id(bars, "ticker")
     return J.filled_key(bars.withColumn("record_id", F.lit(None).cast("string")), lookup, ["ticker", "date"], "record_id")
 
