@@ -30,6 +30,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input. Both sides are sorted where they lie: what is small enough to be broadcast still takes several times its size of the
+    driver, and a query of many joins has many such tables at once."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (x, y); component is the smallest node reached.
 
@@ -39,10 +45,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = checkpoint(edges.select("x", "y").union(edges.select("y", "x")).where("x <> y").distinct())
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("component"))
     for _ in range(most_rounds):
-        around = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("_near"))
-        near = labels.join(around, "node").select("node", F.col("component").alias("_was"), F.least("component", "_near").alias("_label"))
+        around = both.join(shuffled(labels), both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("component").alias("_near"))
+        near = labels.join(shuffled(around), "node").select("node", F.col("component").alias("_was"), F.least("component", "_near").alias("_label"))
         heads = labels.select(F.col("node").alias("_label"), F.col("component").alias("_next"))
-        labels = checkpoint(near.join(heads, "_label", "left").select("node", "_was", F.least("_label", F.coalesce("_next", "_label")).alias("component")))
+        labels = checkpoint(near.join(shuffled(heads), "_label", "left").select("node", "_was", F.least("_label", F.coalesce("_next", "_label")).alias("component")))
         if labels.where(F.col("component") < F.col("_was")).isEmpty():
             return labels.drop("_was")
         labels = labels.drop("_was")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm import blocks
-from riskspark.llm.components import checkpoint, components
+from riskspark.llm.components import checkpoint, components, shuffled
 from riskspark.llm.textwords import chunks, mix, window_starts, windows, words
 
 WORDS, PERCENT = 5, 80
@@ -119,7 +119,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     met = columns.groupBy("key").agg(F.count("*").alias("_rows"), F.max("early").alias("_early")).where("_rows > 1 and _early")
     # a column of many rows is dealt over cells by its rows, so none lands in one task
     met = met.select("key", F.ceil(F.col("_rows") / CELL).cast("int").alias("cells"))
-    met = checkpoint(columns.join(met, "key").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int")))
+    met = checkpoint(columns.join(shuffled(met), "key").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int")))
     labels = nodes.select("row", F.col("row").alias("label"))
     links = tested = None
 
@@ -134,41 +134,41 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
     for last in (False, False, True):
         if links is not None and not links.isEmpty():
             found = components(links)
-            labels = checkpoint(nodes.select("row").join(found, F.col("row") == found["node"], "left").select("row", F.coalesce("component", "row").alias("label")))
-        placed = met.join(labels, "row")
+            labels = checkpoint(nodes.select("row").join(shuffled(found), F.col("row") == found["node"], "left").select("row", F.coalesce("component", "row").alias("label")))
+        placed = met.join(shuffled(labels), "row")
         each = placed.groupBy("key", "cell").agg(best, F.min("label").alias("_low"), F.max("label").alias("_top"), F.first("cells").alias("cells"))
         open_keys = each.groupBy("key").agg(F.max("hub").alias("hub"), F.min("_low").alias("_low"), F.max("_top").alias("_top"), F.first("cells").alias("cells")).where("_low < _top")
         open_keys = open_keys.select("key", "hub", _cells("cells").alias("cell"))
-        at = placed.join(open_keys, ["key", "cell"])
+        at = placed.join(shuffled(open_keys), ["key", "cell"])
         if last:
             mine, theirs = at.withColumn("_cell", _cells("cells")), at.withColumn("_cell", F.col("cell")).drop("cell").withColumn("cell", _cells("cells"))
             other = theirs.select("key", "cell", "_cell", F.col("row").alias("y"), *[F.col(c).alias(f"_{c}") for c in ("n", "shared", "at", "label", "early")])
             early = F.when(F.col("n") == F.col("_n"), F.col("early") | F.col("_early")).when(F.col("n") < F.col("_n"), F.col("early")).otherwise(F.col("_early"))
-            pairs = mine.join(other, ["key", "cell", "_cell"]).where((F.col("label") < F.col("_label")) & early & fits(of(""), of("_"))).select(F.col("row").alias("x"), "y")
+            pairs = mine.join(shuffled(other), ["key", "cell", "_cell"]).where((F.col("label") < F.col("_label")) & early & fits(of(""), of("_"))).select(F.col("row").alias("x"), "y")
         else:
             at = at.where(F.col("label") != F.col("hub.label"))
             if tested is not None:  # the best row has been compared; now the best one outside its component
                 at = at.drop("hub")
                 hubs = at.groupBy("key", "cell").agg(best, F.first("cells").alias("cells")).groupBy("key").agg(F.max("hub").alias("hub"), F.first("cells").alias("cells"))
-                at = at.join(hubs.select("key", "hub", _cells("cells").alias("cell")), ["key", "cell"]).where(F.col("label") != F.col("hub.label"))
+                at = at.join(shuffled(hubs.select("key", "hub", _cells("cells").alias("cell"))), ["key", "cell"]).where(F.col("label") != F.col("hub.label"))
             at = at.where(fits(of(""), of("hub.")))
             pairs = at.select(F.col("hub.row").alias("x"), F.col("row").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+            pairs = pairs.join(shuffled(tested), ["x", "y"], "left_anti")
         pairs = checkpoint(pairs)
         linked = checkpoint(multiplied(pairs, nodes, percent))
         links = linked if links is None else checkpoint(links.union(linked))
         tested = pairs if tested is None else tested.union(pairs)
     if not links.isEmpty():
         found = components(links)
-        labels = nodes.select("row", "node").join(found.withColumnRenamed("node", "_at"), F.col("row") == F.col("_at"), "left").select("row", "node", F.coalesce("component", "row").alias("label"))
+        labels = nodes.select("row", "node").join(shuffled(found.withColumnRenamed("node", "_at")), F.col("row") == F.col("_at"), "left").select("row", "node", F.coalesce("component", "row").alias("label"))
     else:
         labels = nodes.select("row", "node", F.col("row").alias("label"))
     smallest = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    named = labels.join(smallest, "label").select("row", "component_id", "label")
+    named = labels.join(shuffled(smallest), "label").select("row", "component_id", "label")
     out = rows.select("_id", "_text_key", "_n", F.when(F.col("_s1").isNotNull(), F.xxhash64(F.lit(seed), *same)).alias("_row"))
-    out = out.join(named, F.col("_row") == F.col("row"), "left")
+    out = out.join(shuffled(named), F.col("_row") == F.col("row"), "left")
     component = F.when(F.col("label").isNotNull(), F.col("component_id.id")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), "_text_key", F.col("label").alias("_component"))
 
@@ -184,7 +184,7 @@ def multiplied(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         start = F.col("ends")[b - 1] if b else F.lit(0)
         block, later = F.slice("keys", start + 1, F.col("ends")[b] - start), F.size("keys") - F.col("ends")[b]
         x, y = (nodes.select(F.col("row").alias(c), F.col("n").alias(f"_n{c}"), block.alias(f"_k{c}"), later.alias(f"_later{c}")) for c in "xy")
-        met = entries.join(x, "x").join(y, "y").withColumn("_count", F.col("_count") + F.size(F.array_intersect("_kx", "_ky")))
+        met = entries.join(shuffled(x), "x").join(shuffled(y), "y").withColumn("_count", F.col("_count") + F.size(F.array_intersect("_kx", "_ky")))
         most = F.col("_count") + F.least("_laterx", "_latery")
         entries = met.where(most * (100 + percent) >= (F.col("_nx") + F.col("_ny")) * percent).select("x", "y", "_count")
     return entries.select("x", "y")
@@ -211,11 +211,12 @@ def _seed(classes: DataFrame, digests: list[str]) -> int:
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component of texts the document with the smallest id, with all columns; of several texts of this id, and of its
     rows with that text, one. Documents that link with nothing all stay, whatever their ids. Columns may have any names."""
+    classes = checkpoint(classes)  # read three times below
     each = classes.where("_component is not null").groupBy("_component", F.col(id_col).alias("id"), "_text_key").agg(F.count("*").alias("n"))
     least = each.groupBy("_component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("kept"), F.col("_text_key").alias("kept_key"), "n")).alias("one"))
     alone = classes.where("_component is null").select(F.col(id_col).alias("kept"), F.col("_text_key").alias("kept_key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_key(text).alias("key"))
-    named = lambda kept: rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    named = lambda kept: rows.join(shuffled(kept), F.col("id").eqNullSafe(F.col("kept")) & (F.col("key") == F.col("kept_key")), "left_semi")
     many = least.select("one.*").where("n > 1")
     out = named(least.select("one.*").where("n = 1").select("kept", "kept_key").union(alone))
     if not many.isEmpty():
