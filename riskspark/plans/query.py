@@ -18,10 +18,15 @@ ALL: dict[str, Query] = {}
 SPARE = 3
 
 
+def _floor(x: Column) -> Column:
+    """Floor as a double. Spark's own is a BIGINT, which ends at 9.2e18; a double is whole from 2^53 on."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+
+
 def _cut(x: Column, digits: int) -> Column:
     """Rounded half up."""
-    near = F.floor(x * float(f"1e{digits + SPARE}") + 0.5).cast("double") / float(f"1e{SPARE}")
-    return F.floor(near + 0.5).cast("double") / float(f"1e{digits}")
+    near = _floor(x * float(f"1e{digits + SPARE}") + 0.5) / float(f"1e{SPARE}")
+    return _floor(near + 0.5) / float(f"1e{digits}")
 
 
 def _cut_sql(c: str, digits: str) -> str:

@@ -575,3 +575,15 @@ def test_position_weights_equal_those_of_position_risk(spark):
     columns = ["asset_manager", "ticker", "date", "portfolio_weight", "beta_weighted"]
     ours, whole = (sorted(map(str, x.select(columns).collect())) for x in (equity.position_weights(df), equity.position_risk(more)))
     assert ours == whole and len(ours) == 6
+
+
+def test_large_values_are_rounded_as_in_the_sql(spark):
+    import duckdb
+    from riskspark.plans import query
+
+    values = [1733093416261.557, -1733093416261.557, 922337203685.4776, 12345.67895, -12345.67895, 0.0, 4.0e15, 9.3e18, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, x double")
+    for digits in (1, 4, 8):
+        got = [r["x"] for r in rows.select("k", query._cut(F.col("x"), digits).alias("x")).orderBy("k").collect()]
+        want = [duckdb.execute(f"SELECT {query._cut_sql('x', str(digits))} FROM (SELECT CAST(? AS DOUBLE) AS x)", [v]).fetchone()[0] for v in values]
+        assert list(map(str, got)) == list(map(str, want)), digits
