@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,34 +86,74 @@ def _risk(mu: Column, sigma: Column, textbook: bool) -> dict[str, Column]:
     return out
 
 
+def _joined(df: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """df with the other columns of rows, one row for each value of the keys (null too), that go to all tasks."""
+    own = {k: f"_key_{k}" for k in keys}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(name)) for k, name in own.items()])
+    return df.join(F.broadcast(rows.withColumnsRenamed(own)), same).drop(*own.values())
+
+
+def _share(x: Column, total: Column) -> Column:
+    return F.coalesce(W.ratio(x, total), F.lit(0.0))
+
+
 def position_weights(df: DataFrame) -> DataFrame:
     """portfolio_weight and beta_weighted of position_risk() alone. Market values are added up by (asset_manager, date), and the sums, a row each, go
     to all tasks, so that no position is shuffled to its group."""
-    sums = df.groupBy(F.col("asset_manager").alias("_manager"), F.col("date").alias("_day")).agg(F.sum("mtm_value").alias("_total"))
-    df = df.join(F.broadcast(sums), F.col("asset_manager").eqNullSafe(F.col("_manager")) & F.col("date").eqNullSafe(F.col("_day")))
-    df = df.withColumns({"portfolio_weight": F.coalesce(W.ratio(F.col("mtm_value"), F.col("_total")), F.lit(0.0)), "beta": F.coalesce("beta", F.lit(0.0))})
-    return df.withColumn("beta_weighted", F.col("portfolio_weight") * F.col("beta")).drop("_manager", "_day", "_total")
+    keys = ["asset_manager", "date"]
+    df = _joined(df, df.groupBy(*keys).agg(F.sum("mtm_value").alias("_total")), *keys)
+    df = df.withColumns({"portfolio_weight": _share(F.col("mtm_value"), F.col("_total")), "beta": F.coalesce("beta", F.lit(0.0))})
+    return df.withColumn("beta_weighted", F.col("portfolio_weight") * F.col("beta")).drop("_total")
 
 
-def position_risk(df: DataFrame, textbook: bool = False) -> DataFrame:
-    """Profit, weights, exposures, beta and VaR of positions in (asset_manager, date)."""
-    group = W.over(["asset_manager", "date"])
-    sector, industry = W.over(["asset_manager", "date", "sector"]), W.over(["asset_manager", "date", "industry"])
+def _of_positions(df: DataFrame, textbook: bool) -> DataFrame:
+    """What position_risk() tells of a position without its group."""
     df = df.withColumns({
         "daily_pnl": F.col("mtm_value") * F.col("daily_return"),
-        "portfolio_weight": F.coalesce(W.ratio(F.col("mtm_value"), F.sum("mtm_value").over(group)), F.lit(0.0)),
         "beta": F.coalesce("beta", F.lit(0.0)),
         "daily_sigma": F.greatest(F.coalesce("volatility_21d", "vol_20d", "vol_5d", F.lit(LEAST_SIGMA)), F.lit(LEAST_SIGMA)),
         "daily_mu": F.coalesce("daily_return", F.lit(0.0)),
-    }).withColumn("beta_weighted", F.col("portfolio_weight") * F.col("beta"))
+    })
+    return df.withColumns({f"daily_{k}": v for k, v in _risk(F.col("daily_mu"), F.col("daily_sigma"), textbook).items()})
+
+
+def position_risk(df: DataFrame, textbook: bool = False) -> DataFrame:
+    """Profit, weights, exposures, beta and VaR of positions in (asset_manager, date)."""
+    group = W.over(["asset_manager", "date"])
+    sector, industry = W.over(["asset_manager", "date", "sector"]), W.over(["asset_manager", "date", "industry"])
+    df = _of_positions(df, textbook).withColumn("portfolio_weight", _share(F.col("mtm_value"), F.sum("mtm_value").over(group)))
+    df = df.withColumn("beta_weighted", F.col("portfolio_weight") * F.col("beta"))
     return df.withColumns({
         "sector_exposure": F.sum("portfolio_weight").over(sector),
         "industry_exposure": F.sum("portfolio_weight").over(industry),
         "sector_beta_weighted": F.sum("beta_weighted").over(sector),
-        **{f"daily_{k}": v for k, v in _risk(F.col("daily_mu"), F.col("daily_sigma"), textbook).items()},
     })
 
 
+def _named(c: str) -> Column:
+    """A text for each value of a column, null too, as keys of a map are not null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
+def position_risk_by_sums(df: DataFrame, textbook: bool = False) -> DataFrame:
+    """position_risk() of whole tables. Market values are added up by (asset_manager, date, sector, industry); a row for each (asset_manager, date) with maps of its sectors and industries goes to all
+    tasks, so that no position is shuffled to its group. The number of such rows does not grow with the positions. df is worked out once more for the sums."""
+    keys = ["asset_manager", "date"]
+    df = _of_positions(df, textbook).withColumns({"_s": _named("sector"), "_i": _named("industry")})
+    sums = df.groupBy(*keys, "_s", "_i").agg(F.sum("mtm_value").alias("_value"), F.sum(F.col("mtm_value") * F.col("beta")).alias("_beta"))
+    total = lambda c, *more: F.sum(c).over(W.over([*keys, *more]))
+    sums = sums.withColumn("_total", total("_value")).withColumns({"_in_sector": _share(total("_value", "_s"), F.col("_total")), "_beta": _share(total("_beta", "_s"), F.col("_total")), "_in_industry": _share(total("_value", "_i"), F.col("_total"))})
+    entries = lambda *of: F.map_from_entries(F.collect_set(F.struct(*of)))
+    groups = sums.groupBy(*keys).agg(F.first("_total").alias("_total"), entries("_s", F.struct("_in_sector", "_beta").alias("_of")).alias("_sectors"), entries("_i", "_in_industry").alias("_industries"))
+    df = _joined(df, groups, *keys).withColumns({"portfolio_weight": _share(F.col("mtm_value"), F.col("_total")), "_sector": F.col("_sectors")[F.col("_s")]})
+    return df.withColumns({
+        "beta_weighted": F.col("portfolio_weight") * F.col("beta"),
+        "sector_exposure": F.col("_sector._in_sector"),
+        "industry_exposure": F.col("_industries")[F.col("_i")],
+        "sector_beta_weighted": F.col("_sector._beta"),
+    }).drop("_s", "_i", "_total", "_sector", "_sectors", "_industries")
+
+
 def portfolio_risk(df: DataFrame, textbook: bool = False) -> DataFrame:
     """Mean, volatility (no correlation), VaR, CVaR and profit of each (asset_manager, date), on its rows."""
     group = W.over(["asset_manager", "date"])

@@ -587,3 +587,28 @@ def test_large_values_are_rounded_as_in_the_sql(spark):
         got = [r["x"] for r in rows.select("k", query._cut(F.col("x"), digits).alias("x")).orderBy("k").collect()]
         want = [duckdb.execute(f"SELECT {query._cut_sql('x', str(digits))} FROM (SELECT CAST(? AS DOUBLE) AS x)", [v]).fetchone()[0] for v in values]
         assert list(map(str, got)) == list(map(str, want)), digits
+
+
+def _odd_positions(spark):
+    rows = [("a", f"t{k}", DAY, float(10 + k) if k % 4 else None, "s" if k % 3 else "r", f"i{k % 5}", None if k == 2 else 0.5 + k, 0.01 * k - 0.03, 100.0 * k, 50.0 + k) for k in range(9)]
+    rows += [("b", "t1", DAY, 5.0, None, "i1", 1.0, None, 10.0, 0.0), ("b", "t2", DAY, 7.0, "s", None, 2.0, 0.02, 10.0, 3.0), ("b", "t3", DAY, 7.0, "s", "", 2.0, -0.02, 0.0, 3.0), ("b", "t4", DAY, 2.0, "", None, 2.0, 0.01, 0.0, 3.0)]
+    rows += [("c", "t1", DAY, 4.0, "s", "i1", 1.0, 0.1, 1.0, 1.0), ("c", "t2", DAY, -4.0, "s", "i2", 1.0, 0.1, 1.0, 1.0), ("d", "t1", DAY, -4.0, "s", "i1", 1.0, 0.1, 1.0, 1.0), ("d", "t2", DAY, -1.0, "r", "i2", 1.0, 0.2, 2.0, 1.0)]
+    rows += [(None, "t1", None, 3.0, "s", "i1", 1.0, 0.1, 1.0, 1.0), (None, "t2", DAY, None, "s", "i1", None, None, None, None), ("e", "t1", None, 3.0, "s", "i1", 1.0, 0.1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "asset_manager string, ticker string, date date, mtm_value double, sector string, industry string, beta double, daily_return double, volume double, shares double")
+    return df.withColumns({"avg_volume_10d": F.col("volume") / 2, "volatility_21d": F.lit(None).cast("double"), "vol_20d": F.abs("daily_return"), "vol_5d": F.lit(0.02)})
+
+
+def _same_rows(ours, whole, columns):
+    both = [sorted(([r[k] if isinstance(r[k], str | None) else str(r[k]) if k == "date" else round(r[k], 10) + 0.0 for k in columns] for r in x.select(columns).collect()), key=str) for x in (ours, whole)]
+    assert both[0] == both[1] and both[0]
+
+
+def test_position_risk_from_sums_moves_no_position(spark):
+    from riskspark.operators import equity
+    from riskspark.plans import registry
+
+    df = _odd_positions(spark)
+    columns = ["asset_manager", "ticker", "date", "daily_pnl", "portfolio_weight", "sector_exposure", "industry_exposure", "beta_weighted", "sector_beta_weighted", "daily_VaR_95", "daily_CVaR_99"]
+    _same_rows(equity.position_risk_by_sums(df), equity.position_risk(df), columns)
+    plan = registry.queries()["R03_position_risk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Window \[.*(mtm_value|portfolio_weight|beta_weighted)#", plan), plan
