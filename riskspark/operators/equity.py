@@ -165,6 +165,13 @@ def portfolio_risk(df: DataFrame, textbook: bool = False) -> DataFrame:
     return df.withColumns({f"daily_portfolio_{k}": v for k, v in _risk(F.col("daily_portfolio_mu"), F.col("daily_portfolio_volatility"), textbook).items()})
 
 
+def _turnover(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "turnover_ratio": F.coalesce(W.ratio(F.col("volume"), F.col("shares")), F.lit(0.0)),
+        "_amihud": W.ratio(F.abs("daily_return"), F.coalesce("avg_volume_10d", F.lit(0.0))),
+    })
+
+
 def concentration_liquidity(df: DataFrame, per_sector: bool = False) -> DataFrame:
     """Top-5 weight, sector concentration, illiquidity, turnover and liquidity score. The default concentration sums a
     sector's square once for each of its rows; per_sector sums it once."""
@@ -173,11 +180,9 @@ def concentration_liquidity(df: DataFrame, per_sector: bool = False) -> DataFram
     square = F.col("sector_exposure") ** 2
     if per_sector:
         square = square / F.count("*").over(W.over([*keys, "sector"]))
-    df = df.withColumns({
+    df = _turnover(df).withColumns({
         "top_5_exposure": W.top_sum(F.col("portfolio_weight"), keys, 5, "ticker"),
         "hhi_sector": F.sum(square).over(group),
-        "turnover_ratio": F.coalesce(W.ratio(F.col("volume"), F.col("shares")), F.lit(0.0)),
-        "_amihud": W.ratio(F.abs("daily_return"), F.coalesce("avg_volume_10d", F.lit(0.0))),
     })
     return df.withColumns({
         "diversification_score": W.ratio(F.lit(1.0), F.col("hhi_sector")),
@@ -186,6 +191,26 @@ def concentration_liquidity(df: DataFrame, per_sector: bool = False) -> DataFram
     }).drop("_amihud")
 
 
+def concentration_liquidity_by_sums(df: DataFrame, per_sector: bool = False) -> DataFrame:
+    """concentration_liquidity() of whole tables, from market values. Groups are added up to a row for each (asset_manager, date), that goes to all tasks, and each task sends its five largest
+    positions of a group, so that no other is shuffled. df is worked out once more for the sums and once more for the largest."""
+    keys = ["asset_manager", "date"]
+    df = _turnover(df)
+    sums = df.groupBy(*keys, "sector").agg(F.sum("mtm_value").alias("_value"), F.count("*").alias("_n"), F.min("_amihud").alias("_low"), F.max("_amihud").alias("_high"))
+    sums = sums.withColumn("_total", F.sum("_value").over(W.over(keys)))
+    square = _share(F.col("_value"), F.col("_total")) ** 2 * (F.lit(1) if per_sector else F.col("_n"))
+    groups = sums.groupBy(*keys).agg(F.first("_total").alias("_total"), F.sum(square).alias("hhi_sector"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    named = _joined(df.select("ticker", *keys, "mtm_value"), groups, *keys).withColumn("_weight", _share(F.col("mtm_value"), F.col("_total")))
+    largest = named.withColumn("_rank", F.row_number().over(W.over(keys, F.desc_nulls_last("_weight"), "ticker"))).where("_rank <= 5")
+    groups = largest.groupBy(*keys).agg(F.sum("_weight").alias("top_5_exposure"), *[F.first(c).alias(c) for c in ("hhi_sector", "_low", "_high")])
+    df, x = _joined(df, groups, *keys), F.col("_amihud")
+    return df.withColumns({
+        "diversification_score": W.ratio(F.lit(1.0), F.col("hhi_sector")),
+        "liquidity_risk_score": F.when(x.isNotNull(), F.coalesce(W.ratio(x - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))).otherwise(F.lit(0.0)),
+        "amihud_illiquidity": F.coalesce("_amihud", F.lit(0.0)),
+    }).drop("_amihud", "_low", "_high")
+
+
 def lagged(df: DataFrame, keys: list[str]) -> DataFrame:
     """Returns of 1, 5 and 20 rows before."""
     w = W.over(keys, "date")

@@ -612,3 +612,17 @@ def test_position_risk_from_sums_moves_no_position(spark):
     _same_rows(equity.position_risk_by_sums(df), equity.position_risk(df), columns)
     plan = registry.queries()["R03_position_risk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Window \[.*(mtm_value|portfolio_weight|beta_weighted)#", plan), plan
+
+
+def test_concentration_from_sums_moves_the_largest_positions_alone(spark):
+    from riskspark.operators import equity
+    from riskspark.plans import registry
+
+    df = _odd_positions(spark)
+    columns = ["asset_manager", "ticker", "date", "top_5_exposure", "hhi_sector", "diversification_score", "liquidity_risk_score", "amihud_illiquidity", "turnover_ratio"]
+    for per_sector in (False, True):
+        whole = equity.concentration_liquidity(equity.position_risk(df), per_sector)
+        _same_rows(equity.concentration_liquidity_by_sums(df, per_sector), whole, columns)
+    plan = registry.queries()["R05_concentration_liquidity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Window \[.*(sum|min|max)\((mtm_value|portfolio_weight|_weight|_amihud)#", plan), plan
+    assert re.search(r"WindowGroupLimit \[asset_manager#\d+, date#\d+\].* 5", plan), plan
